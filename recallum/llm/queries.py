@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recallum.llm import simhash
+from recallum.llm import bpe, mpeg, packing, simhash, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,74 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mpeg.decode(mpeg.encode(table(spark, sf_dir, "documents")))
+    offsets = F.substring(F.sha2(F.array_join("seek_offsets", ","), 256), 1, 16)
+    feature = F.concat_ws(":", "tags", "vbr_kind", "vbr_frames", "frames", "samples", "sample_rate", "kbit", "crc_good", "crc_bad", "skipped", offsets)
+    return got.select(
+        F.col("id").alias("doc_id"), "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "duration_s",
+    )
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))).withColumnRenamed("id", "doc_id")
+
+
+#: Rules of op7: (host, path, verdict).
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages"), rules).select("row.page_id", "host", "path", "rule", "verdict")
+
+
+OP7_SQL = """
+WITH split AS (
+  SELECT page_id,
+         CASE WHEN position('://' IN coalesce(url, '')) = 0 THEN '' ELSE translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
+         CASE WHEN position('://' IN coalesce(url, '')) = 0 THEN '' ELSE regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) END AS path
+  FROM pages
+), rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+SELECT page_id, host, path,
+       (SELECT arg_max(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+       coalesce((SELECT arg_max(v, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)), 'allow') AS verdict
+FROM split
+"""
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.read(warc.archive(table(spark, sf_dir, "pages")))
+    return got.select(F.col("row").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP8_SQL = """
+WITH rows AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits, sha1(coalesce(html, '')) AS sha FROM pages)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * substr(bits, (5 * i + 1)::INT, 1)::INT + 8 * substr(bits, (5 * i + 2)::INT, 1)::INT + 4 * substr(bits, (5 * i + 3)::INT, 1)::INT + 2 * substr(bits, (5 * i + 4)::INT, 1)::INT + substr(bits, (5 * i + 5)::INT, 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = min(page_id) OVER (PARTITION BY sha) THEN 'response' ELSE 'revisit' END AS record_type,
+       nullif(min(page_id) OVER (PARTITION BY sha), page_id) AS refers_to
+FROM rows
+"""
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = packing.pack(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op4_mpeg": op4_mpeg,
+    "op5_bpe": op5_bpe,
+    "op7_urls": op7_urls,
+    "op8_warc": op8_warc,
+    "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_urls": OP7_SQL,
+    "op8_warc": OP8_SQL,
+}
