@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,9 +34,32 @@ REMEMBERED = 1 << 18
 #: The vocabulary's own split of normalised text into words (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Byte-level spelling: printable bytes stand for themselves, the rest for characters from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLED = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
+class Known(dict):
+    """Ids of words as little-endian bytes; a full dictionary becomes the old one, which frequent words return from."""
+
+    def __init__(self, model: object) -> None:
+        super().__init__()
+        self.model, self.old = model, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.pop(word, None)
+        if ids is None:
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(SPELLED)
+            ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled))
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
 
 class Words:
-    """The tokenizer, with the ids of each word looked up once."""
+    """The tokenizer; its model is asked once for each word, and whole texts outside plain Latin go through it as they are."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,19 +67,12 @@ class Words:
         self.split = regex.compile(SPLIT)
         #: Texts of these characters alone are composed and have one-to-one lower case in any Unicode version.
         self.plain = regex.compile(r"[\x00-ſ‐-‧€]*")
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self.tokenizer.model)
 
     def ids(self, text: str) -> np.ndarray:
         if not self.plain.fullmatch(text) or "İ" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = self.split.findall(text.lower())
-        known = self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            known.update(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.split.findall(text.lower()))), "<u4")
 
 
 @cache
