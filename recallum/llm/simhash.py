@@ -150,15 +150,15 @@ def links(distinct: DataFrame, fp_col: str = "fp", radius: int = 2, bits: int |
     """Distinct fingerprints → links (src, dst) that join all fingerprints at most 2 * radius bits apart into the same components.
 
     A link is emitted between fingerprints that meet on a variant, never for all
-    pairs of a bucket.  Buckets with more than their share of the rows (at most
+    pairs of a bucket.  Buckets with far more than their share of the rows (at most
     four for each shuffle partition) are spread over longer prefixes.
     """
     spark = distinct.sparkSession
     fps = distinct.select(F.col(fp_col).alias("fp")).where("fp IS NOT NULL")
     n = fps.count()
-    bits = bits or min(28, max(8, (n // 256).bit_length()))
-    deeper = 8
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = bits or min(28, max(8, (n // 256).bit_length(), (2 * parts).bit_length()))
+    deeper = 8
 
     def emit(hot: np.ndarray, counts: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,8 @@ def links(distinct: DataFrame, fp_col: str = "fp", radius: int = 2, bits: int |
 
         return run
 
-    share = max(4096, n * len(masks(bits, radius)) // (4 * parts))
+    sent = n * len(masks(bits, radius))
+    share = max(4096, sent // (4 * parts), 8 * sent >> bits)
     hot = np.array([r.key for r in fps.mapInArrow(emit(np.zeros(0, np.uint64), True), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > share).collect()], np.uint64)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +199,8 @@ def links(distinct: DataFrame, fp_col: str = "fp", radius: int = 2, bits: int |
         if held:
             yield solve(key, held)
 
-    sent = fps.mapInArrow(emit(hot, False), "key bigint, fps binary")
-    return sent.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "src bigint, dst bigint").distinct()
+    spread = fps.mapInArrow(emit(hot, False), "key bigint, fps binary")
+    return spread.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "src bigint, dst bigint").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
