@@ -49,7 +49,7 @@ class Known(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.old.pop(word, None)
         if ids is None:
-            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(SPELLED)
+            spelled = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(SPELLED)
             ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled))
         if len(self) >= REMEMBERED:
             self.old = dict(self)
