@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recallum.llm import bpe, mpeg, packing, simhash, urls, warc
+from recallum.llm import bpe, mpeg, packing, quality, simhash, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,18 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))).withColumnRenamed("id", "doc_id")
 
 
+def predicted(scored: DataFrame, threshold: float = 0.7) -> DataFrame:
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted(quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predicted(toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 #: Rules of op7: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -80,8 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_mpeg": op4_mpeg,
     "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality,
     "op7_urls": op7_urls,
     "op8_warc": op8_warc,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 
