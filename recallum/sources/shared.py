@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +28,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hinted(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """`df` (already cut, of a few narrow columns) with a broadcast hint if it has at most `most` rows; beyond that Spark shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
