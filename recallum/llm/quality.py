@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recallum.sources.shared import cut
+from recallum.sources.shared import cut, hinted
 
 WORD = re.compile(r"\S+")
 LETTERS = re.compile(r"[^\W\d_]+")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recallum.llm import bpe, ctph, mpeg, packing, quality, simhash, toxicity, urls, warc
+from recallum.llm import bpe, ctph, mpeg, packing, pii, quality, simhash, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonyms(docs).select("doc_id", "text", F.array_join("pii_kinds", ",").alias("kinds"), F.size("pii_kinds").alias("n_changed"))
+
+
 def op3_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctph.edited_pairs(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -94,6 +99,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_pii": op2_pii,
     "op3_ctph": op3_ctph,
     "op4_mpeg": op4_mpeg,
     "op5_bpe": op5_bpe,

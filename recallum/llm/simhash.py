@@ -19,6 +19,7 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from recallum.operators.components import connected_components
-from recallum.sources.shared import cut
+from recallum.sources.shared import cut, hinted
 
 #: Shingle size and hash seed of the fingerprints.
 WORDS, SEED = 4, 42
@@ -81,20 +82,24 @@ def _by_key(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, np.ndarray
     yield from zip(keys[at].tolist(), np.split(fps, at[1:]), strict=True)
 
 
-def _buckets(fps: np.ndarray, bits: int, deeper: int, hot: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fingerprint) for each bucket that holds one of its variants.  A key is a 1 before the prefix; hot prefixes are longer by `deeper`."""
+def _buckets(rows: np.ndarray, bits: int, deeper: int, hot: np.ndarray, radius: int, fps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) for each bucket that holds a variant of a row's fingerprint (the row itself by default).
 
-    def spread(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    A key is a 1 before the prefix; prefixes that are hot are longer by `deeper`.
+    """
+    fps = rows if fps is None else fps
+
+    def spread(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         m = masks(n, radius)
-        return ((x >> np.uint64(64 - n))[:, None] ^ m[None, :]).ravel() | np.uint64(1 << n), np.repeat(x, len(m))
+        return ((fps[at] >> np.uint64(64 - n))[:, None] ^ m[None, :]).ravel() | np.uint64(1 << n), np.repeat(at, len(m))
 
-    keys, owners = spread(fps, bits)
+    keys, owners = spread(np.arange(len(rows)), bits)
     if len(hot):
         warm = np.isin(keys, hot)
         far, whose = spread(np.unique(owners[warm]), bits + deeper)
         inside = np.isin(far >> np.uint64(deeper), hot)
         keys, owners = np.concatenate((keys[~warm], far[inside])), np.concatenate((owners[~warm], whose[inside]))
-    return keys, owners
+    return keys, rows[owners]
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -211,3 +216,180 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = first.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     return fps.join(rooted.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+
+
+# Near-duplicate texts: candidates by several fingerprints, verified on shingles.
+
+#: Fingerprints of a text's set of words, each with its own hash; texts whose sets differ by a few words agree in nearly all bits of some.
+SETS = 12
+#: Candidates differ in at most FAR bits of a fingerprint of their shingles; in a bucket each text keeps its PARTNERS nearest.
+FAR, PARTNERS, NEXT = 16, 6, 4
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    """Rows of hashes → one fingerprint a row."""
+    ones = np.zeros((len(h), 64), np.int64)
+    for k in range(0, h.shape[1], 1 << 12):
+        part = h[:, k : k + (1 << 12)]
+        ones += np.unpackbits(np.ascontiguousarray(part).astype(">u8").view(np.uint8), axis=1).reshape(len(h), -1, 64).sum(1, dtype=np.int64)
+    return np.packbits(2 * ones > h.shape[1], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of a text's shingles (fewer words: the whole sequence; none: none)."""
+    found = (text or "").encode().lower().split()
+    joined = [b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))] if found else []
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(s) for s in joined), np.uint32, len(joined)))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """`docs` → (id, key, sets binary, fp): a hash of the text, its word-set fingerprints, and the fingerprint of its shingles."""
+    salts = _mix(np.arange(1, SETS + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sets, fps = [], [], []
+            for t in b.column(1):
+                text = t.as_py() or ""
+                found = set(text.encode().lower().split())
+                h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in found), np.uint64, len(found))
+                keys.append(hashlib.md5(text.encode(), usedforsecurity=False).digest())
+                sets.append(_majority(_mix(h[None, :] ^ salts[:, None])).tobytes())
+                fps.append(_majority(_mix(shingles(text, words).astype(np.uint64))[None, :])[0])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "key", "sets", "fp"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, key binary, sets binary, fp bigint")
+
+
+def _neighbours(a: np.ndarray, fp: np.ndarray, prefix: int, bits: int, radius: int) -> np.ndarray:
+    """Index pairs that meet on a variant of `a` and are near by `fp`; linear in the bucket, bounded in memory by AT_ONCE."""
+    left = radius - np.bitwise_count((a >> np.uint64(64 - bits)) ^ np.uint64(prefix)).astype(int)
+    here = np.flatnonzero(left >= 0)
+    if len(here) < 2:
+        return np.zeros((0, 2), np.int64)
+    if len(here) * (65 - bits) > AT_ONCE and bits + 4 <= 60:
+        got = [_neighbours(a[here], fp[here], prefix << 4 | k, bits + 4, radius) for k in range(16)]
+        return _nearest(here[np.concatenate(got)], fp)
+    low = np.uint64((1 << (64 - bits)) - 1)
+    by = [(r, here[left[here] == r]) for r in range(radius + 1)]
+    variant = np.concatenate([((a[x] & low)[:, None] ^ masks(64 - bits, r)[None, :]).ravel() for r, x in by])
+    owner = np.concatenate([np.repeat(x, len(masks(64 - bits, r))) for r, x in by])
+    # Each variant sorts those that meet on it by another rotation of their shingle fingerprints, so near ones stand together.
+    turn = _mix(variant) & np.uint64(63)
+    turned = fp[owner] << turn | fp[owner] >> (np.uint64(64) - turn & np.uint64(63))
+    order = np.lexsort((turned, variant))
+    variant, owner = variant[order], owner[order]
+    pairs = [np.stack((owner[:-k], owner[k:]), 1)[variant[:-k] == variant[k:]] for k in range(1, NEXT + 1) if len(owner) > k]
+    return _nearest(np.concatenate(pairs), fp)
+
+
+def _nearest(pairs: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Distinct pairs, of which each text keeps its PARTNERS nearest."""
+    pairs = np.unique(np.sort(pairs, 1), axis=0)
+    apart = np.bitwise_count(fp[pairs[:, 0]] ^ fp[pairs[:, 1]]).astype(int)
+    pairs, apart = pairs[apart <= FAR], apart[apart <= FAR]
+    kept = np.zeros(len(pairs), bool)
+    for side in (0, 1):
+        order = np.lexsort((apart, pairs[:, side]))
+        node = pairs[order, side]
+        start = np.maximum.accumulate(np.where(np.concatenate(([True], node[1:] != node[:-1])), np.arange(len(node)), 0)) if len(node) else node
+        kept[order[np.arange(len(node)) - start < PARTNERS]] = True
+    return pairs[kept]
+
+
+def candidates(nodes: DataFrame, radius: int = 1) -> DataFrame:
+    """(id, sets, fp) of distinct texts → pairs (a, b), a < b, of near ones; a bounded number for each text and bucket."""
+    spark = nodes.sparkSession
+    n, parts = nodes.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(28, max(8, (n // 1024).bit_length(), (parts // 2).bit_length()))
+    deeper = 8
+    kind = np.dtype([("id", "<i8"), ("a", "<u8"), ("fp", "<u8")])
+
+    def emit(hot: dict[int, np.ndarray], counts: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = np.zeros(b.num_rows, kind)
+                rows["id"] = b.column(0).to_numpy(zero_copy_only=False)
+                rows["fp"] = b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+                sets = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64).reshape(-1, SETS)
+                for s in range(SETS):
+                    rows["a"] = sets[:, s]
+                    keys, owners = _buckets(np.arange(len(rows)), bits, deeper, hot.get(s, np.zeros(0, np.uint64)), radius, rows["a"])
+                    keys = keys | np.uint64(s) << np.uint64(48)
+                    if counts:
+                        key, many = np.unique(keys, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(many)], names=["key", "n"])
+                    else:
+                        got = list(_by_key(keys, owners))
+                        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([rows[g[1]].tobytes() for g in got], pa.binary())], names=["key", "rows"])
+
+        return run
+
+    sent = n * len(masks(bits, radius))
+    share = max(4096, sent * SETS // (4 * parts), 8 * sent >> bits)
+    found = nodes.select("id", "sets", "fp").mapInArrow(emit({}, True), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > share).collect()
+    hot = {s: np.array([r.key & (1 << 48) - 1 for r in found if r.key >> 48 == s], np.uint64) for s in {r.key >> 48 for r in found}}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(key: int, parts: list[bytes]) -> pa.RecordBatch:
+            x = np.frombuffer(b"".join(parts), kind)
+            key &= (1 << 48) - 1
+            width = key.bit_length() - 1
+            pairs = x["id"][_neighbours(np.ascontiguousarray(x["a"]), np.ascontiguousarray(x["fp"]), key - (1 << width), width, radius)]
+            return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)) if len(pairs) else pa.array([], pa.int64()), pa.array(pairs.max(1)) if len(pairs) else pa.array([], pa.int64())], names=["a", "b"])
+
+        key, held = None, []
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k != key and held:
+                    yield solve(key, held)
+                    held = []
+                key = k
+                held.append(v)
+        if held:
+            yield solve(key, held)
+
+    spread = nodes.select("id", "sets", "fp").mapInArrow(emit(hot, False), "key bigint, rows binary")
+    return spread.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """`docs` → (id, component): equal texts and, through links, texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Candidates come from ball hashing of several word-set fingerprints; every
+    link is verified on the whole shingle sets of both texts.  The id is a
+    bigint; a component is its smallest id; texts without words are all equal to
+    one another if they are equal as strings, and similar to nothing else.
+    """
+    got = cut(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words))
+    first = got.groupBy("key").agg(F.min("id").alias("first"))
+    known = cut(got.join(first, "key").select("id", "first", "sets", "fp"))
+    pairs = cut(candidates(known.where("id = first").dropDuplicates(["id"])))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], names=["id", "s"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["src", "dst"])
+
+    named = hinted(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    s = text.join(named, "id", "left_semi").mapInArrow(sets, "id bigint, s binary").dropDuplicates(["id"])
+    joined = pairs.join(s.withColumnsRenamed({"id": "a", "s": "s_a"}), "a").join(s.withColumnsRenamed({"id": "b", "s": "s_b"}), "b")
+    links = joined.select("a", "b", "s_a", "s_b").mapInArrow(alike, "src bigint, dst bigint")
+    comp = connected_components(links)
+    return known.join(comp.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))

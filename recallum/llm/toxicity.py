@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recallum.sources.shared import cut
+from recallum.sources.shared import cut, hinted
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER, SHORT, DISCOUNT, BITS, BLOCK = 8, 4, 0.75, 23, 1 << 15
@@ -226,13 +226,14 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = F.col(id_col)
     learn = labels.where(~held_out(key, parts, held)).where(F.col(label_col).isin(0, 1)).groupBy(key.alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
+    learn = hinted(cut(learn))
     tune = F.pmod(F.xxhash64(F.col("id"), F.lit(9)), F.lit(FOLD)) == 0
     labelled = rows.join(learn, "id").withColumn("tune", tune)
     words = word_counts(labelled)
     counts = cut(gram_counts(words))
     first = tables(counts, F.col("t") - F.col("tt"), F.col("o") - F.col("ot"), bits)
-    tuning = labelled.where("tune").join(_sample(learn.where(tune)), "id", "left_semi").select("id", "text", "toxic")
-    got = evidence(tuning, first).join(learn, "id").select("x", "toxic").toArrow()  # at most CALIBRATE rows
+    sample = _sample(learn.where(tune))
+    got = evidence(rows.join(sample, "id", "left_semi"), first).join(learn, "id").select("x", "toxic").toArrow()  # about CALIBRATE rows at most
     x, y = np.array(got["x"].to_pylist(), float).reshape(-1, 6), np.array(got["toxic"].to_pylist(), float)
     kind = docs.schema[id_col].dataType.simpleString()
     split = F.coalesce(held_out(F.col("id"), parts, held), F.lit(False)).alias("held_out")
@@ -252,4 +253,4 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _sample(ids: DataFrame, most: int = CALIBRATE) -> DataFrame:
     """At most about `most` ids, by hash: the bounded sample that tunes the logistic function."""
     n = ids.count()
-    return ids.select("id") if n <= most else ids.where(F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(n)) < most).select("id")
+    return F.broadcast((ids if n <= most else ids.where(F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(n)) < most)).select("id"))
