@@ -1,0 +1,59 @@
+"""Rule tables for tags, categories, screening and redaction.  Rules are data: pass your own lists."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+#: (tag, pattern) over lower-cased text; an example set.
+TAG_RULES = [("email", r"[a-z0-9._]+@[a-z0-9.]+"), ("address", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"), ("phone", r"[+][0-9] [(][0-9]{3}[)]"), ("number", r"[0-9]{12,}"), ("licence", r"licen[sc]e"), ("rights", r"all rights reserved"), ("table", r"[|]"), ("secret", r"token = "), ("shouting", r"!!"), ("noise", r"[$%&#]{3}")]
+#: (category, pattern), the first that matches counts.
+CATEGORY_RULES = [("credentials", r"token = "), ("contact", r"@|[+][0-9] [(]"), ("legal", r"licen[sc]e|rights reserved"), ("data", r"[|]")]
+#: Words of durable and of passing knowledge.
+HIGH, LOW = [r"licen[sc]e", r"rights reserved", r"token = ", r"version [0-9]"], [r"!!", r"[$%&#]{3}", r"[|]"]
+#: Attempts to instruct the reader of a text.
+SCREEN_RULES = [r"ignore (?:all|any|previous|the above)", r"disregard .{0,20}instructions", r"system prompt", r"you are now", r"<\s*script", r"act as (?:an?|the) ", r"do not tell", r"token = \"", r"base64,"]
+#: (kind, pattern, replacement) in the order in which they are applied.
+REDACTIONS = [("key", r"(?i)\b(token|secret|password|api_?key)(\s*[=:]\s*)[\"']?[A-Za-z0-9_\-]{8,}[\"']?", "$1$2[redacted]"), ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"), ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])", "[number]"), ("address", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])", "[address]")]
+
+
+def tags(text: Column, rules: list[tuple[str, str]] = TAG_RULES) -> Column:
+    """Sorted names of all rules that match; none for a null text."""
+    low = F.lower(text)
+    return F.array_sort(F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(name)) for name, p in rules])))
+
+
+def category(text: Column, rules: list[tuple[str, str]] = CATEGORY_RULES, default: str = "general") -> Column:
+    low, out = F.lower(text), None
+    for name, p in rules:
+        out = F.when(low.rlike(p), name) if out is None else out.when(low.rlike(p), name)
+    return out.otherwise(default)
+
+
+def hits(text: Column, patterns: list[str]) -> Column:
+    """How many of the patterns match."""
+    low, n = F.lower(text), F.lit(0)
+    for p in patterns:
+        n = n + F.coalesce(low.rlike(p).cast("int"), F.lit(0))
+    return n
+
+
+def reusability(text: Column) -> Column:
+    high, low = hits(text, HIGH), hits(text, LOW)
+    return F.when(high >= 2, "infrastructure").when((high >= 1) | (low == 0), "project_specific").otherwise("temporary")
+
+
+def screened(text: Column, rules: list[str] = SCREEN_RULES) -> Column:
+    """Number of the first rule that matches, or null."""
+    low, out = F.lower(text), None
+    for k, p in enumerate(rules, 1):
+        out = F.when(low.rlike(p), k) if out is None else out.when(low.rlike(p), k)
+    return out
+
+
+def redact(text: Column, rules: list[tuple[str, str, str]] = REDACTIONS) -> tuple[Column, Column]:
+    """(text with all rules applied in order, number of replacements)."""
+    n = F.lit(0)
+    for _, pattern, to in rules:
+        n = n + F.regexp_count(text, F.lit(pattern))
+        text = F.regexp_replace(text, pattern, to)
+    return text, n

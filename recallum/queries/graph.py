@@ -1 +1,96 @@
-"""Registered queries."""
+"""The link graph."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from recallum.operators import filters, graph as G, knn as K
+from recallum.queries import query
+from recallum.sources import tables as S
+from recallum.sources.tables import REF_NOW, sql
+
+
+@query(
+    sql(
+        f"""SELECT id, before, after, CASE WHEN after < 0.01 THEN 'delete' ELSE 'update' END AS action FROM (SELECT id, weight AS before, round(weight * pow(0.5, date_diff('day', CAST(last_accessed AS DATE), DATE '{REF_NOW[:10]}') / 90.0), 4) AS after FROM link) WHERE after < 0.01 OR after < 0.99 * before""",
+        "link",
+    )
+)
+def link_decay(spark: SparkSession, d: str) -> DataFrame:
+    return G.decay_plan(S.links(spark, d), F.lit(REF_NOW).cast("timestamp"))
+
+
+@query(
+    sql(
+        "SELECT root, node, min(level) AS level FROM walk GROUP BY root, node", "link",
+        parts="SELECT DISTINCT src, dst FROM link WHERE rel = 'part_of'",
+        walk="SELECT DISTINCT src AS root, src AS node, 0 AS level FROM link WHERE src % 50 = 0 UNION SELECT root, dst, level + 1 FROM walk JOIN parts ON src = node WHERE level < 3",
+    )
+)
+def graph_bfs(spark: SparkSession, d: str) -> DataFrame:
+    links = S.links(spark, d)
+    roots = links.where("src % 50 = 0").select(F.col("src").alias("node")).distinct()
+    return G.bfs(links.where("rel = 'part_of'"), roots, depth=3)
+
+
+@query(
+    sql(
+        "SELECT src, dst, min(level) AS hops FROM (SELECT root AS src, node AS dst, level FROM walk) SEMI JOIN pairs p USING (src, dst) GROUP BY src, dst", "link",
+        edges="SELECT src AS a, dst AS b FROM link WHERE rel = 'part_of' UNION SELECT dst, src FROM link WHERE rel = 'part_of'",
+        pairs="SELECT DISTINCT src, (src * 7 + 11) % 97 AS dst FROM link WHERE src % 50 = 0",
+        walk="SELECT DISTINCT src AS root, src AS node, 0 AS level FROM pairs UNION SELECT root, b, level + 1 FROM walk JOIN edges ON a = node WHERE level < 5",
+    )
+)
+def shortest_path(spark: SparkSession, d: str) -> DataFrame:
+    links = S.links(spark, d)
+    pairs = links.where("src % 50 = 0").select("src", ((F.col("src") * 7 + 11) % 97).alias("dst")).distinct()
+    return G.shortest_paths(links.where("rel = 'part_of'"), pairs, max_hops=5)
+
+
+@query(sql("SELECT node, \"out\", \"in\", sources, edges, types FROM (SELECT coalesce(a.node, b.node) AS node, coalesce(o, 0) AS \"out\", coalesce(i, 0) AS \"in\" FROM (SELECT src AS node, count(*) AS o FROM link GROUP BY src) a FULL JOIN (SELECT dst AS node, count(*) AS i FROM link GROUP BY dst) b USING (node)), (SELECT count(DISTINCT src) AS sources, count(*) AS edges, count(DISTINCT rel) AS types FROM link)", "link"))
+def graph_overview(spark: SparkSession, d: str) -> DataFrame:
+    """Degrees of all nodes beside the totals, which are one row."""
+    links = S.links(spark, d)
+    return G.degrees(links).join(F.broadcast(G.overview(links)), F.lit(True))
+
+
+@query(sql("SELECT id, 'src' AS side FROM link WHERE src NOT IN (SELECT id FROM memory) UNION ALL SELECT id, 'dst' FROM link WHERE dst NOT IN (SELECT id FROM memory)", "link", "memory"))
+def orphan_links(spark: SparkSession, d: str) -> DataFrame:
+    return G.orphans(S.links(spark, d), S.table(spark, d, "documents").select(F.col("doc_id").alias("id")))
+
+
+_NEAR = "SELECT a.id AS qid, b.id AS id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity FROM memory a, memory b WHERE a.id % 50 = 0 AND a.id <> b.id AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL"
+
+
+def _near(spark: SparkSession, d: str, lo: float, hi: float) -> DataFrame:
+    m = S.memory(spark, d).select("id", "embedding")
+    q = m.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
+    near = K.similarities(q, m, lo - 1e-3, hi + 1e-3).where("qid <> id").withColumn("similarity", F.round("similarity", 6))
+    return near.where(F.col("similarity").between(lo, hi))
+
+
+@query(sql("SELECT src, dst, rel, weight FROM (SELECT qid AS src, id AS dst, 'similar' AS rel, similarity AS weight, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS r FROM near WHERE similarity >= 0.25) n ANTI JOIN link l USING (src, dst, rel) WHERE r <= 3", "memory", "link", near=_NEAR))
+def auto_link(spark: SparkSession, d: str) -> DataFrame:
+    """Up to three `similar` links for each new row (every fiftieth) to its nearest rows, unless they exist."""
+    return G.link_plan(_near(spark, d, 0.25, 2.0), S.links(spark, d), "similar", 3)
+
+
+@query(sql("SELECT qid, id, similarity, a.quality IS DISTINCT FROM b.quality AS differs, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM near WHERE similarity BETWEEN 0.1 AND 0.3) n LEFT JOIN labels a ON a.doc_id = qid LEFT JOIN labels b ON b.doc_id = id WHERE rank <= 5", "memory", near=_NEAR))
+def contradiction_window(spark: SparkSession, d: str) -> DataFrame:
+    """Five nearest rows within a window of similarity, with whether the verdicts of the two differ."""
+    v = S.table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
+    near = filters.top(_near(spark, d, 0.1, 0.3), 5, "qid", F.desc("similarity"), F.col("id"))
+    a = near.join(v.withColumnsRenamed({"id": "qid", "quality": "qa"}), "qid", "left").join(v.withColumnRenamed("quality", "qb"), "id", "left")
+    return a.select("qid", "id", "similarity", (~F.col("qa").eqNullSafe(F.col("qb"))).alias("differs"), "rank")
+
+
+@query(
+    sql(
+        """SELECT src, dst, rel, CASE WHEN src = dst THEN 'self' WHEN src NOT IN (SELECT id FROM memory) OR dst NOT IN (SELECT id FROM memory) THEN 'missing' WHEN (src, dst, rel) IN (SELECT (src, dst, rel) FROM link) THEN 'duplicate' ELSE 'ok' END AS verdict FROM fresh""",
+        "memory", "link", fresh="SELECT DISTINCT src, CASE WHEN id % 5 = 0 THEN src ELSE dst END AS dst, CASE WHEN id % 3 = 0 THEN 'related' ELSE rel END AS rel FROM link",
+    )
+)
+def link_validate(spark: SparkSession, d: str) -> DataFrame:
+    links = S.links(spark, d)
+    fresh = links.select("src", F.when(F.col("id") % 5 == 0, F.col("src")).otherwise(F.col("dst")).alias("dst"), F.when(F.col("id") % 3 == 0, "related").otherwise(F.col("rel")).alias("rel")).distinct()
+    return G.validate(fresh, S.table(spark, d, "documents").select(F.col("doc_id").alias("id")), links)

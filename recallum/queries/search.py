@@ -271,14 +271,14 @@ def fatigue_boost(spark: SparkSession, d: str) -> DataFrame:
 @query(
     sql(
         f"""SELECT qid, id, score, rank, CASE WHEN score >= 75 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
-        SELECT qid, id, round(least(100.0, score + coalesce({_BOOST}, 0.0)), 3) AS score FROM decayed LEFT JOIN recent ON memory_id = 'v' || id) WHERE score >= 10) WHERE rank <= 10""",
+        SELECT qid, id, round(least(100.0, score + coalesce(round({_BOOST}, 4), 0.0)), 4) AS score FROM decayed LEFT JOIN recent ON memory_id = 'v' || id) WHERE score >= 10) WHERE rank <= 10""",
         "memory", "query", "access_log", **_VIEWS, decayed=_DECAYED, recent=_RECENT,
     )
 )
 def hybrid_search_topk(spark: SparkSession, d: str) -> DataFrame:
     """All queries against all memory: three channels, fusion, decay, fatigue, floor, top ten with labels."""
-    r = recent(spark, d).select(F.substring("memory_id", 2, 20).cast("bigint").alias("id"), R.fatigue(F.col("n7d"), F.col("age_h")).alias("boost"))
-    s = _decayed(spark, d).join(r, "id", "left").select("qid", "id", F.round(F.least(F.lit(100.0), F.col("score") + F.coalesce("boost", F.lit(0.0))), 3).alias("score"))
+    r = recent(spark, d).select(F.substring("memory_id", 2, 20).cast("bigint").alias("id"), F.round(R.fatigue(F.col("n7d"), F.col("age_h")), 4).alias("boost"))
+    s = _decayed(spark, d).join(r, "id", "left").select("qid", "id", F.round(F.least(F.lit(100.0), F.col("score") + F.coalesce("boost", F.lit(0.0))), 4).alias("score"))
     return filters.top(s.where("score >= 10"), 10, "qid", F.desc("score"), F.col("id")).withColumn("relevance", R.label(F.col("score")))
 
 

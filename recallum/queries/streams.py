@@ -1 +1,78 @@
-"""Registered queries."""
+"""Source trees, and streaming jobs over the event log (as a table; tests replay them as streams)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from recallum.queries import query
+from recallum.sources import tables as S
+from recallum.sources.files import changes, digest_by
+from recallum.sources.tables import sql
+from recallum.streaming import jobs as J
+
+_PATH = "regexp_replace(url, '^[a-z]+://', '')"
+
+
+def _listing(spark: SparkSession, d: str) -> DataFrame:
+    return S.table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"), F.md5("html").alias("hash"))
+
+
+@query(
+    sql(
+        f"""SELECT coalesce(a.page_id, b.page_id) AS page_id, CASE WHEN b.page_id IS NULL THEN 'gone' WHEN a.page_id IS NULL THEN 'new' WHEN a.hash <> b.hash THEN 'changed' ELSE 'same' END AS state
+        FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'old' ELSE md5(html) END AS hash FROM pages WHERE page_id % 3 <> 0) a FULL JOIN (SELECT page_id, md5(html) AS hash FROM pages WHERE page_id % 7 <> 0) b USING (page_id)"""
+    )
+)
+def file_change_detect(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest (without every third page, every fifth stale) against a listing (without every seventh)."""
+    now = _listing(spark, d)
+    manifest = now.where("page_id % 3 <> 0").select("page_id", F.when(F.col("page_id") % 5 == 0, "old").otherwise(F.col("hash")).alias("hash"))
+    return changes(manifest, now.where("page_id % 7 <> 0").select("page_id", "hash"), "page_id")
+
+
+@query(sql("SELECT dir, count(*) AS files, md5(string_agg(hash, '' ORDER BY page_id)) AS digest FROM (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS dir, md5(html) AS hash FROM pages) GROUP BY dir"))
+def dir_digest(spark: SparkSession, d: str) -> DataFrame:
+    return digest_by(_listing(spark, d).withColumn("dir", F.regexp_extract("path", "^([^/?#]+)", 1)), "dir", "page_id", "hash")
+
+
+@query(sql("SELECT session_id, block, n, digest FROM (SELECT session_id, (r - 1) // 5 AS block, count(*) AS n, md5(string_agg(text[1:200], '|' ORDER BY r)) AS digest FROM (SELECT 's' || (conv_id % 50) AS session_id, text, row_number() OVER (PARTITION BY conv_id % 50 ORDER BY conv_id * 1000 + turn) AS r FROM conversations) GROUP BY session_id, block) WHERE n = 5"))
+def session_rollup(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.table(spark, d, "conversations").select(F.concat(F.lit("s"), F.col("conv_id") % 50).alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text")
+    return J.session_rollup(rows, every=5)
+
+
+@query(sql("SELECT sub_id, id FROM memory JOIN (SELECT item_id AS sub_id, text[1:20] AS pattern FROM benchmark) ON contains(lower(content), lower(pattern))", "memory"))
+def standing_query_alerts(spark: SparkSession, d: str) -> DataFrame:
+    subs = S.table(spark, d, "benchmark").select(F.col("item_id").alias("sub_id"), F.substring("text", 1, 20).alias("pattern"))
+    return J.alerts(S.memory(spark, d).select("id", "content"), subs)
+
+
+@query()
+def admission_windows(spark: SparkSession, d: str) -> DataFrame:
+    return J.admit(S.table(spark, d, "events").select("user_id", "event_id", "ts"))
+
+
+@query(sql("SELECT date_trunc('hour', created_at) AS start, method, count(*) AS n, round(avg(latency_ms), 4) AS avg_ms, max(latency_ms) AS max_ms FROM query_log GROUP BY start, method", "query_log"))
+def hourly_query_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return J.hourly_metrics(S.query_log(spark, d))
+
+
+@query(
+    sql(
+        """SELECT min(accessed_at) AS start, max(accessed_at) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY accessed_at, event_id) AS s FROM (
+        SELECT *, CASE WHEN accessed_at >= lag(accessed_at) OVER (PARTITION BY user_id ORDER BY accessed_at, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM access_log)) GROUP BY user_id, s""",
+        "access_log",
+    )
+)
+def access_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return J.sessions(S.access_log(spark, d))
+
+
+@query(sql("SELECT start, memory_id, count(*) AS n FROM (SELECT memory_id, unnest(generate_series(date_trunc('day', accessed_at) - INTERVAL 6 DAY, date_trunc('day', accessed_at), INTERVAL 1 DAY)) AS start FROM access_log) GROUP BY start, memory_id", "access_log"))
+def sliding_access_windows(spark: SparkSession, d: str) -> DataFrame:
+    return J.access_windows(S.access_log(spark, d))
+
+
+@query(sql("SELECT user_id AS id, arg_max(props, ts) AS content, max(ts) AS ts FROM events GROUP BY user_id"))
+def latest_by_key(spark: SparkSession, d: str) -> DataFrame:
+    return J.latest(S.table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("props").alias("content"), "ts"), "ts")

@@ -1 +1,95 @@
-"""Registered queries."""
+"""Classification, screening, redaction, chunks, summaries and passages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from recallum.functions import rules as R, text as T
+from recallum.queries import query
+from recallum.sources import tables as S
+from recallum.sources.tables import REF_DATE, sql
+
+
+def _match(p: str, x: str = "content") -> str:
+    return "regexp_matches(lower({}), '{}')".format(x, p.replace("'", "''"))
+
+
+_TAGS = "list_sort(list_filter([" + ", ".join(f"CASE WHEN {_match(p)} THEN '{n}' END" for n, p in R.TAG_RULES) + "], lambda t: t IS NOT NULL))"
+_CATEGORY = "CASE " + " ".join(f"WHEN {_match(p)} THEN '{n}'" for n, p in R.CATEGORY_RULES) + " ELSE 'general' END"
+_HIGH, _LOW = (" + ".join(f"CAST({_match(p)} AS INT)" for p in x) for x in (R.HIGH, R.LOW))
+_REUSE = f"CASE WHEN {_HIGH} >= 2 THEN 'infrastructure' WHEN {_HIGH} >= 1 OR {_LOW} = 0 THEN 'project_specific' ELSE 'temporary' END"
+
+
+@query(sql(f"SELECT id, array_to_string({_TAGS}, ',') AS found FROM memory", "memory"))
+def auto_tag(spark: SparkSession, d: str) -> DataFrame:
+    return S.memory(spark, d).select("id", F.array_join(R.tags(F.col("content")), ",").alias("found"))
+
+
+@query(sql(f"SELECT id, {_CATEGORY} AS category, CASE WHEN {_CATEGORY} IN ('contact', 'credentials') THEN 'profile' ELSE 'event' END AS mem_type FROM memory", "memory"))
+def auto_category(spark: SparkSession, d: str) -> DataFrame:
+    c = R.category(F.col("content"))
+    return S.memory(spark, d).select("id", c.alias("category")).withColumn("mem_type", F.when(F.col("category").isin("contact", "credentials"), "profile").otherwise("event"))
+
+
+@query(sql(f"SELECT id, {_REUSE} AS reusability, CASE {_REUSE} WHEN 'infrastructure' THEN 180 WHEN 'project_specific' THEN 90 ELSE 14 END AS decay_days FROM memory", "memory"))
+def trade_classify(spark: SparkSession, d: str) -> DataFrame:
+    r = S.memory(spark, d).select("id", R.reusability(F.col("content")).alias("reusability"))
+    return r.withColumn("decay_days", F.when(F.col("reusability") == "infrastructure", 180).when(F.col("reusability") == "project_specific", 90).otherwise(14))
+
+
+@query(sql(f"SELECT id, date_diff('day', last, DATE '{REF_DATE}') AS idle FROM (SELECT id, trade, critical, coalesce(CAST(seen AS DATE), date) AS last FROM memory LEFT JOIN (SELECT memory_id, max(accessed_at) AS seen FROM access_log GROUP BY memory_id) ON memory_id = 'v' || id) WHERE trade AND NOT critical AND date_diff('day', last, DATE '{REF_DATE}') >= 100", "memory", "access_log"))
+def trade_review(spark: SparkSession, d: str) -> DataFrame:
+    from recallum.plans.lifecycle import last_access
+
+    idle = F.datediff(F.lit(REF_DATE).cast("date"), F.col("last"))
+    return last_access(S.memory(spark, d).where("trade AND NOT critical"), S.access_log(spark, d)).where(idle >= 100).select("id", idle.alias("idle"))
+
+
+_SCREEN = "CASE " + " ".join(f"WHEN {_match(p)} THEN {k}" for k, p in enumerate(R.SCREEN_RULES, 1)) + " END"
+
+
+@query(sql(f"SELECT id, rule, array_to_string(list_distinct(list_append(tags, 'possible_injection_regex')), ',') IS NOT NULL AS tagged FROM (SELECT id, tags, {_SCREEN} AS rule FROM memory) WHERE rule IS NOT NULL", "memory"))
+def injection_screen(spark: SparkSession, d: str) -> DataFrame:
+    m = S.memory(spark, d).withColumn("rule", R.screened(F.col("content"))).where("rule IS NOT NULL")
+    warned = F.array_union("tags", F.array(F.lit("possible_injection_regex")))
+    return m.select("id", "rule", F.exists(warned, lambda t: F.startswith(t, F.lit("possible_injection"))).alias("tagged"))
+
+
+@query()
+def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
+    text, n = R.redact(F.col("content"))
+    return S.memory(spark, d).select("id", text.alias("content"), n.alias("n"))
+
+
+@query()
+def text_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return T.chunk(S.memory(spark, d), "id", "content")
+
+
+@query()
+def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
+    return S.memory(spark, d).select("id", T.summarise(F.col("content")).alias("summary"))
+
+
+@query()
+def best_passage(spark: SparkSession, d: str) -> DataFrame:
+    """The best passage of each document that has a query's first words, for that query."""
+    q = F.broadcast(S.query_table(spark, d).select("qid", "strong"))
+    m = S.memory(spark, d).select("id", "content").join(q, F.size(F.filter("strong", lambda t: F.contains(F.lower("content"), t))) >= 2)
+    return T.best_passage(m, "content", "strong").select("qid", "id", "passage", "coverage")
+
+
+@query()
+def extractive_compress(spark: SparkSession, d: str) -> DataFrame:
+    terms = F.array(*map(F.lit, ["the", "que", "der"]))
+    return S.memory(spark, d).select("id", T.compress(F.col("content"), terms).alias("short"))
+
+
+@query(sql(r"SELECT id, length(trim(regexp_replace(regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) AS chars, content = lower(content) AS lower_case FROM memory", "memory"))
+def normalised_text(spark: SparkSession, d: str) -> DataFrame:
+    return S.memory(spark, d).select("id", F.length(T.normalise_space(F.col("content"))).alias("chars"), (F.col("content") == F.lower("content")).alias("lower_case"))
+
+
+@query()
+def code_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return T.code_chunks(S.table(spark, d, "pages"), "page_id", "html")
