@@ -83,7 +83,7 @@ def forget_plan(spark: SparkSession, d: str) -> DataFrame:
     return P.forget(S.memory(spark, d), S.access_log(spark, d), S.links(spark, d), ref())
 
 
-@query(sql(f"SELECT id, CASE WHEN date_diff('day', last, {_REF}) > 90 THEN 'cold' ELSE 'warm' END AS action, date_diff('day', last, {_REF}) AS idle FROM lasts WHERE embedding IS NOT NULL ORDER BY last NULLS FIRST, id LIMIT (SELECT greatest(0, count(embedding) - 400) + 50 FROM memory)", "memory", "access_log", "link", lasts=_LAST))
+@query(sql(f"SELECT id, CASE WHEN date_diff('day', last, {_REF}) > 90 THEN 'cold' ELSE 'warm' END AS action, date_diff('day', last, {_REF}) AS idle FROM lasts WHERE embedding IS NOT NULL ORDER BY last NULLS FIRST, id LIMIT (SELECT CASE WHEN count(embedding) > 400 THEN count(embedding) - 350 ELSE 0 END FROM memory)", "memory", "access_log", "link", lasts=_LAST))
 def budget_plan(spark: SparkSession, d: str) -> DataFrame:
     return P.budget(S.memory(spark, d), S.access_log(spark, d), S.links(spark, d), ref(), cap=400)
 
