@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from recallum.sources.shared import cut, hinted
+from recallum.sources.shared import cut, hinted, written
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER, SHORT, DISCOUNT, BITS, BLOCK = 8, 4, 0.75, 23, 1 << 15
@@ -100,35 +100,40 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, ", ".join(f"{n} bigint" for n in names)).groupBy("g").agg(*[F.first(c).alias(c) for c in names[1:4]], *[F.sum(c).alias(c) for c in names[4:]])
 
 
-def tables(counts: DataFrame, t: Column, o: Column, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """N-gram counts → log ratios by slot of the N-gram and of the context; NaN where nothing was seen."""
+def tables(counts: DataFrame, variants: list[tuple[str, str]], bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """N-gram counts → for each variant (SQL for its toxic and ordinary counts) the log ratios by slot of the N-gram and of the context; NaN where nothing was seen.
+
+    All variants share the joins, so the N-grams are shuffled once for each join.
+    """
     d = F.lit(DISCOUNT)
-    c = counts.select("g", "ctx", "suf", "sctx", t.alias("t"), o.alias("o")).where("t + o > 0")
-    by_ctx = c.groupBy("ctx").agg(F.sum("t").alias("ct"), F.sum("o").alias("co"), F.sum(F.expr("int(t > 0)")).alias("nt"), F.sum(F.expr("int(o > 0)")).alias("no"))
+    each = range(len(variants))
+    c = counts.select("g", "ctx", "suf", "sctx", *[F.expr(x).alias(f"{n}{k}") for k in each for n, x in zip("to", variants[k], strict=True)])
+    per = [(F.sum(f"t{k}").alias(f"ct{k}"), F.sum(f"o{k}").alias(f"co{k}"), F.sum(F.expr(f"int(t{k} > 0)")).alias(f"nt{k}"), F.sum(F.expr(f"int(o{k} > 0)")).alias(f"no{k}")) for k in each]
+    by_ctx = c.groupBy("ctx").agg(*[x for p in per for x in p])
     by_suf = c.groupBy("suf").agg(F.first("sctx").alias("sctx"), F.count("*").alias("cont"))
     by_sctx = by_suf.groupBy("sctx").agg(F.sum("cont").alias("total"), F.count("*").alias("kinds"))
     shared = by_suf.join(by_sctx, "sctx").select("suf", ((F.greatest(F.col("cont") - d, F.lit(0.0)) + d * F.col("kinds") / ALPHABET) / F.col("total")).alias("p"))
     # The mass that a class leaves to the shared probability; all of it after a context it has not seen.
     left = lambda n, total: F.when(F.col(total) > 0, d * F.col(n) / F.col(total)).otherwise(F.lit(1.0))
-    by_ctx = by_ctx.select("ctx", "ct", "co", left("nt", "ct").alias("lt"), left("no", "co").alias("lo"))
+    by_ctx = by_ctx.select("ctx", *[x for k in each for x in (F.col(f"ct{k}"), F.col(f"co{k}"), left(f"nt{k}", f"ct{k}").alias(f"lt{k}"), left(f"no{k}", f"co{k}").alias(f"lo{k}"))])
     seen = lambda n, total, rest: F.when(F.col(total) > 0, F.greatest(F.col(n) - d, F.lit(0.0)) / F.col(total)).otherwise(F.lit(0.0)) + F.col(rest) * F.col("p")
-    ratio = c.join(by_ctx, "ctx").join(shared, "suf").select(F.col("g").alias("h"), (F.col("t") + F.col("o")).alias("n"), F.log(seen("t", "ct", "lt") / seen("o", "co", "lo")).alias("r"))
-    backed = by_ctx.select(F.col("ctx").alias("h"), (F.col("ct") + F.col("co")).alias("n"), F.log(F.col("lt") / F.col("lo")).alias("r"))
-    return _dense(ratio, bits), _dense(backed, bits)
+    ratio = c.drop("sctx").join(by_ctx, "ctx").join(shared, "suf").select(F.col("g").alias("h"), *[x for k in each for x in ((F.col(f"t{k}") + F.col(f"o{k}")).alias(f"n{k}"), F.log(seen(f"t{k}", f"ct{k}", f"lt{k}") / seen(f"o{k}", f"co{k}", f"lo{k}")).alias(f"r{k}"))])
+    backed = by_ctx.select(F.col("ctx").alias("h"), *[x for k in each for x in ((F.col(f"ct{k}") + F.col(f"co{k}")).alias(f"n{k}"), F.log(F.col(f"lt{k}") / F.col(f"lo{k}")).alias(f"r{k}"))])
+    return list(zip(_dense(ratio, bits, len(variants)), _dense(backed, bits, len(variants)), strict=True))
 
 
-def _dense(rows: DataFrame, bits: int) -> np.ndarray:
-    """(h, n, r) → the mean of r by slot, weighted by n.  Blocks of slots are packed by the executors; 2^(bits + 1) bytes reach the driver."""
+def _dense(rows: DataFrame, bits: int, n: int) -> list[np.ndarray]:
+    """(h, n0, r0, n1, r1, …) → for each of n variants the mean of r by slot, weighted by n.  Blocks of slots are packed by the executors; n * 2^(bits + 1) bytes reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(block: int, slot: list[np.ndarray], r: list[np.ndarray]) -> pa.RecordBatch:
-            v = np.full(BLOCK, np.nan, np.float16)
-            v[np.concatenate(slot) % BLOCK] = np.concatenate(r)
+            v = np.full((n, BLOCK), np.nan, np.float16)
+            v[:, np.concatenate(slot) % BLOCK] = np.concatenate(r, axis=1)
             return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([v.tobytes()], pa.binary())], names=["block", "v"])
 
         now, slots, values = None, [], []
         for b in batches:
-            block, slot, r = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            block, slot, *r = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else []
             for i, k in enumerate(edge):
                 to = edge[i + 1] if i + 1 < len(edge) else len(block)
@@ -137,15 +142,18 @@ def _dense(rows: DataFrame, bits: int) -> np.ndarray:
                         yield packed(now, slots, values)
                     now, slots, values = int(block[k]), [], []
                 slots.append(slot[k:to])
-                values.append(r[k:to])
+                values.append(np.stack([x[k:to] for x in r]))
         if slots:
             yield packed(now, slots, values)
 
     slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    mean = rows.groupBy(slot.alias("slot")).agg((F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("r"))
-    out = np.full(1 << bits, np.nan, np.float16)
-    for row in mean.select(F.floor(F.col("slot") / BLOCK).alias("block"), "slot", "r").repartition("block").sortWithinPartitions("block").mapInArrow(run, "block bigint, v binary").toLocalIterator():
-        out[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.v, np.float16)
+    mean = rows.groupBy(slot.alias("slot")).agg(*[F.expr(f"sum(n{k} * r{k}) / nullif(sum(n{k}), 0)").alias(f"r{k}") for k in range(n)])
+    out = [np.full(1 << bits, np.nan, np.float16) for _ in range(n)]
+    blocks = mean.select(F.floor(F.col("slot") / BLOCK).alias("block"), "slot", *[f"r{k}" for k in range(n)]).repartition("block").sortWithinPartitions("block")
+    for row in blocks.mapInArrow(run, "block bigint, v binary").toLocalIterator():
+        v = np.frombuffer(row.v, np.float16).reshape(n, BLOCK)
+        for k in range(n):
+            out[k][row.block * BLOCK : (row.block + 1) * BLOCK] = v[k]
     return out
 
 
@@ -230,8 +238,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     tune = F.pmod(F.xxhash64(F.col("id"), F.lit(9)), F.lit(FOLD)) == 0
     labelled = rows.join(learn, "id").withColumn("tune", tune)
     words = word_counts(labelled)
-    counts = cut(gram_counts(words))
-    first = tables(counts, F.col("t") - F.col("tt"), F.col("o") - F.col("ot"), bits)
+    # The first model has not seen the tuning rows, the second has.
+    first, full = tables(written(gram_counts(words), "grams"), [("t - tt", "o - ot"), ("t", "o")], bits)
     sample = _sample(learn.where(tune))
     got = evidence(rows.join(sample, "id", "left_semi"), first).join(learn, "id").select("x", "toxic").toArrow()  # about CALIBRATE rows at most
     x, y = np.array(got["x"].to_pylist(), float).reshape(-1, 6), np.array(got["toxic"].to_pylist(), float)
@@ -247,7 +255,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             z = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 6)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(logistic.score(z))], names=["id", "score"])
 
-    return evidence(rows, tables(counts, F.col("t"), F.col("o"), bits)).mapInArrow(run, f"id {kind}, score double").select("id", split, "score")
+    return evidence(rows, full).mapInArrow(run, f"id {kind}, score double").select("id", split, "score")
 
 
 def _sample(ids: DataFrame, most: int = CALIBRATE) -> DataFrame:
