@@ -1,0 +1,157 @@
+"""Expectations of single operators on small inputs."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from recallum.functions import rules, text as T, vectors as V
+from recallum.operators import filters, graph as G, knn as K, rank as R
+from recallum.operators.components import connected_components
+from recallum.plans import lifecycle as P
+from recallum.sources.files import changes
+
+
+def one(spark, expr):
+    return spark.range(1).select(expr.alias("x")).first().x
+
+
+def test_cosine_edges(spark):
+    v = lambda *x: F.array(*[F.lit(float(y)) for y in x])
+    assert one(spark, V.cosine(v(1, 2), v(1, 2))) == pytest.approx(1)
+    assert one(spark, V.cosine(v(1, 0), v(0, 1))) == 0
+    assert one(spark, V.cosine(v(1, 0), v(-1, 0))) == pytest.approx(-1)
+    assert one(spark, V.cosine(v(0, 0), v(1, 0))) == 0
+    assert one(spark, V.parse(F.lit("[1,2.5]"))) == [1.0, 2.5]
+    assert one(spark, V.parse(F.lit(""))) is None
+
+
+def test_trigram_similarity(spark):
+    assert one(spark, T.trigram_similarity(F.lit("word"), F.lit("Word"))) == 1
+    assert one(spark, T.trigram_similarity(F.lit(""), F.lit(""))) == 0
+    a, b = {"  w", " wo", "wor", "ord", "rd "}, {"  w", " wo", "wor", "ork", "rk "}
+    assert one(spark, T.trigram_similarity(F.lit("word"), F.lit("work"))) == pytest.approx(len(a & b) / len(a | b))
+
+
+def test_fusion_by_two_channels(spark):
+    hits = spark.createDataFrame([(1, 7, "vector", 80.0), (1, 7, "lexical", 60.0), (1, 8, "structured", 75.0)], "qid int, id int, channel string, score double")
+    got = {r.id: r for r in R.fuse(hits).collect()}
+    assert 70 < got[7].score < 75 and got[7].channels == ["lexical", "vector"]
+    assert got[8].score == 75
+
+
+def test_decay_recent_old_undated(spark):
+    ref = F.lit("2024-02-01").cast("date")
+    f = lambda d: one(spark, R.decay_factor(F.lit(d).cast("date"), ref))
+    assert f("2024-01-25") == 1 and f("2024-01-24") == pytest.approx(np.exp(-0.4)) and f("2020-01-01") == 0.2 and f(None) == 1
+
+
+def test_mmr_prefers_what_differs(spark):
+    rows = [(1, 1, 100.0, [1.0, 0.0, 0.0]), (1, 2, 70.0, [1.0, 0.0, 0.0]), (1, 3, 50.0, [0.0, 1.0, 0.0]), (1, 4, 10.0, None)]
+    got = R.mmr(spark.createDataFrame(rows, "qid bigint, id bigint, score double, embedding array<double>")).orderBy("pick").collect()
+    assert [r.id for r in got] == [1, 3, 2, 4]
+
+
+def test_gate(spark):
+    rows = [(1, 1, 100.0, 0), (1, 2, 100.0, 0), (1, 3, 80.0, 0), (2, 1, 60.8, 30), (2, 2, 60.0, 0), (2, 3, 55.0, 0), (3, 1, 60.0, 0), (3, 2, 55.0, 0), (3, 3, 50.0, 0)]
+    got = R.gate(spark.createDataFrame(rows, "qid int, rank int, score double, bonus int"))
+    assert {r.qid: r.rerank for r in got.collect()} == {1: False, 2: False, 3: True}
+
+
+def test_proximity(spark):
+    terms = F.array(F.lit("alpha"), F.lit("beta"), F.lit("gamma"))
+    assert one(spark, T.proximity(F.lit("Alpha and beta, then gamma."), terms)) == 30
+    assert one(spark, T.proximity(F.lit("alpha " + "x " * 450 + "beta " + "x " * 450 + "gamma"), terms)) == 0
+    assert one(spark, T.proximity(F.lit("only alpha"), terms)) == 0
+
+
+def test_mention_penalty(spark):
+    f = lambda t: one(spark, T.mention_penalty(F.lit(100.0), F.lit(t), F.lit("red fox")))
+    assert f('they wrote "red fox" and `red fox`') == 45 and f('"red fox" is a red fox') == 100 and f("none") == 100
+
+
+def test_compile_queries(spark):
+    raw = spark.createDataFrame([(1, 'code:AB_1 after:7d "exact words" #42 some text'), (2, "plain text"), (3, None)], "qid int, raw string")
+    got = {r.qid: r for r in filters.compile_queries(raw, "2024-02-01").collect()}
+    assert (got[1].code, got[1].after, got[1].ids, got[1].phrases, got[1].clean) == ("AB_1", "2024-01-25", ["42"], ["exact words"], "some text")
+    assert got[2].clean == "plain text" and got[2].ids == [] and got[3].clean is None
+
+
+def test_canonical_ids(spark):
+    f = lambda t: one(spark, T.canonical_id(F.lit(t)))
+    assert [f(x) for x in ("12", "#12", "v12", "l12", "tv12")] == ["v12"] * 5
+    assert f("vmiabc") == "vmiabc" and f("tmabc") == "vmiabc" and f("zz") is None
+
+
+def test_knn_against_numpy(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(60, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(60, None), (61, [0.0] * 8)], "id bigint, embedding array<double>")
+    got = K.knn(rows.where("id < 5").withColumnRenamed("id", "qid"), rows, 4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(5):
+        want = np.argsort(-(u @ u[q]), kind="stable")[:4].tolist()
+        assert [r.id for r in got.where(F.col("qid") == q).orderBy("rank").collect()] == want
+
+
+def test_cells_find_the_near_rows(spark):
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(c, 0.3, size=(50, 16)) for c in r.normal(0, 2, size=(8, 16))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<double>")
+    cells = K.Cells(8).fit(rows)
+    q = rows.where("id % 50 = 0").withColumnRenamed("id", "qid")
+    found = {(a.qid, a.id) for a in cells.search(q, cells.index(rows), 10, 2).collect()}
+    exact = {(a.qid, a.id) for a in K.knn(q, rows, 10).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_components_of_a_chain_a_star_and_loops(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(5, 5), (None, 3), (7, 6), (7, 6)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
+    assert connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
+
+
+def test_graph_paths(spark):
+    links = spark.createDataFrame([(1, 2, "a"), (2, 3, "a"), (3, 4, "a"), (9, 9, "a")], "src bigint, dst bigint, rel string")
+    pairs = spark.createDataFrame([(1, 4), (4, 1), (1, 1), (1, 9)], "src bigint, dst bigint")
+    got = {(r.src, r.dst): r.hops for r in G.shortest_paths(links, pairs).collect()}
+    assert got == {(1, 4): 3, (4, 1): 3, (1, 1): 0}
+    assert {(r.node, r.level) for r in G.bfs(links, spark.createDataFrame([(1,)], "node bigint"), 2).collect()} == {(1, 0), (2, 1), (3, 2)}
+
+
+def test_leaders_keep_the_longest(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a bigint, b bigint")
+    sizes = spark.createDataFrame([(1, 5), (2, 9), (3, 9)], "id bigint, size int")
+    assert {r.id: r.keep for r in P.leaders(pairs, sizes).collect()} == {1: False, 2: True, 3: False}
+
+
+def test_plans_apply_once(spark):
+    m = spark.createDataFrame([(1, "a", ["t"], "episodic"), (2, "a", [], "episodic"), (3, "b", [], None)], "id bigint, content string, tags array<string>, level string")
+    plan = P.dedup(m)
+    empty = m.limit(0).select("id", "content", F.lit("").alias("meta"))
+    once, archive = P.apply(m, plan, empty)
+    twice, again = P.apply(once, plan, archive)
+    assert sorted(r.id for r in once.collect()) == [1, 3] == sorted(r.id for r in twice.collect())
+    assert [r.id for r in archive.collect()] == [2] == [r.id for r in again.collect()]
+
+
+def test_chunks_and_summary():
+    text = "\n".join("sentence number %d is here." % k for k in range(300))
+    got = T.split_chunks(text)
+    assert max(map(len, got)) <= 1800 + 180 + 200 and got[1].startswith(got[0][-180:])
+    assert T.split_chunks(None) == [] and T.split_chunks("") == [] and T.split_chunks("short") == ["short"]
+    assert T._summary("x" * 10, 600) == "x" * 10 and len(T._summary(text, 600)) <= 601 and T._summary(None, 600) is None
+
+
+def test_rules(spark):
+    row = spark.createDataFrame([("write to a@b.com, token = \"abcdefgh12\"",), (None,)], "t string")
+    text, n = rules.redact(F.col("t"))
+    got = row.select(rules.tags(F.col("t")).alias("tags"), rules.category(F.col("t")).alias("c"), text.alias("r"), n.alias("n"), rules.screened(F.col("t")).alias("s")).collect()
+    assert got[0].tags == ["email", "secret"] and got[0].c == "credentials" and "a@b.com" not in got[0].r and "abcdefgh12" not in got[0].r and got[0].n == 2 and got[0].s == 8
+    assert got[1].tags == [] and got[1].c == "general" and got[1].r is None
+
+
+def test_file_changes(spark):
+    a = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", "1")], "path string, hash string")
+    b = spark.createDataFrame([("x", "1"), ("y", "2"), ("w", "1")], "path string, hash string")
+    assert {r.path: r.state for r in changes(a, b, "path").collect()} == {"x": "same", "y": "changed", "z": "gone", "w": "new"}
