@@ -4,7 +4,8 @@ The writer lays each 576-byte unit of a payload into one MPEG-2 Layer III frame
 (576 samples): header, CRC-16, an all-zero side information (silence) and the
 unit in the frame's ancillary part.  An ID3v2 tag and a Xing frame with counts
 and seek table come first.  The reader skips tags, resynchronises on headers
-that a second header (or the end) confirms, parses Xing, Info and VBRI tables,
+that a second header (or the end) confirms, or that continue the stream's kind
+where the last frame ended, parses Xing, Info and VBRI tables,
 verifies checksums, and gives exact durations and the offset of every frame.
 
 Defined results: a null payload counts as empty and is padded to one unit; bytes
@@ -97,15 +98,16 @@ def read(data: bytes) -> dict:
         tags.append("ID3v1")
         end -= 128
     offsets, samples, good, bad, hz, skipped, kbit, parts, table = [], 0, 0, 0, 0, 0, 0, [], None
-    sure = False  # whether the last frame ended here
+    sure, kind = False, None  # whether the last frame ended here; its version, layer and rate
     while at + 4 <= end:
         h = header(data[at : at + 4])
-        if h is None or at + h[0] > end or not (sure or at + h[0] == end or header(data[at + h[0] : at + h[0] + 4])):
+        if h is None or at + h[0] > end or not (at + h[0] == end or header(data[at + h[0] : at + h[0] + 4]) or (sure and kind == (data[at + 1], data[at + 2] & 12))):
             nxt = data.find(b"\xff", at + 1, end)
             skipped += (nxt if nxt >= 0 else end) - at
             at, sure = nxt if nxt >= 0 else end, False
             continue
         size, count, hz, side, rate, checked = h
+        kind = (data[at + 1], data[at + 2] & 12)
         body = at + 4 + 2 * checked + side
         if checked and side:
             ok = crc16(data[at + 2 : at + 4] + data[at + 6 : body]) == int.from_bytes(data[at + 4 : at + 6])

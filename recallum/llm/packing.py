@@ -2,14 +2,14 @@
 
 Class k holds pieces of at most capacity / k tokens, and a bin of class k takes
 exactly k of them.  A document is cut greedily: while laying the rest whole into
-its class k would waste more than `slack` tokens a bin, a piece of exactly
+its class k would waste more than `slack` tokens a bin (and it is no short tail), a piece of exactly
 capacity // (k + 1) tokens goes to class k + 1, which it fills without loss.  The
 rest shrinks about quadratically, so a document has few pieces.
 
 Each task fills its own bins; nothing is shuffled.  When a task ends, the pieces
 of its unfilled bins are laid end to end into full sequences, cut at their
 borders, and the last one is cut into lengths that are powers of two, which need
-no padding.  So padding is at most `slack` tokens a sequence at any input size.
+no padding.  So padding is less than 2 * `slack` tokens a sequence at any input size.
 
 Defined results: a null or empty text is the end token alone; a repeated id is
 packed once for each row; an empty table gives no pieces.
@@ -86,7 +86,7 @@ def cuts(length: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[tupl
     rest = length % capacity
     while rest:
         k = capacity // rest
-        if rest <= slack or capacity - k * rest <= slack:
+        if rest <= 2 * slack or capacity - k * rest <= slack:
             out.append((rest, k))
             break
         piece = capacity // (k + 1)
