@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Pieces remembered by a worker before it forgets them all.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 class BytePairs:

@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY, END, CAPACITY, SLACK = "word_bpe_49k.json", 2, 4096, 32
 #: Words remembered by a worker before it forgets them all.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: The vocabulary's own split of normalised text into words (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 

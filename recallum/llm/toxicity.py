@@ -40,7 +40,7 @@ ALPHABET = 256
 #: A word's log ratio from which it counts as far on the toxic side; one labelled row in FOLD tunes the logistic function, at most CALIBRATE in all.
 FAR, FOLD, CALIBRATE = 4.0, 4, 200_000
 #: Words remembered by a worker before it forgets them all.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -69,7 +69,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     """(text, toxic, tune) → (word, t, o, tt, ot): uses of each word in toxic and ordinary rows, and of those in tuning rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
             by = [Counter() for _ in range(4)]
             for text, toxic, tune in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = WORD.findall((text or "").lower())
@@ -189,19 +189,20 @@ class Ratios:
         return out
 
 
-def evidence(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, text) → (id, x array<double>)."""
+def evidence(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray], logistic: Logistic | None = None) -> DataFrame:
+    """(id, text) → (id, x array<double>), or (id, score) by a fitted logistic function."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ratios(*sent.value)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
                 x = model.evidence(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * 6), pa.array(x.ravel()))], names=["id", "x"])
+                out = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * 6), pa.array(x.ravel())) if logistic is None else pa.array(logistic.score(x))
+                yield pa.RecordBatch.from_arrays([part.column(0), out], names=["id", "x" if logistic is None else "score"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, x array<double>")
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, " + ("x array<double>" if logistic is None else "score double"))
 
 
 class Logistic:
@@ -243,19 +244,11 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = _sample(learn.where(tune))
     got = evidence(rows.join(sample, "id", "left_semi"), first).join(learn, "id").select("x", "toxic").toArrow()  # about CALIBRATE rows at most
     x, y = np.array(got["x"].to_pylist(), float).reshape(-1, 6), np.array(got["toxic"].to_pylist(), float)
-    kind = docs.schema[id_col].dataType.simpleString()
     split = F.coalesce(held_out(F.col("id"), parts, held), F.lit(False)).alias("held_out")
     if len(set(y.tolist())) < 2:
         share = labels.where(~held_out(key, parts, held)).where(F.col(label_col).isin(0, 1)).agg(F.coalesce(F.avg(label_col), F.lit(0.0))).first()[0]
         return rows.select("id", split, F.lit(float(share)).alias("score"))
-    logistic = Logistic().fit(x, y)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(logistic.score(z))], names=["id", "score"])
-
-    return evidence(rows, full).mapInArrow(run, f"id {kind}, score double").select("id", split, "score")
+    return evidence(rows, full, Logistic().fit(x, y)).select("id", split, "score")
 
 
 def _sample(ids: DataFrame, most: int = CALIBRATE) -> DataFrame:
