@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recallum.sources.shared import against
 from recallum.sources.tables import tokens
 
 
@@ -39,7 +40,7 @@ def canonical_id(raw: Column) -> Column:
 def expand_terms(queries: DataFrame, variants: DataFrame, least: int = 4) -> DataFrame:
     """(qid, terms) and (root, variant) → (qid, term): the terms, and variants of roots that contain a term or are contained in it."""
     terms = queries.select("qid", F.explode("terms").alias("term"))
-    far = terms.where(F.length("term") >= least).join(F.broadcast(variants.where(F.length("root") >= least)), F.col("term").contains(F.col("root")) | F.col("root").contains(F.col("term")))
+    far = against(terms.where(F.length("term") >= least), variants.where(F.length("root") >= least), F.col("term").contains(F.col("root")) | F.col("root").contains(F.col("term")), "root")
     return terms.union(far.select("qid", F.col("variant").alias("term"))).distinct()
 
 

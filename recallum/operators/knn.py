@@ -106,6 +106,6 @@ class Cells:
         from recallum.functions.vectors import cosine
 
         q = self._nearest(queries, "qid", probes).withColumnRenamed("embedding", "v")
-        near = indexed.join(F.broadcast(q), "cell").select("qid", "id", F.round(cosine(F.col("v"), F.col("embedding")), places).alias("similarity"))
+        near = indexed.join(q, "cell").select("qid", "id", F.round(cosine(F.col("v"), F.col("embedding")), places).alias("similarity"))
         order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
         return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recallum.functions.text import matched, trigrams
+from recallum.sources.shared import against
 from recallum.sources.tables import tokens
 
 
@@ -34,10 +35,10 @@ def trigram_candidates(queries: DataFrame, q_text: str, corpus: DataFrame, id_co
 
 
 def substring_hits(queries: DataFrame, terms_col: str, corpus: DataFrame) -> DataFrame:
-    """(qid, id, hits, n): rows that contain a term as a substring.  The query table is broadcast: it is the bounded side of a search."""
-    q = F.broadcast(queries.select("qid", F.col(terms_col).alias("terms")))
+    """(qid, id, hits, n): rows that contain a term as a substring.  The query table goes to the rows in bounded blocks."""
+    q = queries.select("qid", F.col(terms_col).alias("terms"))
     c = corpus.select("id", F.lower("content").alias("low"))
-    joined = c.join(q, F.exists("terms", lambda t: F.contains(F.col("low"), t)))
+    joined = against(c, q, F.exists("terms", lambda t: F.contains(F.col("low"), t)))
     return joined.select("qid", "id", matched(F.col("low"), F.col("terms")).alias("hits"), F.size("terms").alias("n"))
 
 

@@ -13,7 +13,7 @@ def with_categories(items: DataFrame, bridge: DataFrame, categories: DataFrame)
 def accesses(hits: DataFrame, queries: DataFrame, first: int = 10) -> DataFrame:
     """One access row for each distinct row among a query's first hits, under the query's hash."""
     q = queries.select("qid", F.substring(F.sha2("clean", 256), 1, 12).alias("query_hash"))
-    return hits.where(F.col("rank") <= first).join(F.broadcast(q), "qid").select(F.concat(F.lit("v"), "id").alias("memory_id"), "query_hash").distinct()
+    return hits.where(F.col("rank") <= first).join(q, "qid").select(F.concat(F.lit("v"), "id").alias("memory_id"), "query_hash").distinct()
 
 
 def query_rows(hits: DataFrame, queries: DataFrame) -> DataFrame:

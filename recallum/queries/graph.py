@@ -47,11 +47,14 @@ def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return G.shortest_paths(links.where("rel = 'part_of'"), pairs, max_hops=5)
 
 
-@query(sql("SELECT node, \"out\", \"in\", sources, edges, types FROM (SELECT coalesce(a.node, b.node) AS node, coalesce(o, 0) AS \"out\", coalesce(i, 0) AS \"in\" FROM (SELECT src AS node, count(*) AS o FROM link GROUP BY src) a FULL JOIN (SELECT dst AS node, count(*) AS i FROM link GROUP BY dst) b USING (node)), (SELECT count(DISTINCT src) AS sources, count(*) AS edges, count(DISTINCT rel) AS types FROM link)", "link"))
+@query(sql("SELECT count(DISTINCT src) AS sources, count(*) AS edges, count(DISTINCT rel) AS types FROM link", "link"))
 def graph_overview(spark: SparkSession, d: str) -> DataFrame:
-    """Degrees of all nodes beside the totals, which are one row."""
-    links = S.links(spark, d)
-    return G.degrees(links).join(F.broadcast(G.overview(links)), F.lit(True))
+    return G.overview(S.links(spark, d))
+
+
+@query(sql("SELECT coalesce(a.node, b.node) AS node, coalesce(o, 0) AS \"out\", coalesce(i, 0) AS \"in\" FROM (SELECT src AS node, count(*) AS o FROM link GROUP BY src) a FULL JOIN (SELECT dst AS node, count(*) AS i FROM link GROUP BY dst) b USING (node)", "link"))
+def graph_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return G.degrees(S.links(spark, d))
 
 
 @query(sql("SELECT id, 'src' AS side FROM link WHERE src NOT IN (SELECT id FROM memory) UNION ALL SELECT id, 'dst' FROM link WHERE dst NOT IN (SELECT id FROM memory)", "link", "memory"))

@@ -8,6 +8,7 @@ from recallum.functions import text as T, vectors as V
 from recallum.operators import filters, knn as K, lexical as L, rank as R
 from recallum.queries import query
 from recallum.sources import tables as S
+from recallum.sources.shared import against
 from recallum.sources.tables import REF_DATE, REF_NOW, sql
 
 
@@ -66,7 +67,7 @@ def trigger_overlap(spark: SparkSession, d: str) -> DataFrame:
     lang = F.element_at(F.array(*map(F.lit, ["en", "fr", "de", "es"])), (F.col("qid") % 4 + 1).cast("int"))
     t = S.query_table(spark, d).select("qid", F.explode(F.array(lang, F.concat(F.lit("src"), F.col("qid") % 20))).alias("c"))
     m = S.memory(spark, d).select("id", "date", "level", F.explode("categories").alias("c"))
-    g = m.join(F.broadcast(t), "c").groupBy("qid", "id").agg(F.count("*").alias("hits"), F.first("date").alias("date"), F.first(F.col("level") == "automatic").alias("auto"))
+    g = m.join(t, "c").groupBy("qid", "id").agg(F.count("*").alias("hits"), F.first("date").alias("date"), F.first(F.col("level") == "automatic").alias("auto"))
     return filters.top(g.withColumn("score", F.when(F.col("hits") == 2, 100.0).otherwise(60.0 / 2)), 60, "qid", F.desc("hits"), F.desc("auto"), F.desc_nulls_last("date"), F.col("id")).select("qid", "id", "hits", "score", "rank")
 
 
@@ -79,7 +80,7 @@ def trigger_overlap(spark: SparkSession, d: str) -> DataFrame:
 )
 def code_match(spark: SparkSession, d: str) -> DataFrame:
     q = S.query_table(spark, d).select("qid", F.concat(F.lit("src"), F.col("qid") % 20).alias("source"))
-    m = S.memory(spark, d).select("id", "date", "code", "source").join(F.broadcast(q), "source")
+    m = S.memory(spark, d).select("id", "date", "code", "source").join(q, "source")
     return filters.top(m.withColumn("score", F.when(F.col("code") == F.concat("source", F.lit("_en")), 100).otherwise(92)), 30, "qid", F.desc("score"), F.desc("date"), F.col("id")).select("qid", "id", "score", "rank")
 
 
@@ -212,8 +213,8 @@ _LINES = "SELECT id, generate_subscripts(string_split(content, chr(10)), 1) - 1
 def chunk_best_parent(spark: SparkSession, d: str) -> DataFrame:
     """The best chunk (here a line) of each document for each query: score first, then the earlier chunk."""
     chunks = S.memory(spark, d).select("id", F.posexplode(F.split("content", "\n")).alias("chunk_index", "chunk"))
-    q = F.broadcast(S.query_table(spark, d).select("qid", "strong"))
-    hit = chunks.join(q, T.contains_any(F.col("chunk"), F.col("strong"))).withColumn("hits", T.matched(F.col("chunk"), F.col("strong")))
+    q = S.query_table(spark, d).select("qid", "strong")
+    hit = against(chunks, q, T.contains_any(F.col("chunk"), F.col("strong"))).withColumn("hits", T.matched(F.col("chunk"), F.col("strong")))
     scored = hit.select("qid", "id", "chunk_index", L.chunk_score(F.col("hits") / (F.col("hits") + 8.0), F.col("hits") / F.size("strong")).alias("score"))
     return scored.groupBy("qid", "id").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("k"))).alias("b")).select("qid", "id", (-F.col("b.k")).alias("chunk_index"), "b.score")
 
@@ -231,7 +232,7 @@ def channels(spark: SparkSession, d: str) -> DataFrame:
     vector = K.knn(q, m, 30).select("qid", "id", F.lit("vector").alias("channel"), F.round(100.0 * F.col("similarity"), 4).alias("score"))
     lexical = filters.top(_lexical(spark, d), 200, "qid", F.desc("score"), F.col("id")).select("qid", "id", F.lit("lexical").alias("channel"), "score")
     source = q.select("qid", F.concat(F.lit("src"), F.col("qid") % 20).alias("source"))
-    structured = m.where(filters.structured(level="automatic")).join(F.broadcast(source), "source").select("qid", "id", F.lit("structured").alias("channel"), F.lit(75.0).alias("score"))
+    structured = m.where(filters.structured(level="automatic")).join(source, "source").select("qid", "id", F.lit("structured").alias("channel"), F.lit(75.0).alias("score"))
     return vector.unionByName(lexical).unionByName(structured)
 
 
@@ -290,7 +291,7 @@ def hybrid_search_topk(spark: SparkSession, d: str) -> DataFrame:
 )
 def phrase_boost(spark: SparkSession, d: str) -> DataFrame:
     """Lexical hits that contain the query's first 60 characters, or its clean words, literally."""
-    j = _lexical(spark, d).join(F.broadcast(S.query_table(spark, d).select("qid", "text", "clean")), "qid").join(S.memory(spark, d).select("id", F.lower("content").alias("low")), "id")
+    j = _lexical(spark, d).join(S.query_table(spark, d).select("qid", "text", "clean"), "qid").join(S.memory(spark, d).select("id", F.lower("content").alias("low")), "id")
     up = F.when(F.contains("low", F.lower(F.substring("text", 1, 60))), 25.0).otherwise(0.0) + F.when(F.contains("low", F.col("clean")), 20.0).otherwise(0.0)
     return j.withColumn("phrase_score", F.least(F.lit(100.0), F.col("score") + up)).where("phrase_score > score").select("qid", "id", "phrase_score")
 
@@ -303,17 +304,17 @@ def phrase_boost(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def proximity_bonus(spark: SparkSession, d: str) -> DataFrame:
-    q = F.broadcast(S.query_table(spark, d).select("qid", "strong"))
+    q = S.query_table(spark, d).select("qid", "strong")
     low = F.lower("content")
-    m = S.memory(spark, d).select("id", "content").join(q, F.size(F.filter("strong", lambda t: F.contains(low, t))) >= 2)
+    m = against(S.memory(spark, d).select("id", "content"), q, F.size(F.filter("strong", lambda t: F.contains(low, t))) >= 2)
     return m.select("qid", "id", T.proximity(F.col("content"), F.col("strong")).alias("bonus"))
 
 
 @query()
 def meta_mention_penalty(spark: SparkSession, d: str) -> DataFrame:
     """Documents that mention a query's first two words, with the score that quoted mentions leave."""
-    q = F.broadcast(S.query_table(spark, d).select("qid", F.array_join(F.slice("terms", 1, 2), " ").alias("phrase")))
-    m = S.memory(spark, d).select("id", "content").join(q, F.contains(F.lower("content"), F.col("phrase")))
+    q = S.query_table(spark, d).select("qid", F.array_join(F.slice("terms", 1, 2), " ").alias("phrase"))
+    m = against(S.memory(spark, d).select("id", "content"), q, F.contains(F.lower("content"), F.col("phrase")))
     return m.select("qid", "id", T.mention_penalty(F.lit(100.0), F.col("content"), F.col("phrase")).alias("score"))
 
 
@@ -364,7 +365,7 @@ def tag_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Up to five rows for each query that share most tags with its first three hits and are no hits yet."""
     m, tops = S.memory(spark, d), _tops(spark, d)
     tags = tops.where("rank <= 3").join(m.select("id", "tags"), "id").select("qid", F.explode("tags").alias("tag")).distinct()
-    shared = m.select("id", F.explode("tags").alias("tag")).join(F.broadcast(tags), "tag").groupBy("qid", "id").agg(F.count_distinct("tag").alias("shared"))
+    shared = m.select("id", F.explode("tags").alias("tag")).join(tags, "tag").groupBy("qid", "id").agg(F.count_distinct("tag").alias("shared"))
     new = shared.join(tops.select("qid", "id"), ["qid", "id"], "left_anti")
     return filters.top(new, 5, "qid", F.desc("shared"), F.col("id")).select("qid", "id", F.lit(20).alias("score"), "rank")
 
@@ -409,4 +410,4 @@ def cosine_by_id(spark: SparkSession, d: str) -> DataFrame:
     """The built-in cosine of paired vectors."""
     q = S.query_table(spark, d).withColumnRenamed("embedding", "v")
     m = S.memory(spark, d)
-    return m.join(F.broadcast(q), m.id == q.qid).where("v IS NOT NULL").select("qid", "id", F.round(V.cosine(F.col("v"), F.col("embedding")), 6).alias("similarity"))
+    return m.join(q, m.id == q.qid).where("v IS NOT NULL").select("qid", "id", F.round(V.cosine(F.col("v"), F.col("embedding")), 6).alias("similarity"))

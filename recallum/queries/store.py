@@ -11,6 +11,7 @@ from recallum.queries import query
 from recallum.queries.maintain import _LAST
 from recallum.queries.search import _G, _KNN, _TOPS, _VIEWS, channels
 from recallum.sources import tables as S
+from recallum.sources.shared import against
 from recallum.sources.tables import REF_DATE, REF_NOW, sql
 
 _ITEMS = "SELECT 'i' || conv_id || '_' || turn AS item_id, text AS summary, role, CASE WHEN turn % 2 = 0 THEN 'profile' ELSE 'event' END AS mem_type, conv_id, turn FROM conversations"
@@ -46,8 +47,8 @@ def items_with_categories(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def item_lexical(spark: SparkSession, d: str) -> DataFrame:
-    q = F.broadcast(S.query_table(spark, d).select("qid", "strong"))
-    j = items(spark, d).join(q, T.contains_any(F.col("summary"), F.col("strong")))
+    q = S.query_table(spark, d).select("qid", "strong")
+    j = against(items(spark, d), q, T.contains_any(F.col("summary"), F.col("strong")))
     bonus = F.when(F.col("mem_type") == "profile", 15.0).otherwise(5.0) + F.when(F.arrays_overlap(F.split(F.lower("summary"), " "), F.col("strong")), 10.0).otherwise(0.0)
     s = F.round(F.least(F.lit(100.0), 55.0 * T.matched(F.col("summary"), F.col("strong")) / F.size("strong") + bonus), 4)
     return filters.top(j.select("qid", "item_id", s.alias("score")), 120, "qid", F.desc("score"), F.col("item_id"))
@@ -82,8 +83,8 @@ def query_log_append(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("SELECT qid, memory_id FROM (SELECT qid, 'v' || id AS memory_id, row_number() OVER (PARTITION BY qid ORDER BY id DESC) AS r FROM query JOIN memory ON level = 'semantic' AND trade AND contains(lower(content), strong[1])) WHERE r <= 10", "memory", "query"))
 def trade_reinforcement(spark: SparkSession, d: str) -> DataFrame:
     """For each query at most ten semantic trade rows that contain its first strong term."""
-    q = F.broadcast(S.query_table(spark, d).select("qid", F.get("strong", F.lit(0)).alias("t")))
-    m = S.memory(spark, d).where("level = 'semantic' AND trade").join(q, F.contains(F.lower("content"), F.col("t")))
+    q = S.query_table(spark, d).select("qid", F.get("strong", F.lit(0)).alias("t"))
+    m = against(S.memory(spark, d).where("level = 'semantic' AND trade"), q, F.contains(F.lower("content"), F.col("t")))
     return filters.top(m, 10, "qid", F.desc("id")).select("qid", F.concat(F.lit("v"), "id").alias("memory_id"))
 
 
@@ -138,8 +139,8 @@ def tag_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("SELECT DISTINCT qid, tag FROM (SELECT qid, unnest(terms) AS t FROM query) JOIN tags_all ON contains(t, tag) OR contains(tag, t)", "memory", "query", tags_all=_TAGS))
 def tag_term_match(spark: SparkSession, d: str) -> DataFrame:
     """Tags that contain a query term or are contained in one; the query's terms are the bounded side."""
-    q = F.broadcast(S.query_table(spark, d).select("qid", F.explode("terms").alias("t")))
-    return tag_vocabulary(spark, d).join(q, F.contains("t", F.col("tag")) | F.contains("tag", F.col("t"))).select("qid", "tag").distinct()
+    q = S.query_table(spark, d).select("qid", F.explode("terms").alias("t"))
+    return against(tag_vocabulary(spark, d), q, F.contains("t", F.col("tag")) | F.contains("tag", F.col("t"))).select("qid", "tag").distinct()
 
 
 @query(sql("SELECT day, sum(a) AS queries, sum(b) AS accesses, sum(a) + sum(b) > 150 AS due FROM (SELECT CAST(created_at AS DATE) AS day, 1 AS a, 0 AS b FROM query_log WHERE method = 'view' UNION ALL SELECT CAST(accessed_at AS DATE), 0, 1 FROM access_log) GROUP BY day", "query_log", "access_log"))
@@ -183,7 +184,7 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def context_compression(spark: SparkSession, d: str) -> DataFrame:
     """For each query its hits within the budget, each compressed to the sentences with most query terms."""
-    kept = context_budget(spark, d).join(S.memory(spark, d).select("id", "content"), "id").join(F.broadcast(S.query_table(spark, d).select("qid", "strong")), "qid")
+    kept = context_budget(spark, d).join(S.memory(spark, d).select("id", "content"), "id").join(S.query_table(spark, d).select("qid", "strong"), "qid")
     return kept.select("qid", "id", "rank", F.substring(T.compress(F.col("content"), F.col("strong")), 1, 600).alias("short"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recallum.functions import rules as R, text as T
 from recallum.queries import query
 from recallum.sources import tables as S
+from recallum.sources.shared import against
 from recallum.sources.tables import REF_DATE, sql
 
 
@@ -74,8 +75,8 @@ def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def best_passage(spark: SparkSession, d: str) -> DataFrame:
     """The best passage of each document that has a query's first words, for that query."""
-    q = F.broadcast(S.query_table(spark, d).select("qid", "strong"))
-    m = S.memory(spark, d).select("id", "content").join(q, F.size(F.filter("strong", lambda t: F.contains(F.lower("content"), t))) >= 2)
+    q = S.query_table(spark, d).select("qid", "strong")
+    m = against(S.memory(spark, d).select("id", "content"), q, F.size(F.filter("strong", lambda t: F.contains(F.lower("content"), t))) >= 2)
     return T.best_passage(m, "content", "strong").select("qid", "id", "passage", "coverage")
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def hinted(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """`df` (already cut, of a few narrow columns) with a broadcast hint if it has at most `most` rows; beyond that Spark shuffles."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def against(rows: DataFrame, queries: DataFrame, on: Column, key: str = "qid", most: int = 50_000) -> DataFrame:
+    """Join a large table with a query table on a predicate that is no equality.
+
+    The query table is counted and goes to the executors in blocks of about
+    `most` rows, so what is broadcast is bounded; the large table is never moved.
+    """
+    blocks = -(-queries.count() // most) or 1
+    parts = [queries if blocks == 1 else queries.where(F.pmod(F.hash(key), F.lit(blocks)) == k) for k in range(blocks)]
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(p), on) for p in parts])

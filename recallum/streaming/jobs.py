@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from recallum.sources.shared import against
+
 
 def access_windows(log: DataFrame, ts: str = "accessed_at", width: str = "7 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:
     """Uses of each row in sliding windows; rows later than the watermark are dropped on a stream."""
@@ -29,7 +31,7 @@ def sessions(log: DataFrame, ts: str = "accessed_at", gap: str = "30 minutes", l
 
 def alerts(rows: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Rows that contain a standing pattern; the subscription table is the bounded side."""
-    return rows.join(F.broadcast(subscriptions), F.contains(F.lower("content"), F.lower("pattern"))).select("sub_id", "id")
+    return against(rows, subscriptions, F.contains(F.lower("content"), F.lower("pattern")), "sub_id").select("sub_id", "id")
 
 
 ADMITTED = "user_id bigint, event_id bigint, at double, admitted boolean"
