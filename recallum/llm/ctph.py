@@ -145,7 +145,8 @@ def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     lowest = -(1 << 63)
-    bounds = np.unique(np.array(rows.where("id IS NOT NULL").approxQuantile("id", [k / parts for k in range(1, parts)], 0.5 / parts) if parts > 1 else [], float)).astype(np.int64)
+    buckets = 4 * parts  # several to a partition, so that partitions are even
+    bounds = np.unique(np.array(rows.where("id IS NOT NULL").approxQuantile("id", [k / buckets for k in range(1, buckets)], 0.5 / buckets), float)).astype(np.int64)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,7 +155,7 @@ def followed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
             some = np.unique(at)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([ids[at == k].max() for k in some], pa.int64())], names=["bucket", "top"])
 
-    # One row for each bucket, so as many as there are partitions.
+    # One row for each bucket: four for each partition.
     top = {r.bucket: r.top for r in rows.select("id").mapInArrow(tops, "bucket bigint, top bigint").groupBy("bucket").agg(F.max("top").alias("top")).collect()}
     order = sorted(top)
     before = {k: order[i - 1] for i, k in enumerate(order)}  # the first follows the last
