@@ -44,6 +44,11 @@ DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789ab
 EPOCH, DAYS = "1900-01-01", (270, 271)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _prf(key: str, what: str, tweak: Column, i: Column, x: Column) -> Column:
     """59 pseudorandom bits of a half, as a bigint."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(what), tweak, i.cast("string"), x.cast("string")), 256), 1, 14), 16, 10).cast("bigint")
@@ -85,27 +90,28 @@ def _div(n: Column, base: int) -> Column:
 def _permuted(s: Column, alphabet: str, key: str, what: str, tweak: Column, block: int) -> Column:
     """A string of symbols permuted, in blocks of at most `block` symbols; each block is tweaked by its place and the length."""
 
-    def one(k: Column) -> Column:
-        part = F.substring(s, k + 1, F.lit(block))
+    def one(s: Column, k: Column) -> Column:
+        return _let(F.substring(s, k + 1, F.lit(block)), lambda part: halves(part, F.concat_ws(",", tweak, k.cast("string"), F.length(s).cast("string"))))
+
+    def halves(part: Column, place: Column) -> Column:
         n = F.length(part)
         left = F.floor(n / 2).cast("int")
         right = n - left
         size = lambda w: F.pow(F.lit(float(len(alphabet))), w).cast("bigint")  # noqa: E731  exact: below 2^53
-        place = F.concat_ws(",", tweak, k.cast("string"), F.length(s).cast("string"))
         ab = _feistel(_number(F.substring(part, F.lit(1), left), alphabet), _number(F.substring(part, left + 1, right), alphabet), size(left), size(right), key, what, place)
-        return F.concat(_spelled(ab["a"], left, alphabet), _spelled(ab["b"], right, alphabet))
+        return _let(ab, lambda x: F.concat(_spelled(x["a"], left, alphabet), _spelled(x["b"], right, alphabet)))
 
-    return F.when(s == "", s).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(block)), one), ""))
+    return _let(s, lambda s: F.when(s == "", s).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(block)), lambda k: one(s, k)), "")))
 
 
 def _laid(m: Column, symbols: Column, pattern: str) -> Column:
     """`m` with its characters that match `pattern` replaced by `symbols`, one by one; upper case stays."""
 
-    def put(c: Column, i: Column) -> Column:
+    def put(symbols: Column, c: Column, i: Column) -> Column:
         new = F.substring(symbols, F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), f"[^{pattern}]", "")), F.lit(1))
         return F.when(c.rlike(f"[{pattern}]"), F.when(c.rlike("[A-Z]"), F.upper(new)).otherwise(new)).otherwise(c)
 
-    return F.array_join(F.transform(F.regexp_extract_all(m, F.lit("(?s)(.)"), F.lit(1)), put), "")
+    return _let(symbols, lambda new: F.array_join(F.transform(F.regexp_extract_all(m, F.lit("(?s)(.)"), F.lit(1)), lambda c, i: put(new, c, i)), ""))
 
 
 def _only(m: Column, pattern: str) -> Column:
@@ -126,70 +132,86 @@ def _mod97(s: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    d = _only(m, "0-9")
-    n = F.length(d)
-    head, body = F.substring(d, 1, 1), F.substring(d, F.lit(2), n - 2)
-    payload = F.concat(head, _permuted(body, DIGITS, key, "card", head, 18))
-    return F.when(F.substring(d, n, F.lit(1)) == _luhn(F.substring(d, F.lit(1), n - 1)), _laid(m, F.concat(payload, _luhn(payload)), "0-9")).otherwise(m)
+    def valid(d: Column) -> Column:
+        n = F.length(d)
+        head, body = F.substring(d, 1, 1), F.substring(d, F.lit(2), n - 2)
+        payload = F.concat(head, _permuted(body, DIGITS, key, "card", head, 18))
+        new = _let(payload, lambda p: F.concat(p, _luhn(p)))
+        return F.when(F.substring(d, n, F.lit(1)) == _luhn(F.substring(d, F.lit(1), n - 1)), _laid(m, new, "0-9")).otherwise(m)
+
+    return _let(_only(m, "0-9"), valid)
 
 
 def _iban(m: Column, key: str) -> Column:
-    flat = F.regexp_replace(m, " ", "")
-    land, account = F.substring(flat, 1, 2), F.substring(flat, F.lit(5), F.length(flat))
-    new = _laid(account, _permuted(_only(account, "0-9"), DIGITS, key, "iban", land, 18), "0-9")
-    check = F.lpad((98 - _mod97(F.concat(new, land, F.lit("00")))).cast("string"), 2, "0")
-    valid = _mod97(F.concat(account, F.substring(flat, 1, 4))) == 1
-    return F.when(valid, _laid(m, F.concat(check, _only(new, "0-9")), "0-9")).otherwise(m)
+    def valid(flat: Column) -> Column:
+        land, account = F.substring(flat, 1, 2), F.substring(flat, F.lit(5), F.length(flat))
+        new = _laid(account, _permuted(_only(account, "0-9"), DIGITS, key, "iban", land, 18), "0-9")
+        digits = _let(new, lambda x: F.concat(F.lpad((98 - _mod97(F.concat(x, land, F.lit("00")))).cast("string"), 2, "0"), _only(x, "0-9")))
+        return F.when(_mod97(F.concat(account, F.substring(flat, 1, 4))) == 1, _laid(m, digits, "0-9")).otherwise(m)
+
+    return _let(F.regexp_replace(m, " ", ""), valid)
 
 
 def _ip(m: Column, key: str) -> Column:
-    o = F.transform(F.split(m, r"\."), lambda c: c.cast("bigint"))
-    ab = _feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip", F.lit(""))
-    return F.concat_ws(".", _div(ab["a"], 256).cast("string"), (ab["a"] % 256).cast("string"), _div(ab["b"], 256).cast("string"), (ab["b"] % 256).cast("string"))
+    ab = lambda o: _feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip", F.lit(""))
+    spelled = lambda x: F.concat_ws(".", _div(x["a"], 256).cast("string"), (x["a"] % 256).cast("string"), _div(x["b"], 256).cast("string"), (x["b"] % 256).cast("string"))
+    return _let(_let(F.transform(F.split(m, r"\."), lambda c: c.cast("bigint")), ab), spelled)
 
 
 def _ssn(m: Column, key: str) -> Column:
-    area, group, serial = (F.split(m, "-")[k].cast("bigint") for k in range(3))
-    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    # 898 areas: 1 to 899 without 666
-    index = (area - 1 - (area > 666).cast("int")) * 99 + group - 1
-    ab = _feistel(index, serial - 1, F.lit(898 * 99), F.lit(9999), key, "ssn", F.lit(""))
-    place = _div(ab["a"], 99)
-    new = F.concat_ws("-", F.lpad((place + 1 + (place >= 665).cast("int")).cast("string"), 3, "0"), F.lpad((ab["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((ab["b"] + 1).cast("string"), 4, "0"))
-    return F.when(valid, new).otherwise(m)
+    def valid(p: Column) -> Column:
+        area, group, serial = p[0], p[1], p[2]
+        # 898 areas: 1 to 899 without 666
+        index = (area - 1 - (area > 666).cast("int")) * 99 + group - 1
+        ab = _feistel(index, serial - 1, F.lit(898 * 99), F.lit(9999), key, "ssn", F.lit(""))
+        return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), _let(ab, spelled)).otherwise(m)
+
+    def spelled(x: Column) -> Column:
+        place = _div(x["a"], 99)
+        return F.concat_ws("-", F.lpad((place + 1 + (place >= 665).cast("int")).cast("string"), 3, "0"), F.lpad((x["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((x["b"] + 1).cast("string"), 4, "0"))
+
+    return _let(F.transform(F.split(m, "-"), lambda c: c.cast("bigint")), valid)
 
 
 def _date(m: Column, key: str) -> Column:
-    parts = F.split(m, "[-/.]")
-    number = lambda k: parts[k].cast("int")
-    iso = m.rlike("^[0-9]{4}-")
+    """The notation is read as year-month-day, else day first if that is a date, else month first."""
     made = lambda y, mo, d: F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    day_first, month_first = made(parts[2], parts[1], parts[0]), made(parts[2], parts[0], parts[1])
-    day = F.when(iso, made(parts[0], parts[1], parts[2])).otherwise(F.coalesce(day_first, month_first))
-    n = F.date_diff(day, F.lit(EPOCH).cast("date")).cast("bigint")
-    ab = _feistel(_div(n, DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date", F.lit(""))
-    new = F.date_add(F.lit(EPOCH).cast("date"), (ab["a"] * DAYS[1] + ab["b"]).cast("int"))
-    dot, padded = F.contains(m, F.lit(".")), F.length(m) == 10
-    sep = F.when(dot, F.lit(".")).otherwise(F.lit("/"))
-    two = lambda x: F.when(padded, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
-    first, second = two(F.when(day_first.isNotNull(), F.day(new)).otherwise(F.month(new))), two(F.when(day_first.isNotNull(), F.month(new)).otherwise(F.day(new)))
-    spelled = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(first, sep, second, sep, F.date_format(new, "yyyy")))
-    return F.when(n.between(0, DAYS[0] * DAYS[1] - 1) & number(0).isNotNull(), spelled).otherwise(m)
+    iso = m.rlike("^[0-9]{4}-")
+    sep = F.when(F.contains(m, F.lit(".")), F.lit(".")).otherwise(F.lit("/"))
+    two = lambda x: F.when(F.length(m) == 10, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
+
+    def read(parts: Column) -> Column:
+        day_first = made(parts[2], parts[1], parts[0])
+        return _let(F.struct(F.when(iso, made(parts[0], parts[1], parts[2])).otherwise(F.coalesce(day_first, made(parts[2], parts[0], parts[1]))).alias("day"), day_first.isNotNull().alias("day_first")), moved)
+
+    def moved(r: Column) -> Column:
+        n = F.date_diff(r["day"], F.lit(EPOCH).cast("date")).cast("bigint")
+        ab = _feistel(_div(n, DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]), key, "date", F.lit(""))
+        new = _let(ab, lambda x: F.date_add(F.lit(EPOCH).cast("date"), (x["a"] * DAYS[1] + x["b"]).cast("int")))
+        return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), _let(new, lambda d: spelled(d, r["day_first"]))).otherwise(m)
+
+    def spelled(d: Column, day_first: Column) -> Column:
+        a, b = two(F.day(d)), two(F.month(d))
+        return F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(F.when(day_first, a).otherwise(b), sep, F.when(day_first, b).otherwise(a), sep, F.date_format(d, "yyyy")))
+
+    return _let(F.split(m, "[-/.]"), read)
 
 
 def _phone(m: Column, key: str) -> Column:
     code = F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1)
-    d = _only(m, "0-9")
-    rest = F.substring(d, F.length(code) + 1, F.length(d))
-    return _laid(m, F.concat(code, _permuted(rest, DIGITS, key, "phone", code, 18)), "0-9")
+    digits = lambda d: F.concat(code, _permuted(F.substring(d, F.length(code) + 1, F.length(d)), DIGITS, key, "phone", code, 18))
+    return _laid(m, _let(_only(m, "0-9"), digits), "0-9")
 
 
 def _email(m: Column, key: str) -> Column:
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    low = F.lower(local)
-    letters = _permuted(_only(low, "a-z"), LETTERS, key, "letters", F.concat_ws("@", _only(low, "0-9"), F.lower(domain)), 20)
-    digits = _permuted(_only(low, "0-9"), DIGITS, key, "digits", F.concat_ws("@", letters, F.lower(domain)), 18)
-    return F.concat(_laid(_laid(local, letters, "A-Za-z"), digits, "0-9"), F.lit("@"), domain)
+    low, place = F.lower(local), F.lower(domain)
+
+    def named(letters: Column) -> Column:
+        digits = _permuted(_only(low, "0-9"), DIGITS, key, "digits", F.concat_ws("@", letters, place), 18)
+        return F.concat(_let(_laid(local, letters, "A-Za-z"), lambda x: _laid(x, digits, "0-9")), F.lit("@"), domain)
+
+    return _let(_permuted(_only(low, "a-z"), LETTERS, key, "letters", F.concat_ws("@", _only(low, "0-9"), place), 20), named)
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -203,12 +225,17 @@ def pseudonyms(docs: DataFrame, text_col: str = "text", key: str = "recallum", o
     """`docs` with the values in `text_col` (or a copy of it in `out`) replaced, and the kinds of those that changed, in order, in `kinds_col`."""
 
     def one(m: Column) -> Column:
-        new = kind = None
-        for name, make in KINDS.items():
+        kind = None
+        for name in KINDS:
             test = m.rlike(f"^(?:{ALONE.get(name, PATTERNS[name])})$")
-            new = F.when(test, make(m, key)) if new is None else new.when(test, make(m, key))
             kind = F.when(test, F.lit(name)) if kind is None else kind.when(test, F.lit(name))
-        return F.struct(F.coalesce(new, m).alias("new"), kind.alias("kind"), m.alias("old"))
+        return _let(kind, lambda k: F.struct(F.coalesce(made(m, k), m).alias("new"), k.alias("kind"), m.alias("old")))
+
+    def made(m: Column, k: Column) -> Column:
+        new = None
+        for name, make in KINDS.items():
+            new = F.when(k == name, make(m, key)) if new is None else new.when(k == name, make(m, key))
+        return new
 
     text = F.col(text_col)
     some = text.rlike("[0-9@]")
