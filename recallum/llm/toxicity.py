@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recallum.sources.shared import cut, hinted, written
@@ -117,7 +118,8 @@ def tables(counts: DataFrame, variants: list[tuple[str, str]], bits: int = BITS)
     left = lambda n, total: F.when(F.col(total) > 0, d * F.col(n) / F.col(total)).otherwise(F.lit(1.0))
     by_ctx = by_ctx.select("ctx", *[x for k in each for x in (F.col(f"ct{k}"), F.col(f"co{k}"), left(f"nt{k}", f"ct{k}").alias(f"lt{k}"), left(f"no{k}", f"co{k}").alias(f"lo{k}"))])
     seen = lambda n, total, rest: F.when(F.col(total) > 0, F.greatest(F.col(n) - d, F.lit(0.0)) / F.col(total)).otherwise(F.lit(0.0)) + F.col(rest) * F.col("p")
-    ratio = c.drop("sctx").join(by_ctx, "ctx").join(shared, "suf").select(F.col("g").alias("h"), *[x for k in each for x in ((F.col(f"t{k}") + F.col(f"o{k}")).alias(f"n{k}"), F.log(seen(f"t{k}", f"ct{k}", f"lt{k}") / seen(f"o{k}", f"co{k}", f"lo{k}")).alias(f"r{k}"))])
+    # The narrow join comes first, so that the wide rows of contexts are not shuffled again.
+    ratio = c.drop("sctx").join(shared, "suf").drop("suf").join(by_ctx, "ctx").select(F.col("g").alias("h"), *[x for k in each for x in ((F.col(f"t{k}") + F.col(f"o{k}")).alias(f"n{k}"), F.log(seen(f"t{k}", f"ct{k}", f"lt{k}") / seen(f"o{k}", f"co{k}", f"lo{k}")).alias(f"r{k}"))])
     backed = by_ctx.select(F.col("ctx").alias("h"), *[x for k in each for x in ((F.col(f"ct{k}") + F.col(f"co{k}")).alias(f"n{k}"), F.log(F.col(f"lt{k}") / F.col(f"lo{k}")).alias(f"r{k}"))])
     return list(zip(_dense(ratio, bits, len(variants)), _dense(backed, bits, len(variants)), strict=True))
 
@@ -189,9 +191,8 @@ class Ratios:
         return out
 
 
-def evidence(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray], logistic: Logistic | None = None) -> DataFrame:
-    """(id, text) → (id, x array<double>), or (id, score) by a fitted logistic function."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)
+def evidence(docs: DataFrame, sent: Broadcast, logistic: Logistic | None = None) -> DataFrame:
+    """(id, text) and broadcast tables → (id, x array<double>), or (id, score) by a fitted logistic function."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Ratios(*sent.value)
@@ -240,9 +241,11 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = rows.join(learn, "id").withColumn("tune", tune)
     words = word_counts(labelled)
     # The first model has not seen the tuning rows, the second has.
-    first, full = tables(written(gram_counts(words), "grams"), [("t - tt", "o - ot"), ("t", "o")], bits)
+    context = docs.sparkSession.sparkContext
+    first, full = map(context.broadcast, tables(written(gram_counts(words), "grams"), [("t - tt", "o - ot"), ("t", "o")], bits))
     sample = _sample(learn.where(tune))
     got = evidence(rows.join(sample, "id", "left_semi"), first).join(learn, "id").select("x", "toxic").toArrow()  # about CALIBRATE rows at most
+    first.destroy()
     x, y = np.array(got["x"].to_pylist(), float).reshape(-1, 6), np.array(got["toxic"].to_pylist(), float)
     split = F.coalesce(held_out(F.col("id"), parts, held), F.lit(False)).alias("held_out")
     if len(set(y.tolist())) < 2:
