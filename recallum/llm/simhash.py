@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from recallum.operators.components import connected_components
 from recallum.sources.shared import cut, hinted
@@ -218,12 +218,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(rooted.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-# Near-duplicate texts: candidates by several fingerprints, verified on shingles.
+# Near-duplicate texts: first candidates by several fingerprints, then all others by rare shingles; verified on shingles.
 
 #: Fingerprints of a text's set of words, each with its own hash; texts whose sets differ by a few words agree in nearly all bits of some.
 SETS = 12
-#: Candidates differ in at most FAR bits of a fingerprint of their shingles; in a bucket each text keeps its PARTNERS nearest.
+#: Bounds of the first candidates only, which save work for the exact ones: at most FAR bits apart in a fingerprint of their shingles, of a bucket the PARTNERS nearest.
 FAR, PARTNERS, NEXT = 16, 6, 4
+#: Texts whose shingles order all shingles by rarity (any order is exact), and the uses in them from which a shingle counts as frequent.
+SAMPLED, FREQUENT = 20_000, 4
+#: Rows of the two sides of a join on one shingle; more are split into blocks.
+ASKING, ASKED = 1024, 4096
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -242,10 +246,10 @@ def _majority(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of a text's shingles (fewer words: the whole sequence; none: none)."""
+    """Sorted distinct 64-bit hashes of a text's shingles (fewer words: the whole sequence; none: none)."""
     found = (text or "").encode().lower().split()
     joined = [b" ".join(found[k : k + words]) for k in range(max(1, len(found) - words + 1))] if found else []
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(s) for s in joined), np.uint32, len(joined)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64, len(joined)))
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -261,7 +265,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in found), np.uint64, len(found))
                 keys.append(hashlib.md5(text.encode(), usedforsecurity=False).digest())
                 sets.append(_majority(_mix(h[None, :] ^ salts[:, None])).tobytes())
-                fps.append(_majority(_mix(shingles(text, words).astype(np.uint64))[None, :])[0])
+                fps.append(_majority(_mix(shingles(text, words))[None, :])[0])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "key", "sets", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -360,36 +364,127 @@ def candidates(nodes: DataFrame, radius: int = 1) -> DataFrame:
     return spread.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """`docs` → (id, component): equal texts and, through links, texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, text) → the frequent shingles of a bounded sample, sorted, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
+            tok, n = np.unique(np.concatenate([shingles(t.as_py(), words) for t in b.column(0)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(n)], names=["tok", "n"])
+
+    n = texts.count()
+    sample = texts if n <= SAMPLED else texts.where(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(n)) < SAMPLED)
+    got = sample.select("text").mapInArrow(run, "tok bigint, n bigint").groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).toArrow()
+    tok, n = got["tok"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(tok)
+    return tok[order], n[order]
 
-    Candidates come from ball hashing of several word-set fingerprints; every
-    link is verified on the whole shingle sets of both texts.  The id is a
-    bigint; a component is its smallest id; texts without words are all equal to
-    one another if they are equal as strings, and similar to nothing else.
+
+def prefixes(texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(id, text) → (id, n, toks): the number of shingles and the rarest of them, without which too few are left for the similarity.
+
+    Two texts of that similarity have the first of their common shingles, rare ones
+    before frequent ones, among the toks of both.
     """
-    got = cut(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words))
-    first = got.groupBy("key").agg(F.min("id").alias("first"))
-    known = cut(got.join(first, "key").select("id", "first", "sets", "fp"))
-    pairs = cut(candidates(known.where("id = first").dropDuplicates(["id"])))
+    sent = texts.sparkSession.sparkContext.broadcast(frequent(texts, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, uses = sent.value
+        for b in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
+            sizes, toks = [], []
+            for t in b.column(1):
+                s = shingles(t.as_py(), words)
+                rank = np.zeros(len(s), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
+                    rank = np.where(often[at] == s, uses[at], 0)
+                sizes.append(len(s))
+                toks.append(s[np.lexsort((s, rank))][: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(toks, pa.list_(pa.int64()))], names=["id", "n", "toks"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, n int, toks array<bigint>")
+
+
+def _enough(x: str, y: str, similarity: float) -> Column:
+    """Whether two texts can be that similar if the shingle on which they meet is the first that they have in common."""
+    at, n = (lambda k: F.col(f"{k}.n") - F.col(f"{k}.at")), (lambda k: F.col(f"{k}.n"))
+    return (F.least(n(x), n(y)) >= similarity * F.greatest(n(x), n(y)) - 1e-9) & (F.least(at(x), at(y)) >= similarity / (1 + similarity) * (n(x) + n(y)) - 1e-9)
+
+
+def _pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
+    return joined.select(F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")).distinct()
+
+
+def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(tok, id, comp, n, at) → pairs of each text with one text of each shingle's, of other components; one a row at most."""
+    centre = F.min_by(F.struct("id", "comp", "n", "at"), F.xxhash64("tok", "id")).alias("c")
+    live = cut(rows.groupBy("tok").agg(centre, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("tok", "c"))
+    met = rows.join(hinted(live), "tok").select(F.struct("id", "comp", "n", "at").alias("r"), "c")
+    return _pairs(met.where((F.col("r.comp") != F.col("c.comp")) & _enough("r", "c", similarity)), "r", "c")
+
+
+def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(tok, id, comp, n, at) → all pairs of different components that meet on a shingle and can be similar.
+
+    Texts of a shingle's largest component are not compared with one another, so
+    linked copies cost nothing; what is left is joined in blocks of bounded size.
+    """
+    by = rows.groupBy("tok", "comp").agg(F.count("*").alias("m")).groupBy("tok").agg(F.sum("m").alias("c"), F.max("m").alias("most"), F.max_by("comp", F.struct("m", "comp")).alias("major")).where("c > most")
+    asking, asked = F.ceil((F.col("c") - F.col("most")) / ASKING).alias("asking"), F.ceil(F.col("c") / ASKED).alias("asked")
+    live = cut(by.select("tok", "major", asking, asked))
+    met = cut(rows.join(hinted(live), "tok"))
+    own = lambda many: F.pmod(F.xxhash64("id", F.lit(29)), F.col(many))
+    every = lambda many: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(many) - 1))
+    x = met.where("comp != major").select("tok", own("asking").alias("i"), every("asked").alias("j"), F.struct("id", "comp", "n", "at").alias("x"))
+    y = met.select("tok", every("asking").alias("i"), own("asked").alias("j"), F.struct("id", "comp", "n", "at").alias("y"))
+    return _pairs(x.join(y, ["tok", "i", "j"]).where((F.col("x.comp") != F.col("y.comp")) & _enough("x", "y", similarity)), "x", "y")
+
+
+def alike(texts: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(id, text) and pairs (a, b) → links (src, dst): the pairs whose whole shingle sets are similar."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], names=["id", "s"])
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["src", "dst"])
 
     named = hinted(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    s = text.join(named, "id", "left_semi").mapInArrow(sets, "id bigint, s binary").dropDuplicates(["id"])
+    s = texts.join(named, "id", "left_semi").mapInArrow(sets, "id bigint, s binary").dropDuplicates(["id"])
     joined = pairs.join(s.withColumnsRenamed({"id": "a", "s": "s_a"}), "a").join(s.withColumnsRenamed({"id": "b", "s": "s_b"}), "b")
-    links = joined.select("a", "b", "s_a", "s_b").mapInArrow(alike, "src bigint, dst bigint")
-    comp = connected_components(links)
+    return joined.select("a", "b", "s_a", "s_b").mapInArrow(verified, "src bigint, dst bigint")
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """`docs` → (id, component): equal texts and, through links, texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Ball hashing of several word-set fingerprints links most near texts.  Then
+    every other pair is reached by the rare shingles that two similar texts must
+    share: first each text with one other of each shingle's, then all pairs of
+    different components.  Every link is verified on the whole shingle sets of
+    both texts.  The id is a bigint; a component is its smallest id; texts without
+    words are all equal to one another if they are equal as strings, and similar to
+    nothing else.
+    """
+    got = cut(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words))
+    first = got.groupBy("key").agg(F.min("id").alias("first"))
+    known = cut(got.join(first, "key").select("id", "first", "sets", "fp"))
+    own = known.where("id = first").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(hinted(cut(own.select("id"))), "id", "left_semi")
+    links = cut(alike(texts, cut(candidates(own)), similarity, words))
+    comp = cut(connected_components(links))
+    rare = cut(prefixes(texts, similarity, words).dropDuplicates(["id"]))
+    for met in (star_pairs, all_pairs):
+        rows = rare.join(hinted(comp.withColumnRenamed("node", "id")), "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "n", F.posexplode("toks").alias("at", "tok"))
+        more = cut(alike(texts, cut(met(rows, similarity)), similarity, words))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comp = cut(connected_components(links))
     return known.join(comp.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -110,3 +111,32 @@ def test_odd_near_texts(odd, none):
     got = H.near_texts(odd)
     assert got.select("id").distinct().count() == 16 and got.where(F.col("id").isin(0, 1)).select("component").distinct().first()[0] == 0
     assert H.near_texts(none).count() == 0
+
+
+def brute_force(texts):
+    """Component by place in the list, over all pairs."""
+    sets = [set(H.shingles(t).tolist()) for t in texts]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return H.forest(len(sets), np.array([a for a, _ in pairs], int), np.array([b for _, b in pairs], int)).tolist(), len(pairs)
+
+
+def near(spark, texts):
+    got = {r.id: r.component for r in H.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    return [got[k] for k in range(len(texts))]
+
+
+def test_near_texts_of_one_template(spark, monkeypatch):
+    # All texts have one set of words and share most of their shingles, a few pairs share enough.
+    monkeypatch.setattr(H, "ASKING", 16)
+    monkeypatch.setattr(H, "ASKED", 32)
+    r, head, tail, texts = random.Random(5), " ".join(f"h{k}" for k in range(170)), [f"t{k}" for k in range(30)], []
+    for k in range(400):
+        r.shuffle(tail)
+        texts.append(f"{head} {' '.join(tail)}")
+        if k % 8 == 0:
+            other = tail[14:]
+            r.shuffle(other)
+            texts.append(f"{head} {' '.join(tail[:14] + other)}")
+    r.shuffle(texts)
+    want, n = brute_force(texts)
+    assert 30 < n < 100 and near(spark, texts) == want
