@@ -125,6 +125,17 @@ def near(spark, texts):
     return [got[k] for k in range(len(texts))]
 
 
+def test_near_texts_with_replaced_blocks(spark):
+    r, texts = random.Random(4), []
+    for k in range(120):
+        n = r.choice((60, 100, 300, 1000))
+        words = [f"w{k}x{i}" for i in range(n)]
+        at, size = r.randrange(n), int(n * r.uniform(0.02, 0.14))
+        texts += [" ".join(words), " ".join(words[:at] + [f"new{k}x{i}" for i in range(size)] + words[at + size :])]
+    want, n = brute_force(texts)
+    assert 60 < n < 120 and near(spark, texts) == want
+
+
 def test_near_texts_of_one_template(spark, monkeypatch):
     # All texts have one set of words and share most of their shingles, a few pairs share enough.
     monkeypatch.setattr(H, "ASKING", 16)
