@@ -5,7 +5,8 @@ The writer lays each 576-byte unit of a payload into one MPEG-2 Layer III frame
 unit in the frame's ancillary part.  An ID3v2 tag and a Xing frame with counts
 and seek table come first.  The reader skips tags, resynchronises on headers
 that a second header (or the end) confirms, or that continue the stream's kind
-where the last frame ended, parses Xing, Info and VBRI tables,
+where the last frame ended, takes an ID3v1 tag only where no frame explains its
+bytes, parses Xing, Info and VBRI tables,
 verifies checksums, and gives exact durations and the offset of every frame.
 
 Defined results: a null payload counts as empty and is padded to one unit; bytes
@@ -94,9 +95,15 @@ def read(data: bytes) -> dict:
         a, b, c, d = data[at + 6 : at + 10]
         tags.append(f"ID3v2.{data[at + 3]}")
         at += 10 + (a << 21 | b << 14 | c << 7 | d) + 10 * (data[at + 5] >> 4 & 1)
-    if data[-128:-125] == b"TAG":
-        tags.append("ID3v1")
-        end -= 128
+    found = _frames(data, at, end)
+    if data[-128:-125] == b"TAG" and end - at >= 128 and (short := _frames(data, at, end - 128))["skipped"] < found["skipped"]:
+        # A tag is what no frame explains; bytes of the last frame can look like one.
+        found, tags = short, [*tags, "ID3v1"]
+    return {"tags": tags, **found}
+
+
+def _frames(data: bytes, at: int, end: int) -> dict:
+    """Table, frames, checksums and the units' bytes between the tags."""
     offsets, samples, good, bad, hz, skipped, kbit, parts, table = [], 0, 0, 0, 0, 0, 0, [], None
     sure, kind = False, None  # whether the last frame ended here; its version, layer and rate
     while at + 4 <= end:
@@ -120,7 +127,7 @@ def read(data: bytes) -> dict:
             kbit += rate
             parts.append(data[body : body + UNIT])
         at, sure = at + size, True
-    return {"tags": tags, "table": table, "frames": len(offsets), "samples": samples, "hz": hz, "good": good, "bad": bad, "skipped": skipped + max(0, end - at), "kbit": kbit // max(1, len(offsets)), "offsets": offsets, "payload": b"".join(parts)}
+    return {"table": table, "frames": len(offsets), "samples": samples, "hz": hz, "good": good, "bad": bad, "skipped": skipped + max(0, end - at), "kbit": kbit // max(1, len(offsets)), "offsets": offsets, "payload": b"".join(parts)}
 
 
 def _table(data: bytes, at: int, body: int) -> dict | None:

@@ -77,6 +77,18 @@ def test_mpeg_round_trip_and_resync():
     assert mpeg.header(bytes((0xFF, 0xFB, 0x90, 0x00)))[:3] == (417, 1152, 44100)
 
 
+def test_mpeg_payload_that_looks_like_a_tag(spark):
+    payload = b"a" * 576 * 2 + b"b" * 505 + b"TAG" + b"c" * 68
+    assert mpeg.write(payload)[-128:-125] == b"TAG"
+    for text in (payload, payload[576:], payload[-576:]):
+        media = mpeg.write(text)
+        got, tagged = mpeg.read(media), mpeg.read(media + b"TAG" + bytes(125))
+        assert got["payload"] == text and got["skipped"] == 0 and got["tags"] == ["ID3v2.4"]
+        assert tagged | {"tags": 0} == got | {"tags": 0} and tagged["tags"] == ["ID3v2.4", "ID3v1"]
+    docs = spark.createDataFrame([(1, payload.decode())], "doc_id bigint, text string")
+    assert bytes(mpeg.decode(mpeg.encode(docs)).first().payload) == payload
+
+
 def test_op4_against_brute_force(spark, sf, docs, odd, none):
     for r, t in zip(queries.op4_mpeg(spark, sf).orderBy("doc_id").collect(), [r.text for r in docs.orderBy("doc_id").collect()], strict=True):
         raw = (t or "").encode()
