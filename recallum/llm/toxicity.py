@@ -9,9 +9,9 @@ both classes.  Only the difference of the log-likelihoods matters, and where a
 class pair has never seen an N-gram the shared probability cancels; the model is
 therefore two tables of log ratios, by N-gram and by context.
 
-The tables are hashed into 2^bits slots of two bytes, a bound on what is sent to
-the executors that holds at any corpus size; counts come from all labelled rows.
-A document's evidence is the length-normalised difference over the whole text,
+Both tables keep one row for each N-gram and context and grow with the corpus:
+the distinct words of the documents are joined with them, which gives one ratio a
+word, and then the words of each text with those.  A document's evidence is the length-normalised difference over the whole text,
 the mean likelihood ratio of its words, and the share and number of words far on
 the toxic side; a logistic function, fitted on labelled rows that a second model
 has not seen, turns it into a score.
@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recallum.sources.shared import cut, hinted, written
@@ -101,8 +100,8 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, ", ".join(f"{n} bigint" for n in names)).groupBy("g").agg(*[F.first(c).alias(c) for c in names[1:4]], *[F.sum(c).alias(c) for c in names[4:]])
 
 
-def tables(counts: DataFrame, variants: list[tuple[str, str]], bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """N-gram counts → for each variant (SQL for its toxic and ordinary counts) the log ratios by slot of the N-gram and of the context; NaN where nothing was seen.
+def ratios(counts: DataFrame, variants: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """N-gram counts → (h, n0, r0, n1, r1, …) of N-grams and of contexts: for each variant (SQL for its toxic and ordinary counts) the uses and the log ratio.
 
     All variants share the joins, so the N-grams are shuffled once for each join.
     """
@@ -121,9 +120,75 @@ def tables(counts: DataFrame, variants: list[tuple[str, str]], bits: int = BITS)
     # The narrow join comes first, so that the wide rows of contexts are not shuffled again.
     ratio = c.drop("sctx").join(shared, "suf").drop("suf").join(by_ctx, "ctx").select(F.col("g").alias("h"), *[x for k in each for x in ((F.col(f"t{k}") + F.col(f"o{k}")).alias(f"n{k}"), F.log(seen(f"t{k}", f"ct{k}", f"lt{k}") / seen(f"o{k}", f"co{k}", f"lo{k}")).alias(f"r{k}"))])
     backed = by_ctx.select(F.col("ctx").alias("h"), *[x for k in each for x in ((F.col(f"ct{k}") + F.col(f"co{k}")).alias(f"n{k}"), F.log(F.col(f"lt{k}") / F.col(f"lo{k}")).alias(f"r{k}"))])
+    return ratio, backed
+
+
+def tables(counts: DataFrame, variants: list[tuple[str, str]], bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """`ratios` as dense tables, for vocabularies that are small beside 2^bits slots; NaN where nothing was seen.  No score uses them."""
+    ratio, backed = ratios(counts, variants)
     return list(zip(_dense(ratio, bits, len(variants)), _dense(backed, bits, len(variants)), strict=True))
 
 
+def word_ratios(words: DataFrame, ratio: DataFrame, backed: DataFrame, n: int) -> DataFrame:
+    """(w, word) and `ratios` of n variants → (w, r0, r1, …): the log ratio of each word; N-grams not seen count by their context, others not at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(k, 4096) for whole in batches for k in range(0, whole.num_rows, 4096)):
+            found = b.column(1).to_pylist()
+            if found:
+                _, (g, ctx, *_) = grams(found)
+                w = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.fromiter(map(len, found), np.int64, len(found)) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(g.view(np.int64)), pa.array(ctx.view(np.int64))], names=["w", "g", "ctx"])
+
+    known = lambda df, name, key: df.select(F.col("h").alias(key), *[F.when(F.col(f"n{k}") > 0, F.col(f"r{k}")).alias(f"{name}{k}") for k in range(n)])
+    # Each distinct N-gram is looked up once; what is counted is how often a word has it.
+    asked = words.select("w", "word").mapInArrow(run, "w bigint, g bigint, ctx bigint")
+    distinct = asked.select("g", "ctx").distinct().join(known(ratio, "a", "g"), "g", "left").join(known(backed, "b", "ctx"), "ctx", "left")
+    valued = distinct.select("g", *[F.coalesce(f"a{k}", f"b{k}", F.lit(0.0)).alias(f"r{k}") for k in range(n)])
+    return asked.select("w", "g").join(valued, "g").groupBy("w").agg(*[F.sum(f"r{k}").alias(f"r{k}") for k in range(n)])
+
+
+def uses(docs: DataFrame) -> DataFrame:
+    """(id, text) → (row, id, w, size, n): how often each row has each of its words, by hash, with its length; one row without a word where it has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+            words, many, sizes = [], [], []
+            for text in b.column(2).to_pylist():
+                c = Counter(WORD.findall((text or "").lower())) or {None: 0}
+                words += c
+                many += c.values()
+                sizes.append(len(c))
+            at = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(words, pa.string()), pa.array(many, pa.int32())], names=["row", "id", "word", "n"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    kind = docs.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row bigint, id {kind}, word string, n int").select("row", "id", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("w"), F.length("word").alias("size"), "n")
+
+
+def distinct_words(docs: DataFrame) -> DataFrame:
+    """(id, text) → (w, word): the distinct words of all rows, with their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(k, 4096) for whole in batches for k in range(0, whole.num_rows, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(list({w for t in b.column(0).to_pylist() for w in WORD.findall((t or "").lower())}), pa.string())], names=["word"])
+
+    return docs.select("text").mapInArrow(run, "word string").distinct().select(F.xxhash64("word").alias("w"), "word")
+
+
+def evidences(used: DataFrame, by_word: DataFrame, n: int) -> DataFrame:
+    """`uses` and `word_ratios` of n variants → (id, x0, x1, …): the evidence of `Ratios.evidence` of each row, by variant."""
+    many, size = F.sum("n"), F.sum(F.col("n") * (F.col("size") + 1))
+    sums = []
+    for k in range(n):
+        r = F.col(f"r{k}")
+        far = F.sum(F.when(r > FAR, F.col("n")).otherwise(0))
+        x = F.array(F.sum(r * F.col("n")) / size, F.log(F.sum(F.exp(F.least(r, F.lit(20.0))) * F.col("n")) / many), far / many, F.log1p(far.cast("double")), F.max(r), F.log1p(many.cast("double")))
+        sums.append(F.when(many > 0, x).otherwise(F.array(*[F.lit(0.0)] * 6)).alias(f"x{k}"))
+    return used.join(by_word, "w", "left").groupBy("row", "id").agg(*sums).drop("row")
+
+
 def _dense(rows: DataFrame, bits: int, n: int) -> list[np.ndarray]:
     """(h, n0, r0, n1, r1, …) → for each of n variants the mean of r by slot, weighted by n.  Blocks of slots are packed by the executors; n * 2^(bits + 1) bytes reach the driver."""
 
@@ -191,21 +256,6 @@ class Ratios:
         return out
 
 
-def evidence(docs: DataFrame, sent: Broadcast, logistic: Logistic | None = None) -> DataFrame:
-    """(id, text) and broadcast tables → (id, x array<double>), or (id, score) by a fitted logistic function."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ratios(*sent.value)
-        for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                x = model.evidence(part.column(1).to_pylist())
-                out = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * 6), pa.array(x.ravel())) if logistic is None else pa.array(logistic.score(x))
-                yield pa.RecordBatch.from_arrays([part.column(0), out], names=["id", "x" if logistic is None else "score"])
-
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, " + ("x array<double>" if logistic is None else "score double"))
-
-
 class Logistic:
     """Regularised logistic regression by Newton's steps."""
 
@@ -223,15 +273,16 @@ class Logistic:
             self.w -= np.linalg.solve(h, z.T @ (p - y) / len(y) + self.ridge * self.w)
         return self
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.c_[(x - self.mean) / self.scale, np.ones(len(x))] @ self.w, -30, 30)))
+    def score(self, x: Column) -> Column:
+        z = sum(((x[k] - float(m)) / float(s) * float(w) for k, (m, s, w) in enumerate(zip(self.mean, self.scale, self.w[:-1], strict=True))), F.lit(float(self.w[-1])))
+        return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
 def held_out(id_col: Column, parts: int, held: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % parts == held
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 3, held: int = 1, bits: int = BITS) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 3, held: int = 1) -> DataFrame:
     """`docs` and `labels` → (id, held_out, score): labels of held-out rows are never read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = F.col(id_col)
@@ -241,17 +292,18 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = rows.join(learn, "id").withColumn("tune", tune)
     words = word_counts(labelled)
     # The first model has not seen the tuning rows, the second has.
-    context = docs.sparkSession.sparkContext
-    first, full = map(context.broadcast, tables(written(gram_counts(words), "grams"), [("t - tt", "o - ot"), ("t", "o")], bits))
+    by_gram, by_context = ratios(written(gram_counts(words), "grams"), [("t - tt", "o - ot"), ("t", "o")])
+    by_word = hinted(cut(word_ratios(distinct_words(rows), by_gram, by_context, 2)))
+    # With the words broadcast, a row's evidence is summed where the row is read.
+    x = cut(evidences(uses(rows), by_word, 2))
     sample = _sample(learn.where(tune))
-    got = evidence(rows.join(sample, "id", "left_semi"), first).join(learn, "id").select("x", "toxic").toArrow()  # about CALIBRATE rows at most
-    first.destroy()
-    x, y = np.array(got["x"].to_pylist(), float).reshape(-1, 6), np.array(got["toxic"].to_pylist(), float)
+    got = x.join(sample, "id", "left_semi").join(learn, "id").select("x0", "toxic").toArrow()  # about CALIBRATE rows at most
+    known, y = np.array(got["x0"].to_pylist(), float).reshape(-1, 6), np.array(got["toxic"].to_pylist(), float)
     split = F.coalesce(held_out(F.col("id"), parts, held), F.lit(False)).alias("held_out")
     if len(set(y.tolist())) < 2:
         share = labels.where(~held_out(key, parts, held)).where(F.col(label_col).isin(0, 1)).agg(F.coalesce(F.avg(label_col), F.lit(0.0))).first()[0]
         return rows.select("id", split, F.lit(float(share)).alias("score"))
-    return evidence(rows, full, Logistic().fit(x, y)).select("id", split, "score")
+    return x.select("id", split, Logistic().fit(known, y).score(F.col("x1")).alias("score"))
 
 
 def _sample(ids: DataFrame, most: int = CALIBRATE) -> DataFrame:

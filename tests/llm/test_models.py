@@ -95,3 +95,26 @@ def test_kneser_ney_tables_against_plain_counts(spark):
     for w in ("scum", "bad", "the", "good", "sad"):
         assert ratios.words([w])[0] == pytest.approx(sum(np.log(p(top[0], g) / p(top[1], g)) for g in grams(w)), abs=0.02)
     assert ratios.words(["scums"])[0] > ratios.words(["goods"])[0]
+
+
+def test_word_ratios_share_no_slot(spark):
+    r = np.random.default_rng(6)
+    many = list(dict.fromkeys("".join(x) for x in r.choice(list("abcdefghijklmnop"), (12_000, 7))))
+    first, (g, *_) = toxicity.grams(many)
+    slot, owner = g & np.uint64((1 << toxicity.BITS) - 1), np.repeat(np.arange(len(many)), np.diff([*first, len(g)]))
+    order = np.argsort(slot, kind="stable")
+    same = np.flatnonzero((slot[order][1:] == slot[order][:-1]) & (g[order][1:] != g[order][:-1]))[0]
+    rare, often = many[owner[order[same]]], many[owner[order[same + 1]]]
+    schema = "word string, t bigint, o bigint, tt bigint, ot bigint"
+    counts = toxicity.gram_counts(spark.createDataFrame([(rare, 2, 0, 0, 0), (often, 0, 9000, 0, 0), ("the", 50, 50, 0, 0)], schema))
+    by_gram, by_context = toxicity.ratios(counts, [("t", "o")])
+    asked = spark.createDataFrame([(0, rare), (1, "the"), (2, often), (3, "zq")], "w bigint, word string")
+    got = {x.w: x.r0 for x in toxicity.word_ratios(asked, by_gram, by_context, 1).collect()}
+    own, ctx = ({x.h: x.r0 for x in d.collect()} for d in (by_gram, by_context))
+    for w, word in asked.collect():
+        _, (h, c, *_) = toxicity.grams([word])
+        want = sum(own.get(a, ctx.get(b, 0.0)) for a, b in zip(h.view(np.int64).tolist(), c.view(np.int64).tolist(), strict=True))
+        assert got[w] == pytest.approx(want, abs=1e-9)
+    # The tables of slots, by which words were scored before, give the rare word another ratio.
+    ((dense, backed),) = toxicity.tables(counts, [("t", "o")])
+    assert abs(toxicity.Ratios(dense, backed).words([rare])[0] - got[0]) > 1
