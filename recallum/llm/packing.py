@@ -11,68 +11,76 @@ of its unfilled bins are laid end to end into full sequences, cut at their
 borders, and the last one is cut into lengths that are powers of two, which need
 no padding.  So padding is less than 2 * `slack` tokens a sequence at any input size.
 
+Words of plain Latin texts are tokenised once each and remembered; other texts, and
+those that hold an added token's content, go through the tokenizer as they are.
+
 Defined results: a null or empty text is the end token alone; a repeated id is
-packed once for each row; an empty table gives no pieces.
+packed once for each row; other columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
 
-import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 VOCABULARY, END, CAPACITY, SLACK = "word_bpe_49k.json", 2, 4096, 32
-#: Words remembered by a worker before it forgets them all.
-REMEMBERED = 1 << 17
-#: The vocabulary's own split of normalised text into words (fixed value).
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words remembered by a worker, and the most characters of one.
+REMEMBERED, LONGEST = 1 << 18, 48
+#: Texts of these characters alone are composed and have one-to-one lower case in any Unicode version.
+PLAIN = re.compile(r"[\x00-\x1b -įı-ſ‐-‧€]*")
+#: The vocabulary's own split of normalised text into words, for texts of those characters.
+SPLIT = re.compile(r"[^\W\d_²³¹¼½¾]+|'(?:s|t|re|ve|m|ll|d)|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
 
 #: Byte-level spelling: printable bytes stand for themselves, the rest for characters from U+0100 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPELLED = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
-class Known(dict):
-    """Ids of words as little-endian bytes; a full dictionary becomes the old one, which frequent words return from."""
+class Remembering(dict):
+    """Values by key, each made once; a full dictionary becomes the old one, which frequent keys return from."""
 
-    def __init__(self, model: object) -> None:
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.model, self.old = model, {}
+        self.make, self.old = make, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.pop(word, None)
-        if ids is None:
-            spelled = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(SPELLED)
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled))
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class Words:
-    """The tokenizer; its model is asked once for each word, and whole texts outside plain Latin go through it as they are."""
+    """The tokenizer; its model is asked once for each word, and texts outside plain Latin go through it as they are."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(SPLIT)
-        #: Texts of these characters alone are composed and have one-to-one lower case in any Unicode version.
-        self.plain = regex.compile(r"[\x00-ſ‐-‧€]*")
-        self.known = Known(self.tokenizer.model)
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = Remembering(self._word)
+
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(SPELLED)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
-    def ids(self, text: str) -> np.ndarray:
-        if not self.plain.fullmatch(text) or "İ" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.split.findall(text.lower()))), "<u4")
+    def ids(self, text: str) -> bytes:
+        """Little-endian 32-bit integers."""
+        if not PLAIN.fullmatch(text) or any(t in text for t in self.added):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.words.__getitem__, SPLIT.findall(text.lower())))
 
 
 @cache
@@ -106,14 +114,14 @@ class Bins:
         at = 0
         for tag, start, ids in pieces:
             yield tag, start, ids, self.next, at
-            at += len(ids)
+            at += len(ids) // 4
         self.next += 1
 
-    def put(self, tag: object, ids: np.ndarray) -> Iterator[tuple]:
+    def put(self, tag: object, ids: bytes) -> Iterator[tuple]:
         at = 0
-        for size, k in cuts(len(ids), self.capacity, self.slack):
+        for size, k in cuts(len(ids) // 4, self.capacity, self.slack):
             held = self.open.setdefault(k, [])
-            held.append((tag, at, ids[at : at + size].copy() if k > 1 else ids[at : at + size]))
+            held.append((tag, at, ids[4 * at : 4 * (at + size)]))
             at += size
             if len(held) == k:
                 yield from self._laid(self.open.pop(k))
@@ -121,19 +129,19 @@ class Bins:
     def close(self) -> Iterator[tuple]:
         left = [p for k in sorted(self.open) for p in self.open[k]]
         self.open = {}
-        total = sum(len(ids) for _, _, ids in left)
+        total = sum(len(ids) // 4 for _, _, ids in left)
         sizes = [self.capacity] * (total // self.capacity)
         sizes += [1 << b for b in range(self.capacity.bit_length(), -1, -1) if (total % self.capacity) >> b & 1]
         queue = iter(left)
-        tag, start, ids = next(queue, (None, 0, np.zeros(0, np.uint32)))
+        tag, start, ids = next(queue, (None, 0, b""))
         for size in sizes:
             laid: list[tuple] = []
             while size:
-                if not len(ids):
+                if not ids:
                     tag, start, ids = next(queue)
-                laid.append((tag, start, ids[:size]))
-                taken = len(laid[-1][2])
-                start, ids, size = start + taken, ids[taken:], size - taken
+                laid.append((tag, start, ids[: 4 * size]))
+                taken = len(laid[-1][2]) // 4
+                start, ids, size = start + taken, ids[4 * taken :], size - taken
             yield from self._laid(laid)
 
 
@@ -147,12 +155,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load(public_tokenizers.path(vocabulary))
+        last = end.to_bytes(4, "little")
         bins = Bins(TaskContext.get().partitionId(), capacity, slack)
 
         def batch(rows: list[tuple], like: pa.DataType) -> pa.RecordBatch:
             tag, start, ids, seq, at = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array([t[0] for t in tag], like), pa.array(start, pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([t[1] for t in tag], pa.int64()), pa.array(seq, pa.int64()), pa.array(at, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
+                [pa.array([t[0] for t in tag], like), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([t[1] for t in tag], pa.int64()), pa.array(seq, pa.int64()), pa.array(at, pa.int64()), pa.array(ids, pa.binary())],
                 names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
@@ -161,8 +170,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         for b in batches:
             like = b.column(0).type
             for i, text in zip(b.column(0), b.column(1), strict=True):
-                ids = np.append(words.ids(text.as_py() or ""), np.uint32(end))
-                rows.extend(bins.put((i.as_py(), len(ids)), ids))
+                ids = words.ids(text.as_py() or "") + last
+                rows.extend(bins.put((i.as_py(), len(ids) // 4), ids))
                 if len(rows) > 2048:
                     yield batch(rows, like)
                     rows = []
