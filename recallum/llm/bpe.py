@@ -9,14 +9,15 @@ at most once for good, so time is linear in the piece and the result is that of
 the merges.
 
 Defined results: a null or empty text has no tokens; ids that the vocabulary
-lacks raise KeyError on decoding; repeated rows keep a row each.
+lacks raise KeyError on decoding; repeated rows keep a row each; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -27,8 +28,27 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Pieces remembered by a worker before it forgets them all.
-REMEMBERED = 1 << 17
+#: Pieces remembered by a worker, and the most characters of one.
+REMEMBERED, LONGEST = 1 << 18, 48
+
+
+class Pieces(dict):
+    """Ids of pieces as bytes, each made once; a full dictionary becomes the old one, which frequent pieces return from."""
+
+    def __init__(self, make: Callable[[bytes], list[int]]) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            ids = array("I", self.make(piece.encode())).tobytes()
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class BytePairs:
@@ -47,8 +67,8 @@ class BytePairs:
         self.longest = max(map(len, self.rank))
         #: The next shorter token that is a prefix of a token, or None.
         self.shorter: dict[int, int | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.fits: dict[int, bool] = {}
+        self.pieces = Pieces(self.piece)
         self.halves = {i: h for t, i in self.rank.items() if len(t) > 1 and (h := self._merged(t))}
 
     def _merged(self, token: bytes) -> tuple[int, int] | None:
@@ -64,11 +84,11 @@ class BytePairs:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank keeps the border between two adjacent tokens."""
-        if (known := self.fits.get((left, right))) is None:
-            known = self._border(left, right)
+        pair = left << 32 | right
+        if (known := self.fits.get(pair)) is None:
             if len(self.fits) > 4 * REMEMBERED:
                 self.fits.clear()
-            self.fits[left, right] = known
+            known = self.fits[pair] = self._border(left, right)
         return known
 
     def _border(self, left: int, right: int) -> bool:
@@ -92,28 +112,44 @@ class BytePairs:
             else:
                 return True
 
+    def _longest(self, data: bytes, latin: str, at: int) -> int:
+        """The longest token at a place; the automaton tells how far any token can reach."""
+        for k in range(self.auto.longest_prefix(latin[at : at + self.longest]), 1, -1):
+            if (token := self.rank.get(data[at : at + k])) is not None:
+                return token
+        return self.rank[data[at : at + 1]]
+
     def _prefix(self, token: int) -> int | None:
         if token not in self.shorter:
             t = self.bytes_of[token]
             self.shorter[token] = next((self.rank[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.rank), None)
         return self.shorter[token]
 
-    def _piece(self, data: bytes) -> tuple[int, ...]:
+    def piece(self, data: bytes) -> list[int]:
         whole = self.rank.get(data)
         if whole is not None:
-            return (whole,)
-        n = len(data)
-        longest: list[int | None] = [None] * n
-        width = [0] * n
-        for end, token in self.auto.iter(data.decode("latin-1")):
-            # pyahocorasick tells all tokens that end here; keep the longest by start
-            size = len(self.bytes_of[token])
-            start = end - size + 1
-            if size > width[start]:
-                longest[start], width[start] = token, size
+            return [whole]
+        latin, fits = data.decode("latin-1"), self.fits
+        # The longest match at each place in turn is the answer where all neighbours are compatible.
         out: list[int] = []
+        last = -1
+        for _, token in self.auto.iter_long(latin):
+            if last >= 0:
+                known = fits.get(last << 32 | token)
+                if not (self.compatible(last, token) if known is None else known):
+                    break
+            out.append(token)
+            last = token
+        else:
+            return out
+        return self._backtracked(data, latin, out)
+
+    def _backtracked(self, data: bytes, latin: str, out: list[int]) -> list[int]:
+        """Go on after the tokens `out`, which are the first longest matches and compatible."""
+        n = len(data)
         dead = bytearray(n + 1)
-        at, token = 0, longest[0]
+        at = sum(len(self.bytes_of[t]) for t in out)
+        token = self._longest(data, latin, at)
         while True:
             while token is not None:
                 end = at + len(self.bytes_of[token])
@@ -130,22 +166,15 @@ class BytePairs:
             out.append(token)
             at = end
             if at == n:
-                return tuple(out)
-            token = longest[at]
+                return out
+            token = self._longest(data, latin, at)
+
+    def ids(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian 32-bit integers, each match of the pattern encoded separately."""
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, each match of the pattern encoded separately."""
-        known, out = self.pieces, []
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self._piece(piece.encode())
-                if len(piece) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = ids
-            out.extend(ids)
-        return out
+        return np.frombuffer(self.ids(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -157,20 +186,15 @@ def load(path: str) -> BytePairs:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
-    """`docs` → (id, ids array<int>): the tokens of every whole text."""
+    """`docs` → (id, ids binary): the tokens of every whole text as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = load(public_tokenizers.path(ranks))
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                ids = [np.array(pairs.encode(t.as_py() or ""), np.int32) for t in part.column(1)]
-                at = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))], names=["id", "ids"])
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pairs.ids(t or "") for t in b.column(1).to_pylist()], pa.binary())], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
@@ -178,24 +202,13 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = load(public_tokenizers.path(ranks))
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                decoded = [pairs.decode(x.values.to_numpy().tolist()) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+            decoded = [pairs.decode(np.frombuffer(x, "<u4").tolist()) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(decoded, pa.binary())], names=["id", "ids", "decoded"])
 
-    return encoded.select("id", "ids").mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, ids array<int>, decoded binary")
+    return encoded.select("id", "ids").mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, ids binary, decoded binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:
     """(id, ids, decoded) → (id, n_tokens, ids_sha256, decoded_sha256)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [x.values.to_numpy().astype("<u4") for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in b.column(2)])],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return decoded.select("id", "ids", "decoded").mapInArrow(run, f"id {decoded.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return decoded.select("id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

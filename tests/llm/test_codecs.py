@@ -107,8 +107,8 @@ def reference():
 def test_byte_pairs_against_tiktoken(spark, sf, docs, odd, none):
     enc, own = reference(), bpe.load(P.path(bpe.RANKS))
     r = random.Random(3)
-    parts = ["a", "b", "e", "th", "ing", " ", "é", "ß", "字", "😀", "\n", "1", "23", "_", "the", "aaaa", "ababab", "́"]
-    for _ in range(4000):
+    parts = ["a", "b", "e", "th", "ing", " ", " ", "  ", "é", "ß", "字", "😀", "\n", "\x1c", "\x85", "\xa0", "'s", "1", "23", "_", "the", "aaaa", "ababab", "́"]
+    for _ in range(6000):
         s = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
         assert own.encode(s) == enc.encode_ordinary(s) and own.decode(own.encode(s)) == s.encode()
     s = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
@@ -184,10 +184,12 @@ def packed_well(got, want, capacity=packing.CAPACITY):
     return padding / total
 
 
-def test_packing(spark, docs, odd, none):
+def test_packing(spark, sf, docs, odd, none):
     t = Tokenizer.from_file(P.path(packing.VOCABULARY))
-    t.encode_special_tokens = True
     want = {r.doc_id: [*t.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
+    for r in queries.op10_packing(spark, sf).collect():
+        ids = np.array(want[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert (r.ids_crc32, r.doc_tokens, len(ids)) == (zlib.crc32(ids.tobytes()), len(want[r.doc_id]), r.length)
     assert packed_well(packing.pack(docs).collect(), want) < 0.02
     plain = odd.dropDuplicates(["doc_id"])
     want = {r.doc_id: [*t.encode(r.text or "", add_special_tokens=False).ids, 2] for r in plain.collect()}
@@ -197,12 +199,12 @@ def test_packing(spark, docs, odd, none):
 
 
 def test_words_against_the_tokenizer():
-    w = packing.load(P.path(packing.VOCABULARY))
+    w, t = packing.load(P.path(packing.VOCABULARY)), Tokenizer.from_file(P.path(packing.VOCABULARY))
     r = random.Random(4)
-    parts = ["a", "É", "ß", "’", "'S", "'ll", " ", "\n", "\t", "12", "½", "²", "ª", "Σ", "ΑΣ", "İ", "字", "😀", "--", "...", "_", "<|endoftext|>", "ſ", "\x85", "\xa0", "\x1c", "Å"]
+    parts = ["a", "É", "ß", "’", "'S", "'ll", " ", "\n", "\t", "12", "½", "²", "ª", "Σ", "ΑΣ", "İ", "字", "😀", "--", "...", "_", "<|endoftext|>", "<|startoftext|>", "  ", "á", "ſ", "\x85", "\xa0", "\x1c", "Å"]
     for _ in range(3000):
         s = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
-        assert w.ids(s).tolist() == w.tokenizer.encode(s, add_special_tokens=False).ids
+        assert np.frombuffer(w.ids(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids
 
 
 def test_cuts_waste_little():
