@@ -1,24 +1,32 @@
-"""Toxicity by class-conditional Kneser-Ney models over the characters of words.
-
-Two interpolated Kneser-Ney models share their lower orders: the counts of an
-N-gram of characters are kept by class (toxic, ordinary), and what discounting
-takes from them goes to backoff probabilities made from the continuation counts
-of both classes together.  So spellings and compounds that were never seen as
-whole words are still judged by their parts, and rare ones are smoothed alike in
-both classes.  Only the difference of the log-likelihoods matters, and where a
-class pair has never seen an N-gram the shared probability cancels; the model is
-therefore two tables of log ratios, by N-gram and by context.
-
-Both tables keep one row for each N-gram and context and grow with the corpus:
-the distinct words of the documents are joined with them, which gives one ratio a
-word, and then the words of each text with those.  A document's evidence is the length-normalised difference over the whole text,
-the mean likelihood ratio of its words, and the share and number of words far on
-the toxic side; a logistic function, fitted on labelled rows that a second model
-has not seen, turns it into a score.
+"""Toxicity by class-conditional Kneser-Ney models over the bytes of words.
+
+A class (toxic, ordinary) has an interpolated Kneser-Ney model of the bytes of a
+word: its own counts of N-grams, each word counted once for each text, so that a
+text that repeats itself weighs no more than others.  What discounting takes from
+the counts goes to the next shorter order, and on to single bytes and the uniform
+distribution; these backoff orders are made from the continuation counts of both
+classes together.  So spellings and compounds never seen as whole words are
+judged by their parts, and rare ones are smoothed alike in both classes.
+
+A toxic text is mostly ordinary words, so its model is the mixture of the toxic
+class's model, by a share of MIX, with the ordinary one.  The evidence of a text
+is the difference of its two log-likelihoods, toxic and ordinary, divided by its
+number of words; a logistic function of this one number, fitted on labelled rows
+that the model behind it has not seen, is the score.
+
+Only ratios of the two class models matter, one for each N-gram and one for each
+context after which an unseen byte may come (the shared backoff cancels).  An
+N-gram is its ORDER bytes as a bigint, without hashing.  All orders above two of
+an N-gram depend on N-grams with the same middle bytes alone, so counts are
+shuffled by those and estimated where they meet.  The table of ratios grows with
+the corpus: up to MODEL rows it goes to the workers, beyond that the distinct
+words are joined with it, then the words of each text with those; both give the
+same scores.
 
 Defined results: a null, empty or wordless text has no evidence, and a score by
-the logistic function's value there; labels other than 0 and 1 are left out;
-without labels of both classes every score is the share of toxic labels.
+the logistic function's value there; a repeated id keeps a row each; other
+columns are ignored; an empty table gives no rows; labels other than 0 and 1 are
+left out; without labels of both classes every score is the share of toxic labels.
 """
 
 from __future__ import annotations
@@ -34,124 +42,183 @@ from pyspark.sql import Column, DataFrame, functions as F
 from recallum.sources.shared import cut, hinted, written
 
 WORD = re.compile(r"[^\W\d_]+")
-ORDER, SHORT, DISCOUNT, BITS, BLOCK = 8, 4, 0.75, 23, 1 << 15
-#: Characters of the uniform distribution below all others.
-ALPHABET = 256
-#: A word's log ratio from which it counts as far on the toxic side; one labelled row in FOLD tunes the logistic function, at most CALIBRATE in all.
-FAR, FOLD, CALIBRATE = 4.0, 4, 200_000
-#: Words remembered by a worker before it forgets them all.
-REMEMBERED = 1 << 17
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
-
-
-def grams(words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(first gram of each word, [hashes of the N-gram, its context, its short suffix, that one's context]); words are padded to both sides."""
-    pad = "\x02" * (ORDER - 1)
-    code = np.frombuffer("".join([pad + w + "\x03" for w in words]).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    end = np.arange(size.sum()) + np.repeat((np.arange(len(words)) + 1) * (ORDER - 1), size)  # place of a gram's last character
-    out = []
-    for width, skip in ((ORDER, 0), (ORDER - 1, 1), (SHORT, 0), (SHORT - 1, 1)):
-        h = np.full(len(end), width, np.uint64)
-        for k in range(width):
-            h = h * np.uint64(0x100000001B3) + code[end - skip - k]
-        out.append(_mix(h))
-    return first, out
-
-
-def word_counts(labelled: DataFrame) -> DataFrame:
-    """(text, toxic, tune) → (word, t, o, tt, ot): uses of each word in toxic and ordinary rows, and of those in tuning rows."""
+#: Bytes of an N-gram and the discount of all orders.
+ORDER, DISCOUNT = 5, 0.75
+#: Share of the toxic class's own words in a toxic text.
+MIX = 0.005
+#: One labelled row in FOLD tunes the logistic function, at most CALIBRATE in all.
+FOLD, CALIBRATE = 4, 200_000
+#: Rows of the table of ratios up to which it is sent to the workers (20 bytes each), and words that a worker remembers.
+MODEL, REMEMBERED = 1 << 21, 1 << 17
+#: Marks the ratio of a context rather than of an N-gram; log ratios of words are capped before exponentials.
+CONTEXT, CAP = 1 << 8 * ORDER, 30.0
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of grams of each word, the grams): the ORDER bytes up to each byte and up to the end of a word."""
+    raw = [w.encode() for w in words]
+    pad = b"\x02" * (ORDER - 1)
+    code = np.frombuffer(b"".join([pad + w + b"\x03" for w in raw]), np.uint8).astype(np.int64)
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    end = np.arange(size.sum()) + np.repeat((np.arange(len(raw)) + 1) * (ORDER - 1), size)
+    g = np.zeros(len(end), np.int64)
+    for k in range(ORDER - 1, -1, -1):
+        g = g << 8 | code[end - k]
+    return size, g
+
+
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """(text, toxic, tune) → (g, t, o, tt, ot): uses of each N-gram in the distinct words of toxic and ordinary rows, and of the tuning ones among them."""
+    names = ["g", "t", "o", "tt", "ot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
+        for b in (whole.slice(k, 1024) for whole in batches for k in range(0, whole.num_rows, 1024)):
             by = [Counter() for _ in range(4)]
             for text, toxic, tune in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = WORD.findall((text or "").lower())
+                words = set(WORD.findall((text or "").lower()))
                 by[1 - toxic].update(words)
                 if tune:
                     by[3 - toxic].update(words)
             words = list(by[0] | by[1])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([c[w] for w in words], pa.int64()) for c in by]], names=["word", "t", "o", "tt", "ot"])
-
-    return labelled.select("text", "toxic", "tune").mapInArrow(run, "word string, t bigint, o bigint, tt bigint, ot bigint").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("t", "o", "tt", "ot")])
-
-
-def gram_counts(words: DataFrame) -> DataFrame:
-    """Word counts → (g, ctx, suf, sctx, t, o, tt, ot): counts of each N-gram, with the hashes of its parts."""
-    names = ["g", "ctx", "suf", "sctx", "t", "o", "tt", "ot"]
+            if words:
+                size, g = grams(words)
+                g, inverse = np.unique(g, return_inverse=True)
+                sums = [np.bincount(inverse, np.repeat(np.fromiter((c[w] for w in words), np.int64, len(words)), size), len(g)).astype(np.int64) for c in by]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, *sums)], names=names)
+
+    found = labelled.select("text", "toxic", "tune").mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return found.groupBy("g").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+
+def _low_orders(counts: DataFrame) -> np.ndarray:
+    """The shared probabilities of a byte after one byte: 65,536 of them, from at most as many rows at the driver."""
+    last = lambda n: F.col("g").bitwiseAND(F.lit((1 << 8 * n) - 1))
+    rows = counts.select(last(3).alias("g")).distinct().groupBy(last(2).alias("s")).agg(F.count("*").alias("n")).collect()
+    two = np.zeros((256, 256))
+    for r in rows:
+        two[r.s >> 8, r.s & 255] = r.n
+    one = (two > 0).sum(0)
+    p1 = (np.maximum(one - DISCOUNT, 0) + DISCOUNT * (one > 0).sum() / 256) / max(1, one.sum())
+    total, kinds = two.sum(1, keepdims=True), (two > 0).sum(1, keepdims=True)
+    return ((np.maximum(two - DISCOUNT, 0) + DISCOUNT * kinds * p1) / np.maximum(total, 1)).ravel()
+
+
+def estimated(g: np.ndarray, uses: list[tuple[np.ndarray, np.ndarray]], p2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct N-grams of some middle bytes, their (toxic, ordinary) counts by variant, and the probabilities of order two → (keys, log ratios by variant)."""
+    # Shared orders: each from the distinct N-grams of the order above, which extend it to the left.
+    chain, at = [], g
+    for n in range(ORDER - 1, 2, -1):
+        s, up, cont = np.unique(at & (1 << 8 * n) - 1, return_inverse=True, return_counts=True)
+        _, ctx = np.unique(s >> 8, return_inverse=True)
+        chain.append((s, up, cont, ctx))
+        at = s
+    p = p2[at & 0xFFFF]
+    for s, up, cont, ctx in reversed(chain):
+        left = DISCOUNT * np.bincount(ctx)[ctx] / np.bincount(ctx, cont)[ctx]
+        p = (np.maximum(cont - DISCOUNT, 0) / np.bincount(ctx, cont)[ctx] + left * p)[up]
+    ctxs, ctx = np.unique(g >> 8, return_inverse=True)
+    out = []
+    for variant in uses:
+        probability, rest = [], []
+        for n in variant:
+            total = np.bincount(ctx, n, len(ctxs))
+            # The mass that a class leaves to the shared probability; all of it after a context that it has not seen.
+            left = np.where(total > 0, DISCOUNT * np.bincount(ctx, n > 0, len(ctxs)) / np.maximum(total, 1), 1.0)
+            probability.append(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[ctx] + left[ctx] * p)
+            rest.append(left)
+        out.append(np.concatenate((np.log(probability[0] / probability[1]), np.log(rest[0] / rest[1]))))
+    return np.concatenate((g, ctxs | CONTEXT)), np.stack(out)
+
+
+def ratios(counts: DataFrame) -> DataFrame:
+    """`gram_counts` → (h, r0, r1): log ratios of N-grams and contexts without the tuning rows and with them.
+
+    What is held at once are the N-grams of some middle bytes, at most 2^24 for
+    each two.
+    """
+    p2 = _low_orders(counts)
+    names = ["h", "r0", "r1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            g, t, o, tt, ot = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in parts]) for k in range(1, 6))
+            h, r = estimated(g, [(t - tt, o - ot), (t, o)], p2)
+            return pa.RecordBatch.from_arrays([pa.array(h), *map(pa.array, r)], names=names)
+
+        held, rows = [], 0
         for b in batches:
-            words = b.column(0).to_pylist()
-            if not words:
-                continue
-            _, h = grams(words)
-            size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            g, at, inverse = np.unique(h[0], return_index=True, return_inverse=True)
-            sums = [np.bincount(inverse, np.repeat(c.to_numpy(zero_copy_only=False), size)).astype(np.int64) for c in b.columns[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (g, *(y[at] for y in h[1:]), *sums)], names=names)
+            key = b.column(0).to_numpy(zero_copy_only=False)
+            if rows >= 1 << 18 and (edges := np.flatnonzero(np.diff(key, prepend=held[-1].column(0)[-1].as_py()))).size:
+                yield solve([*held, b.slice(0, int(edges[0]))])
+                held, rows = [b.slice(int(edges[0]))], b.num_rows - int(edges[0])
+            elif b.num_rows:
+                held, rows = [*held, b], rows + b.num_rows
+        if rows:
+            yield solve(held)
+
+    middle = F.shiftright("g", 8).bitwiseAND(F.lit(0xFFFF)).alias("middle")
+    spread = counts.select(middle, "g", "t", "o", "tt", "ot").repartition("middle").sortWithinPartitions("middle")
+    return spread.mapInArrow(run, "h bigint, r0 double, r1 double")
+
+
+class Model:
+    """Log ratios of words from a sorted table; `evidence` gives a column for each variant."""
+
+    def __init__(self, h: np.ndarray, r: np.ndarray) -> None:
+        order = np.argsort(h)
+        self.h, self.r = h[order], r[order]
+        #: Place of each remembered word's evidence in `values`.
+        self.known: dict[str, int] = {}
+        self.values = np.zeros((0, r.shape[1]))
+
+    def _found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.h, keys), len(self.h) - 1)
+        return self.r[at], self.h[at] == keys
 
-    return words.mapInArrow(run, ", ".join(f"{n} bigint" for n in names)).groupBy("g").agg(*[F.first(c).alias(c) for c in names[1:4]], *[F.sum(c).alias(c) for c in names[4:]])
+    def words(self, words: list[str]) -> np.ndarray:
+        """N-grams not seen count by their context, others not at all."""
+        size, g = grams(words)
+        r, seen = self._found(g)
+        c, near = self._found(g >> 8 | CONTEXT)
+        r = np.where(seen[:, None], r, np.where(near[:, None], c, 0.0))
+        return np.add.reduceat(r, np.concatenate(([0], np.cumsum(size)[:-1])))
 
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        found = [WORD.findall((t or "").lower()) for t in texts]
+        new = list({w for words in found for w in words}.difference(self.known))
+        if len(new) + len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.values = self.values[:0]
+            new = list({w for words in found for w in words})
+        if new:
+            value = np.log1p(MIX * np.expm1(np.minimum(self.words(new), CAP)))
+            self.known.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
+            self.values = np.concatenate((self.values, value))
+        out = np.zeros((len(texts), self.r.shape[1]))
+        for k, words in enumerate(found):
+            if words:
+                out[k] = self.values[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].mean(0)
+        return out
 
-def ratios(counts: DataFrame, variants: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """N-gram counts → (h, n0, r0, n1, r1, …) of N-grams and of contexts: for each variant (SQL for its toxic and ordinary counts) the uses and the log ratio.
 
-    All variants share the joins, so the N-grams are shuffled once for each join.
-    """
-    d = F.lit(DISCOUNT)
-    each = range(len(variants))
-    c = counts.select("g", "ctx", "suf", "sctx", *[F.expr(x).alias(f"{n}{k}") for k in each for n, x in zip("to", variants[k], strict=True)])
-    per = [(F.sum(f"t{k}").alias(f"ct{k}"), F.sum(f"o{k}").alias(f"co{k}"), F.sum(F.expr(f"int(t{k} > 0)")).alias(f"nt{k}"), F.sum(F.expr(f"int(o{k} > 0)")).alias(f"no{k}")) for k in each]
-    by_ctx = c.groupBy("ctx").agg(*[x for p in per for x in p])
-    by_suf = c.groupBy("suf").agg(F.first("sctx").alias("sctx"), F.count("*").alias("cont"))
-    by_sctx = by_suf.groupBy("sctx").agg(F.sum("cont").alias("total"), F.count("*").alias("kinds"))
-    shared = by_suf.join(by_sctx, "sctx").select("suf", ((F.greatest(F.col("cont") - d, F.lit(0.0)) + d * F.col("kinds") / ALPHABET) / F.col("total")).alias("p"))
-    # The mass that a class leaves to the shared probability; all of it after a context it has not seen.
-    left = lambda n, total: F.when(F.col(total) > 0, d * F.col(n) / F.col(total)).otherwise(F.lit(1.0))
-    by_ctx = by_ctx.select("ctx", *[x for k in each for x in (F.col(f"ct{k}"), F.col(f"co{k}"), left(f"nt{k}", f"ct{k}").alias(f"lt{k}"), left(f"no{k}", f"co{k}").alias(f"lo{k}"))])
-    seen = lambda n, total, rest: F.when(F.col(total) > 0, F.greatest(F.col(n) - d, F.lit(0.0)) / F.col(total)).otherwise(F.lit(0.0)) + F.col(rest) * F.col("p")
-    # The narrow join comes first, so that the wide rows of contexts are not shuffled again.
-    ratio = c.drop("sctx").join(shared, "suf").drop("suf").join(by_ctx, "ctx").select(F.col("g").alias("h"), *[x for k in each for x in ((F.col(f"t{k}") + F.col(f"o{k}")).alias(f"n{k}"), F.log(seen(f"t{k}", f"ct{k}", f"lt{k}") / seen(f"o{k}", f"co{k}", f"lo{k}")).alias(f"r{k}"))])
-    backed = by_ctx.select(F.col("ctx").alias("h"), *[x for k in each for x in ((F.col(f"ct{k}") + F.col(f"co{k}")).alias(f"n{k}"), F.log(F.col(f"lt{k}") / F.col(f"lo{k}")).alias(f"r{k}"))])
-    return ratio, backed
-
-
-def tables(counts: DataFrame, variants: list[tuple[str, str]], bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """`ratios` as dense tables, for vocabularies that are small beside 2^bits slots; NaN where nothing was seen.  No score uses them."""
-    ratio, backed = ratios(counts, variants)
-    return list(zip(_dense(ratio, bits, len(variants)), _dense(backed, bits, len(variants)), strict=True))
-
-
-def word_ratios(words: DataFrame, ratio: DataFrame, backed: DataFrame, n: int) -> DataFrame:
-    """(w, word) and `ratios` of n variants → (w, r0, r1, …): the log ratio of each word; N-grams not seen count by their context, others not at all."""
+def evidence_of(docs: DataFrame, model: Model) -> DataFrame:
+    """(id, text) → (id, x0, x1), by a model that every worker holds."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(k, 4096) for whole in batches for k in range(0, whole.num_rows, 4096)):
-            found = b.column(1).to_pylist()
-            if found:
-                _, (g, ctx, *_) = grams(found)
-                w = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.fromiter(map(len, found), np.int64, len(found)) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(g.view(np.int64)), pa.array(ctx.view(np.int64))], names=["w", "g", "ctx"])
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+            x = sent.value.evidence(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["id", "x0", "x1"])
 
-    known = lambda df, name, key: df.select(F.col("h").alias(key), *[F.when(F.col(f"n{k}") > 0, F.col(f"r{k}")).alias(f"{name}{k}") for k in range(n)])
-    # Each distinct N-gram is looked up once; what is counted is how often a word has it.
-    asked = words.select("w", "word").mapInArrow(run, "w bigint, g bigint, ctx bigint")
-    distinct = asked.select("g", "ctx").distinct().join(known(ratio, "a", "g"), "g", "left").join(known(backed, "b", "ctx"), "ctx", "left")
-    valued = distinct.select("g", *[F.coalesce(f"a{k}", f"b{k}", F.lit(0.0)).alias(f"r{k}") for k in range(n)])
-    return asked.select("w", "g").join(valued, "g").groupBy("w").agg(*[F.sum(f"r{k}").alias(f"r{k}") for k in range(n)])
+    got = cut(docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, x0 double, x1 double"))
+    sent.destroy()  # the rows lie in the shared folder
+    return got
 
 
-def uses(docs: DataFrame) -> DataFrame:
-    """(id, text) → (row, id, w, size, n): how often each row has each of its words, by hash, with its length; one row without a word where it has none."""
+def evidence_by_joins(docs: DataFrame, ratio: DataFrame) -> DataFrame:
+    """(id, text) → (id, x0, x1), for a table of ratios of any size: its distinct words meet it, then the words of each row those."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             words, many, sizes = [], [], []
             for text in b.column(2).to_pylist():
@@ -160,121 +227,62 @@ def uses(docs: DataFrame) -> DataFrame:
                 many += c.values()
                 sizes.append(len(c))
             at = pa.array(np.repeat(np.arange(b.num_rows), sizes))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(words, pa.string()), pa.array(many, pa.int32())], names=["row", "id", "word", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(words, pa.string()), pa.array(many, pa.int64())], names=["row", "id", "word", "n"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    kind = docs.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row bigint, id {kind}, word string, n int").select("row", "id", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("w"), F.length("word").alias("size"), "n")
-
-
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """(id, text) → (w, word): the distinct words of all rows, with their hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, 4096) for whole in batches for k in range(0, whole.num_rows, 4096)):
-            yield pa.RecordBatch.from_arrays([pa.array(list({w for t in b.column(0).to_pylist() for w in WORD.findall((t or "").lower())}), pa.string())], names=["word"])
-
-    return docs.select("text").mapInArrow(run, "word string").distinct().select(F.xxhash64("word").alias("w"), "word")
-
-
-def evidences(used: DataFrame, by_word: DataFrame, n: int) -> DataFrame:
-    """`uses` and `word_ratios` of n variants → (id, x0, x1, …): the evidence of `Ratios.evidence` of each row, by variant."""
-    many, size = F.sum("n"), F.sum(F.col("n") * (F.col("size") + 1))
-    sums = []
-    for k in range(n):
-        r = F.col(f"r{k}")
-        far = F.sum(F.when(r > FAR, F.col("n")).otherwise(0))
-        x = F.array(F.sum(r * F.col("n")) / size, F.log(F.sum(F.exp(F.least(r, F.lit(20.0))) * F.col("n")) / many), far / many, F.log1p(far.cast("double")), F.max(r), F.log1p(many.cast("double")))
-        sums.append(F.when(many > 0, x).otherwise(F.array(*[F.lit(0.0)] * 6)).alias(f"x{k}"))
-    return used.join(by_word, "w", "left").groupBy("row", "id").agg(*sums).drop("row")
-
+            words = b.column(0).to_pylist()
+            if words:
+                size, g = grams(words)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(words)), size))), pa.array(g), pa.array(g >> 8 | CONTEXT)], names=["word", "g", "ctx"])
 
-def _dense(rows: DataFrame, bits: int, n: int) -> list[np.ndarray]:
-    """(h, n0, r0, n1, r1, …) → for each of n variants the mean of r by slot, weighted by n.  Blocks of slots are packed by the executors; n * 2^(bits + 1) bytes reach the driver."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    used = rows.mapInArrow(each, f"row bigint, id {docs.schema['id'].dataType.simpleString()}, word string, n bigint")
+    asked = used.where("word IS NOT NULL").select("word").distinct().mapInArrow(spelled, "word string, g bigint, ctx bigint")
+    own, near = ratio.select(F.col("h").alias("g"), F.col("r0").alias("a0"), F.col("r1").alias("a1")), ratio.select(F.col("h").alias("ctx"), F.col("r0").alias("b0"), F.col("r1").alias("b1"))
+    found = asked.join(own, "g", "left").join(near, "ctx", "left")
+    by_word = found.groupBy("word").agg(*[F.sum(F.coalesce(f"a{k}", f"b{k}", F.lit(0.0))).alias(f"r{k}") for k in (0, 1)])
+    value = lambda k: F.log1p(F.lit(MIX) * F.expm1(F.least(F.col(f"r{k}"), F.lit(CAP))))
+    mean = lambda k: F.coalesce(F.sum(value(k) * F.col("n")) / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias(f"x{k}")
+    return cut(used.join(hinted(cut(by_word)), "word", "left").groupBy("row", "id").agg(mean(0), mean(1)).drop("row"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(block: int, slot: list[np.ndarray], r: list[np.ndarray]) -> pa.RecordBatch:
-            v = np.full((n, BLOCK), np.nan, np.float16)
-            v[:, np.concatenate(slot) % BLOCK] = np.concatenate(r, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([v.tobytes()], pa.binary())], names=["block", "v"])
 
-        now, slots, values = None, [], []
-        for b in batches:
-            block, slot, *r = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            edge = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(block) else []
-            for i, k in enumerate(edge):
-                to = edge[i + 1] if i + 1 < len(edge) else len(block)
-                if block[k] != now:
-                    if slots:
-                        yield packed(now, slots, values)
-                    now, slots, values = int(block[k]), [], []
-                slots.append(slot[k:to])
-                values.append(np.stack([x[k:to] for x in r]))
-        if slots:
-            yield packed(now, slots, values)
-
-    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    mean = rows.groupBy(slot.alias("slot")).agg(*[F.expr(f"sum(n{k} * r{k}) / nullif(sum(n{k}), 0)").alias(f"r{k}") for k in range(n)])
-    out = [np.full(1 << bits, np.nan, np.float16) for _ in range(n)]
-    blocks = mean.select(F.floor(F.col("slot") / BLOCK).alias("block"), "slot", *[f"r{k}" for k in range(n)]).repartition("block").sortWithinPartitions("block")
-    for row in blocks.mapInArrow(run, "block bigint, v binary").toLocalIterator():
-        v = np.frombuffer(row.v, np.float16).reshape(n, BLOCK)
-        for k in range(n):
-            out[k][row.block * BLOCK : (row.block + 1) * BLOCK] = v[k]
-    return out
-
-
-class Ratios:
-    """Log-likelihood ratios of words by a pair of tables."""
-
-    def __init__(self, by_gram: np.ndarray, by_context: np.ndarray) -> None:
-        self.by_gram, self.by_context = by_gram, by_context
-        self.known: dict[str, float] = {}
+def evidence(docs: DataFrame, ratio: DataFrame, most: int = MODEL) -> DataFrame:
+    """(id, text) and `ratios` → (id, x0, x1): difference of the log-likelihoods a word, by variant."""
+    if ratio.count() > most:
+        return evidence_by_joins(docs, ratio)
+    got = ratio.toArrow()
+    h, r = got["h"].to_numpy(), np.stack([got["r0"].to_numpy(), got["r1"].to_numpy()], 1)
+    if not len(h):
+        h, r = np.full(1, -1, np.int64), np.zeros((1, 2))
+    return evidence_of(docs, Model(h, r))
 
-    def words(self, words: list[str]) -> np.ndarray:
-        first, (g, ctx, *_) = grams(words)
-        last = np.uint64(len(self.by_gram) - 1)
-        r = self.by_gram[g & last].astype(np.float32)
-        r = np.where(np.isnan(r), self.by_context[ctx & last].astype(np.float32), r)
-        return np.add.reduceat(np.nan_to_num(r, nan=0.0), first)
 
-    def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """Rows of (log ratio a character, log mean ratio of words, share and log number of far words, largest, log words)."""
-        found = [WORD.findall((t or "").lower()) for t in texts]
-        new = [w for w in dict.fromkeys(w for words in found for w in words) if w not in self.known]
-        if new:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                new = list(dict.fromkeys(w for words in found for w in words))
-            self.known.update(zip(new, self.words(new).tolist(), strict=True))
-        out = np.zeros((len(texts), 6))
-        for k, words in enumerate(found):
-            if words:
-                r = np.fromiter(map(self.known.__getitem__, words), np.float32, len(words))
-                far = int((r > FAR).sum())
-                out[k] = (r.sum() / (sum(map(len, words)) + len(words)), np.log(np.exp(np.minimum(r, 20.0), dtype=np.float64).mean()), far / len(words), np.log1p(far), r.max(), np.log1p(len(words)))
-        return out
+def _scale(x: np.ndarray) -> np.ndarray:
+    """The evidence on a logarithmic scale, so that few very toxic rows don't rule the fit; it is at least log(1 - MIX)."""
+    return np.log(x + 2 * MIX)
 
 
 class Logistic:
-    """Regularised logistic regression by Newton's steps."""
+    """Regularised logistic regression on one number, by Newton's steps; both classes weigh the same, as likelihoods are compared without a prior."""
 
-    def __init__(self, ridge: float = 1e-3) -> None:
+    def __init__(self, ridge: float = 1e-4) -> None:
         self.ridge = ridge
         self.mean = self.scale = self.w = None
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
+        x = _scale(x)
+        self.mean, self.scale = float(x.mean()), float(x.std() + 1e-9)
         z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
-        self.w = np.zeros(z.shape[1])
-        for _ in range(40):
+        self.w, share = np.zeros(2), np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+        for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            h = (z * (p * (1 - p))[:, None]).T @ z / len(y) + self.ridge * np.eye(len(self.w))
-            self.w -= np.linalg.solve(h, z.T @ (p - y) / len(y) + self.ridge * self.w)
+            h = (z * (share * p * (1 - p))[:, None]).T @ z + self.ridge * np.eye(2)
+            self.w -= np.linalg.solve(h, z.T @ (share * (p - y)) + self.ridge * self.w)
         return self
 
     def score(self, x: Column) -> Column:
-        z = sum(((x[k] - float(m)) / float(s) * float(w) for k, (m, s, w) in enumerate(zip(self.mean, self.scale, self.w[:-1], strict=True))), F.lit(float(self.w[-1])))
+        z = (F.log(x + 2 * MIX) - self.mean) / self.scale * float(self.w[0]) + float(self.w[1])
         return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
 
@@ -286,24 +294,19 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """`docs` and `labels` → (id, held_out, score): labels of held-out rows are never read."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = F.col(id_col)
-    learn = labels.where(~held_out(key, parts, held)).where(F.col(label_col).isin(0, 1)).groupBy(key.alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    learn = hinted(cut(learn))
+    known = labels.where(~held_out(key, parts, held)).where(F.col(label_col).isin(0, 1))
+    learn = hinted(cut(known.groupBy(key.alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))))
     tune = F.pmod(F.xxhash64(F.col("id"), F.lit(9)), F.lit(FOLD)) == 0
-    labelled = rows.join(learn, "id").withColumn("tune", tune)
-    words = word_counts(labelled)
-    # The first model has not seen the tuning rows, the second has.
-    by_gram, by_context = ratios(written(gram_counts(words), "grams"), [("t - tt", "o - ot"), ("t", "o")])
-    by_word = hinted(cut(word_ratios(distinct_words(rows), by_gram, by_context, 2)))
-    # With the words broadcast, a row's evidence is summed where the row is read.
-    x = cut(evidences(uses(rows), by_word, 2))
-    sample = _sample(learn.where(tune))
-    got = x.join(sample, "id", "left_semi").join(learn, "id").select("x0", "toxic").toArrow()  # about CALIBRATE rows at most
-    known, y = np.array(got["x0"].to_pylist(), float).reshape(-1, 6), np.array(got["toxic"].to_pylist(), float)
+    # r0 and x0 have not seen the tuning rows, r1 and x1 have.
+    ratio = cut(ratios(written(gram_counts(rows.join(learn, "id").withColumn("tune", tune)), "grams")))
+    x = evidence(rows, ratio)
+    got = x.join(_sample(learn.where(tune)), "id", "left_semi").join(learn, "id").select("x0", "toxic").toArrow()  # about CALIBRATE rows at most
     split = F.coalesce(held_out(F.col("id"), parts, held), F.lit(False)).alias("held_out")
+    seen, y = got["x0"].to_numpy(), got["toxic"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
-        share = labels.where(~held_out(key, parts, held)).where(F.col(label_col).isin(0, 1)).agg(F.coalesce(F.avg(label_col), F.lit(0.0))).first()[0]
-        return rows.select("id", split, F.lit(float(share)).alias("score"))
-    return x.select("id", split, Logistic().fit(known, y).score(F.col("x1")).alias("score"))
+        share = known.agg(F.coalesce(F.avg(label_col), F.lit(0.0))).first()[0]
+        return x.select("id", split, F.lit(float(share)).alias("score"))
+    return x.select("id", split, Logistic().fit(seen, y).score(F.col("x1")).alias("score"))
 
 
 def _sample(ids: DataFrame, most: int = CALIBRATE) -> DataFrame:
