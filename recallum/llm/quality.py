@@ -7,8 +7,11 @@ log-densities (Mahalanobis terms by the cached factors) plus the log prior.
 
 Moments are summed by task and then by Spark, so all labelled rows take part and
 only two small matrices reach the driver.  Defined results: a null text counts
-as empty and has statistics (and so a score) like any other; labels other than 0
-and 1 are left out; without two labelled classes every score is the share of 1.
+as empty and has statistics (and so a score) like any other, and very long texts
+are read whole; equal texts score alike; a repeated or null id keeps a row each; other
+columns are ignored; an empty table gives no rows; labels other than 0 and 1 are left
+out, and of several labels of an id the largest counts; without two labelled classes
+every score is the share of 1.
 """
 
 from __future__ import annotations
@@ -60,15 +63,15 @@ def statistics(text: str | None) -> np.ndarray:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` → (id, x array<double>)."""
+    """`docs` → (id, h, x array<double>); h tells rows that repeat an id from one another by a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.stack([statistics(t.as_py()) for t in b.column(1)]) if b.num_rows else np.zeros((0, len(NAMES)))
+            x = np.stack([statistics(t.as_py()) for t in b.column(2)]) if b.num_rows else np.zeros((0, len(NAMES)))
             at = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(NAMES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(at, pa.array(x.ravel()))], names=["id", "h", "x"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, x array<double>")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, h bigint, x array<double>")
 
 
 class Discriminant:
@@ -139,15 +142,15 @@ def held_out(id_col: Column, parts: int, held: int) -> Column:
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", parts: int = 4, held: int = 2, model: Discriminant | None = None) -> DataFrame:
-    """`docs` and `labels` → (id, held_out, score): labels of held-out rows are never read."""
+    """`docs` and `labels` → (id, h, held_out, score), h a hash of the text: labels of held-out rows are never read."""
     x = cut(features(docs, id_col, text_col))
     learn = labels.where(~held_out(F.col(id_col), parts, held)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     fitted = (model or Discriminant()).fit(moments(x.join(learn, "id").select("x", "label")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fitted.score(rows))], names=["id", "score"])
+            rows = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fitted.score(rows))], names=["id", "h", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return x.mapInArrow(run, f"id {kind}, score double").select("id", F.coalesce(held_out(F.col("id"), parts, held), F.lit(False)).alias("held_out"), "score")
+    return x.mapInArrow(run, f"id {kind}, h bigint, score double").select("id", "h", F.coalesce(held_out(F.col("id"), parts, held), F.lit(False)).alias("held_out"), "score")

@@ -19,7 +19,6 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -252,24 +251,22 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), np.uint64, len(joined)))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """`docs` → (id, key, sets binary, fp): a hash of the text, its word-set fingerprints, and the fingerprint of its shingles."""
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(id, text) → (id, sets binary, fp): a text's word-set fingerprints, and the fingerprint of its shingles."""
     salts = _mix(np.arange(1, SETS + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sets, fps = [], [], []
+            sets, fps = [], []
             for t in b.column(1):
                 text = t.as_py() or ""
                 found = set(text.encode().lower().split())
                 h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in found), np.uint64, len(found))
-                keys.append(hashlib.md5(text.encode(), usedforsecurity=False).digest())
                 sets.append(_majority(_mix(h[None, :] ^ salts[:, None])).tobytes())
                 fps.append(_majority(_mix(shingles(text, words))[None, :])[0])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "key", "sets", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "sets", "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, key binary, sets binary, fp bigint")
+    return texts.select("id", "text").mapInArrow(run, "id bigint, sets binary, fp bigint")
 
 
 def _neighbours(a: np.ndarray, fp: np.ndarray, prefix: int, bits: int, radius: int) -> np.ndarray:
@@ -462,29 +459,45 @@ def alike(texts: DataFrame, pairs: DataFrame, similarity: float, words: int) ->
     return joined.select("a", "b", "s_a", "s_b").mapInArrow(verified, "src bigint, dst bigint")
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that equal texts have in common; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """`docs` → (id, component): equal texts and, through links, texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    """`docs` → (id, key, component, first_key): equal texts and, through links, texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
     Ball hashing of several word-set fingerprints links most near texts.  Then
     every other pair is reached by the rare shingles that two similar texts must
     share: first each text with one other of each shingle's, then all pairs of
     different components.  Every link is verified on the whole shingle sets of
-    both texts.  The id is a bigint; a component is its smallest id; texts without
-    words are all equal to one another if they are equal as strings, and similar to
-    nothing else.
+    both texts.
+
+    A row is known by its id and `key` (`text_key`), so rows that repeat an id with
+    another text are judged by their own; rows that repeat both are one here.  A
+    group's document is the row with the smallest (id, key), null ids last:
+    `component` and `first_key`.  Texts without words are all equal to one another
+    if they are equal as strings, and similar to nothing else.
     """
-    got = cut(sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words))
-    first = got.groupBy("key").agg(F.min("id").alias("first"))
-    known = cut(got.join(first, "key").select("id", "first", "sets", "fp"))
-    own = known.where("id = first").dropDuplicates(["id"])
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(hinted(cut(own.select("id"))), "id", "left_semi")
-    links = cut(alike(texts, cut(candidates(own)), similarity, words))
+    rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    # Distinct texts are numbered once; later reads of the texts find the numbers by key.
+    known = cut(rows.select("id", "key").distinct())
+    node = cut(cut(known.select("key").distinct()).select("key", F.monotonically_increasing_id().alias("node")))
+    # One row of each text, by its smallest id, so that copies are not worked through again.
+    own = known.groupBy("key").agg(F.min("id").alias("id")).join(node, "key")
+    named = hinted(cut(own))
+    texts = rows.join(named.withColumnRenamed("id", "own"), (rows["key"] == named["key"]) & rows["id"].eqNullSafe(F.col("own"))).select(F.col("node").alias("id"), "text")
+    sketched = cut(sketches(texts, words).dropDuplicates(["id"]))
+    links = cut(alike(texts, cut(candidates(sketched)), similarity, words))
     comp = cut(connected_components(links))
     rare = cut(prefixes(texts, similarity, words).dropDuplicates(["id"]))
     for met in (star_pairs, all_pairs):
-        rows = rare.join(hinted(comp.withColumnRenamed("node", "id")), "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "n", F.posexplode("toks").alias("at", "tok"))
-        more = cut(alike(texts, cut(met(rows, similarity)), similarity, words))
+        at = rare.join(hinted(comp.withColumnRenamed("node", "id")), "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "n", F.posexplode("toks").alias("at", "tok"))
+        more = cut(alike(texts, cut(met(at, similarity)), similarity, words))
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = cut(connected_components(links))
-    return known.join(comp.withColumnRenamed("node", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))
+    of = node.join(hinted(comp), "node", "left").select("key", F.coalesce("component", "node").alias("root"))
+    placed = cut(known.join(of, "key"))
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
+    return placed.join(first, "root").select("id", "key", F.col("first.id").alias("component"), F.col("first.key").alias("first_key"))

@@ -24,7 +24,8 @@ words are joined with it, then the words of each text with those; both give the
 same scores.
 
 Defined results: a null, empty or wordless text has no evidence, and a score by
-the logistic function's value there; a repeated id keeps a row each; other
+the logistic function's value there; very long texts are read whole; a repeated or
+null id keeps a row each; of several labels of an id the largest counts; other
 columns are ignored; an empty table gives no rows; labels other than 0 and 1 are
 left out; without labels of both classes every score is the share of toxic labels.
 """
@@ -202,32 +203,32 @@ class Model:
 
 
 def evidence_of(docs: DataFrame, model: Model) -> DataFrame:
-    """(id, text) → (id, x0, x1), by a model that every worker holds."""
+    """(id, h, text) → (id, h, x0, x1), by a model that every worker holds."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
-            x = sent.value.evidence(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["id", "x0", "x1"])
+            x = sent.value.evidence(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["id", "h", "x0", "x1"])
 
-    got = cut(docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, x0 double, x1 double"))
+    got = cut(docs.select("id", "h", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h bigint, x0 double, x1 double"))
     sent.destroy()  # the rows lie in the shared folder
     return got
 
 
 def evidence_by_joins(docs: DataFrame, ratio: DataFrame) -> DataFrame:
-    """(id, text) → (id, x0, x1), for a table of ratios of any size: its distinct words meet it, then the words of each row those."""
+    """(id, h, text) → (id, h, x0, x1), for a table of ratios of any size: its distinct words meet it, then the words of each row those."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             words, many, sizes = [], [], []
-            for text in b.column(2).to_pylist():
+            for text in b.column(3).to_pylist():
                 c = Counter(WORD.findall((text or "").lower())) or {None: 0}
                 words += c
                 many += c.values()
                 sizes.append(len(c))
             at = pa.array(np.repeat(np.arange(b.num_rows), sizes))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(words, pa.string()), pa.array(many, pa.int64())], names=["row", "id", "word", "n"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(3)), pa.array(words, pa.string()), pa.array(many, pa.int64())], names=["row", "id", "h", "word", "n"])
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, 4096) for whole in batches for k in range(0, whole.num_rows, 4096)):
@@ -236,19 +237,19 @@ def evidence_by_joins(docs: DataFrame, ratio: DataFrame) -> DataFrame:
                 size, g = grams(words)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(words)), size))), pa.array(g), pa.array(g >> 8 | CONTEXT)], names=["word", "g", "ctx"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    used = rows.mapInArrow(each, f"row bigint, id {docs.schema['id'].dataType.simpleString()}, word string, n bigint")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "h", "text")
+    used = rows.mapInArrow(each, f"row bigint, id {docs.schema['id'].dataType.simpleString()}, h bigint, word string, n bigint")
     asked = used.where("word IS NOT NULL").select("word").distinct().mapInArrow(spelled, "word string, g bigint, ctx bigint")
     own, near = ratio.select(F.col("h").alias("g"), F.col("r0").alias("a0"), F.col("r1").alias("a1")), ratio.select(F.col("h").alias("ctx"), F.col("r0").alias("b0"), F.col("r1").alias("b1"))
     found = asked.join(own, "g", "left").join(near, "ctx", "left")
     by_word = found.groupBy("word").agg(*[F.sum(F.coalesce(f"a{k}", f"b{k}", F.lit(0.0))).alias(f"r{k}") for k in (0, 1)])
     value = lambda k: F.log1p(F.lit(MIX) * F.expm1(F.least(F.col(f"r{k}"), F.lit(CAP))))
     mean = lambda k: F.coalesce(F.sum(value(k) * F.col("n")) / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias(f"x{k}")
-    return cut(used.join(hinted(cut(by_word)), "word", "left").groupBy("row", "id").agg(mean(0), mean(1)).drop("row"))
+    return cut(used.join(hinted(cut(by_word)), "word", "left").groupBy("row", "id", "h").agg(mean(0), mean(1)).drop("row"))
 
 
 def evidence(docs: DataFrame, ratio: DataFrame, most: int = MODEL) -> DataFrame:
-    """(id, text) and `ratios` → (id, x0, x1): difference of the log-likelihoods a word, by variant."""
+    """(id, h, text) and `ratios` → (id, h, x0, x1): difference of the log-likelihoods a word, by variant."""
     if ratio.count() > most:
         return evidence_by_joins(docs, ratio)
     got = ratio.toArrow()
@@ -291,8 +292,8 @@ def held_out(id_col: Column, parts: int, held: int) -> Column:
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", parts: int = 3, held: int = 1) -> DataFrame:
-    """`docs` and `labels` → (id, held_out, score): labels of held-out rows are never read."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """`docs` and `labels` → (id, h, held_out, score), h a hash of the text that tells rows of one id apart: labels of held-out rows are never read."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     key = F.col(id_col)
     known = labels.where(~held_out(key, parts, held)).where(F.col(label_col).isin(0, 1))
     learn = hinted(cut(known.groupBy(key.alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))))
@@ -305,8 +306,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen, y = got["x0"].to_numpy(), got["toxic"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         share = known.agg(F.coalesce(F.avg(label_col), F.lit(0.0))).first()[0]
-        return x.select("id", split, F.lit(float(share)).alias("score"))
-    return x.select("id", split, Logistic().fit(seen, y).score(F.col("x1")).alias("score"))
+        return x.select("id", "h", split, F.lit(float(share)).alias("score"))
+    return x.select("id", "h", split, Logistic().fit(seen, y).score(F.col("x1")).alias("score"))
 
 
 def _sample(ids: DataFrame, most: int = CALIBRATE) -> DataFrame:

@@ -9,15 +9,21 @@ they lie in the same storage as all else and a lost executor loses none.
 
 Defined results: a null payload counts as empty and empty payloads are equal; a
 null URL is written as `urn:row:<id>`; rows that repeat an id are records each,
-and all of them are the response if theirs is the smallest id; no rows, no archives.
+and all of them are the response if theirs is the smallest id; a null id is never
+the smallest, unless all ids of a payload are null, which are responses then; other
+columns are ignored; no rows, no archives.  The normaliser takes streams of any
+number of members; a stream that ends within a record raises EOFError.
 """
 
 from __future__ import annotations
 
 import base64
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -47,32 +53,64 @@ def record(row_id: object, url: str | None, payload: bytes, digest: str, first:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + head + payload + b"\r\n\r\n"
 
 
-def spans(stream: bytes) -> Iterator[tuple[int, int]]:
-    """(start, end) of each record of an inflated archive, by its Content-Length."""
-    at = 0
-    while at < len(stream):
-        body = stream.index(b"\r\n\r\n", at) + 4
-        end = body + int(fields(stream[at:body])["content-length"]) + 4
-        yield at, end
-        at = end
-
-
 def fields(head: bytes) -> dict[str, str]:
     return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:]) if k}
 
 
-def normalise(gz: bytes, level: int = LEVEL) -> tuple[bytes, list[int], list[int]]:
-    """A whole-file gzip stream → (one member for each record, their offsets, their lengths)."""
-    stream = zlib.decompress(gz, 31)
-    out, offsets, lengths, at = [], [], [], 0
-    for a, b in spans(stream):
+def inflated(gz: bytes | BinaryIO, size: int = 1 << 18) -> Iterator[bytes]:
+    """The content of all gzip members of a stream, one after another, in blocks of at most `size` bytes."""
+    source = io.BytesIO(gz) if isinstance(gz, bytes) else gz
+    d, data = None, b""
+    while True:
+        data = data or source.read(size)
+        if d is None:
+            data = data.lstrip(b"\0") if data else data  # padding between or after members
+            if not data:
+                if not (data := source.read(size)):
+                    return
+                continue
+            d = zlib.decompressobj(31)
+        if not data and not d.unconsumed_tail:
+            raise EOFError("the archive ends within a member")
+        if block := d.decompress(data, size):
+            yield block
+        data = d.unconsumed_tail
+        if d.eof:
+            data, d = d.unused_data, None
+
+
+def records(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """Whole records of an inflated archive, by their Content-Length; one is held at a time."""
+    held, need, ended = bytearray(), None, False
+    while True:
+        if need is None:
+            # Line ends between records belong to none of them.
+            while held[:2] == b"\r\n":
+                del held[:2]
+            if (at := held.find(b"\r\n\r\n")) >= 0:
+                need = at + 4 + int(fields(bytes(held[: at + 4]))["content-length"]) + 4
+        if need is not None and len(held) >= need:
+            yield bytes(held[:need])
+            del held[:need]
+            need = None
+            continue
+        if ended:
+            if need is not None or held.strip():
+                raise EOFError("the archive ends within a record")
+            return
+        if (block := next(blocks, None)) is None:
+            ended = True
+            if need is not None and len(held) >= need - 4:
+                held += b"\r\n\r\n"  # the last record without its line ends
+        else:
+            held += block
+
+
+def normalise(gz: bytes | BinaryIO, level: int = LEVEL) -> Iterator[bytes]:
+    """A gzip stream of any number of members, inflated once → a gzip member for each record."""
+    for r in records(inflated(gz)):
         c = zlib.compressobj(level, zlib.DEFLATED, 31)
-        member = c.compress(stream[a:b]) + c.flush()
-        out.append(member)
-        offsets.append(at)
-        lengths.append(len(member))
-        at += len(member)
-    return b"".join(out), offsets, lengths
+        yield c.compress(r) + c.flush()
 
 
 def flagged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -110,27 +148,45 @@ def write(rows: DataFrame, size: int = ARCHIVE, level: int = LEVEL) -> DataFrame
     return rows.select("id", "url", "html", "sha1", "first").mapInArrow(run, "archive string, gz binary")
 
 
-def normalised(archives: DataFrame, level: int = LEVEL) -> DataFrame:
-    """Monolithic archives → (archive, gz, offsets, lengths): a member for each record, and the index."""
+def normalised(archives: DataFrame, level: int = LEVEL, size: int = ARCHIVE) -> DataFrame:
+    """Monolithic archives → (archive, start, gz, offsets, lengths): a member for each record, in stretches of about `size` bytes from `start` on; offsets count from the archive's begin."""
+    names = ["archive", "start", "gz", "offsets", "lengths"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stretch(name: str, start: int, members: list[bytes]) -> pa.RecordBatch:
+            lengths = list(map(len, members))
+            offsets = [start, *(start + x for x in accumulate(lengths[:-1]))]
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([start], pa.int64()), pa.array([b"".join(members)], pa.binary()), pa.array([offsets], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64()))], names=names)
+
         for b in batches:
             for name, gz in zip(*b.columns, strict=True):
-                out, offsets, lengths = normalise(gz.as_py(), level)
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([out], pa.binary()), pa.array([offsets], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64()))], names=["archive", "gz", "offsets", "lengths"])
+                start, held, members = 0, 0, []
+                for member in normalise(pa.BufferReader(gz.as_buffer()), level):
+                    members.append(member)
+                    held += len(member)
+                    if held >= size:
+                        yield stretch(name.as_py(), start, members)
+                        start, held, members = start + held, 0, []
+                if members:
+                    yield stretch(name.as_py(), start, members)
+
+    return archives.select("archive", "gz").mapInArrow(run, "archive string, start bigint, gz binary, offsets array<bigint>, lengths array<bigint>")
+
 
-    return archives.select("archive", "gz").mapInArrow(run, "archive string, gz binary, offsets array<bigint>, lengths array<bigint>")
+def index(archives: DataFrame) -> DataFrame:
+    """Normalised archives → the sidecar: (archive, start, offset, length) of each record."""
+    return archives.select("archive", "start", F.explode(F.arrays_zip("offsets", "lengths")).alias("x")).select("archive", "start", F.col("x.offsets").alias("offset"), F.col("x.lengths").alias("length"))
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """Normalised archives → a row for each record, got by its index entry: (archive, offset, row, record_type, url, payload_bytes, payload_digest, refers_to, payload binary)."""
+    """Normalised archives → a row for each record, got by its offset: (archive, offset, row, record_type, url, payload_bytes, payload_digest, refers_to, payload binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, gz, offsets, lengths in zip(*b.columns, strict=True):
-                data, out = gz.as_py(), []
+            for name, start, gz, offsets, lengths in zip(*b.columns, strict=True):
+                data, first, out = memoryview(gz.as_buffer()), start.as_py(), []
                 for at, n in zip(offsets.as_py(), lengths.as_py(), strict=True):
-                    r = zlib.decompress(data[at : at + n], 31)
+                    r = zlib.decompress(data[at - first : at - first + n], 31)
                     body = r.index(b"\r\n\r\n") + 4
                     f = fields(r[:body])
                     block = r[body : body + int(f["content-length"])]
@@ -139,9 +195,11 @@ def read(archives: DataFrame) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["archive", "offset", "row", "record_type", "url", "payload_bytes", "payload_digest", "refers_to", "payload"])
 
-    return archives.select("archive", "gz", "offsets", "lengths").mapInArrow(run, "archive string, offset bigint, row string, record_type string, url string, payload_bytes bigint, payload_digest string, refers_to string, payload binary")
+    return archives.select("archive", "start", "gz", "offsets", "lengths").mapInArrow(run, "archive string, offset bigint, row string, record_type string, url string, payload_bytes bigint, payload_digest string, refers_to string, payload binary")
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """`pages` → normalised archives with their index, written to the shared folder."""
-    return written(normalised(write(flagged(pages, id_col, url_col, html_col))), "warc")
+    """`pages` → normalised archives, written to the shared folder with a table `warc-index` of their records' offsets."""
+    made = written(normalised(write(flagged(pages, id_col, url_col, html_col))), "warc")
+    written(index(made), "warc-index")
+    return made

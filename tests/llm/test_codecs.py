@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import tiktoken
 from oracle import connect, same
 from pyspark.sql import functions as F
@@ -142,7 +143,7 @@ def test_bloom_has_no_false_negatives_and_few_positives(spark):
 
 def test_warc(spark, sf):
     same(queries.op8_warc(spark, sf), queries.OP8_SQL, connect(sf))
-    rows = [(5, "http://a/", "same"), (3, None, "same"), (9, "http://b/\r\nX: y", None), (7, "http://c/", ""), (1, "http://d/", "é" * 9000), (1, "http://d/", "é" * 9000), (11, "u", "\r\n\r\nWARC/1.1\r\n")]
+    rows = [(5, "http://a/", "same"), (3, None, "same"), (9, "http://b/\r\nX: y", None), (7, "http://c/", ""), (1, "http://d/", "é" * 9000), (1, "http://d/", "é" * 9000), (11, "u", "\r\n\r\nWARC/1.1\r\n"), (None, "n", "same"), (None, "n", "alone")]
     pages = spark.createDataFrame([(*r, "resp") for r in rows], "page_id bigint, url string, html string, record_type string")
     made = warc.archive(pages)
     got = {r.row: r for r in warc.read(made).collect()}
@@ -152,16 +153,34 @@ def test_warc(spark, sf):
     assert warc.read(made).where("row = '1' AND record_type = 'response'").count() == 2
     for a in made.collect():
         for at, n in zip(a.offsets, a.lengths, strict=True):
-            assert gzip.GzipFile(fileobj=io.BytesIO(a.gz[at : at + n])).read().startswith(b"WARC/1.1\r\n")
+            assert gzip.GzipFile(fileobj=io.BytesIO(a.gz[at - a.start : at - a.start + n])).read().startswith(b"WARC/1.1\r\n")
     assert warc.read(warc.archive(pages.limit(0))).count() == 0
     flagged = [r.asDict() for r in warc.flagged(pages).collect()]
-    assert len(flagged) == 7
+    assert len(flagged) == 9
+    assert sorted((r.record_type, r.refers_to) for r in warc.read(made).where("row = 'None'").collect()) == [("response", None), ("revisit", "3")]
 
 
 def test_normaliser_keeps_every_record():
     records = [warc.record(k, f"http://x/{k}", b"p" * k, "D", k, True) for k in range(50)]
-    out, offsets, lengths = warc.normalise(gzip.compress(b"".join(records)))
-    assert [gzip.decompress(out[a : a + n]) for a, n in zip(offsets, lengths, strict=True)] == records
+    records[7] = warc.record(7, "http://x/7", bytes(range(256)) * 9000, "D", 7, True)
+    whole, three = gzip.compress(b"".join(records)), gzip.compress(b"".join(records[:20])) + gzip.compress(b"".join(records[20:21])) + bytes(9) + gzip.compress(b"".join(records[21:])) + bytes(600)
+    for gz in (whole, three, b"".join(map(gzip.compress, records)), io.BytesIO(three)):
+        assert [gzip.decompress(x) for x in warc.normalise(gz)] == records
+    assert list(warc.normalise(b"")) == []
+    for broken in (whole[:-2000], gzip.compress(b"".join(records)[:-60])):
+        with pytest.raises(EOFError):
+            list(warc.normalise(broken))
+
+
+def test_archives_in_stretches(spark):
+    records = [warc.record(k, f"http://x/{k}", f"payload {k} ".encode() * 40, "D", k, True) for k in range(90)]
+    gz = gzip.compress(b"".join(records[:45])) + gzip.compress(b"".join(records[45:]))
+    made = warc.normalised(spark.createDataFrame([("a", gz), ("b", gz)], "archive string, gz binary"), size=4000).cache()
+    assert made.count() > 4 and warc.index(made).count() == 180
+    file = b"".join(bytes(r.gz) for r in made.where("archive = 'b'").orderBy("start").collect())
+    for r in warc.index(made.where("archive = 'b'")).collect():
+        assert gzip.decompress(file[r.offset : r.offset + r.length]) in records
+    assert sorted((r.archive, int(r.row)) for r in warc.read(made).collect()) == [(a, k) for a in "ab" for k in range(90)]
 
 
 def packed_well(got, want, capacity=packing.CAPACITY):

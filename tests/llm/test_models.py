@@ -126,7 +126,7 @@ def test_evidence_against_plain_kneser_ney(spark):
     rows = spark.createDataFrame([(*r, k % 3 == 0) for k, r in enumerate(TEXTS)], "text string, toxic int, tune boolean")
     ratio = toxicity.ratios(toxicity.gram_counts(rows)).cache()
     asked = [t for t, _ in TEXTS] + ["Scums idioten goods", "xyz q", "12 !?"]
-    docs = spark.createDataFrame(list(enumerate(asked)), "id bigint, text string")
+    docs = spark.createDataFrame([(k, 0, t) for k, t in enumerate(asked)], "id bigint, h bigint, text string")
     by = plain_kneser_ney(TEXTS)
     # The two ways, with a table on every worker and by joins, give the same.
     for most in (toxicity.MODEL, 0):
