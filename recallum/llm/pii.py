@@ -5,40 +5,50 @@ check digits, octets, calendar) is permuted within its own format by a keyed
 Feistel network, so that equal values have equal pseudonyms in every document and
 different ones differ:
 
-* card: first digit kept, the others but the check digit permuted, Luhn recomputed
+* card: first digit kept, or the first two where the first is 2, 3 or 5 (those tell the kind of card), the others but the check digit permuted, Luhn recomputed
 * iban: country and letters kept, digits of the account permuted, check digits recomputed
-* ip: a permutation of all 2^32 addresses
+* ip: a permutation of all 2^32 addresses; ip6: its hexadecimal digits permuted in base 16
 * date: a permutation of the 270 * 271 days from 1900-01-01 in the same notation; `dd/mm` is tried before `mm/dd`
-* phone: the country code kept, the other digits permuted; ssn: area, group and serial permuted within their valid ranges
+* phone: the country calling code kept, the other digits permuted; ssn: area, group and serial permuted within their valid ranges
 * email: letters and digits before the @ permuted among letters and digits
 * secret: hexadecimal tokens in quotes, their digits permuted in base 16
 
-Punctuation, spaces, upper case and lengths stay.  Defined results: a null text
-stays null with no kinds; a text without candidates is unchanged; candidates that
-don't validate (16 digits that fail Luhn, 31 February) are unchanged.
+Punctuation, spaces, upper case and lengths stay.  The key is a parameter: whoever
+has it can invert the pseudonyms, so take it from `key_of`, and not from a text.
+
+Defined results: a null text stays null with no kinds; a text without candidates is
+unchanged; candidates that don't validate (16 digits that fail Luhn, 31 February) are
+unchanged; texts of any length are read whole; repeated rows and other columns are
+kept; of clashing names the column of kinds gets underscores until it is new; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ROUNDS = 8
+#: Setting with the key, and the published key that test tables take where it is not set.
+KEY, TEST_KEY = "spark.recallum.pii.key", "recallum"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Candidate patterns by kind; the first alternative that matches at a place counts.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]*+)@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": r"(?<=[\"'])[0-9a-f]{32,64}(?=[\"'])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?:[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)|[a-z]{2}\d{2}(?:[a-z0-9]{11,30}|(?: [a-z0-9]{4}){2,7}(?: [a-z0-9]{1,4})?))(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?![\w]|\.\d)",
-    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)",
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|(?:[0-9A-Fa-f]{1,4}:){1}(?::[0-9A-Fa-f]{1,4}){2,6})(?![\w:]|\.\d)",
+    "date": r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}(?:(?=T\d)|(?![\w/-]|\.\d))|(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d))",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 #: The pattern of a match by itself, where that differs.
-ALONE = {"secret": "[0-9a-f]{32,64}"}
+ALONE = {"secret": "[0-9a-f]{32,64}", "date": r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"}
+#: Country calling codes: the two-digit ones by first and second digit, 1 and 7, else three digits (fixed values).
+CALLING = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 EPOCH, DAYS = "1900-01-01", (270, 271)
@@ -134,7 +144,8 @@ def _mod97(s: Column) -> Column:
 def _card(m: Column, key: str) -> Column:
     def valid(d: Column) -> Column:
         n = F.length(d)
-        head, body = F.substring(d, 1, 1), F.substring(d, F.lit(2), n - 2)
+        kept = F.when(d.rlike("^[235]"), 2).otherwise(1)
+        head, body = F.substring(d, F.lit(1), kept), F.substring(d, kept + 1, n - 1 - kept)
         payload = F.concat(head, _permuted(body, DIGITS, key, "card", head, 18))
         new = _let(payload, lambda p: F.concat(p, _luhn(p)))
         return F.when(F.substring(d, n, F.lit(1)) == _luhn(F.substring(d, F.lit(1), n - 1)), _laid(m, new, "0-9")).otherwise(m)
@@ -149,7 +160,7 @@ def _iban(m: Column, key: str) -> Column:
         digits = _let(new, lambda x: F.concat(F.lpad((98 - _mod97(F.concat(x, land, F.lit("00")))).cast("string"), 2, "0"), _only(x, "0-9")))
         return F.when(_mod97(F.concat(account, F.substring(flat, 1, 4))) == 1, _laid(m, digits, "0-9")).otherwise(m)
 
-    return _let(F.regexp_replace(m, " ", ""), valid)
+    return _let(F.upper(F.regexp_replace(m, " ", "")), valid)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -198,7 +209,7 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1)
+    code = F.regexp_extract(_only(m, "0-9+"), CALLING, 1)
     digits = lambda d: F.concat(code, _permuted(F.substring(d, F.length(code) + 1, F.length(d)), DIGITS, key, "phone", code, 18))
     return _laid(m, _let(_only(m, "0-9"), digits), "0-9")
 
@@ -214,15 +225,32 @@ def _email(m: Column, key: str) -> Column:
     return _let(_permuted(_only(low, "a-z"), LETTERS, key, "letters", F.concat_ws("@", _only(low, "0-9"), place), 20), named)
 
 
+def _ip6(m: Column, key: str) -> Column:
+    return _laid(m, _permuted(F.lower(_only(m, "0-9A-Fa-f")), HEX, key, "ip6", F.lit(""), 24), "0-9A-Fa-f")
+
+
 def _secret(m: Column, key: str) -> Column:
     return _permuted(m, HEX, key, "secret", F.lit(""), 24)
 
 
-KINDS: dict[str, Callable[[Column, str], Column]] = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+KINDS: dict[str, Callable[[Column, str], Column]] = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "ip6": _ip6, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key in the session's settings; the published one serves tests only."""
+    return spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, TEST_KEY)
+
+
+def _new(name: str, taken: list[str]) -> str:
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
-def pseudonyms(docs: DataFrame, text_col: str = "text", key: str = "recallum", out: str | None = None, kinds_col: str = "pii_kinds") -> DataFrame:
-    """`docs` with the values in `text_col` (or a copy of it in `out`) replaced, and the kinds of those that changed, in order, in `kinds_col`."""
+def pseudonyms(docs: DataFrame, key: str, text_col: str = "text", out: str | None = None, kinds_col: str = "pii_kinds") -> DataFrame:
+    """`docs` with the values in `text_col` (or a copy of it in `out`) replaced, and the kinds of those that changed, in order, in `kinds_col` (or the next new name)."""
+    kinds_col = _new(kinds_col, [*docs.columns, *([out] if out else [])])
+    found_col = _new("pii_found", [*docs.columns, kinds_col, *([out] if out else [])])
 
     def one(m: Column) -> Column:
         kind = None
@@ -240,8 +268,8 @@ def pseudonyms(docs: DataFrame, text_col: str = "text", key: str = "recallum", o
     text = F.col(text_col)
     some = text.rlike("[0-9@]")
     found = F.when(some, F.transform(F.regexp_extract_all(text, F.lit(f"({ALL})"), F.lit(1)), one))
-    rows = docs.withColumn("__found", found)
+    rows = docs.withColumn(found_col, found)
     between = F.split(text, ALL, -1)
-    spelled = F.array_join(F.transform(between, lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col("__found.new"), i), F.lit("")))), "")
-    changed = F.filter("__found", lambda x: x["new"] != x["old"])
-    return rows.withColumns({out or text_col: F.when(F.size("__found") > 0, spelled).otherwise(text), kinds_col: F.coalesce(F.transform(changed, lambda x: x["kind"]), F.array().cast("array<string>"))}).drop("__found")
+    spelled = F.array_join(F.transform(between, lambda gap, i: F.concat(gap, F.coalesce(F.get(F.col(f"{found_col}.new"), i), F.lit("")))), "")
+    changed = F.filter(found_col, lambda x: x["new"] != x["old"])
+    return rows.withColumns({out or text_col: F.when(F.size(found_col) > 0, spelled).otherwise(text), kinds_col: F.coalesce(F.transform(changed, lambda x: x["kind"]), F.array().cast("array<string>"))}).drop(found_col)

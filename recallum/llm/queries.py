@@ -20,7 +20,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonyms(docs).select("doc_id", "text", F.array_join("pii_kinds", ",").alias("kinds"), F.size("pii_kinds").alias("n_changed"))
+    return pii.pseudonyms(docs, pii.key_of(spark)).select("doc_id", "text", F.array_join("pii_kinds", ",").alias("kinds"), F.size("pii_kinds").alias("n_changed"))
 
 
 def op3_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
