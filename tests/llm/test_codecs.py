@@ -90,12 +90,93 @@ def test_mpeg_payload_that_looks_like_a_tag(spark):
     assert bytes(mpeg.decode(mpeg.encode(docs)).first().payload) == payload
 
 
+def crc_by_division(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1) ^ (0x8005 if (c >> 15) ^ b else 0) & 0xFFFF
+        c &= 0xFFFF
+    return c
+
+
+def bits_of(data):
+    return [x >> k & 1 for x in data for k in range(7, -1, -1)]
+
+
+def stored(payload):
+    """The stored form of a payload, frame by frame: 24-bit silence, as the format's fields are laid out."""
+    head = bytes.fromhex("fff2d8c0")
+    check = crc_by_division(bits_of(head[2:] + bytes(9))).to_bytes(2, "big")
+    n = len(payload) // 576
+    frame = lambda body: (head + check + bytes(9) + body).ljust(648, b"\0")
+    toc = bytes(min(255, 256 * (p * (n + 1) // 100) // (n + 1)) for p in range(100))
+    xing = b"Xing" + (7).to_bytes(4, "big") + n.to_bytes(4, "big") + (648 * (n + 1)).to_bytes(4, "big") + toc
+    return b"ID3\x04\0\0\0\0\0\x13TSSE\0\0\0\x09\0\0\x03recallum" + frame(xing) + b"".join(frame(payload[k : k + 576]) for k in range(0, len(payload), 576))
+
+
+def test_mpeg_checksums_of_layers_one_and_two():
+    r = random.Random(7)
+    # (header, bits that the checksum covers after the header, by the standard's tables)
+    one = lambda mode: bytes((0xFF, 0xFE, 9 << 4, mode << 6))
+    for head, covered in ((one(3), 128), (one(0), 256), (bytes((0xFF, 0xFE, 9 << 4, 1 << 6 | 1 << 4)), 4 * (16 + 24))):
+        size = mpeg.header(head)[0]
+        frames = b""
+        for k in range(3):
+            body = bytes(r.randrange(256) for _ in range(size - 6))
+            good = crc_by_division(bits_of(head[2:]) + bits_of(body)[:covered])
+            frames += head + (good ^ (k == 1)).to_bytes(2, "big") + body
+        got = mpeg.read(frames)
+        assert (got["frames"], got["good"], got["bad"], got["samples"]) == (3, 2, 1, 3 * 384)
+    # Layer II, 44.1 kHz, mono, 32 kbit/s: 8 subbands of 4, 4, 3, … bits; two of them allocated.
+    head = bytes((0xFF, 0xFC, 1 << 4, 3 << 6))
+    size = mpeg.header(head)[0]
+    allocation = [0, 1, 0, 0] + [0] * 4 + [1, 1, 0] + [0] * 15
+    body = int("".join(map(str, allocation + [1, 0, 0, 1] + [0] * 2)), 2).to_bytes(4, "big") + bytes(size - 10)
+    good = crc_by_division(bits_of(head[2:]) + bits_of(body)[: 26 + 4])
+    got = mpeg.read((head + good.to_bytes(2, "big") + body) * 2 + head + (good ^ 3).to_bytes(2, "big") + body)
+    assert (got["frames"], got["good"], got["bad"]) == (3, 2, 1)
+
+
+def test_mpeg_tags_and_tables():
+    payload = bytes(range(250)) * 9 + bytes(54)
+    media = mpeg.write(payload)
+    frames = media[29:]
+    safe = lambda n: bytes((n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127))
+    title, art = b"TIT2" + (7).to_bytes(4, "big") + b"\0\0\x01\xff\xfeh\0i\0", b"APIC" + (300).to_bytes(4, "big") + b"\0\0" + bytes(300)
+    tag = b"ID3\x03\0\0" + safe(len(title + art)) + title + art
+    old = b"ID3\x02\0\0" + safe(9) + b"TT2\0\0\x03\0ab"
+    ape = b"APETAGEX" + (2000).to_bytes(4, "little") + (32).to_bytes(4, "little") + bytes(4) + bytes(12)
+    for before, tags, texts in ((tag, ["ID3v2.3"], {"TIT2": "hi", "APIC": ""}), (old, ["ID3v2.2"], {"TT2": "ab"}), (old + tag, ["ID3v2.2", "ID3v2.3"], {"TT2": "ab", "TIT2": "hi", "APIC": ""}), (b"", [], {})):
+        for after, more in ((b"", []), (b"TAG" + bytes(125), ["ID3v1"]), (ape, ["APE"]), (ape + b"TAG" + bytes(125), ["ID3v1", "APE"])):
+            got = mpeg.read(before + frames + after)
+            assert got["payload"] == payload and got["tags"] == tags + more and got["texts"] == texts and got["skipped"] == 0
+    # A table with encoder delay and padding makes the duration exact.
+    at = mpeg.START + 8 + 4 + 4 + 100
+    lame = bytearray(frames)
+    lame[mpeg.START + 4 : mpeg.START + 8] = (7).to_bytes(4, "big")
+    lame[at : at + 24] = b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3, "big")
+    got = mpeg.read(bytes(lame))
+    assert got["table"]["encoder"] == "LAME3.100" and got["seconds"] == pytest.approx((4 * 576 - 1576) / 16000)
+    # VBRI: a frame of MPEG-1 Layer III, 128 kbit/s, with counts and a seek table.
+    head = bytes((0xFF, 0xFB, 0x90, 0x00))
+    body = bytearray(417)
+    body[:4] = head
+    body[36:62] = b"VBRI" + bytes((0, 1, 0, 0, 0, 75)) + (5000).to_bytes(4, "big") + (9).to_bytes(4, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (2).to_bytes(2, "big") + bytes(2)
+    body[62:68] = b"".join(x.to_bytes(2, "big") for x in (100, 200, 300))
+    plain = bytes(head) + bytes(413)
+    got = mpeg.read(bytes(body) + plain * 2)
+    assert got["table"] == {"kind": "VBRI", "frames": 9, "bytes": 5000, "toc": [200, 400, 600]} and got["frames"] == 2
+
+
 def test_op4_against_brute_force(spark, sf, docs, odd, none):
     for r, t in zip(queries.op4_mpeg(spark, sf).orderBy("doc_id").collect(), [r.text for r in docs.orderBy("doc_id").collect()], strict=True):
         raw = (t or "").encode()
         p = raw + b"\xff" * (-len(raw) % 576 or (576 if not raw else 0))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
-        assert r.media_sha256 == hashlib.sha256(mpeg.write(p)).hexdigest()
+        media = stored(p)
+        assert (r.media_sha256, r.media_bytes) == (hashlib.sha256(media).hexdigest(), len(media))
+        n = len(p) // 576
+        seek = hashlib.sha256(",".join(str(29 + 648 * k) for k in range(1, n + 1)).encode()).hexdigest()[:16]
+        assert r.feature == f"ID3v2.4:Xing:{n}:{n}:{576 * n}:16000:144:{n + 1}:0:0:{seek}" and r.duration_s == pytest.approx(576 * n / 16000)
     assert mpeg.decode(mpeg.encode(odd)).count() == 18 and mpeg.decode(mpeg.encode(none)).count() == 0
 
 
