@@ -64,10 +64,16 @@ def proximity(text: Column, terms: Column) -> Column:
     return F.when(F.size(at) < 2, 0).when(full & (span <= 150), 30).when(full & (span <= 350), 20).when(full & (span <= 700), 8).when(span <= 150, 10).otherwise(0)
 
 
+def proximity_bonus(found: Column, terms: Column, span: Column) -> Column:
+    """`proximity` from the number of terms found, of all terms, and the span of their first places."""
+    full = found == terms
+    return F.when(found < 2, 0).when(full & (span <= 150), 30).when(full & (span <= 350), 20).when(full & (span <= 700), 8).when(span <= 150, 10).otherwise(0)
+
+
 def mention_penalty(score: Column, text: Column, phrase: Column) -> Column:
     """Score times 0.45 where every occurrence of the phrase in the text stands in quotes, backticks or asterisks."""
     low, p = F.lower(text), F.lower(phrase)
-    escaped = F.concat(F.lit("\\Q"), p, F.lit("\\E"))
+    escaped = F.regexp_replace(p, r"([^\p{L}\p{N}\s_])", r"\\$1")
     every = F.size(F.regexp_extract_all(low, escaped, F.lit(0)))
     quoted = F.size(F.regexp_extract_all(low, F.concat(F.lit("[\"'`*«“]"), escaped, F.lit("[\"'`*»”]")), F.lit(0)))
     return F.when((every > 0) & (every == quoted) & p.contains(" "), F.round(score * 0.45, 4)).otherwise(score)

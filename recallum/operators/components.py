@@ -8,11 +8,27 @@ sit in one task (adaptive execution splits its join partition).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from recallum.sources.shared import cut
 
 
+def forest(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each index reaches by `root`, which points to smaller ones of its group, and links a-b; in one process."""
+    root = root.copy()
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        np.minimum.at(root, high, low)
+        while not np.array_equal(root, nxt := root[root]):
+            root = nxt
+
+
 def _star(edges: DataFrame, node: str, other: str) -> DataFrame:
     """Edges with the smallest neighbour `m` (or the node itself) beside each."""
     least = edges.groupBy(node).agg(F.least(F.min(other), F.col(node)).alias("m"))

@@ -1,8 +1,9 @@
 """Nearest neighbours by cosine: exact in blocks for a query table, and through an inverted-file index.
 
-The query table is the bounded side: its vectors go to the executors in blocks
-of at most `block` rows, every Arrow batch of the corpus is multiplied by a
-block at once, and only each batch's best rows leave it.
+The vectors of a query table go to the executors in blocks of counted size, every
+Arrow batch of the corpus is multiplied by a block at once, and only each batch's
+best rows leave it.  Links among all rows of a table are found by random
+hyperplanes instead, in buckets that are split while they are large.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from recallum.operators.components import connected_components, forest
+from recallum.sources.shared import cut, hinted, query_blocks
+
 SCORED = "qid bigint, id bigint, similarity double"
 
 
@@ -26,37 +30,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _queries(queries: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    got = queries.select("qid", "embedding").where("embedding IS NOT NULL").limit(most + 1).toArrow()
-    if got.num_rows > most:
-        raise ValueError(f"more than {most} query vectors: split the query table")
-    return got["qid"].to_numpy(), _matrix(got["embedding"].combine_chunks())
-
-
-def similarities(queries: DataFrame, corpus: DataFrame, lo: float = -2.0, hi: float = 2.0, k: int | None = None, most: int = 1 << 18, block: int = 1024) -> DataFrame:
+def similarities(queries: DataFrame, corpus: DataFrame, lo: float = -2.0, hi: float = 2.0, k: int | None = None, block: int = 1024) -> DataFrame:
     """(qid, id, similarity) with lo <= similarity <= hi; with k, at least each query's best k survive (see `knn`).
 
-    Vectors that are null, or of norm 0, are not compared.
+    Vectors that are null, or of norm 0, are not compared.  The query table goes
+    out in blocks of counted size, each of which reads the corpus once.
     """
-    ids, vectors = _queries(queries, most)
-    sent = queries.sparkSession.sparkContext.broadcast((ids, _unit(vectors)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = sent.value
-        for b in batches:
-            x = _unit(_matrix(b.column(1)))
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(qid), block):
-                s = q[at : at + block] @ x.T if len(x) else np.zeros((0, 0))
-                keep = (s >= lo) & (s <= hi)
-                if k is not None and s.shape[1] > k:
-                    masked = np.where(keep, s, -np.inf)
-                    least = np.partition(masked, -k, axis=1)[:, -k][:, None]
-                    keep &= masked >= least - 1e-9  # ties stay for the exact order
-                i, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[at : at + block][i]), pa.array(own[j]), pa.array(s[i, j])], names=["qid", "id", "similarity"])
+    rows, sc, out = corpus.select("id", "embedding").where("embedding IS NOT NULL"), queries.sparkSession.sparkContext, None
+    for got in query_blocks(queries.select("qid", "embedding").where("embedding IS NOT NULL"), ["qid", "embedding"], 1 << 16):
+        sent = sc.broadcast((got["qid"].to_numpy(), _unit(_matrix(got["embedding"].combine_chunks()))))
 
-    return corpus.select("id", "embedding").where("embedding IS NOT NULL").mapInArrow(run, SCORED)
+        def run(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
+            qid, q = sent.value
+            for b in batches:
+                x = _unit(_matrix(b.column(1)))
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                for at in range(0, len(qid), block):
+                    s = q[at : at + block] @ x.T if len(x) else np.zeros((0, 0))
+                    keep = (s >= lo) & (s <= hi)
+                    if k is not None and s.shape[1] > k:
+                        masked = np.where(keep, s, -np.inf)
+                        least = np.partition(masked, -k, axis=1)[:, -k][:, None]
+                        keep &= masked >= least - 1e-9  # ties stay for the exact order
+                    i, j = np.nonzero(keep)
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[at : at + block][i]), pa.array(own[j]), pa.array(s[i, j])], names=["qid", "id", "similarity"])
+
+        part = rows.mapInArrow(run, SCORED)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else rows.limit(0).mapInArrow(lambda batches: iter(()), SCORED)
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, lo: float = -2.0, hi: float = 2.0, other: bool = False, places: int = 6) -> DataFrame:
@@ -67,19 +68,93 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, lo: float = -2.0, hi: flo
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Bands of hyperplanes, and rows from which a bucket is split by further hyperplanes.
+BANDS, CROWDED = 40, 8192
+
+
+def near_links(corpus: DataFrame, least: float, bands: int = BANDS, bits: int | None = None, crowded: int = CROWDED) -> DataFrame:
+    """(id, embedding) of different vectors → links (src, dst) that join those of cosine `least` or more; verified exactly.
+
+    Vectors are hashed by `bands` sets of random hyperplanes of `bits` each (by
+    the table's size, at most 14); those that agree on a whole set meet in a
+    bucket, where a spanning forest of the pairs near enough is made.  A pair of
+    cosine 0.9 agrees on 10 hyperplanes with probability 0.21, so that 40 sets
+    miss it once in ten thousand; 14 hyperplanes miss 0.6 %.  Buckets above
+    `crowded` rows are split by up to 16 further hyperplanes: they hold many
+    vectors that are close to one another, which meet in other buckets too.
+    """
+    rows = corpus.select("id", "embedding").where("embedding IS NOT NULL")
+    n = rows.count()
+    bits = bits or int(min(14, max(4, (n // 64).bit_length())))
+    kind = corpus.schema["id"].dataType.simpleString()
+    width = rows.select(F.size("embedding").alias("n")).first()
+    planes = np.random.default_rng(20).standard_normal((bands, bits + 16, width.n if width else 1))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(a, 4096) for whole in batches for a in range(0, whole.num_rows, 4096)):
+            x = _unit(_matrix(b.column(1)))
+            packed = pa.array([v.tobytes() for v in x.astype(np.float64)], pa.binary())
+            for band in range(bands):
+                side = (x @ planes[band].T > 0).astype(np.int64) @ (1 << np.arange(bits + 15, -1, -1, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(band << 40 | side >> 16), pa.array(side & 0xFFFF), b.column(0), packed], names=["bucket", "more", "id", "v"])
+
+    sent = rows.mapInArrow(spread, f"bucket bigint, more bigint, id {kind}, v binary")
+    # A crowded bucket becomes buckets of its own by as many further hyperplanes as bring it below the bound on average.
+    sizes = rows.mapInArrow(lambda batches: (r.select(["bucket"]) for r in spread(batches)), "bucket bigint").groupBy("bucket").count().where(F.col("count") > crowded)
+    deep = sizes.select("bucket", F.least(F.lit(16), F.ceil(F.log2(F.col("count") / crowded)) + 1).cast("int").alias("deep"))
+    split = sent.join(hinted(cut(deep)), "bucket", "left").withColumn("part", F.expr("coalesce(more >> (16 - deep), 0)")).select("bucket", "part", "id", "v")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(ids: list, vectors: list[bytes]) -> pa.RecordBatch:
+            x = np.frombuffer(b"".join(vectors)).reshape(len(ids), -1)
+            root = np.arange(len(ids))
+            for a in range(0, len(x), 1024):
+                i, j = np.nonzero(x[a : a + 1024] @ x.T >= least - 1e-12)
+                later = j > i + a
+                root = forest(root, i[later] + a, j[later])
+            linked = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in root[linked]], like), pa.array([ids[k] for k in linked], like)], names=["src", "dst"])
+
+        now, ids, vectors, like = None, [], [], None
+        for b in batches:
+            like = b.column(2).type
+            for bucket, part, i, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (bucket, part) != now:
+                    if len(ids) > 1:
+                        yield solve(ids, vectors)
+                    now, ids, vectors = (bucket, part), [], []
+                ids.append(i)
+                vectors.append(v)
+        if len(ids) > 1:
+            yield solve(ids, vectors)
+
+    return split.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "id").mapInArrow(meet, f"src {kind}, dst {kind}").distinct()
+
+
+def near_classes(corpus: DataFrame, least: float, bands: int = BANDS) -> DataFrame:
+    """(id, embedding) → (id, component): the smallest id that each row reaches over links of cosine `least` or more; rows without a vector are alone."""
+    rows = corpus.select("id", "embedding")
+    # Equal vectors are one from here on.
+    own = cut(rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("id").alias("id")))
+    comp = connected_components(near_links(own, least, bands))
+    of = own.join(comp.withColumnRenamed("node", "id"), "id", "left").select("embedding", F.coalesce("component", "id").alias("component"))
+    return rows.join(of, "embedding", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 class Cells:
     """An inverted-file index: unit centroids fitted on a bounded sample; every row is put in its nearest cell."""
 
-    def __init__(self, cells: int = 16, sample: int = 20_000, rounds: int = 10) -> None:
-        self.cells, self.sample, self.rounds = cells, sample, rounds
+    def __init__(self, cells: int | None = None, sample: int = 20_000, rounds: int = 10) -> None:
+        self.cells, self.sample, self.rounds = cells, sample, rounds  # by default the square root of the number of rows
         self.centroids = np.zeros((0, 1))
 
     def fit(self, corpus: DataFrame) -> Cells:
         rows = corpus.select("id", "embedding").where("embedding IS NOT NULL")
         n = rows.count()
-        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n))) < self.sample).limit(self.sample).orderBy("id").toArrow()
+        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n))) < self.sample).orderBy(F.xxhash64("id"), "id").limit(2 * self.sample).toArrow()
         x = _unit(_matrix(some["embedding"].combine_chunks()))
-        c = x[:: max(1, len(x) // self.cells)][: self.cells]
+        cells = self.cells or max(1, min(4096, round(n**0.5)))
+        c = x[:: max(1, len(x) // cells)][:cells]
         for _ in range(self.rounds):
             at = (x @ c.T).argmax(1)
             c = _unit(np.stack([x[at == k].sum(0) if (at == k).any() else c[k] for k in range(len(c))]))

@@ -28,6 +28,11 @@ def linked(links: DataFrame) -> DataFrame:
     return links.select(F.col("src").alias("id")).union(links.select(F.col("dst").alias("id"))).distinct()
 
 
+def _free() -> Column:
+    """Not protected by level or flags; unknown ones protect nothing."""
+    return ~F.coalesce("level", F.lit("episodic")).isin("semantic", "automatic") & ~F.coalesce("critical", F.lit(False)) & ~F.coalesce("trade", F.lit(False))
+
+
 DECAY_DAYS = {"infrastructure": 180, "project_specific": 90, "temporary": 14}
 
 
@@ -36,7 +41,7 @@ def forget(memory: DataFrame, access_log: DataFrame, links: DataFrame, ref: Colu
     days = F.lit(default)
     for name, n in DECAY_DAYS.items():
         days = F.when(F.col("domain_profile") == name, n).otherwise(days)
-    free = memory.where(~F.coalesce("level", F.lit("episodic")).isin("semantic", "automatic") & ~F.coalesce("critical", F.lit(False)) & ~F.coalesce("trade", F.lit(False))).join(linked(links), "id", "left_anti")
+    free = memory.where(_free()).join(linked(links), "id", "left_anti")
     idle = F.datediff(ref, F.col("last"))
     return last_access(free, access_log).where(F.col("last").isNull() | ((idle > days) & (idle >= least_age))).select("id", F.lit("archive").alias("action"), idle.alias("idle"))
 
@@ -46,7 +51,7 @@ def budget(memory: DataFrame, access_log: DataFrame, links: DataFrame, ref: Colu
     over = memory.agg(F.count("embedding")).first()[0] - cap
     if over <= 0:
         return memory.limit(0).select("id", F.lit("").alias("action"), F.lit(0).alias("idle"))
-    free = memory.where(F.col("embedding").isNotNull() & ~F.col("level").isin("semantic", "automatic") & ~F.col("critical") & ~F.col("trade")).join(linked(links), "id", "left_anti")
+    free = memory.where(F.col("embedding").isNotNull() & _free()).join(linked(links), "id", "left_anti")
     idle = F.datediff(ref, F.col("last"))
     rows = last_access(free, access_log).select("id", F.when(F.col("last").isNull() | (idle > 90), "cold").otherwise("warm").alias("action"), idle.alias("idle"), "last")
     return rows.orderBy(F.asc_nulls_first("last"), "id").limit(over + slack).drop("last")
@@ -79,11 +84,9 @@ def dedup(memory: DataFrame, keep: str = "first") -> DataFrame:
     return keyed.join(groups, "digest").select("id", F.when(F.col("id") == F.col("kept"), "keep").otherwise("remove").alias("action"), "kept")
 
 
-def leaders(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b) links and (id, size) → (id, component, keep): components of links; the longest text of each stays, then the smallest id."""
-    from recallum.operators.components import connected_components
-
-    c = connected_components(pairs, "a", "b").withColumnRenamed("node", "id").join(sizes, "id")
+def leaders(classes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, component) and (id, size) → (id, component, keep): the longest text of each component stays, then the smallest id."""
+    c = classes.join(sizes, "id")
     best = c.groupBy("component").agg(F.max_by("id", F.struct("size", -F.col("id"))).alias("kept"))
     return c.join(best, "component").select("id", "component", (F.col("id") == F.col("kept")).alias("keep"))
 

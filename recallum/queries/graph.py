@@ -23,28 +23,29 @@ def link_decay(spark: SparkSession, d: str) -> DataFrame:
 @query(
     sql(
         "SELECT root, node, min(level) AS level FROM walk GROUP BY root, node", "link",
-        parts="SELECT DISTINCT src, dst FROM link WHERE rel = 'part_of'",
+        parts="SELECT DISTINCT src, dst FROM link",
         walk="SELECT DISTINCT src AS root, src AS node, 0 AS level FROM link WHERE src % 50 = 0 UNION SELECT root, dst, level + 1 FROM walk JOIN parts ON src = node WHERE level < 3",
     )
 )
 def graph_bfs(spark: SparkSession, d: str) -> DataFrame:
     links = S.links(spark, d)
     roots = links.where("src % 50 = 0").select(F.col("src").alias("node")).distinct()
-    return G.bfs(links.where("rel = 'part_of'"), roots, depth=3)
+    return G.bfs(links, roots, depth=3)
 
 
 @query(
     sql(
         "SELECT src, dst, min(level) AS hops FROM (SELECT root AS src, node AS dst, level FROM walk) SEMI JOIN pairs p USING (src, dst) GROUP BY src, dst", "link",
-        edges="SELECT src AS a, dst AS b FROM link WHERE rel = 'part_of' UNION SELECT dst, src FROM link WHERE rel = 'part_of'",
-        pairs="SELECT DISTINCT src, (src * 7 + 11) % 97 AS dst FROM link WHERE src % 50 = 0",
+        edges="SELECT src AS a, dst AS b FROM link UNION SELECT dst, src FROM link",
+        pairs="SELECT DISTINCT src, (src * 7 + 11 * k * k) % (SELECT max(src) + 1 FROM link) AS dst FROM link, range(1, 21) t(k) WHERE src % 50 = 0",
         walk="SELECT DISTINCT src AS root, src AS node, 0 AS level FROM pairs UNION SELECT root, b, level + 1 FROM walk JOIN edges ON a = node WHERE level < 5",
     )
 )
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     links = S.links(spark, d)
-    pairs = links.where("src % 50 = 0").select("src", ((F.col("src") * 7 + 11) % 97).alias("dst")).distinct()
-    return G.shortest_paths(links.where("rel = 'part_of'"), pairs, max_hops=5)
+    nodes = links.agg(F.max("src") + 1).first()[0] or 1
+    goals = F.explode(F.array(*[(F.col("src") * 7 + 11 * k * k) % nodes for k in range(1, 21)]))
+    return G.shortest_paths(links, links.where("src % 50 = 0").select("src", goals.alias("dst")).distinct(), max_hops=5)
 
 
 @query(sql("SELECT count(DISTINCT src) AS sources, count(*) AS edges, count(DISTINCT rel) AS types FROM link", "link"))

@@ -33,13 +33,18 @@ def dedup_plan(spark: SparkSession, d: str) -> DataFrame:
     return P.dedup(S.memory(spark, d))
 
 
-@query()
+@query(
+    sql(
+        """SELECT id, component, id = arg_max(id, struct_pack(s := size, k := -id)) OVER (PARTITION BY component) AS keep FROM (SELECT id, min(node) AS component, any_value(length(content)) AS size FROM walk JOIN memory USING (id) GROUP BY id)""".replace("id = arg_max(id, struct_pack(s := size, k := -id)) OVER (PARTITION BY component)", "id = first_value(id) OVER (PARTITION BY component ORDER BY size DESC NULLS LAST, id)"),
+        "memory",
+        pairs="SELECT a.id AS a, b.id AS b FROM memory a JOIN memory b ON a.id <> b.id AND list_cosine_similarity(a.embedding, b.embedding) >= 0.9",
+        walk="SELECT id, id AS node FROM memory UNION SELECT walk.id, b FROM walk JOIN pairs ON a = node",
+    )
+)
 def semantic_dedup_leader(spark: SparkSession, d: str) -> DataFrame:
-    """Links of similarity 0.3 or more from every fiftieth vector; the longest text of each component stays."""
+    """Every row with the class of rows that links of cosine 0.9 or more join it to; the longest text of each class stays."""
     m = S.memory(spark, d)
-    q = m.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
-    pairs = K.similarities(q, m, 0.3).where("qid <> id").select(F.col("qid").alias("a"), F.col("id").alias("b"))
-    return P.leaders(pairs, m.select("id", F.length("content").alias("size")))
+    return P.leaders(K.near_classes(m, 0.9), m.select("id", F.length("content").alias("size")))
 
 
 @query(

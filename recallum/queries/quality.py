@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recallum.operators import filters, rank as R
+from recallum.operators import filters, lexical as L, rank as R
 from recallum.plans import metrics as M
 from recallum.queries import query
 from recallum.queries.search import _TOPS, _VIEWS, channels
 from recallum.sources import tables as S
-from recallum.sources.shared import against
 from recallum.sources.tables import REF_DATE, REF_NOW, sql
 
 _STATS = "count(*) AS n, round(avg(latency_ms), 4) AS avg_ms, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95, round(avg(coalesce(results_count, 0)), 4) AS avg_results, round(avg(top_score), 4) AS avg_top"
@@ -83,8 +82,8 @@ _GRADED = """SELECT {by} qid, round(found / total, 6) AS recall, round(found / l
 
 def _relevant(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a query's first 60 characters literally."""
-    q = S.query_table(spark, d).select("qid", F.substring("text", 1, 60).alias("head"))
-    return against(S.memory(spark, d).select("id", "content"), q, F.contains("content", F.col("head"))).select("qid", "id", F.lit(1).alias("gain"))
+    q = S.query_table(spark, d).select("qid", F.array(F.substring("text", 1, 60)).alias("terms"))
+    return L.scan(q, S.memory(spark, d).select("id", F.col("content").alias("text")), ["id"]).select("qid", "id", F.lit(1).alias("gain"))
 
 
 @query(sql(_GRADED.format(by="", hits="tops"), "memory", "query", **_VIEWS, tops=_TOPS, rel=_REL))

@@ -8,7 +8,7 @@ from recallum.functions import text as T, vectors as V
 from recallum.operators import filters, knn as K, lexical as L, rank as R
 from recallum.queries import query
 from recallum.sources import tables as S
-from recallum.sources.shared import against
+from recallum.sources.shared import cut
 from recallum.sources.tables import REF_DATE, REF_NOW, sql
 
 
@@ -47,10 +47,10 @@ def lookup_by_id(spark: SparkSession, d: str) -> DataFrame:
     return filters.lookup(raw, S.memory(spark, d)).select("raw", "id", "level", "code")
 
 
-@query(sql("SELECT id, code, CAST(date AS VARCHAR) AS date_s, CASE WHEN id % 2 = 0 THEN 100 ELSE 75 END AS score FROM memory WHERE level = 'semantic' ORDER BY date DESC NULLS LAST, id DESC LIMIT 20 OFFSET 20", "memory"))
+@query(sql("SELECT id, code, CAST(date AS VARCHAR) AS date_s, 75 AS score FROM memory WHERE level = 'semantic' ORDER BY date DESC NULLS LAST, id DESC LIMIT 20 OFFSET 20", "memory"))
 def structured_listing(spark: SparkSession, d: str) -> DataFrame:
     rows = S.memory(spark, d).where(filters.structured(level="semantic"))
-    return filters.page(rows, 20, 20).select("id", "code", F.col("date").cast("string").alias("date_s"), F.when(F.col("id") % 2 == 0, 100).otherwise(75).alias("score"))
+    return filters.page(rows, 20, 20).select("id", "code", F.col("date").cast("string").alias("date_s"), F.lit(75).alias("score"))
 
 
 _TRIGGERS = "SELECT qid, unnest(CASE qid % 4 WHEN 0 THEN ['en', 'src' || (qid % 20)] WHEN 1 THEN ['fr', 'src' || (qid % 20)] WHEN 2 THEN ['de', 'src' || (qid % 20)] ELSE ['es', 'src' || (qid % 20)] END) AS c FROM query"
@@ -96,7 +96,7 @@ _G = dict(qg=_GRAMS.format(k="qid", t="clean", v="query"), dg=_GRAMS.format(k="i
 
 @query(sql("SELECT qid, id, similarity, rank FROM (SELECT qid, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY round(similarity, 6) DESC, id) AS rank FROM sims) WHERE rank <= 5", "memory", "query", **_G))
 def trigram_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
-    s = L.trigram_candidates(S.query_table(spark, d), "clean", S.memory(spark, d), "id", "content")
+    s = L.trigram_matches(S.query_table(spark, d), "clean", S.memory(spark, d), 5)
     return filters.top(s.withColumn("similarity", F.round("similarity", 6)), 5, "qid", F.desc("similarity"), F.col("id"))
 
 
@@ -115,10 +115,10 @@ def term_expansion(spark: SparkSession, d: str) -> DataFrame:
 _POSTS = f"SELECT id, t AS term, count(*) AS tf, min(pos) AS first FROM (SELECT id, unnest({S.sql_tokens('content')}) AS t, generate_subscripts({S.sql_tokens('content')}, 1) - 1 AS pos FROM memory) GROUP BY id, t"
 
 
-@query(sql("SELECT qid, id FROM (SELECT qid, unnest(strong[1:2]) AS term FROM query) JOIN posts USING (term) GROUP BY qid, id HAVING count(*) = (SELECT len(strong[1:2]) FROM query q2 WHERE q2.qid = any_value(query_qid))".replace("HAVING count(*) = (SELECT len(strong[1:2]) FROM query q2 WHERE q2.qid = any_value(query_qid))", "HAVING count(*) = 2"), "memory", "query", posts=_POSTS))
+@query(sql("SELECT qid, id FROM (SELECT qid, len(strong) AS n, unnest(strong) AS term FROM query) JOIN posts USING (term) GROUP BY qid, id HAVING count(*) = any_value(n)", "memory", "query", posts=_POSTS))
 def token_and_match(spark: SparkSession, d: str) -> DataFrame:
-    q = S.query_table(spark, d).withColumn("pair", F.slice("strong", 1, 2)).where(F.size("pair") == 2)
-    return L.and_match(q, "pair", L.postings(S.memory(spark, d), "id", "content"))
+    """Documents that have every strong term of a query as a word."""
+    return L.and_match(S.query_table(spark, d), "strong", L.postings(S.memory(spark, d), "id", "content"))
 
 
 @query(
@@ -137,15 +137,16 @@ def fulltext_topk(spark: SparkSession, d: str) -> DataFrame:
 _LEX = "SELECT qid, id, round(least(100.0, 70.0 * hits / n + 20.0 * coalesce(similarity, 0) + 15.0), 4) AS score FROM (SELECT qid, id, len(list_filter(strong, lambda t: contains(lower(content), t))) AS hits, len(strong) AS n FROM query, memory) LEFT JOIN sims USING (qid, id) WHERE hits > 0"
 
 
-def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    q, m = S.query_table(spark, d), S.memory(spark, d)
-    sims = L.trigram_candidates(q, "clean", m, "id", "content")
-    return L.substring_hits(q, "strong", m).join(sims, ["qid", "id"], "left").select("qid", "id", L.lexical_score(F.col("hits"), F.col("n"), F.coalesce("similarity", F.lit(0.0))).alias("score"))
+def _lexical(spark: SparkSession, d: str, k: int | None = None, among: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score) of rows that contain a strong term, or (at least) the best k; `among` limits the rows by id."""
+    m = S.memory(spark, d)
+    hits = L.lexical_hits(S.query_table(spark, d), m if among is None else m.join(among, "id", "left_semi"), k)
+    return hits.select("qid", "id", L.lexical_score(F.col("hits"), F.col("n"), F.col("similarity")).alias("score"))
 
 
 @query(sql("SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM lex) WHERE rank <= 200", "memory", "query", **_G, lex=_LEX))
 def lexical_score(spark: SparkSession, d: str) -> DataFrame:
-    return filters.top(_lexical(spark, d), 200, "qid", F.desc("score"), F.col("id"))
+    return filters.top(_lexical(spark, d, 200), 200, "qid", F.desc("score"), F.col("id"))
 
 
 _COS = "list_cosine_similarity({}, {})"
@@ -212,10 +213,9 @@ _LINES = "SELECT id, generate_subscripts(string_split(content, chr(10)), 1) - 1
 )
 def chunk_best_parent(spark: SparkSession, d: str) -> DataFrame:
     """The best chunk (here a line) of each document for each query: score first, then the earlier chunk."""
-    chunks = S.memory(spark, d).select("id", F.posexplode(F.split("content", "\n")).alias("chunk_index", "chunk"))
-    q = S.query_table(spark, d).select("qid", "strong")
-    hit = against(chunks, q, T.contains_any(F.col("chunk"), F.col("strong"))).withColumn("hits", T.matched(F.col("chunk"), F.col("strong")))
-    scored = hit.select("qid", "id", "chunk_index", L.chunk_score(F.col("hits") / (F.col("hits") + 8.0), F.col("hits") / F.size("strong")).alias("score"))
+    chunks = S.memory(spark, d).select("id", F.posexplode(F.split(F.lower("content"), "\n")).alias("chunk_index", "text"))
+    hit = L.scan(S.query_table(spark, d).select("qid", F.col("strong").alias("terms")), chunks, ["id", "chunk_index"])
+    scored = hit.select("qid", "id", "chunk_index", L.chunk_score(F.col("hits") / (F.col("hits") + 8.0), F.col("hits") / F.col("n")).alias("score"))
     return scored.groupBy("qid", "id").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("k"))).alias("b")).select("qid", "id", (-F.col("b.k")).alias("chunk_index"), "b.score")
 
 
@@ -230,7 +230,7 @@ def channels(spark: SparkSession, d: str) -> DataFrame:
     """Hits (qid, id, channel, score) of the vector, lexical and structured channels."""
     q, m = S.query_table(spark, d), S.memory(spark, d)
     vector = K.knn(q, m, 30).select("qid", "id", F.lit("vector").alias("channel"), F.round(100.0 * F.col("similarity"), 4).alias("score"))
-    lexical = filters.top(_lexical(spark, d), 200, "qid", F.desc("score"), F.col("id")).select("qid", "id", F.lit("lexical").alias("channel"), "score")
+    lexical = filters.top(_lexical(spark, d, 200), 200, "qid", F.desc("score"), F.col("id")).select("qid", "id", F.lit("lexical").alias("channel"), "score")
     source = q.select("qid", F.concat(F.lit("src"), F.col("qid") % 20).alias("source"))
     structured = m.where(filters.structured(level="automatic")).join(source, "source").select("qid", "id", F.lit("structured").alias("channel"), F.lit(75.0).alias("score"))
     return vector.unionByName(lexical).unionByName(structured)
@@ -291,9 +291,11 @@ def hybrid_search_topk(spark: SparkSession, d: str) -> DataFrame:
 )
 def phrase_boost(spark: SparkSession, d: str) -> DataFrame:
     """Lexical hits that contain the query's first 60 characters, or its clean words, literally."""
-    j = _lexical(spark, d).join(S.query_table(spark, d).select("qid", "text", "clean"), "qid").join(S.memory(spark, d).select("id", F.lower("content").alias("low")), "id")
-    up = F.when(F.contains("low", F.lower(F.substring("text", 1, 60))), 25.0).otherwise(0.0) + F.when(F.contains("low", F.col("clean")), 20.0).otherwise(0.0)
-    return j.withColumn("phrase_score", F.least(F.lit(100.0), F.col("score") + up)).where("phrase_score > score").select("qid", "id", "phrase_score")
+    q, m = S.query_table(spark, d), S.memory(spark, d)
+    literal = lambda phrase, points: L.substring_hits(q.withColumn("p", F.array(phrase)), "p", m).select("qid", "id", F.lit(points).alias("up"))
+    found = cut(literal(F.lower(F.substring("text", 1, 60)), 25.0).unionByName(literal(F.col("clean"), 20.0)).groupBy("qid", "id").agg(F.sum("up").alias("up")))
+    j = _lexical(spark, d, among=found.select("id").distinct()).join(found, ["qid", "id"])
+    return j.withColumn("phrase_score", F.least(F.lit(100.0), F.col("score") + F.col("up"))).where("phrase_score > score").select("qid", "id", "phrase_score")
 
 
 @query(
@@ -304,17 +306,16 @@ def phrase_boost(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def proximity_bonus(spark: SparkSession, d: str) -> DataFrame:
-    q = S.query_table(spark, d).select("qid", "strong")
-    low = F.lower("content")
-    m = against(S.memory(spark, d).select("id", "content"), q, F.size(F.filter("strong", lambda t: F.contains(low, t))) >= 2)
-    return m.select("qid", "id", T.proximity(F.col("content"), F.col("strong")).alias("bonus"))
+    m = L.substring_hits(S.query_table(spark, d), "strong", S.memory(spark, d), least=2, spans=True)
+    return m.select("qid", "id", T.proximity_bonus(F.col("hits"), F.col("n"), F.col("span")).alias("bonus"))
 
 
 @query()
 def meta_mention_penalty(spark: SparkSession, d: str) -> DataFrame:
     """Documents that mention a query's first two words, with the score that quoted mentions leave."""
     q = S.query_table(spark, d).select("qid", F.array_join(F.slice("terms", 1, 2), " ").alias("phrase"))
-    m = against(S.memory(spark, d).select("id", "content"), q, F.contains(F.lower("content"), F.col("phrase")))
+    found = L.substring_hits(q.withColumn("p", F.array("phrase")), "p", S.memory(spark, d)).select("qid", "id")
+    m = found.join(S.memory(spark, d).select("id", "content"), "id").join(q, "qid")
     return m.select("qid", "id", T.mention_penalty(F.lit(100.0), F.col("content"), F.col("phrase")).alias("score"))
 
 
@@ -375,7 +376,7 @@ def tag_expansion(spark: SparkSession, d: str) -> DataFrame:
         """SELECT qid, id, phase, score FROM (SELECT qid, id, phase, score, row_number() OVER (PARTITION BY qid, id ORDER BY phase) AS r FROM (
           SELECT qid, id, 1 AS phase, score FROM p1 UNION ALL SELECT qid, id, 2, score FROM p2 SEMI JOIN open1 USING (qid) UNION ALL SELECT qid, id, 3, score FROM p3 SEMI JOIN open2 USING (qid))) WHERE r = 1 AND score >= 10""",
         "memory", "query", **_G,
-        p1="SELECT qid, id, round(100 * similarity, 4) AS score FROM (" + _KNN.format(k=15) + ") WHERE qid % 2 = 0",
+        p1="SELECT qid, id, round(100 * similarity, 4) AS score FROM (" + _KNN.format(k=15) + ")",
         s="SELECT qid, id, len(list_filter(strong, lambda t: contains(lower(content), t))) AS hits, len(strong) AS n FROM query, memory",
         p2="SELECT qid, id, round(60.0 * hits / n + 25.0 * similarity + 10.0, 4) AS score FROM sims JOIN s USING (qid, id) WHERE similarity >= 0.05",
         p3="SELECT qid, id, round(70.0 * hits / n + 10.0, 4) AS score FROM s WHERE hits > 0",
@@ -384,22 +385,19 @@ def tag_expansion(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def cascade_search(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors first; trigrams only for queries that stay unsure; substrings only for those still unsure then.
-
-    Queries of odd ids search without a vector.
-    """
+    """Vectors first; trigrams only for queries that stay unsure; substrings only for those still unsure then."""
     q, m = S.query_table(spark, d), S.memory(spark, d)
-    p1 = K.knn(q.where("qid % 2 = 0"), m, 15).select("qid", "id", F.round(100 * F.col("similarity"), 4).alias("score"))
+    p1 = K.knn(q, m, 15).select("qid", "id", F.round(100 * F.col("similarity"), 4).alias("score"))
     c1 = q.select("qid").join(p1, "qid", "left").groupBy("qid").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("top"), F.count("id").alias("n"), F.count_if(F.col("score") >= 50).alias("good"))
     open1 = c1.where("(top < 60 OR n < 3) AND good < 3").select("qid")
     q1 = q.join(open1, "qid", "left_semi")
-    hits = L.substring_hits(q1, "strong", m)
-    sims = L.trigram_candidates(q1, "clean", m, "id", "content").where("similarity >= 0.05").join(hits, ["qid", "id"], "left")
-    n = F.coalesce(F.col("n"), F.lit(1))
-    p2 = sims.select("qid", "id", L.cascade_scores(F.coalesce("hits", F.lit(0)), n, F.col("similarity"))[0].alias("score"))
+    # One scan gives both text phases; it is kept, as the third phase depends on the second.
+    both = cut(L.scan(q1.select("qid", F.col("strong").alias("terms"), "clean"), m.select("id", F.lower("content").alias("text")), ["id"], least_similarity=0.05))
+    n = F.greatest(F.col("n"), F.lit(1))
+    p2 = both.where("similarity >= 0.05").select("qid", "id", L.cascade_scores(F.col("hits"), n, F.col("similarity"))[0].alias("score"))
     c2 = open1.join(p2, "qid", "left").groupBy("qid").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("top"), F.count_if(F.col("score") >= 20).alias("fair"), F.count_if(F.col("score") >= 30).alias("good"))
     open2 = c2.where("(top < 35 OR fair < 2) AND good < 5").select("qid")
-    p3 = hits.join(open2, "qid", "left_semi").select("qid", "id", L.cascade_scores(F.col("hits"), F.col("n"), F.lit(0.0))[1].alias("score"))
+    p3 = both.where("hits > 0").join(open2, "qid", "left_semi").select("qid", "id", L.cascade_scores(F.col("hits"), F.col("n"), F.lit(0.0))[1].alias("score"))
     every = p1.withColumn("phase", F.lit(1)).unionByName(p2.withColumn("phase", F.lit(2))).unionByName(p3.withColumn("phase", F.lit(3)))
     first = every.withColumn("r", F.row_number().over(Window.partitionBy("qid", "id").orderBy("phase"))).where("r = 1 AND score >= 10")
     return first.select("qid", "id", "phase", "score")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recallum.functions import rules, text as T
 from recallum.operators import filters, graph as G, knn as K, lexical as L, rank as R, store as O
+from recallum.operators.numbering import numbered
 from recallum.plans import lifecycle as P
 from recallum.queries import query
 from recallum.queries.maintain import _LAST
@@ -47,10 +48,11 @@ def items_with_categories(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def item_lexical(spark: SparkSession, d: str) -> DataFrame:
-    q = S.query_table(spark, d).select("qid", "strong")
-    j = against(items(spark, d), q, T.contains_any(F.col("summary"), F.col("strong")))
+    q, i = S.query_table(spark, d).select("qid", "strong"), items(spark, d)
+    found = L.scan(q.withColumnRenamed("strong", "terms"), i.select("item_id", F.lower("summary").alias("text")), ["item_id"])
+    j = found.join(i, "item_id").join(q, "qid")
     bonus = F.when(F.col("mem_type") == "profile", 15.0).otherwise(5.0) + F.when(F.arrays_overlap(F.split(F.lower("summary"), " "), F.col("strong")), 10.0).otherwise(0.0)
-    s = F.round(F.least(F.lit(100.0), 55.0 * T.matched(F.col("summary"), F.col("strong")) / F.size("strong") + bonus), 4)
+    s = F.round(F.least(F.lit(100.0), 55.0 * F.col("hits") / F.col("n") + bonus), 4)
     return filters.top(j.select("qid", "item_id", s.alias("score")), 120, "qid", F.desc("score"), F.col("item_id"))
 
 
@@ -83,8 +85,8 @@ def query_log_append(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("SELECT qid, memory_id FROM (SELECT qid, 'v' || id AS memory_id, row_number() OVER (PARTITION BY qid ORDER BY id DESC) AS r FROM query JOIN memory ON level = 'semantic' AND trade AND contains(lower(content), strong[1])) WHERE r <= 10", "memory", "query"))
 def trade_reinforcement(spark: SparkSession, d: str) -> DataFrame:
     """For each query at most ten semantic trade rows that contain its first strong term."""
-    q = S.query_table(spark, d).select("qid", F.get("strong", F.lit(0)).alias("t"))
-    m = against(S.memory(spark, d).where("level = 'semantic' AND trade"), q, F.contains(F.lower("content"), F.col("t")))
+    q = S.query_table(spark, d).select("qid", F.slice("strong", 1, 1).alias("t"))
+    m = L.substring_hits(q, "t", S.memory(spark, d).where("level = 'semantic' AND trade"))
     return filters.top(m, 10, "qid", F.desc("id")).select("qid", F.concat(F.lit("v"), "id").alias("memory_id"))
 
 
@@ -96,7 +98,7 @@ def log_retention(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("SELECT qid, best IS NOT NULL AS blocked, best.twin AS twin FROM query LEFT JOIN (SELECT qid, max(struct_pack(s := round(similarity, 6), b := -id)) AS m, struct_pack(twin := -max(struct_pack(s := round(similarity, 6), b := -id)).b) AS best FROM sims WHERE round(similarity, 6) >= 0.3 GROUP BY qid) USING (qid)", "memory", "query", **_G))
 def insert_gate_trigram(spark: SparkSession, d: str) -> DataFrame:
     q = S.query_table(spark, d)
-    return O.gate(q, L.trigram_candidates(q, "clean", S.memory(spark, d), "id", "content").withColumn("similarity", F.round("similarity", 6)), 0.3)
+    return O.gate(q, L.trigram_matches(q, "clean", S.memory(spark, d), 1).withColumn("similarity", F.round("similarity", 6)), 0.3)
 
 
 @query(sql("SELECT qid, k.id IS NOT NULL AS blocked, k.id AS twin FROM query LEFT JOIN (SELECT * FROM (" + _KNN.format(k=1) + ") WHERE similarity >= 0.9) k USING (qid)", "memory", "query"))
@@ -208,10 +210,8 @@ def category_seeding(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("SELECT id, length(content) AS chars, row_number() OVER (PARTITION BY lang ORDER BY id) AS turn FROM memory WHERE embedding IS NULL", "memory"))
 def backfill_scan(spark: SparkSession, d: str) -> DataFrame:
     """Rows that lack a vector, with their turn within their language."""
-    from pyspark.sql import Window
-
-    m = S.memory(spark, d).where("embedding IS NULL")
-    return m.select("id", F.length("content").alias("chars"), F.row_number().over(Window.partitionBy("lang").orderBy("id")).alias("turn"))
+    m = S.memory(spark, d).where("embedding IS NULL").select("id", "lang", F.length("content").alias("chars"))
+    return numbered(m, "lang", ["id"], "turn").drop("lang")
 
 
 @query()

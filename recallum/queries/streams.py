@@ -30,7 +30,7 @@ def file_change_detect(spark: SparkSession, d: str) -> DataFrame:
     return changes(manifest, now.where("page_id % 7 <> 0").select("page_id", "hash"), "page_id")
 
 
-@query(sql("SELECT dir, count(*) AS files, md5(string_agg(hash, '' ORDER BY page_id)) AS digest FROM (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS dir, md5(html) AS hash FROM pages) GROUP BY dir"))
+@query(sql("SELECT dir, count(*) AS files, CAST(sum(CAST('0x' || md5(page_id || '|' || hash)[1:12] AS BIGINT)) AS VARCHAR) AS digest FROM (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS dir, md5(html) AS hash FROM pages) GROUP BY dir"))
 def dir_digest(spark: SparkSession, d: str) -> DataFrame:
     return digest_by(_listing(spark, d).withColumn("dir", F.regexp_extract("path", "^([^/?#]+)", 1)), "dir", "page_id", "hash")
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recallum.functions import rules as R, text as T
+from recallum.operators import filters, lexical as L
 from recallum.queries import query
 from recallum.sources import tables as S
-from recallum.sources.shared import against
 from recallum.sources.tables import REF_DATE, sql
 
 
@@ -74,9 +74,10 @@ def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def best_passage(spark: SparkSession, d: str) -> DataFrame:
-    """The best passage of each document that has a query's first words, for that query."""
-    q = S.query_table(spark, d).select("qid", "strong")
-    m = against(S.memory(spark, d).select("id", "content"), q, F.size(F.filter("strong", lambda t: F.contains(F.lower("content"), t))) >= 2)
+    """The best passage of each query's ten best lexical hits."""
+    q, docs = S.query_table(spark, d), S.memory(spark, d)
+    top = filters.top(L.lexical_hits(q, docs, 10).withColumn("score", L.lexical_score(F.col("hits"), F.col("n"), F.col("similarity"))), 10, "qid", F.desc("score"), F.col("id"))
+    m = top.select("qid", "id").join(docs.select("id", "content"), "id").join(q.select("qid", "strong"), "qid")
     return T.best_passage(m, "content", "strong").select("qid", "id", "passage", "coverage")
 
 

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Rows and bytes of a block of a query table.
+QUERIES, BYTES = 2048, 64 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`; a temporary folder only where none is set (tests, local mode)."""
@@ -36,6 +41,14 @@ def hinted(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def query_blocks(queries: DataFrame, columns: list[str], rows: int = QUERIES, size: int = BYTES) -> Iterator[pa.Table]:
+    """The query table, whose rows and bytes are counted first, in blocks that fit the driver and every worker."""
+    n, total = queries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*columns)))), F.lit(0))).first()
+    blocks = max(-(-n // rows), -(-total // size))
+    for k in range(blocks):
+        yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).select(*columns).toArrow()
+
+
 def against(rows: DataFrame, queries: DataFrame, on: Column, key: str = "qid", most: int = 50_000) -> DataFrame:
     """Join a large table with a query table on a predicate that is no equality.
 

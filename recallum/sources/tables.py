@@ -65,7 +65,7 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queries of all batch searches: benchmark passages with their terms and vectors."""
     b, e = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
-    clean = F.array_join(F.slice(tokens(F.col("text")), 1, 8), " ")
+    clean = F.array_join(tokens(F.col("text")), " ")
     return b.join(e, b.item_id == e.vec_id, "left").select(F.col("item_id").alias("qid"), "text", clean.alias("clean"), F.array_distinct(tokens(clean)).alias("terms"), strong_terms(clean).alias("strong"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
@@ -89,7 +89,7 @@ def sql_strong(x: str) -> str:
     return f"list_filter({sql_distinct(t)}, lambda t: length(t) >= 3 AND t NOT IN ({_STOP}))[1:12]"
 
 
-_CLEAN = f"array_to_string(({sql_tokens('text')})[1:8], ' ')"
+_CLEAN = f"array_to_string({sql_tokens('text')}, ' ')"
 SQL_VIEWS = {
     "memory": """SELECT doc_id AS id, text AS content, CAST(embedding AS DOUBLE[]) AS embedding, source || '_' || lang AS code, [lang, source] AS categories, [lang, 'm' || (doc_id % 7)] AS tags, 's' || (doc_id % 50) AS session_id,
        ['agent', 'user', 'import'][doc_id % 3 + 1] AS author, CASE WHEN doc_id % 10 = 0 THEN 'automatic' WHEN doc_id % 10 IN (1, 2, 3) THEN 'semantic' ELSE 'episodic' END AS level, doc_id % 17 = 0 AS critical, doc_id % 13 = 0 AS trade, CAST(doc_id % 3 AS INT) AS review_count,

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from recallum.operators.numbering import numbered
 from recallum.sources.shared import against
 
 
@@ -37,28 +39,44 @@ def alerts(rows: DataFrame, subscriptions: DataFrame) -> DataFrame:
 ADMITTED = "user_id bigint, event_id bigint, at double, admitted boolean"
 
 
+def _admitted(at: float, recent: list[float], most: int, width: float) -> bool:
+    """Whether a call is admitted; `recent` holds the admitted ones of the window and is kept up to date."""
+    while recent and recent[0] <= at - width:
+        recent.pop(0)
+    if len(recent) < most:
+        recent.append(at)
+        return True
+    return False
+
+
 def _admit(rows: pd.DataFrame, recent: list[float], most: int, width: float) -> tuple[pd.DataFrame, list[float]]:
     rows = rows.sort_values(["at", "event_id"])
-    out = []
-    for user, event, at in zip(rows["user_id"], rows["event_id"], rows["at"], strict=True):
-        recent = [t for t in recent if t > at - width]
-        ok = len(recent) < most
-        if ok:
-            recent.append(at)
-        out.append((user, event, at, ok))
-    return pd.DataFrame(out, columns=["user_id", "event_id", "at", "admitted"]), recent
+    rows["admitted"] = [_admitted(at, recent, most, width) for at in rows["at"]]
+    return rows[["user_id", "event_id", "at", "admitted"]], recent
 
 
 def admit(log: DataFrame, most: int = 3, width: float = 3600.0, late: str = "1 hour") -> DataFrame:
     """(user_id, event_id, ts) → whether each call is admitted: at most `most` admitted ones in the `width` seconds up to it.
 
     The state of a user is the times of calls admitted in the last `width`
-    seconds, so at most `most` numbers.  On a table each user's calls are taken
-    in order of time; a user's calls must fit a task's memory there.
+    seconds, so at most `most` numbers.  On a table a user's calls stream by in
+    order of time, so there too only these are held.
     """
     rows = log.withColumn("at", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(log.schema["ts"].dataType), F.col("ts")) / 1e6)
     if not log.isStreaming:
-        return rows.select("user_id", "event_id", "at").groupBy("user_id").applyInPandas(lambda pdf: _admit(pdf, [], most, width)[0], ADMITTED)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, recent = None, []
+            for b in batches:
+                ok = []
+                for user, at in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    if (user,) != now:
+                        now, recent = (user,), []
+                    ok.append(_admitted(at, recent, most, width))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_())], names=["user_id", "event_id", "at", "admitted"])
+
+        dealt = rows.select("user_id", "event_id", "at").repartition("user_id").sortWithinPartitions("user_id", "at", "event_id")
+        return dealt.mapInArrow(run, ADMITTED)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -77,10 +95,7 @@ def session_rollup(records: DataFrame, every: int = 20, heads: int = 200) -> Dat
 
     Records are numbered by session and grouped by block, so a group has `every` rows however long the session is.
     """
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))
-    rows = records.withColumn("n", n).withColumn("block", F.floor((F.col("n") - 1) / every))
+    rows = numbered(records.withColumn("text", F.substring("text", 1, heads)), "session_id", ["seq"]).withColumn("block", F.floor((F.col("n") - 1) / every))
     g = rows.groupBy("session_id", "block").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("n", F.substring("text", 1, heads).alias("h")))).alias("hs"))
     return g.where(F.col("n") == every).select("session_id", "block", "n", F.md5(F.array_join(F.transform("hs", lambda x: x["h"]), "|")).alias("digest"))
 
