@@ -8,15 +8,23 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recallum.sources.shared import query_blocks
+from recallum.sources.shared import hinted, query_blocks
 from recallum.sources.tables import tokens
 
 
-def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """→ (term, id, tf, first): uses of each token in each text and its first place; combined before the shuffle."""
-    return df.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
+def postings(df: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None) -> DataFrame:
+    """→ (term, id, tf, first): uses of each token (of those in `terms`) in each text and its first place; combined before the shuffle."""
+    rows = df.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "term"))
+    if terms is not None:
+        rows = rows.join(hinted(terms), "term", "left_semi")
+    return rows.groupBy("id", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
+
+
+def asked(queries: DataFrame, terms_col: str) -> DataFrame:
+    """The distinct terms of a query table."""
+    return queries.select(F.explode(terms_col).alias("term")).distinct()
 
 
 def and_match(queries: DataFrame, terms_col: str, posts: DataFrame) -> DataFrame:
@@ -97,9 +105,9 @@ def _grams(text: str) -> set[str]:
     return out
 
 
-def _best(q: np.ndarray, score: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
-    """Places of each query's k best rows by score, then by key."""
-    order = np.lexsort((key, -score, q))
+def _best(q: np.ndarray, score: np.ndarray, keys: list[np.ndarray], k: int) -> np.ndarray:
+    """Places of each query's k best rows by score, then by keys."""
+    order = np.lexsort((*reversed(keys), -score, q))
     start = np.searchsorted(q[order], q[order], side="left")
     return order[np.arange(len(q)) - start < k]
 
@@ -110,7 +118,7 @@ def scan(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int | None =
     Each text is read once for a block of queries: an automaton over all their
     terms finds those it contains, and its trigrams are multiplied with the
     queries' (where there is a column `clean`).  With `k` only each query's k best
-    rows of a task by `by(hits, n, similarity)`, then by the first key, leave it.
+    rows of a task by `by(hits, n, similarity)`, then by the keys, leave it.
     """
     trigrams = "clean" in queries.columns
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in corpus.select(*keys).schema]
@@ -127,7 +135,7 @@ def scan(queries: DataFrame, corpus: DataFrame, keys: list[str], k: int | None =
 
             def cut_down() -> None:
                 q, s, cols, rest = _joined(held)
-                some = _best(q, s, np.asarray(cols[0].to_numpy(zero_copy_only=False)), k)
+                some = _best(q, s, [c.to_numpy(zero_copy_only=False) for c in cols], k)
                 held[:] = [(q[some], s[some], [c.take(pa.array(some)) for c in cols], [x[some] for x in rest])]
                 for at, score in zip(q[some], s[some], strict=True):
                     full[at] += 1
@@ -191,6 +199,15 @@ def lexical_hits(queries: DataFrame, corpus: DataFrame, k: int | None = None) ->
     return scan(queries.select("qid", F.col("strong").alias("terms"), "clean"), corpus.select("id", F.lower("content").alias("text")), ["id"], k, by=score).drop("span")
 
 
+def best_chunks(queries: DataFrame, chunks: DataFrame, k: int = 60) -> DataFrame:
+    """(qid, strong) and (id, chunk_index, text in lower case) → (qid, id, chunk_index, score): of each query's k best chunks the best of each row."""
+    score = lambda hits, n, _: np.round(np.minimum(45.0, 30.0 + 60.0 * (hits / (hits + 8.0)) + 10.0 * hits / np.maximum(n, 1)), 4)
+    hit = scan(queries.select("qid", F.col("strong").alias("terms")), chunks, ["id", "chunk_index"], k, by=lambda hits, n, s: score(hits.astype(np.float64), n, s))
+    scored = hit.select("qid", "id", "chunk_index", chunk_score(F.col("hits") / (F.col("hits") + 8.0), F.col("hits") / F.col("n")).alias("score"))
+    top = scored.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id", "chunk_index"))).where(F.col("r") <= k)
+    return top.groupBy("qid", "id").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("k"))).alias("b")).select("qid", "id", (-F.col("b.k")).alias("chunk_index"), "b.score")
+
+
 def lexical_score(hits: Column, n: Column, similarity: Column) -> Column:
     """At most 100: 70 times the share of terms, 20 times the trigram similarity, 15 for any term."""
     return F.round(F.least(F.lit(100.0), 70.0 * hits / n + 20.0 * similarity + F.when(hits > 0, 15.0).otherwise(0.0)), 4)

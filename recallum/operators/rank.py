@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def fuse(hits: DataFrame, alpha: float = 0.6) -> DataFrame:
-    """(qid, id, channel, score) → one row for each (qid, id): alpha times the best vector score plus the rest times the best lexical one, at least the structured one."""
-    best = lambda c: F.max(F.when(F.col("channel") == c, F.col("score")))
-    g = hits.groupBy("qid", "id").agg(best("vector").alias("vec"), best("lexical").alias("lex"), best("structured").alias("struct"), F.array_sort(F.collect_set("channel")).alias("channels"))
+    """(qid, id, channel, score) → one row for each (qid, id): alpha times the best vector score plus the rest times the best lexical one, at least the structured one.
+
+    Full-text and chunk hits are lexical ones.
+    """
+    best = lambda *c: F.max(F.when(F.col("channel").isin(*c), F.col("score")))
+    g = hits.groupBy("qid", "id").agg(best("vector").alias("vec"), best("lexical", "fulltext", "chunk").alias("lex"), best("structured").alias("struct"), F.array_sort(F.collect_set("channel")).alias("channels"))
     mixed = alpha * F.coalesce("vec", F.lit(0.0)) + (1 - alpha) * F.coalesce("lex", F.lit(0.0))
     return g.withColumn("score", F.round(F.greatest(mixed, F.coalesce("struct", F.lit(0.0))), 4))
 
@@ -28,12 +31,12 @@ def fatigue(n7d: Column, age_hours: Column) -> Column:
 
 
 def gate(hits: DataFrame) -> DataFrame:
-    """(qid, rank, score, bonus) → (qid, rerank): whether a query's order is unsure enough to be judged again."""
+    """(qid, rank, score, bonus, structured?) → (qid, rerank): whether a query's order is unsure enough to be judged again; not if a structured hit leads."""
     w = Window.partitionBy("qid")
     g = hits.withColumn("n", F.count("*").over(w)).withColumn("next", F.lead("score").over(w.orderBy("rank"))).where("rank = 1")
     gap = F.col("score") - F.coalesce("next", F.lit(0.0))
     s = F.col("score")
-    sure = (F.col("n") < 3) | (s >= 90) | ((F.col("bonus") >= 25) & (s >= 45)) | ((s >= 85) & (gap >= 8)) | ((s >= 70) & (gap >= 15))
+    sure = (F.col("n") < 3) | (s >= 90) | (F.col("structured") if "structured" in hits.columns else F.lit(False)) | ((F.col("bonus") >= 25) & (s >= 45)) | ((s >= 85) & (gap >= 8)) | ((s >= 70) & (gap >= 15))
     return g.select("qid", "n", "score", F.round(gap, 4).alias("gap"), F.when(sure, False).when((s < 65) | (gap < 6), True).otherwise(s < 80).alias("rerank"))
 
 

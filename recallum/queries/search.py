@@ -118,19 +118,19 @@ _POSTS = f"SELECT id, t AS term, count(*) AS tf, min(pos) AS first FROM (SELECT
 @query(sql("SELECT qid, id FROM (SELECT qid, len(strong) AS n, unnest(strong) AS term FROM query) JOIN posts USING (term) GROUP BY qid, id HAVING count(*) = any_value(n)", "memory", "query", posts=_POSTS))
 def token_and_match(spark: SparkSession, d: str) -> DataFrame:
     """Documents that have every strong term of a query as a word."""
-    return L.and_match(S.query_table(spark, d), "strong", L.postings(S.memory(spark, d), "id", "content"))
+    q = S.query_table(spark, d)
+    return L.and_match(q, "strong", L.postings(S.memory(spark, d), "id", "content", L.asked(q, "strong")))
 
 
-@query(
-    sql(
-        """SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(greatest(30.0, least(100.0, 45.0 + 300.0 * (tf / (tf + 40.0)) * coverage)), 4) AS score FROM (
-        SELECT qid, id, count(*) / any_value(n) AS coverage, sum(tf) AS tf FROM (SELECT qid, len(strong) AS n, unnest(strong) AS term FROM query) JOIN posts USING (term) GROUP BY qid, id))) WHERE rank <= 30""",
-        "memory", "query", posts=_POSTS,
-    )
-)
+_FULL = """SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (SELECT qid, id, round(greatest(30.0, least(100.0, 45.0 + 300.0 * (tf / (tf + 40.0)) * coverage)), 4) AS score FROM (
+        SELECT qid, id, count(*) / any_value(n) AS coverage, sum(tf) AS tf FROM (SELECT qid, len(strong) AS n, unnest(strong) AS term FROM query) JOIN posts USING (term) GROUP BY qid, id))) WHERE rank <= 30"""
+
+
+@query(sql(_FULL, "memory", "query", posts=_POSTS))
 def fulltext_topk(spark: SparkSession, d: str) -> DataFrame:
     """Any-term search; the rank is tf / (tf + 40) times the share of terms present."""
-    got = L.or_match(S.query_table(spark, d), "strong", L.postings(S.memory(spark, d), "id", "content"))
+    q = S.query_table(spark, d)
+    got = L.or_match(q, "strong", L.postings(S.memory(spark, d), "id", "content", L.asked(q, "strong")))
     return filters.top(got.withColumn("score", L.fulltext_score(F.col("tf") / (F.col("tf") + 40.0) * F.col("coverage"))), 30, "qid", F.desc("score"), F.col("id")).select("qid", "id", "score", "rank")
 
 
@@ -204,36 +204,39 @@ def code_search(spark: SparkSession, d: str) -> DataFrame:
 _LINES = "SELECT id, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS chunk_index, unnest(string_split(content, chr(10))) AS chunk FROM memory"
 
 
-@query(
-    sql(
-        """SELECT qid, id, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY score DESC, chunk_index) AS r FROM (
-        SELECT qid, id, chunk_index, round(least(45.0, 30.0 + 60.0 * (hits / (hits + 8.0)) + 10.0 * hits / n), 4) AS score FROM (SELECT qid, id, chunk_index, len(list_filter(strong, lambda t: contains(lower(chunk), t))) AS hits, len(strong) AS n FROM query, lines) WHERE hits > 0)) WHERE r = 1""",
-        "memory", "query", lines=_LINES,
-    )
-)
+_CHUNKS = """SELECT qid, id, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY score DESC, chunk_index) AS r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id, chunk_index) AS place FROM (
+        SELECT qid, id, chunk_index, round(least(45.0, 30.0 + 60.0 * (hits / (hits + 8.0)) + 10.0 * hits / n), 4) AS score FROM (SELECT qid, id, chunk_index, len(list_filter(strong, lambda t: contains(lower(chunk), t))) AS hits, len(strong) AS n FROM query, lines) WHERE hits > 0)) WHERE place <= 60) WHERE r = 1"""
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all documents (here their lines), in lower case."""
+    return S.memory(spark, d).select("id", F.posexplode(F.split(F.lower("content"), "\n")).alias("chunk_index", "text"))
+
+
+@query(sql(_CHUNKS, "memory", "query", lines=_LINES))
 def chunk_best_parent(spark: SparkSession, d: str) -> DataFrame:
-    """The best chunk (here a line) of each document for each query: score first, then the earlier chunk."""
-    chunks = S.memory(spark, d).select("id", F.posexplode(F.split(F.lower("content"), "\n")).alias("chunk_index", "text"))
-    hit = L.scan(S.query_table(spark, d).select("qid", F.col("strong").alias("terms")), chunks, ["id", "chunk_index"])
-    scored = hit.select("qid", "id", "chunk_index", L.chunk_score(F.col("hits") / (F.col("hits") + 8.0), F.col("hits") / F.col("n")).alias("score"))
-    return scored.groupBy("qid", "id").agg(F.max(F.struct("score", (-F.col("chunk_index")).alias("k"))).alias("b")).select("qid", "id", (-F.col("b.k")).alias("chunk_index"), "b.score")
+    """Of each query's sixty best chunks the best of each document: score first, then the earlier chunk."""
+    return L.best_chunks(S.query_table(spark, d), _chunks(spark, d))
 
 
 _HITS = """SELECT qid, id, 'vector' AS channel, round(100.0 * similarity, 4) AS score FROM ({knn}) UNION ALL SELECT qid, id, 'lexical', score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS r FROM lex) WHERE r <= 200
-  UNION ALL SELECT qid, id, 'structured', 75.0 FROM query JOIN memory ON source = 'src' || (qid % 20) AND level = 'automatic'""".format(knn=_KNN.format(k=30))
+  UNION ALL SELECT qid, id, 'fulltext', score FROM ({full}) UNION ALL SELECT qid, id, 'chunk', score FROM ({chunks})
+  UNION ALL SELECT qid, id, 'structured', 75.0 FROM query JOIN memory ON source = 'src' || (qid % 20) AND level = 'automatic'""".format(knn=_KNN.format(k=30), full=_FULL, chunks=_CHUNKS)
 _FUSED = """SELECT qid, id, round(greatest(0.6 * coalesce(vec, 0) + 0.4 * coalesce(lex, 0), coalesce(struct, 0)), 4) AS score, channels, vec, lex, struct FROM (
-  SELECT qid, id, max(score) FILTER (channel = 'vector') AS vec, max(score) FILTER (channel = 'lexical') AS lex, max(score) FILTER (channel = 'structured') AS struct, array_to_string(list_sort(list_distinct(list(channel))), ',') AS channels FROM hits GROUP BY qid, id)"""
-_VIEWS = dict(**_G, lex=_LEX, hits=_HITS, fused=_FUSED)
+  SELECT qid, id, max(score) FILTER (channel = 'vector') AS vec, max(score) FILTER (channel IN ('lexical', 'fulltext', 'chunk')) AS lex, max(score) FILTER (channel = 'structured') AS struct, array_to_string(list_sort(list_distinct(list(channel))), ',') AS channels FROM hits GROUP BY qid, id)"""
+_VIEWS = dict(**_G, posts=_POSTS, lines=_LINES, lex=_LEX, hits=_HITS, fused=_FUSED)
 
 
 def channels(spark: SparkSession, d: str) -> DataFrame:
-    """Hits (qid, id, channel, score) of the vector, lexical and structured channels."""
+    """Hits (qid, id, channel, score) of the vector, lexical, full-text, chunk and structured channels."""
     q, m = S.query_table(spark, d), S.memory(spark, d)
     vector = K.knn(q, m, 30).select("qid", "id", F.lit("vector").alias("channel"), F.round(100.0 * F.col("similarity"), 4).alias("score"))
     lexical = filters.top(_lexical(spark, d, 200), 200, "qid", F.desc("score"), F.col("id")).select("qid", "id", F.lit("lexical").alias("channel"), "score")
     source = q.select("qid", F.concat(F.lit("src"), F.col("qid") % 20).alias("source"))
     structured = m.where(filters.structured(level="automatic")).join(source, "source").select("qid", "id", F.lit("structured").alias("channel"), F.lit(75.0).alias("score"))
-    return vector.unionByName(lexical).unionByName(structured)
+    full = fulltext_topk(spark, d).select("qid", "id", F.lit("fulltext").alias("channel"), "score")
+    chunk = chunk_best_parent(spark, d).select("qid", "id", F.lit("chunk").alias("channel"), "score")
+    return vector.unionByName(lexical).unionByName(full).unionByName(chunk).unionByName(structured)
 
 
 @query(sql("SELECT qid, id, score, channels FROM fused", "memory", "query", **_VIEWS))
@@ -241,15 +244,25 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
     return R.fuse(channels(spark, d)).select("qid", "id", "score", F.array_join("channels", ",").alias("channels"))
 
 
-_DECAYED = f"SELECT qid, id, channels, fused.score AS score0, round(CASE WHEN struct IS NOT NULL THEN fused.score ELSE fused.score * CASE WHEN date_diff('day', date, DATE '{REF_DATE}') <= 7 THEN 1.0 ELSE greatest(0.2, exp(-0.05 * date_diff('day', date, DATE '{REF_DATE}'))) END END, 4) AS score FROM fused JOIN memory USING (id)"
+_PHRASES = "SELECT qid, id FROM query JOIN memory ON length(clean) >= 10 AND contains(clean, ' ') AND contains(lower(content), clean)"
+_DECAYED = f"""SELECT qid, id, struct, p.id IS NOT NULL AS literal, fused.score AS score0, round(CASE WHEN struct IS NOT NULL OR p.id IS NOT NULL THEN fused.score ELSE fused.score * CASE WHEN date_diff('day', date, DATE '{REF_DATE}') <= 7 THEN 1.0 ELSE greatest(0.2, exp(-0.05 * date_diff('day', date, DATE '{REF_DATE}'))) END END, 4) AS score
+  FROM fused JOIN memory USING (id) LEFT JOIN phrases p USING (qid, id)"""
+
+
+def _phrases(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, id): documents that contain a query's words literally; a query of one word or under ten characters is no phrase."""
+    q = S.query_table(spark, d).where((F.length("clean") >= 10) & F.contains("clean", F.lit(" "))).select("qid", F.array("clean").alias("p"))
+    return L.substring_hits(q, "p", S.memory(spark, d)).select("qid", "id")
 
 
 def _decayed(spark: SparkSession, d: str) -> DataFrame:
-    f = R.fuse(channels(spark, d)).join(S.memory(spark, d).select("id", "date"), "id")
-    return f.select("qid", "id", "struct", F.col("score").alias("score0"), F.round(F.when(F.col("struct").isNotNull(), F.col("score")).otherwise(F.col("score") * R.decay_factor(F.col("date"), F.lit(REF_DATE).cast("date"))), 4).alias("score"))
+    """Fused hits after decay; structured hits and literal ones don't decay."""
+    f = R.fuse(channels(spark, d)).join(S.memory(spark, d).select("id", "date"), "id").join(_phrases(spark, d).withColumn("literal", F.lit(True)), ["qid", "id"], "left")
+    keeps = F.col("struct").isNotNull() | F.coalesce("literal", F.lit(False))
+    return f.select("qid", "id", "struct", F.coalesce("literal", F.lit(False)).alias("literal"), F.col("score").alias("score0"), F.round(F.when(keeps, F.col("score")).otherwise(F.col("score") * R.decay_factor(F.col("date"), F.lit(REF_DATE).cast("date"))), 4).alias("score"))
 
 
-@query(sql("SELECT qid, id, score0, score FROM decayed", "memory", "query", **_VIEWS, decayed=_DECAYED))
+@query(sql("SELECT qid, id, score0, score FROM decayed", "memory", "query", **_VIEWS, phrases=_PHRASES, decayed=_DECAYED))
 def time_decay(spark: SparkSession, d: str) -> DataFrame:
     return _decayed(spark, d).select("qid", "id", "score0", "score")
 
@@ -269,18 +282,50 @@ def fatigue_boost(spark: SparkSession, d: str) -> DataFrame:
     return recent(spark, d).select("memory_id", "n7d", F.round(R.fatigue(F.col("n7d"), F.col("age_h")), 4).alias("boost"))
 
 
+#: Hits of each query whose texts are looked into for phrases and passages.
+ANNOTATED = 60
+_BOOSTED = f"""SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS place FROM (SELECT qid, id, struct, literal, round(least(100.0, score + CASE WHEN struct IS NULL THEN coalesce(round({_BOOST}, 4), 0.0) ELSE 0.0 END), 4) AS score FROM decayed LEFT JOIN recent ON memory_id = 'v' || id)"""
+_SPANS = """SELECT qid, id, len(places) AS n, m, list_max(places) - list_min(places) AS span FROM (SELECT qid, id, list_filter(list_transform(strong, lambda t: instr(lower(content), t)), lambda p: p > 0) AS places, len(strong) AS m FROM boosted JOIN query USING (qid) JOIN memory USING (id) WHERE place <= 60)"""
+_ANNOTATED = """SELECT qid, id, round(least(100.0, score + CASE WHEN literal THEN 20.0 ELSE 0.0 END + coalesce(CASE WHEN n < 2 THEN 0 WHEN n = m AND span <= 150 THEN 30 WHEN n = m AND span <= 350 THEN 20 WHEN n = m AND span <= 700 THEN 8 WHEN span <= 150 THEN 10 ELSE 0 END, 0)), 4) AS score, struct IS NOT NULL AS structured,
+  coalesce(CASE WHEN n < 2 THEN 0 WHEN n = m AND span <= 150 THEN 30 WHEN n = m AND span <= 350 THEN 20 WHEN n = m AND span <= 700 THEN 8 WHEN span <= 150 THEN 10 ELSE 0 END, 0) AS bonus FROM boosted LEFT JOIN spans USING (qid, id)"""
+_WHOLE = dict(**_VIEWS, phrases=_PHRASES, decayed=_DECAYED, recent=_RECENT, boosted=_BOOSTED, spans=_SPANS, annotated=_ANNOTATED)
+
+
+def annotated(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, id, score, structured, bonus): fused hits after decay, fatigue, phrase and proximity boosts.
+
+    The texts of the best sixty hits of each query are looked into; the rest have no bonus.
+    """
+    r = recent(spark, d).select(F.substring("memory_id", 2, 20).cast("bigint").alias("id"), F.round(R.fatigue(F.col("n7d"), F.col("age_h")), 4).alias("boost"))
+    fatigue = F.when(F.col("struct").isNull(), F.coalesce("boost", F.lit(0.0))).otherwise(0.0)
+    s = _decayed(spark, d).join(r, "id", "left").withColumn("score", F.round(F.least(F.lit(100.0), F.col("score") + fatigue), 4)).select("qid", "id", "struct", "literal", "score")
+    # Ids and scores are kept: the texts that are looked into depend on the order.
+    s = cut(s.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))))
+    near = s.where(F.col("place") <= ANNOTATED).select("qid", "id").join(S.query_table(spark, d).select("qid", "strong"), "qid").join(S.memory(spark, d).select("id", "content"), "id").select("qid", "id", T.proximity(F.col("content"), F.col("strong")).alias("bonus"))
+    bonus = F.coalesce("bonus", F.lit(0))
+    up = F.col("score") + F.when(F.col("literal"), 20.0).otherwise(0.0) + bonus
+    return s.join(near, ["qid", "id"], "left").select("qid", "id", F.round(F.least(F.lit(100.0), up), 4).alias("score"), F.col("struct").isNotNull().alias("structured"), bonus.alias("bonus"))
+
+
 @query(
     sql(
-        f"""SELECT qid, id, score, rank, CASE WHEN score >= 75 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
-        SELECT qid, id, round(least(100.0, score + coalesce(round({_BOOST}, 4), 0.0)), 4) AS score FROM decayed LEFT JOIN recent ON memory_id = 'v' || id) WHERE score >= 10) WHERE rank <= 10""",
-        "memory", "query", "access_log", **_VIEWS, decayed=_DECAYED, recent=_RECENT,
+        """SELECT qid, id, score, rank, CASE WHEN score >= 75 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM annotated WHERE score >= 10) WHERE rank <= 10""",
+        "memory", "query", "access_log", **_WHOLE,
     )
 )
 def hybrid_search_topk(spark: SparkSession, d: str) -> DataFrame:
-    """All queries against all memory: three channels, fusion, decay, fatigue, floor, top ten with labels."""
-    r = recent(spark, d).select(F.substring("memory_id", 2, 20).cast("bigint").alias("id"), F.round(R.fatigue(F.col("n7d"), F.col("age_h")), 4).alias("boost"))
-    s = _decayed(spark, d).join(r, "id", "left").select("qid", "id", F.round(F.least(F.lit(100.0), F.col("score") + F.coalesce("boost", F.lit(0.0))), 4).alias("score"))
-    return filters.top(s.where("score >= 10"), 10, "qid", F.desc("score"), F.col("id")).withColumn("relevance", R.label(F.col("score")))
+    """All queries against all memory: five channels, fusion, decay, fatigue, phrases, proximity, floor, top ten with labels."""
+    return filters.top(annotated(spark, d).where("score >= 10"), 10, "qid", F.desc("score"), F.col("id")).select("qid", "id", "score", "rank", R.label(F.col("score")).alias("relevance"))
+
+
+@query()
+def hybrid_search_diverse(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search with its last steps: quoted mentions weigh less, then marginal relevance orders the first thirty hits."""
+    top = cut(filters.top(annotated(spark, d).where("score >= 10"), 30, "qid", F.desc("score"), F.col("id")))
+    m = S.memory(spark, d).select("id", "content", "embedding")
+    j = top.join(m, "id").join(S.query_table(spark, d).select("qid", "clean"), "qid")
+    score = F.when(F.col("structured"), F.col("score")).otherwise(T.mention_penalty(F.col("score"), F.col("content"), F.col("clean")))
+    return R.mmr(j.select("qid", "id", score.alias("score"), "embedding"))
 
 
 @query(
@@ -334,13 +379,13 @@ def _tops(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     sql(
-        """SELECT qid, n, score, round(gap, 4) AS gap, CASE WHEN n < 3 OR score >= 90 OR (score >= 85 AND gap >= 8) OR (score >= 70 AND gap >= 15) THEN false WHEN score < 65 OR gap < 6 THEN true ELSE score < 80 END AS rerank
-        FROM (SELECT qid, rank, score, count(*) OVER (PARTITION BY qid) AS n, score - coalesce(lead(score) OVER (PARTITION BY qid ORDER BY rank), 0) AS gap FROM tops) WHERE rank = 1""",
-        "memory", "query", **_VIEWS, tops=_TOPS,
+        """SELECT qid, n, score, round(gap, 4) AS gap, CASE WHEN n < 3 OR score >= 90 OR structured OR (bonus >= 25 AND score >= 45) OR (score >= 85 AND gap >= 8) OR (score >= 70 AND gap >= 15) THEN false WHEN score < 65 OR gap < 6 THEN true ELSE score < 80 END AS rerank
+        FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n, score - coalesce(lead(score) OVER (PARTITION BY qid ORDER BY rank), 0) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM annotated) WHERE rank <= 15) WHERE rank = 1""",
+        "memory", "query", "access_log", **_WHOLE,
     )
 )
 def rerank_gate(spark: SparkSession, d: str) -> DataFrame:
-    return R.gate(_tops(spark, d).withColumn("bonus", F.lit(0)))
+    return R.gate(filters.top(annotated(spark, d), 15, "qid", F.desc("score"), F.col("id")))
 
 
 @query(
