@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from recallum.functions import rulesets
+
 #: (tag, pattern) over lower-cased text; an example set.
 TAG_RULES = [("email", r"[a-z0-9._]+@[a-z0-9.]+"), ("address", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"), ("phone", r"[+][0-9] [(][0-9]{3}[)]"), ("number", r"[0-9]{12,}"), ("licence", r"licen[sc]e"), ("rights", r"all rights reserved"), ("table", r"[|]"), ("secret", r"token = "), ("shouting", r"!!"), ("noise", r"[$%&#]{3}")]
 #: (category, pattern), the first that matches counts.
@@ -13,16 +15,24 @@ HIGH, LOW = [r"licen[sc]e", r"rights reserved", r"token = ", r"version [0-9]"],
 #: Attempts to instruct the reader of a text.
 SCREEN_RULES = [r"ignore (?:all|any|previous|the above)", r"disregard .{0,20}instructions", r"system prompt", r"you are now", r"<\s*script", r"act as (?:an?|the) ", r"do not tell", r"token = \"", r"base64,"]
 #: (kind, pattern, replacement) in the order in which they are applied.
-REDACTIONS = [("key", r"(?i)\b(token|secret|password|api_?key)(\s*[=:]\s*)[\"']?[A-Za-z0-9_\-]{8,}[\"']?", "$1$2[redacted]"), ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"), ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])", "[number]"), ("address", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])", "[address]")]
+REDACTIONS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"), ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])", "[number]"), ("address", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])", "[address]")]
+
 
+#: All tag rules as (tags, pattern), and all category rules: the fixed ones, then the examples.
+ALL_TAGS = [(names, rulesets.words(p)) for p, names in rulesets.TAGS] + [([name], p) for name, p in TAG_RULES]
+ALL_CATEGORIES = [(name, rulesets.words(p)) for p, name in rulesets.CATEGORIES] + CATEGORY_RULES
+#: Lasting and passing knowledge: the fixed signs, then the examples.
+ALL_HIGH, ALL_LOW = rulesets.LASTING + HIGH, rulesets.PASSING + LOW
 
-def tags(text: Column, rules: list[tuple[str, str]] = TAG_RULES) -> Column:
-    """Sorted names of all rules that match; none for a null text."""
+
+def tags(text: Column, rules: list[tuple[list[str], str]] = ALL_TAGS) -> Column:
+    """Sorted distinct tags of all rules that match; none for a null text."""
     low = F.lower(text)
-    return F.array_sort(F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(name)) for name, p in rules])))
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.when(low.rlike(p), F.array(*map(F.lit, names))).otherwise(none) for names, p in rules]))))
 
 
-def category(text: Column, rules: list[tuple[str, str]] = CATEGORY_RULES, default: str = "general") -> Column:
+def category(text: Column, rules: list[tuple[str, str]] = ALL_CATEGORIES, default: str = rulesets.DEFAULT_CATEGORY) -> Column:
     low, out = F.lower(text), None
     for name, p in rules:
         out = F.when(low.rlike(p), name) if out is None else out.when(low.rlike(p), name)
@@ -37,9 +47,17 @@ def hits(text: Column, patterns: list[str]) -> Column:
     return n
 
 
-def reusability(text: Column) -> Column:
-    high, low = hits(text, HIGH), hits(text, LOW)
-    return F.when(high >= 2, "infrastructure").when((high >= 1) | (low == 0), "project_specific").otherwise("temporary")
+def memory_type(category: Column, profiles: list[str] = rulesets.PROFILES) -> Column:
+    return F.when(category.isin(profiles), "profile").otherwise("event")
+
+
+def trade(text: Column, categories: Column) -> Column:
+    """(is_trade, reusability, domain_profile, promote): a trade's words or domain make it trade knowledge; its domain, or two lasting signs, make it reusable everywhere."""
+    high, low = hits(text, ALL_HIGH), hits(text, ALL_LOW)
+    domain = F.coalesce(F.arrays_overlap(categories, F.array(*map(F.lit, rulesets.DOMAINS))), F.lit(False))
+    wide, some = (high >= 2) | domain, (high >= 1) | (low == 0)
+    pick = lambda a, b, c: F.when(wide, a).when(some, b).otherwise(c)
+    return F.struct((domain | (hits(text, rulesets.TRADE) > 0)).alias("is_trade"), pick("high", "medium", "low").alias("reusability"), pick("infrastructure", "project_specific", "temporary").alias("domain_profile"), wide.alias("promote"))
 
 
 def screened(text: Column, rules: list[str] = SCREEN_RULES) -> Column:
@@ -50,10 +68,17 @@ def screened(text: Column, rules: list[str] = SCREEN_RULES) -> Column:
     return out
 
 
-def redact(text: Column, rules: list[tuple[str, str, str]] = REDACTIONS) -> tuple[Column, Column]:
-    """(text with all rules applied in order, number of replacements)."""
+def redact(text: Column, rules: list[tuple[str, str, str]] | None = None) -> tuple[Column, Column]:
+    """(text with all rules applied in order, number of replacements): the fixed secrets, then personal data."""
+    rules = rulesets.redactions() + REDACTIONS if rules is None else rules
     n = F.lit(0)
     for _, pattern, to in rules:
         n = n + F.regexp_count(text, F.lit(pattern))
         text = F.regexp_replace(text, pattern, to)
     return text, n
+
+
+def redact_values(values: Column) -> tuple[Column, Column]:
+    """`redact` for all values of a map of strings; (map, number of replacements)."""
+    done = F.transform(F.map_entries(values), lambda e: F.struct(e["key"].alias("key"), *[x.alias(n) for x, n in zip(redact(e["value"]), ("value", "n"), strict=True)]))
+    return F.map_from_entries(F.transform(done, lambda e: F.struct(e["key"], e["value"]))), F.aggregate(done, F.lit(0), lambda acc, e: acc + F.coalesce(e["n"], F.lit(0)))

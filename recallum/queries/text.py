@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recallum.functions import rules as R, text as T
+from recallum.functions import rules as R, rulesets, text as T
 from recallum.operators import filters, lexical as L
 from recallum.queries import query
 from recallum.sources import tables as S
@@ -15,10 +15,9 @@ def _match(p: str, x: str = "content") -> str:
     return "regexp_matches(lower({}), '{}')".format(x, p.replace("'", "''"))
 
 
-_TAGS = "list_sort(list_filter([" + ", ".join(f"CASE WHEN {_match(p)} THEN '{n}' END" for n, p in R.TAG_RULES) + "], lambda t: t IS NOT NULL))"
-_CATEGORY = "CASE " + " ".join(f"WHEN {_match(p)} THEN '{n}'" for n, p in R.CATEGORY_RULES) + " ELSE 'general' END"
-_HIGH, _LOW = (" + ".join(f"CAST({_match(p)} AS INT)" for p in x) for x in (R.HIGH, R.LOW))
-_REUSE = f"CASE WHEN {_HIGH} >= 2 THEN 'infrastructure' WHEN {_HIGH} >= 1 OR {_LOW} = 0 THEN 'project_specific' ELSE 'temporary' END"
+_TAGS = "list_sort(list_distinct(flatten([" + ", ".join(f"CASE WHEN {_match(p)} THEN {names} ELSE [] END" for names, p in R.ALL_TAGS) + "])))"
+_CATEGORY = "CASE " + " ".join(f"WHEN {_match(p)} THEN '{n}'" for n, p in R.ALL_CATEGORIES) + f" ELSE '{rulesets.DEFAULT_CATEGORY}' END"
+_HIGH, _LOW, _TRADE = (" + ".join(f"CAST({_match(p)} AS INT)" for p in x) for x in (R.ALL_HIGH, R.ALL_LOW, rulesets.TRADE))
 
 
 @query(sql(f"SELECT id, array_to_string({_TAGS}, ',') AS found FROM memory", "memory"))
@@ -26,16 +25,39 @@ def auto_tag(spark: SparkSession, d: str) -> DataFrame:
     return S.memory(spark, d).select("id", F.array_join(R.tags(F.col("content")), ",").alias("found"))
 
 
-@query(sql(f"SELECT id, {_CATEGORY} AS category, CASE WHEN {_CATEGORY} IN ('contact', 'credentials') THEN 'profile' ELSE 'event' END AS mem_type FROM memory", "memory"))
+@query(sql(f"SELECT id, category, CASE WHEN category IN ({', '.join(repr(p) for p in rulesets.PROFILES)}) THEN 'profile' ELSE 'event' END AS mem_type FROM (SELECT id, {_CATEGORY} AS category FROM memory)", "memory"))
 def auto_category(spark: SparkSession, d: str) -> DataFrame:
-    c = R.category(F.col("content"))
-    return S.memory(spark, d).select("id", c.alias("category")).withColumn("mem_type", F.when(F.col("category").isin("contact", "credentials"), "profile").otherwise("event"))
+    return S.memory(spark, d).select("id", R.category(F.col("content")).alias("category")).withColumn("mem_type", R.memory_type(F.col("category")))
 
 
-@query(sql(f"SELECT id, {_REUSE} AS reusability, CASE {_REUSE} WHEN 'infrastructure' THEN 180 WHEN 'project_specific' THEN 90 ELSE 14 END AS decay_days FROM memory", "memory"))
+_CLASSES = f"""SELECT id, level, dom OR tr > 0 AS is_trade, CASE WHEN h >= 2 OR dom THEN 'high' WHEN h >= 1 OR l = 0 THEN 'medium' ELSE 'low' END AS reusability, CASE WHEN h >= 2 OR dom THEN 'infrastructure' WHEN h >= 1 OR l = 0 THEN 'project_specific' ELSE 'temporary' END AS domain_profile, h >= 2 OR dom AS promote
+  FROM (SELECT id, level, {_HIGH} AS h, {_LOW} AS l, {_TRADE} AS tr, list_has_any(categories, [{', '.join(repr(p) for p in rulesets.DOMAINS)}]) AS dom FROM memory)"""
+
+
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    return S.memory(spark, d).select("id", "level", R.trade(F.col("content"), F.col("categories")).alias("t")).select("id", "level", "t.*")
+
+
+@query(sql("SELECT id, is_trade, reusability, domain_profile, CASE domain_profile WHEN 'infrastructure' THEN 180 WHEN 'project_specific' THEN 90 ELSE 14 END AS decay_days, CASE WHEN is_trade AND reusability = 'high' AND level = 'episodic' THEN 'semantic' ELSE level END AS level FROM classes", "memory", classes=_CLASSES))
 def trade_classify(spark: SparkSession, d: str) -> DataFrame:
-    r = S.memory(spark, d).select("id", R.reusability(F.col("content")).alias("reusability"))
-    return r.withColumn("decay_days", F.when(F.col("reusability") == "infrastructure", 180).when(F.col("reusability") == "project_specific", 90).otherwise(14))
+    """Every row's class, days of decay, and level: reusable episodic trade knowledge becomes semantic."""
+    r = _classes(spark, d)
+    days = F.when(F.col("domain_profile") == "infrastructure", 180).when(F.col("domain_profile") == "project_specific", 90).otherwise(14)
+    up = F.col("is_trade") & (F.col("reusability") == "high") & (F.col("level") == "episodic")
+    return r.select("id", "is_trade", "reusability", "domain_profile", days.alias("decay_days"), F.when(up, "semantic").otherwise(F.col("level")).alias("level"))
+
+
+@query(sql("SELECT domain_profile, count(*) AS total, count(*) FILTER (is_trade) AS trade, count(*) FILTER (reusability = 'high') AS high, count(*) FILTER (is_trade AND reusability = 'high' AND level = 'episodic') AS promoted FROM classes GROUP BY domain_profile", "memory", classes=_CLASSES))
+def trade_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """A classification run's counts."""
+    high = F.col("reusability") == "high"
+    return _classes(spark, d).groupBy("domain_profile").agg(F.count("*").alias("total"), F.count_if("is_trade").alias("trade"), F.count_if(high).alias("high"), F.count_if(F.col("is_trade") & high & (F.col("level") == "episodic")).alias("promoted"))
+
+
+@query(sql("SELECT id, is_trade, rank FROM (SELECT id, is_trade, row_number() OVER (ORDER BY id DESC) AS rank FROM classes WHERE is_trade OR reusability = 'high') WHERE rank <= 50", "memory", classes=_CLASSES))
+def trade_list(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty newest rows of trade or highly reusable knowledge."""
+    return filters.top(_classes(spark, d).where("is_trade OR reusability = 'high'").withColumn("one", F.lit(1)), 50, "one", F.desc("id")).select("id", "is_trade", "rank")
 
 
 @query(sql(f"SELECT id, date_diff('day', last, DATE '{REF_DATE}') AS idle FROM (SELECT id, trade, critical, coalesce(CAST(seen AS DATE), date) AS last FROM memory LEFT JOIN (SELECT memory_id, max(accessed_at) AS seen FROM access_log GROUP BY memory_id) ON memory_id = 'v' || id) WHERE trade AND NOT critical AND date_diff('day', last, DATE '{REF_DATE}') >= 100", "memory", "access_log"))
