@@ -225,6 +225,8 @@ SETS = 12
 FAR, PARTNERS, NEXT = 16, 6, 4
 #: Texts whose shingles order all shingles by rarity (any order is exact), and the uses in them from which a shingle counts as frequent.
 SAMPLED, FREQUENT = 20_000, 4
+#: Classes whose parities a text's shingle set is compared by before it is read, and bits of the bitmap of shared shingles.
+PARITIES, SIEVE = 512, 27
 #: Rows of the two sides of a join on one shingle; more are split into blocks.
 ASKING, ASKED = 1024, 4096
 
@@ -378,17 +380,18 @@ def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(id, text) → (id, n, toks): the number of shingles and the rarest of them, without which too few are left for the similarity.
+    """(id, text) → (id, n, bits, toks): the number of shingles, their parities, and the rarest of them, without which too few are left for the similarity.
 
     Two texts of that similarity have the first of their common shingles, rare ones
-    before frequent ones, among the toks of both.
+    before frequent ones, among the toks of both.  The parities are those of the
+    numbers of shingles in each of PARITIES classes by hash, as 64-bit words.
     """
     sent = texts.sparkSession.sparkContext.broadcast(frequent(texts, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, uses = sent.value
         for b in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
-            sizes, toks = [], []
+            sizes, toks, bits = [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py(), words)
                 rank = np.zeros(len(s), np.int64)
@@ -397,15 +400,55 @@ def prefixes(texts: DataFrame, similarity: float, words: int) -> DataFrame:
                     rank = np.where(often[at] == s, uses[at], 0)
                 sizes.append(len(s))
                 toks.append(s[np.lexsort((s, rank))][: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(toks, pa.list_(pa.int64()))], names=["id", "n", "toks"])
+                bits.append(np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(toks, pa.list_(pa.int64()))], names=["id", "n", "bits", "toks"])
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, n int, toks array<bigint>")
+    return texts.select("id", "text").mapInArrow(run, "id bigint, n int, bits array<bigint>, toks array<bigint>")
+
+
+def placed(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """`rows` with the component of each id in `comp`; ids without links are their own."""
+    return rows.join(hinted(comp.select(F.col("node").alias("id"), F.col("component").alias("comp"))), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def meetings_of(rare: DataFrame, comp: DataFrame) -> DataFrame:
+    """`prefixes` → (tok, id, n, bits, at) of shingles on which texts of different components meet.
+
+    Most shingles are of one text; these are sifted out by a bitmap of bounded
+    size before anything wide is shuffled, and what it lets through by a join.
+    """
+    toks = placed(rare.select("id", "toks"), comp).select("comp", F.explode("toks").alias("tok"))
+    live = cut(toks.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("tok"))
+    slot = F.col("tok").bitwiseAND(F.lit((1 << SIEVE) - 1))
+    words = live.groupBy(F.shiftright(slot, 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(bigint(1), int(tok & 63))")).alias("v")).toArrow()
+    sieve = np.zeros(1 << SIEVE - 6, np.uint64)
+    sieve[words["w"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+    sent = rare.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = sent.value
+        for b in (whole.slice(k, 2048) for whole in batches for k in range(0, whole.num_rows, 2048)):
+            tok = b.column(3).flatten().to_numpy(zero_copy_only=False)
+            size = np.fromiter((len(x) for x in b.column(3)), np.int64, b.num_rows)
+            first = np.concatenate(([0], np.cumsum(size)[:-1])) if b.num_rows else size
+            at = np.arange(len(tok)) - np.repeat(first, size)
+            slot = tok & (1 << SIEVE) - 1
+            kept = np.flatnonzero(sieve[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1))
+            own = pa.array(np.repeat(np.arange(b.num_rows), size)[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(tok[kept]), *(b.column(k).take(own) for k in range(3)), pa.array(at[kept].astype(np.int32))], names=["tok", "id", "n", "bits", "at"])
+
+    rows = rare.select("id", "n", "bits", "toks").mapInArrow(run, "tok bigint, id bigint, n int, bits array<bigint>, at int")
+    return cut(rows.join(hinted(live), "tok"))
 
 
 def _enough(x: str, y: str, similarity: float) -> Column:
-    """Whether two texts can be that similar if the shingle on which they meet is the first that they have in common."""
+    """Whether two texts can be that similar if the shingle on which they meet is the first that they have in common.
+
+    Sets differ in at least as many shingles as they have classes of different parity.
+    """
     at, n = (lambda k: F.col(f"{k}.n") - F.col(f"{k}.at")), (lambda k: F.col(f"{k}.n"))
-    return (F.least(n(x), n(y)) >= similarity * F.greatest(n(x), n(y)) - 1e-9) & (F.least(at(x), at(y)) >= similarity / (1 + similarity) * (n(x) + n(y)) - 1e-9)
+    apart = sum((F.bit_count(F.col(f"{x}.bits")[k].bitwiseXOR(F.col(f"{y}.bits")[k])) for k in range(PARITIES // 64)), F.lit(0))
+    return (F.least(n(x), n(y)) >= similarity * F.greatest(n(x), n(y)) - 1e-9) & (F.least(at(x), at(y)) >= similarity / (1 + similarity) * (n(x) + n(y)) - 1e-9) & (apart <= (1 - similarity) / (1 + similarity) * (n(x) + n(y)) + 1e-9)
 
 
 def _pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
@@ -413,15 +456,14 @@ def _pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(tok, id, comp, n, at) → pairs of each text with one text of each shingle's, of other components; one a row at most."""
-    centre = F.min_by(F.struct("id", "comp", "n", "at"), F.xxhash64("tok", "id")).alias("c")
-    live = cut(rows.groupBy("tok").agg(centre, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("tok", "c"))
-    met = rows.join(hinted(live), "tok").select(F.struct("id", "comp", "n", "at").alias("r"), "c")
+    """(tok, id, comp, n, bits, at) → pairs of each text with one text of each shingle's, of other components; one a row at most."""
+    centre = F.min_by(F.struct("id", "comp", "n", "bits", "at"), F.xxhash64("tok", "id")).alias("c")
+    met = rows.join(hinted(cut(rows.groupBy("tok").agg(centre))), "tok").select(F.struct("id", "comp", "n", "bits", "at").alias("r"), "c")
     return _pairs(met.where((F.col("r.comp") != F.col("c.comp")) & _enough("r", "c", similarity)), "r", "c")
 
 
 def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(tok, id, comp, n, at) → all pairs of different components that meet on a shingle and can be similar.
+    """(tok, id, comp, n, bits, at) → all pairs of different components that meet on a shingle and can be similar.
 
     Texts of a shingle's largest component are not compared with one another, so
     linked copies cost nothing; what is left is joined in blocks of bounded size.
@@ -429,11 +471,11 @@ def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     by = rows.groupBy("tok", "comp").agg(F.count("*").alias("m")).groupBy("tok").agg(F.sum("m").alias("c"), F.max("m").alias("most"), F.max_by("comp", F.struct("m", "comp")).alias("major")).where("c > most")
     asking, asked = F.ceil((F.col("c") - F.col("most")) / ASKING).alias("asking"), F.ceil(F.col("c") / ASKED).alias("asked")
     live = cut(by.select("tok", "major", asking, asked))
-    met = cut(rows.join(hinted(live), "tok"))
+    met = rows.join(hinted(live), "tok")
     own = lambda many: F.pmod(F.xxhash64("id", F.lit(29)), F.col(many))
     every = lambda many: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(many) - 1))
-    x = met.where("comp != major").select("tok", own("asking").alias("i"), every("asked").alias("j"), F.struct("id", "comp", "n", "at").alias("x"))
-    y = met.select("tok", every("asking").alias("i"), own("asked").alias("j"), F.struct("id", "comp", "n", "at").alias("y"))
+    x = met.where("comp != major").select("tok", own("asking").alias("i"), every("asked").alias("j"), F.struct("id", "comp", "n", "bits", "at").alias("x"))
+    y = met.select("tok", every("asking").alias("i"), own("asked").alias("j"), F.struct("id", "comp", "n", "bits", "at").alias("y"))
     return _pairs(x.join(y, ["tok", "i", "j"]).where((F.col("x.comp") != F.col("y.comp")) & _enough("x", "y", similarity)), "x", "y")
 
 
@@ -464,11 +506,27 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are of different components."""
+    of = lambda side: hinted(comp.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links; each node's link to its component stands for all links before."""
+    more = cut(links)
+    if more.isEmpty():
+        return comp
+    return cut(connected_components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more)))
+
+
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
     """`docs` → (id, key, component, first_key): equal texts and, through links, texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Ball hashing of several word-set fingerprints links most near texts.  Then
-    every other pair is reached by the rare shingles that two similar texts must
+    Ball hashing of several word-set fingerprints links most near texts: first
+    each with one candidate, then candidates of different components.  Every other
+    pair is reached by the rare shingles that two similar texts must
     share: first each text with one other of each shingle's, then all pairs of
     different components.  Every link is verified on the whole shingle sets of
     both texts.
@@ -487,17 +545,14 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = known.groupBy("key").agg(F.min("id").alias("id")).join(node, "key")
     named = hinted(cut(own))
     texts = rows.join(named.withColumnRenamed("id", "own"), (rows["key"] == named["key"]) & rows["id"].eqNullSafe(F.col("own"))).select(F.col("node").alias("id"), "text")
-    sketched = cut(sketches(texts, words).dropDuplicates(["id"]))
-    links = cut(alike(texts, cut(candidates(sketched)), similarity, words))
-    comp = cut(connected_components(links))
-    rare = cut(prefixes(texts, similarity, words).dropDuplicates(["id"]))
-    for met in (star_pairs, all_pairs):
-        at = rare.join(hinted(comp.withColumnRenamed("node", "id")), "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "n", F.posexplode("toks").alias("at", "tok"))
-        more = cut(alike(texts, cut(met(at, similarity)), similarity, words))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comp = cut(connected_components(links))
+    pairs = cut(candidates(cut(sketches(texts, words).dropDuplicates(["id"]))))
+    comp = joined(texts.sparkSession.createDataFrame([], "node bigint, component bigint"), alike(texts, cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), similarity, words))
+    # What one partner each has linked need not be looked at again.
+    comp = joined(comp, alike(texts, cut(_apart(pairs, comp)), similarity, words))
+    met = meetings_of(cut(prefixes(texts, similarity, words).dropDuplicates(["id"])), comp)
+    for found in (star_pairs, all_pairs):
+        comp = joined(comp, alike(texts, cut(found(placed(met, comp), similarity)), similarity, words))
     of = node.join(hinted(comp), "node", "left").select("key", F.coalesce("component", "node").alias("root"))
-    placed = cut(known.join(of, "key"))
-    first = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
-    return placed.join(first, "root").select("id", "key", F.col("first.id").alias("component"), F.col("first.key").alias("first_key"))
+    grouped = cut(known.join(of, "key"))
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
+    return grouped.join(first, "root").select("id", "key", F.col("first.id").alias("component"), F.col("first.key").alias("first_key"))
