@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recallum.functions.text import canonical_id
+from recallum.sources.shared import against
 
 
-def structured(code: str | None = None, categories: list[str] | None = None, level: str | None = None, ids: list[int] | None = None, after: str | None = None, before: str | None = None, session: str | None = None) -> Column:
-    """One predicate over memory rows, all parts joined by AND; Catalyst pushes it to the scan."""
+def structured(code: str | None = None, categories: list[str] | None = None, level: str | None = None, ids: list[int] | None = None, after: str | None = None, before: str | None = None, session: str | None = None, kind: str | None = None) -> Column:
+    """One predicate over memory rows, all parts joined by AND; Catalyst pushes it to the scan.  `kind` is the memory type (here the author)."""
     parts = [F.lit(True)]
     if code:
         parts.append(F.lower("code") == code.lower())
@@ -22,6 +23,8 @@ def structured(code: str | None = None, categories: list[str] | None = None, lev
         parts.append(F.col("date").cast("string") >= after)
     if before:
         parts.append(F.col("date").cast("string") <= before)
+    if kind:
+        parts.append(F.lower("author") == kind.lower())
     if session:
         parts.append(F.col("session_id") == session)
     out = parts[0]
@@ -30,25 +33,70 @@ def structured(code: str | None = None, categories: list[str] | None = None, lev
     return out
 
 
-KEYS = ("code", "category", "level", "id", "after", "before", "session")
+# The keys of a query string, with their synonyms.
+KEYS = {"code": "code", "category": "category|categories|cat", "level": "nivel|level", "kind": "type|memory_type", "id": "id", "after": "after|since", "before": "before|until", "session": "session"}
+FILTER = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])({'|'.join(k for ks in KEYS.values() for k in sorted(ks.split('|'), key=len, reverse=True))}):(\S+)"
+NUMBER = r"(?:^|[^\p{L}\p{N}_])#(\d{1,9})(?:$|\D)"
+PHRASE = '"([^"]{2,})"'
 
 
 def relative_date(text: Column, ref_date: str) -> Column:
     """`today` and `<n>d` as ISO dates before `ref_date`; anything else as it is; empty is null."""
-    days = F.regexp_extract(text, r"^(\d+)d$", 1)
+    days = F.regexp_extract(F.lower(text), r"^(\d{1,4})d$", 1)
     ref = F.lit(ref_date).cast("date")
-    return F.when(text == "", None).when(text == "today", F.lit(ref_date)).when(days != "", F.date_sub(ref, days.cast("int")).cast("string")).otherwise(text)
+    return F.when(text == "", None).when(F.lower(text).isin("today", "hoy"), F.lit(ref_date)).when(days != "", F.date_sub(ref, days.cast("int")).cast("string")).otherwise(text)
 
 
 def compile_queries(raw: DataFrame, ref_date: str, text_col: str = "raw") -> DataFrame:
-    """Query strings → (qid, code, category, level, ids, after, before, session, phrases, clean)."""
-    t = F.col(text_col)
-    value = lambda k: F.regexp_extract(t, rf"(?:^|\s){k}:(\S+)", 1)
-    numbered = F.regexp_extract(t, r"(?:^|\s)#(\d+)", 1)
-    listed = F.filter(F.split(value("id"), ","), lambda x: x != "")
-    phrases = F.filter(F.regexp_extract_all(t, F.lit('"([^"]*)"'), F.lit(1)), lambda p: F.length(p) >= 2)
-    clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, rf"(^|\s)(?:{'|'.join(KEYS)}):\S+", "$1"), '"[^"]*"|#[0-9]+', " "), r"\s+", " "))
-    return raw.select("qid", F.nullif(value("code"), F.lit("")).alias("code"), F.nullif(value("category"), F.lit("")).alias("category"), F.nullif(value("level"), F.lit("")).alias("level"), F.when(F.size(listed) > 0, listed).when(numbered != "", F.array(numbered)).otherwise(F.array().cast("array<string>")).alias("ids"), relative_date(value("after"), ref_date).alias("after"), relative_date(value("before"), ref_date).alias("before"), F.nullif(value("session"), F.lit("")).alias("session"), phrases.alias("phrases"), clean.alias("clean"))
+    """Query strings → (qid, code, categories, level, kind, ids, after, before, session, phrases, clean).
+
+    Phrases are taken out first.  Categories and ids may be lists and repeat; of
+    other keys the last value counts.  A `#number` is an id where no `id:` is.
+    """
+    t = F.trim(text_col)
+    phrases = F.filter(F.transform(F.regexp_extract_all(t, F.lit(PHRASE), F.lit(1)), lambda p: F.trim(p)), lambda p: p != "")
+    bare = F.regexp_replace(t, PHRASE, " ")
+    keys, values = (F.regexp_extract_all(bare, F.lit(FILTER), F.lit(k)) for k in (1, 2))
+    pairs = F.transform(keys, lambda k, i: F.struct(F.lower(k).alias("k"), F.regexp_replace(F.get(values, i), r"^[,;]+|[,;]+$", "").alias("v")))
+    rows = raw.select("qid", phrases.alias("phrases"), bare.alias("bare"), pairs.alias("pairs"))
+    of = lambda name: F.transform(F.filter("pairs", lambda p: p["k"].isin(KEYS[name].split("|")) & (p["v"] != "")), lambda p: p["v"])
+    last = lambda name: F.get(F.reverse(of(name)), F.lit(0))
+    listed = lambda name: F.filter(F.flatten(F.transform(of(name), lambda v: F.split(v, "[,;]"))), lambda v: v != "")
+    numbers = F.filter(listed("id"), lambda v: v.rlike(r"^\d+$"))
+    hashed = F.regexp_extract("bare", NUMBER, 1)
+    ids = F.when(F.size(numbers) > 0, numbers).when(hashed != "", F.array(hashed)).otherwise(F.array().cast("array<string>"))
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("bare", FILTER, " "), r"(^|[^\p{L}\p{N}_])#\d{1,9}($|\D)", "$1 $2"), r"\s+", " ")
+    return rows.select(
+        "qid", last("code").alias("code"), listed("category").alias("categories"), F.lower(last("level")).alias("level"), F.lower(last("kind")).alias("kind"), ids.alias("ids"),
+        relative_date(last("after"), ref_date).alias("after"), relative_date(last("before"), ref_date).alias("before"), last("session").alias("session"), "phrases", F.trim(clean, F.lit(" ,;")).alias("clean"),
+    )
+
+
+def allowed(compiled: DataFrame, memory: DataFrame) -> DataFrame:
+    """(qid, id) of the rows that each compiled query's filters let through, before any channel; queries without filters are left out.
+
+    The query table goes to the rows in blocks of counted size.
+    """
+    q = compiled.where(F.expr("code IS NOT NULL OR size(categories) > 0 OR level IS NOT NULL OR kind IS NOT NULL OR size(ids) > 0 OR after IS NOT NULL OR before IS NOT NULL OR session IS NOT NULL"))
+    q = q.select("qid", F.lower("code").alias("q_code"), F.col("categories").alias("q_categories"), F.col("level").alias("q_level"), F.col("kind").alias("q_kind"), F.col("ids").cast("array<bigint>").alias("q_ids"), F.col("after").alias("q_after"), F.col("before").alias("q_before"), F.col("session").alias("q_session"))
+    day = F.col("date").cast("string")
+    part = lambda name, test: F.col(name).isNull() | test
+    on = (
+        part("q_code", F.lower("code") == F.col("q_code")) & ((F.size("q_categories") == 0) | F.arrays_overlap("categories", "q_categories")) & part("q_level", F.lower("level") == F.col("q_level")) & part("q_kind", F.lower("author") == F.col("q_kind"))
+        & ((F.size("q_ids") == 0) | F.array_contains("q_ids", F.col("id"))) & part("q_after", day >= F.col("q_after")) & part("q_before", day <= F.col("q_before")) & part("q_session", F.col("session_id") == F.col("q_session"))
+    )
+    return against(memory.select("id", "code", "categories", "level", "author", "date", "session_id"), q, on).select("qid", "id")
+
+
+def exact_query(clean: Column, ids: Column, code: Column) -> Column:
+    """Whether a query names rows rather than describes them: ids, a code, or one token like an identifier."""
+    return F.coalesce((F.size(ids) > 0) | code.isNotNull() | clean.rlike(r"^[A-Za-z0-9_.:\-]{10,}$"), F.lit(False))
+
+
+def trigger_only(text: Column) -> Column:
+    """Whether all words of a query are `trigger:` ones."""
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    return (F.size(words) > 0) & F.forall(words, lambda w: F.startswith(w, F.lit("trigger:")))
 
 
 def lookup(raw: DataFrame, memory: DataFrame) -> DataFrame:

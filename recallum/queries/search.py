@@ -18,21 +18,53 @@ def structured_filter(spark: SparkSession, d: str) -> DataFrame:
     return S.memory(spark, d).where(where).select("id", "code", "level", F.col("date").cast("string").alias("date_s"))
 
 
-_RAW = "'code:src' || (item_id % 20) || '_en level:semantic after:' || (item_id % 40) || 'd before:today \"' || substr(text, 1, 12) || '\" #' || item_id || ' ' || substr(text, 20, 60)"
+#: Query strings made of each passage: filters with synonyms, lists and repeats, a phrase, a number and plain words.
+_RAW = """CASE item_id % 4 WHEN 0 THEN 'code:src' || (item_id % 20) || '_en since:' || (item_id % 400) || 'd' WHEN 1 THEN 'Cat:en,src' || (item_id % 20) || '; level:Semantic type:agent' WHEN 2 THEN '#' || item_id || ' until:today' ELSE 'session:s' || (item_id % 50) || ' level:x nivel:episodic' END || ' "' || text[1:12] || '" ' || text[20:79]"""
+_PAIRS = rf"""SELECT qid, phrases, bare, list_transform(list_zip(regexp_extract_all(bare, '{filters.FILTER}', 1), regexp_extract_all(bare, '{filters.FILTER}', 2)), lambda p: struct_pack(k := lower(p[1]), v := regexp_replace(p[2], '^[,;]+|[,;]+$', '', 'g'))) AS pairs
+  FROM (SELECT qid, list_filter(list_transform(regexp_extract_all(raw, '{filters.PHRASE}', 1), lambda p: trim(p)), lambda p: p <> '') AS phrases, regexp_replace(raw, '{filters.PHRASE}', ' ', 'g') AS bare FROM (SELECT item_id AS qid, trim({_RAW}) AS raw FROM benchmark))"""
+
+
+def _values(name: str) -> str:
+    keys = ", ".join(f"'{k}'" for k in filters.KEYS[name].split("|"))
+    return f"list_transform(list_filter(pairs, lambda p: p.k IN ({keys}) AND p.v <> ''), lambda p: p.v)"
+
+
+def _listed(name: str) -> str:
+    return f"list_filter(flatten(list_transform({_values(name)}, lambda v: regexp_split_to_array(v, '[,;]'))), lambda v: v <> '')"
+
+
+def _date(name: str) -> str:
+    v = f"{_values(name)}[-1]"
+    return f"CASE WHEN lower({v}) IN ('today', 'hoy') THEN '{REF_DATE}' WHEN regexp_matches(lower({v}), '^[0-9]{{1,4}}d$') THEN CAST(DATE '{REF_DATE}' - CAST(regexp_extract({v}, '^([0-9]+)', 1) AS INT) AS VARCHAR) ELSE {v} END"
+
+
+_COMPILED = rf"""SELECT qid, {_values('code')}[-1] AS code, {_listed('category')} AS categories, lower({_values('level')}[-1]) AS level, lower({_values('kind')}[-1]) AS kind,
+  CASE WHEN len({_listed('id')}) > 0 THEN {_listed('id')} WHEN regexp_extract(bare, '{filters.NUMBER}', 1) <> '' THEN [regexp_extract(bare, '{filters.NUMBER}', 1)] ELSE [] END AS ids, {_date('after')} AS after, {_date('before')} AS before, {_values('session')}[-1] AS session, phrases,
+  trim(regexp_replace(regexp_replace(regexp_replace(bare, '{filters.FILTER}', ' ', 'g'), '(^|[^\p{{L}}\p{{N}}_])#\d{{1,9}}($|\D)', '\1 \2', 'g'), '\s+', ' ', 'g'), ' ,;') AS clean FROM pairs_of"""
+
+
+def _compiled(spark: SparkSession, d: str) -> DataFrame:
+    raw = S.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.expr(_RAW.replace("text[1:12]", "substring(text, 1, 12)").replace("text[20:79]", "substring(text, 20, 60)")).alias("raw"))
+    return filters.compile_queries(raw, REF_DATE)
+
+
+@query(sql("SELECT qid, code, array_to_string(categories, ',') AS categories, level, kind, array_to_string(ids, ',') AS ids, after, before, session, array_to_string(phrases, '|') AS phrases, clean FROM compiled", pairs_of=_PAIRS, compiled=_COMPILED))
+def filter_compile(spark: SparkSession, d: str) -> DataFrame:
+    c = _compiled(spark, d)
+    return c.select("qid", "code", F.array_join("categories", ",").alias("categories"), "level", "kind", F.array_join("ids", ",").alias("ids"), "after", "before", "session", F.array_join("phrases", "|").alias("phrases"), "clean")
 
 
 @query(
     sql(
-        r"""SELECT qid, nullif(regexp_extract(raw, '(?:^|\s)code:(\S+)', 1), '') AS code, nullif(regexp_extract(raw, '(?:^|\s)level:(\S+)', 1), '') AS level, regexp_extract(raw, '(?:^|\s)#(\d+)', 1) AS first_id,
-        CAST(DATE '2024-02-01' - CAST(regexp_extract(raw, '(?:^|\s)after:(\d+)d', 1) AS INT) AS VARCHAR) AS after, '2024-02-01' AS before, array_to_string(list_filter(regexp_extract_all(raw, '"([^"]*)"', 1), lambda p: length(p) >= 2), '|') AS phrases,
-        trim(regexp_replace(regexp_replace(regexp_replace(raw, '(^|\s)(?:code|category|level|id|after|before|session):\S+', '\1', 'g'), '"[^"]*"|#[0-9]+', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM raws""",
-        raws=f"SELECT item_id AS qid, {_RAW} AS raw FROM benchmark",
+        """SELECT qid, m.id FROM compiled c, memory m WHERE (c.code IS NOT NULL OR len(c.categories) > 0 OR c.level IS NOT NULL OR kind IS NOT NULL OR len(ids) > 0 OR after IS NOT NULL OR before IS NOT NULL OR session IS NOT NULL)
+        AND (c.code IS NULL OR lower(m.code) = lower(c.code)) AND (len(c.categories) = 0 OR list_has_any(m.categories, c.categories)) AND (c.level IS NULL OR lower(m.level) = c.level) AND (kind IS NULL OR author = kind) AND (len(ids) = 0 OR list_contains(ids, CAST(m.id AS VARCHAR)))
+        AND (after IS NULL OR CAST(date AS VARCHAR) >= after) AND (before IS NULL OR CAST(date AS VARCHAR) <= before) AND (session IS NULL OR session_id = session)""",
+        "memory", pairs_of=_PAIRS, compiled=_COMPILED,
     )
-)
-def filter_compile(spark: SparkSession, d: str) -> DataFrame:
-    raw = S.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.expr(_RAW.replace("substr(text, 1, 12)", "substring(text, 1, 12)").replace("substr(text, 20, 60)", "substring(text, 20, 60)")).alias("raw"))
-    c = filters.compile_queries(raw, REF_DATE)
-    return c.select("qid", "code", "level", F.get("ids", F.lit(0)).alias("first_id"), "after", "before", F.array_join("phrases", "|").alias("phrases"), "clean")
+)
+def prefilter_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that each compiled query's filters leave to its channels."""
+    return filters.allowed(_compiled(spark, d), S.memory(spark, d))
 
 
 @query(
@@ -149,6 +181,18 @@ def lexical_score(spark: SparkSession, d: str) -> DataFrame:
     return filters.top(_lexical(spark, d, 200), 200, "qid", F.desc("score"), F.col("id"))
 
 
+@query(
+    sql(
+        "SELECT qid, id, score, rank FROM (SELECT qid, f.id, l.score, row_number() OVER (PARTITION BY qid ORDER BY l.score DESC NULLS LAST, f.id DESC) AS rank FROM (SELECT qid, m.id FROM compiled c, memory m WHERE (c.code IS NOT NULL OR len(c.categories) > 0 OR c.level IS NOT NULL OR kind IS NOT NULL OR len(ids) > 0 OR after IS NOT NULL OR before IS NOT NULL OR session IS NOT NULL) AND (c.code IS NULL OR lower(m.code) = lower(c.code)) AND (len(c.categories) = 0 OR list_has_any(m.categories, c.categories)) AND (c.level IS NULL OR lower(m.level) = c.level) AND (kind IS NULL OR author = kind) AND (len(ids) = 0 OR list_contains(ids, CAST(m.id AS VARCHAR))) AND (after IS NULL OR CAST(date AS VARCHAR) >= after) AND (before IS NULL OR CAST(date AS VARCHAR) <= before) AND (session IS NULL OR session_id = session)) f LEFT JOIN lex l USING (qid, id)) WHERE rank <= 10",
+        "memory", "query", **_G, lex=_LEX, pairs_of=_PAIRS, compiled=_COMPILED,
+    )
+)
+def filtered_search(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical search within each query's filters; rows without a term come last, newest ids first."""
+    ids = prefilter_ids(spark, d)
+    return filters.top(ids.join(_lexical(spark, d), ["qid", "id"], "left"), 10, "qid", F.desc_nulls_last("score"), F.desc("id"))
+
+
 _COS = "list_cosine_similarity({}, {})"
 _KNN = "SELECT qid, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM (SELECT qid, id, round(list_cosine_similarity(q.embedding, m.embedding), 6) AS similarity FROM query q, memory m WHERE q.embedding IS NOT NULL AND m.embedding IS NOT NULL)) WHERE rank <= {k}"
 
