@@ -57,18 +57,28 @@ def budget(memory: DataFrame, access_log: DataFrame, links: DataFrame, ref: Colu
     return rows.orderBy(F.asc_nulls_first("last"), "id").limit(over + slack).drop("last")
 
 
-def checkpoint(memory: DataFrame, ref: Column, chars: int = 150) -> DataFrame:
-    """One row for each (age scale, project): how many rows, their tags, and a digest of their heads in order of ids.
+def checkpoint(memory: DataFrame, ref: Column, chars: int = 150, listed: int = 20) -> DataFrame:
+    """One row for each (age scale, project): how many rows, their tags, the heads of the first `listed` in order of ids, joined, and a digest of all heads.
 
-    Heads are cut before the shuffle, and a group's heads are hashed one by one
-    and summed, so a group has no size that must fit one task.
+    Heads are cut before the shuffle, partial lists keep the smallest ids alone,
+    and the digest is a sum over rows, so no group has to fit one task.
     """
     age = F.datediff(ref, F.col("date"))
     scale = F.when(F.col("date").isNull(), "undated").when(age <= 1, "24h").when(age <= 7, "7d").when(age <= 30, "30d").when(age <= 90, "90d").otherwise("all")
     rows = memory.where("level <> 'automatic'").select("id", scale.alias("scale"), F.col("source").alias("project"), F.substring("content", 1, chars).alias("head"), "tags")
-    tags = rows.select("scale", "project", F.explode("tags").alias("tag")).groupBy("scale", "project").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
-    heads = rows.groupBy("scale", "project").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum(F.length("head")).alias("chars"), F.min_by("head", "id").alias("first_head"))
-    return heads.join(tags, ["scale", "project"])
+    by = ["scale", "project"]
+    tags = rows.select(*by, F.explode("tags").alias("tag")).groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", "id", "head")), 1, 12), 16, 10).cast("decimal(20,0)")
+    heads = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum(F.length("head")).alias("chars"), F.sum(bits).cast("string").alias("digest"))
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= listed)
+    joined = first.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "head"))), lambda x: x["head"]), " | ").alias("heads"))
+    return heads.join(joined, by).join(tags, by)
+
+
+def due(memory: DataFrame, ref: Column, most: int = 150, days: int = 30) -> DataFrame:
+    """(project, n, oldest, due): projects with more than `most` rows, or whose oldest is older than `days`, need a checkpoint."""
+    g = memory.groupBy(F.col("source").alias("project")).agg(F.count("*").alias("n"), F.min("date").alias("oldest"))
+    return g.withColumn("due", (F.col("n") > most) | F.coalesce(F.datediff(ref, F.col("oldest")) > days, F.lit(False)))
 
 
 def exact_groups(memory: DataFrame) -> DataFrame:
@@ -107,13 +117,37 @@ def upsert_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     return j.select("id", "chunk_index", "content", F.when(same, F.col("embedding")).alias("embedding"), action.alias("action"))
 
 
+#: What takes a row out of memory: `archive`, `cold` and `remove` keep it in the archive, `delete` does not.
+GONE, KEPT = ["archive", "cold", "remove", "delete"], ["archive", "cold", "remove"]
+
+
 def apply(memory: DataFrame, plan: DataFrame, archive: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Memory (and archive) after a plan of `archive`, `remove` and `cold` actions; applying it again changes nothing."""
-    gone = plan.where(F.col("action").isin("archive", "remove", "cold")).select("id").distinct()
-    moved = memory.join(gone, "id", "left_semi").select("id", "content", F.to_json(F.struct("tags", "level")).alias("meta"))
+    """Memory (and archive) after a plan; applying it again changes nothing.
+
+    Actions: `set_level` (to the plan's `after`), `degrade` (an automatic rule
+    becomes semantic), `warm` (the vector goes, the text stays), `archive`, `cold`,
+    `remove` (to the archive), `delete`, `update` (the plan's `content`, where it
+    has one; the vector is made anew later).  `keep` and unknown ones do nothing.
+    Several actions of a row all take effect.
+    """
+    said = lambda *names: F.coalesce(F.bool_or(F.col("action").isin(*names)), F.lit(False))
+    value = lambda name, of: (F.max(F.when(F.col("action") == of, F.col(name))) if name in plan.columns else F.lit(None).cast("string"))
+    acts = plan.groupBy("id").agg(said(*GONE).alias("p_gone"), said(*KEPT).alias("p_kept"), said("warm").alias("p_warm"), said("degrade").alias("p_degraded"), value("after", "set_level").alias("p_level"), value("content", "update").alias("p_content"))
+    j = memory.join(acts, "id", "left")
     if archive is not None:
+        moved = j.where("p_kept").select("id", "content", F.to_json(F.struct("tags", "level")).alias("meta"))
         archive = archive.unionByName(moved.join(archive, "id", "left_anti"))
-    return memory.join(gone, "id", "left_anti"), archive
+    new = {"level": F.when(F.col("p_level").isNotNull(), F.col("p_level")).when(F.col("p_degraded") & (F.col("level") == "automatic"), "semantic").otherwise(F.col("level")), "content": F.coalesce("p_content", "content")}
+    if "embedding" in memory.columns:
+        new["embedding"] = F.when(F.col("p_warm") | (F.col("p_content") != F.col("content")), None).otherwise(F.col("embedding"))
+    return j.where(~F.coalesce("p_gone", F.lit(False))).withColumns(new).select(memory.columns), archive
+
+
+def apply_links(links: DataFrame, plan: DataFrame) -> DataFrame:
+    """Links after a plan (id, action, after): `update` sets the weight, `delete` removes."""
+    p = plan.select(F.col("id"), F.col("action").alias("p_action"), F.col("after").alias("p_after"))
+    j = links.join(p, "id", "left").where(~F.coalesce(F.col("p_action") == "delete", F.lit(False)))
+    return j.withColumn("weight", F.when(F.col("p_action") == "update", F.col("p_after")).otherwise(F.col("weight"))).select(links.columns)
 
 
 def restore(archive: DataFrame, ref: Column) -> DataFrame:

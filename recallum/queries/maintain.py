@@ -106,8 +106,9 @@ def restore_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     sql(
-        f"""SELECT scale, project, n, first_id, last_id, chars, first_head, tags FROM (SELECT scale, project, count(*) AS n, min(id) AS first_id, max(id) AS last_id, sum(length(head)) AS chars, arg_min(head, id) AS first_head, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags FROM (
-        SELECT *, source AS project, content[1:150] AS head, CASE WHEN date_diff('day', date, {_REF}) <= 1 THEN '24h' WHEN date_diff('day', date, {_REF}) <= 7 THEN '7d' WHEN date_diff('day', date, {_REF}) <= 30 THEN '30d' WHEN date_diff('day', date, {_REF}) <= 90 THEN '90d' ELSE 'all' END AS scale FROM memory WHERE level <> 'automatic') GROUP BY scale, project)""",
+        f"""SELECT scale, project, n, first_id, last_id, chars, digest, heads, tags FROM (SELECT scale, project, count(*) AS n, min(id) AS first_id, max(id) AS last_id, sum(length(head)) AS chars, CAST(sum(CAST('0x' || md5(id || '|' || head)[1:12] AS BIGINT)) AS VARCHAR) AS digest,
+        string_agg(head, ' | ' ORDER BY id) FILTER (r <= 20) AS heads, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags FROM (SELECT *, row_number() OVER (PARTITION BY scale, project ORDER BY id) AS r FROM (
+        SELECT *, source AS project, content[1:150] AS head, CASE WHEN date_diff('day', date, {_REF}) <= 1 THEN '24h' WHEN date_diff('day', date, {_REF}) <= 7 THEN '7d' WHEN date_diff('day', date, {_REF}) <= 30 THEN '30d' WHEN date_diff('day', date, {_REF}) <= 90 THEN '90d' ELSE 'all' END AS scale FROM memory WHERE level <> 'automatic')) GROUP BY scale, project)""",
         "memory",
     )
 )
@@ -115,6 +116,20 @@ def checkpoint_rollup(spark: SparkSession, d: str) -> DataFrame:
     return P.checkpoint(S.memory(spark, d), ref())
 
 
+@query(sql(f"SELECT project, n, CAST(oldest AS VARCHAR) AS oldest, n > 150 OR date_diff('day', oldest, {_REF}) > 30 AS due FROM (SELECT source AS project, count(*) AS n, min(date) AS oldest FROM memory GROUP BY source)", "memory"))
+def checkpoint_due(spark: SparkSession, d: str) -> DataFrame:
+    return P.due(S.memory(spark, d), ref()).withColumn("oldest", F.col("oldest").cast("string"))
+
+
+@query(sql(f"SELECT id, CASE WHEN level = 'episodic' AND date_diff('day', date, {_REF}) >= 7 THEN 'semantic' WHEN level = 'automatic' AND review_count = 0 AND date_diff('day', date, {_REF}) > 30 THEN 'semantic' ELSE level END AS level, CASE WHEN id % 6 = 1 THEN NULL ELSE embedding[1] END AS first_value FROM memory WHERE id % 11 <> 0", "memory"))
+def set_level(spark: SparkSession, d: str) -> DataFrame:
+    """Memory after a plan of consolidations, degraded rules, rows that go to WARM (every sixth) and deletions (every eleventh)."""
+    m = S.memory(spark, d)
+    picked = lambda k, n, action: m.where(F.col("id") % k == n).select("id", F.lit(action).alias("action"), F.lit(None).cast("string").alias("after"))
+    plan = P.consolidate(m, ref()).select("id", "action", "after").unionByName(P.review_rules(m, ref()).select("id", "action", F.lit(None).cast("string").alias("after"))).unionByName(picked(6, 1, "warm")).unionByName(picked(11, 0, "delete"))
+    return P.apply(m, plan)[0].select("id", "level", F.get("embedding", F.lit(0)).alias("first_value"))
+
+
 @query(sql("SELECT session_id, count(*) AS listed, count(m.id) AS present, count(*) - count(m.id) AS missing FROM (SELECT 's' || (conv_id % 50) AS session_id, conv_id * 37 + turn AS id FROM conversations) l LEFT JOIN (SELECT id FROM memory) m USING (id) GROUP BY session_id", "memory"))
 def snapshot_presence(spark: SparkSession, d: str) -> DataFrame:
     listed = S.table(spark, d, "conversations").select(F.concat(F.lit("s"), F.col("conv_id") % 50).alias("session_id"), (F.col("conv_id") * 37 + F.col("turn")).alias("id"))

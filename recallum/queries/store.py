@@ -12,7 +12,7 @@ from recallum.queries import query
 from recallum.queries.maintain import _LAST
 from recallum.queries.search import _G, _KNN, _TOPS, _VIEWS, channels
 from recallum.sources import tables as S
-from recallum.sources.shared import against
+from recallum.sources.shared import against, cut
 from recallum.sources.tables import REF_DATE, REF_NOW, sql
 
 _ITEMS = "SELECT 'i' || conv_id || '_' || turn AS item_id, text AS summary, role, CASE WHEN turn % 2 = 0 THEN 'profile' ELSE 'event' END AS mem_type, conv_id, turn FROM conversations"
@@ -237,20 +237,33 @@ def project_index(spark: SparkSession, d: str) -> DataFrame:
     return file_change_detect(spark, d).join(chunks, "page_id", "left").groupBy("state").agg(F.count("*").alias("files"), F.sum(F.coalesce("chunks", F.lit(0))).alias("chunks"))
 
 
+_AGE = f"date_diff('day', date, DATE '{REF_DATE}')"
+_DECAYED_LINK = f"SELECT * REPLACE (CASE WHEN after < 0.99 * weight THEN after ELSE weight END AS weight) FROM (SELECT *, round(weight * pow(0.5, date_diff('day', CAST(last_accessed AS DATE), DATE '{REF_DATE}') / 90.0), 4) AS after FROM link) WHERE after >= 0.01"
+
+
 @query(
     sql(
-        f"""SELECT step, action, count(*) AS n FROM (SELECT 1 AS step, 'set_level' AS action FROM memory WHERE level = 'episodic' AND date_diff('day', date, DATE '{REF_DATE}') >= 7
+        f"""SELECT step, action, count(*) AS n FROM (SELECT 1 AS step, 'set_level' AS action FROM memory WHERE level = 'episodic' AND {_AGE} >= 7
         UNION ALL SELECT 2, CASE WHEN after < 0.01 THEN 'delete' ELSE 'update' END FROM (SELECT weight, round(weight * pow(0.5, date_diff('day', CAST(last_accessed AS DATE), DATE '{REF_DATE}') / 90.0), 4) AS after FROM link) WHERE after < 0.01 OR after < 0.99 * weight
-        UNION ALL SELECT 3, 'archive' FROM lasts WHERE date_diff('day', last, DATE '{REF_DATE}') > CASE domain_profile WHEN 'infrastructure' THEN 180 WHEN 'project_specific' THEN 90 WHEN 'temporary' THEN 14 ELSE 60 END
-        UNION ALL SELECT 4, CASE WHEN id = kept THEN 'keep' ELSE 'remove' END FROM (SELECT id, min(id) OVER (PARTITION BY content) AS kept, count(*) OVER (PARTITION BY content) AS n FROM memory) WHERE n > 1) GROUP BY step, action""",
-        "memory", "access_log", "link", lasts=_LAST,
+        UNION ALL SELECT 3, 'archive' FROM old
+        UNION ALL SELECT 4, CASE WHEN id = kept THEN 'keep' ELSE 'remove' END FROM (SELECT id, min(id) OVER (PARTITION BY content) AS kept, count(*) OVER (PARTITION BY content) AS n FROM m1 WHERE id NOT IN (SELECT id FROM old)) WHERE n > 1) GROUP BY step, action""",
+        "memory", "access_log", "link",
+        m1=f"SELECT * REPLACE (CASE WHEN level = 'episodic' AND {_AGE} >= 7 THEN 'semantic' ELSE level END AS level) FROM memory", l1=_DECAYED_LINK,
+        lasts=_LAST.replace("FROM memory m", "FROM m1 m").replace("FROM link", "FROM l1"),
+        old=f"SELECT id FROM lasts WHERE date_diff('day', last, DATE '{REF_DATE}') > CASE domain_profile WHEN 'infrastructure' THEN 180 WHEN 'project_specific' THEN 90 WHEN 'temporary' THEN 14 ELSE 60 END",
     )
 )
 def maintenance_run(spark: SparkSession, d: str) -> DataFrame:
-    """The plans of a maintenance cycle, by step: consolidate, decay links, forget, remove duplicates."""
+    """A maintenance cycle, each plan made of what the ones before have left: consolidate, decay links, forget, remove duplicates."""
     m, links = S.memory(spark, d), S.links(spark, d)
     day = F.lit(REF_DATE).cast("date")
-    plans = [P.consolidate(m, day), G.decay_plan(links, now()), P.forget(m, S.access_log(spark, d), links, day), P.dedup(m)]
+    plans = [cut(P.consolidate(m, day))]
+    m, _ = P.apply(m, plans[0])
+    plans.append(cut(G.decay_plan(links, now())))
+    links = P.apply_links(links, plans[1])
+    plans.append(cut(P.forget(m, S.access_log(spark, d), links, day)))
+    m, _ = P.apply(m, plans[2])
+    plans.append(P.dedup(m))
     rows = None
     for k, p in enumerate(plans, 1):
         one = p.select(F.lit(k).alias("step"), "action")

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallum.functions import rules, text as T, vectors as V
-from recallum.operators import filters, graph as G, knn as K, rank as R
+from recallum.operators import filters, graph as G, knn as K, lexical as L, rank as R
 from recallum.operators.components import connected_components
+from recallum.operators.numbering import numbered
 from recallum.plans import lifecycle as P
 from recallum.sources.files import changes
 
@@ -135,6 +136,69 @@ def test_plans_apply_once(spark):
     assert [r.id for r in archive.collect()] == [2] == [r.id for r in again.collect()]
 
 
+def test_plans_of_all_kinds(spark):
+    m = spark.createDataFrame([(1, "a", [1.0], "episodic"), (2, "b", [1.0], "automatic"), (3, "c", [1.0], "semantic"), (4, "d", [1.0], None), (5, "e", [1.0], "semantic"), (6, "f", [1.0], "automatic")], "id bigint, content string, embedding array<double>, level string").withColumn("tags", F.array(F.lit("t")))
+    plan = spark.createDataFrame([(1, "set_level", "semantic", None), (1, "warm", None, None), (2, "degrade", None, None), (3, "delete", None, None), (4, "update", None, "new"), (5, "cold", None, None), (6, "keep", None, None), (99, "remove", None, None)], "id bigint, action string, after string, content string")
+    empty = m.limit(0).select("id", "content", F.lit("").alias("meta"))
+    for _ in range(2):
+        m, empty = P.apply(m, plan, empty)
+        got = {r.id: (r.level, r.content, r.embedding) for r in m.collect()}
+        assert got == {1: ("semantic", "a", None), 2: ("semantic", "b", [1.0]), 4: (None, "new", got[4][2]), 6: ("automatic", "f", [1.0])}
+        assert [r.id for r in empty.collect()] == [5]
+    links = spark.createDataFrame([(1, 0.5), (2, 0.4), (3, 0.3)], "id bigint, weight double")
+    after = P.apply_links(links, spark.createDataFrame([(1, "update", 0.25), (2, "delete", 0.0)], "id bigint, action string, after double"))
+    assert {r.id: r.weight for r in after.collect()} == {1: 0.25, 3: 0.3}
+
+
+def test_near_classes_find_planted_links(spark):
+    r = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(r.standard_normal((300, 64)))
+    near = unit(base + 0.05 * r.standard_normal((300, 64)) / 1.0)  # cosines about 0.93
+    far = unit(r.standard_normal((300, 64)))
+    x = np.concatenate((base, near, far, base[:20]))
+    want = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(5000, None)], "id bigint, embedding array<double>")
+    for crowded in (8192, 8):
+        got = {a.id: a.component for a in (K.near_classes(df, 0.9) if crowded == 8192 else _classes(df, crowded)).collect()}
+        pairs = np.argwhere(want)
+        found = np.mean([got[a] == got[b] for a, b in pairs.tolist()])
+        assert len(got) == len(x) + 1 and got[5000] == 5000 and found >= (0.99 if crowded == 8192 else 0.9)
+        alone = [k for k in range(len(x)) if not want[k].any()]
+        assert all(got[k] == k for k in alone)
+
+
+def _classes(df, crowded):
+    links = K.near_links(df.where("embedding IS NOT NULL"), 0.9, crowded=crowded)
+    comp = connected_components(links).withColumnRenamed("node", "id")
+    return df.select("id").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def test_numbers_within_groups(spark):
+    rows = [("a", k) for k in range(500)] + [("b", k) for k in range(7)] + [(None, k) for k in range(3)]
+    df = spark.createDataFrame(rows, "g string, k bigint").repartition(5)
+    got = {(r.g, r.k): r.n for r in numbered(df, "g", ["k"]).collect()}
+    assert got == {(g, k): k + 1 for g, k in rows}
+    assert numbered(df.limit(0), "g", ["k"]).count() == 0
+
+
+def test_scan_against_plain_counts(spark):
+    texts = ["the red fox", "A RED box, redder", "nothing", None, "", "foxes are red; the fox", "é ünï red"]
+    queries = [(1, ["red", "fox"], "red fox"), (2, ["nothing"], "nothing"), (3, [], "zzz"), (4, ["é", "red"], "red é")]
+    q = spark.createDataFrame(queries, "qid bigint, terms array<string>, clean string")
+    c = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").select("id", F.lower("text").alias("text"))
+    got = {(r.qid, r.id): r for r in L.scan(q, c, ["id"], spans=True).collect()}
+    want = {(i, k): sum(t in x.lower() for t in ts) for i, ts, _ in queries for k, x in enumerate(texts) if x is not None}
+    assert {k: r.hits for k, r in got.items()} == {k: v for k, v in want.items() if v}
+    assert got[1, 0].span == 4 and got[1, 5].span == 10
+    for (i, k), r in got.items():
+        a, b = (one(spark, T.trigrams(F.lit(x))) for x in (queries[i - 1][2], texts[k]))
+        assert r.similarity == pytest.approx(len(set(a) & set(b)) / len(set(a) | set(b)))
+    best = L.scan(q, c, ["id"], 1, by=lambda hits, n, s: hits).collect()
+    assert {(r.qid, r.id) for r in best} >= {(1, 0), (2, 2), (4, 6)}
+    assert L.scan(q.limit(0), c, ["id"]).count() == 0 and L.scan(q, c.limit(0), ["id"]).count() == 0
+
+
 def test_chunks_and_summary():
     text = "\n".join("sentence number %d is here." % k for k in range(300))
     got = T.split_chunks(text)
