@@ -82,3 +82,11 @@ def redact_values(values: Column) -> tuple[Column, Column]:
     """`redact` for all values of a map of strings; (map, number of replacements)."""
     done = F.transform(F.map_entries(values), lambda e: F.struct(e["key"].alias("key"), *[x.alias(n) for x, n in zip(redact(e["value"]), ("value", "n"), strict=True)]))
     return F.map_from_entries(F.transform(done, lambda e: F.struct(e["key"], e["value"]))), F.aggregate(done, F.lit(0), lambda acc, e: acc + F.coalesce(e["n"], F.lit(0)))
+
+
+def route(text: Column, profile: list[str] = rulesets.PROFILE_WORDS, technical: list[str] = rulesets.TECHNICAL_WORDS) -> Column:
+    """(profile, technical, mode): the share of each list's words that a query contains, twentyfold and at most 1, and which of the two leads."""
+    low = F.lower(text)
+    share = lambda words: F.least(F.lit(1.0), 20.0 * sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) / len(words))
+    a, b = share(profile), share(technical)
+    return F.struct(a.alias("profile"), b.alias("technical"), F.when(a > b, "profile").when(b > 0, "technical").otherwise("mixed").alias("mode"))

@@ -145,3 +145,8 @@ def redactions() -> list[tuple[str, str, str]]:
     out.append(("line", rf"(?imU)({before(STRONG_KEYS)})[^\[\s'\"][^\n]*?(\s*)$", f"$1{credential}$2"))
     out.append(("value", rf"(?iU)({before(every)})[^\s'\";,]{{6,}}", f"$1{credential}"))
     return out
+
+
+# Words of questions about a person, and of technical ones.
+PROFILE_WORDS = ["nombre", "llama", "gusta", "gustan", "esposa", "hijo", "hija", "familia", "color", "edad", "vive", "prefiere", "favorito", "casado", "hermano", "madre", "padre", "trabaja", "estudia", "cumple", "años", "mascota", "tiene", "quiere", "sueña"]
+TECHNICAL_WORDS = ["proyecto", "código", "codigo", "sistema", "servidor", "api", "bot", "mcp", "python", "docker", "linux", "base de datos", "postgres", "sql", "programa", "desarrollo", "config"]

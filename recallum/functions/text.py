@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from recallum.functions import rulesets
 from recallum.sources.shared import against
 from recallum.sources.tables import tokens
 
@@ -37,11 +38,19 @@ def canonical_id(raw: Column) -> Column:
     return F.when(number != "", F.concat(F.lit("v"), number)).when(item != "", F.concat(F.lit("vmi"), item)).when(F.length(t) >= 20, F.concat(F.lit("vmi"), t))
 
 
-def expand_terms(queries: DataFrame, variants: DataFrame, least: int = 4) -> DataFrame:
-    """(qid, terms) and (root, variant) → (qid, term): the terms, and variants of roots that contain a term or are contained in it."""
+def expand_terms(queries: DataFrame, variants: DataFrame, least: int = 4, synonyms: DataFrame | None = None, unexpanded: list[str] = rulesets.UNEXPANDED) -> DataFrame:
+    """(qid, terms) and (root, variant) → (qid, term): the terms; variants of roots that equal a term; those of roots of `least` characters that contain a longer term, or are contained in it, unless it is a stopword; synonyms (root, variant) of terms."""
     terms = queries.select("qid", F.explode("terms").alias("term"))
-    far = against(terms.where(F.length("term") >= least), variants.where(F.length("root") >= least), F.col("term").contains(F.col("root")) | F.col("root").contains(F.col("term")), "root")
-    return terms.union(far.select("qid", F.col("variant").alias("term"))).distinct()
+    equal = terms.join(variants.unionByName(synonyms) if synonyms is not None else variants, F.col("term") == F.col("root")).select("qid", "variant")
+    open_ = terms.where((F.length("term") >= least) & ~F.col("term").isin(unexpanded))
+    far = against(open_, variants.where(F.length("root") >= least), F.col("term").contains(F.col("root")) | F.col("root").contains(F.col("term")), "root").select("qid", "variant")
+    return terms.union(equal).union(far).distinct()
+
+
+def fixed_variants(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The fixed (root, variant) tables: stems, and general synonyms."""
+    table = lambda of: spark.createDataFrame([(r, v) for r, vs in of.items() for v in vs], "root string, variant string")
+    return table(rulesets.STEMS), table(rulesets.SYNONYMS)
 
 
 def contains_any(text: Column, terms: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from recallum.functions import text as T, vectors as V
+from recallum.functions import rules, rulesets, text as T, vectors as V
 from recallum.operators import filters, knn as K, lexical as L, rank as R
 from recallum.queries import query
 from recallum.sources import tables as S
@@ -132,16 +132,40 @@ def trigram_similarity_topk(spark: SparkSession, d: str) -> DataFrame:
     return filters.top(s.withColumn("similarity", F.round("similarity", 6)), 5, "qid", F.desc("similarity"), F.col("id"))
 
 
+_STEMS = ", ".join(f"('{r}', '{v}')" for r, vs in rulesets.STEMS.items() for v in vs)
+_SYNONYMS = ", ".join(f"('{r}', '{v}')" for r, vs in rulesets.SYNONYMS.items() for v in vs)
+_UNEXPANDED = ", ".join(f"'{w}'" for w in rulesets.UNEXPANDED)
+
+
 @query(
     sql(
-        """SELECT DISTINCT qid, term FROM (SELECT qid, unnest(terms) AS term FROM query UNION ALL SELECT qid, variant AS term FROM (SELECT qid, unnest(terms) AS t FROM query) JOIN roots ON length(t) >= 4 AND (contains(t, root) OR contains(root, t)))""",
-        "query", roots="SELECT DISTINCT root, root || '_' || length(root) AS variant FROM (SELECT unnest(strong) AS root FROM query) WHERE length(root) >= 6",
+        f"""SELECT DISTINCT qid, term FROM (SELECT qid, t AS term FROM asked UNION ALL SELECT qid, variant FROM asked JOIN (SELECT * FROM roots UNION ALL SELECT * FROM (VALUES {_SYNONYMS}) s(root, variant)) ON t = root
+        UNION ALL SELECT qid, variant FROM asked JOIN roots ON length(t) >= 4 AND length(root) >= 4 AND t NOT IN ({_UNEXPANDED}) AND (contains(t, root) OR contains(root, t)))""",
+        "query", asked="SELECT qid, unnest(terms) AS t FROM query UNION ALL SELECT qid, 'medicinal' FROM query WHERE qid % 5 = 0",
+        roots=f"SELECT DISTINCT root, root || '_' || length(root) AS variant FROM (SELECT unnest(strong) AS root FROM query) WHERE length(root) >= 6 UNION ALL SELECT * FROM (VALUES {_STEMS}) t(root, variant)",
     )
 )
 def term_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Terms (every fifth query also asks for one of the fixed roots) with variants by the fixed tables and by the queries' own long words."""
     q = S.query_table(spark, d)
     roots = q.select(F.explode("strong").alias("root")).where(F.length("root") >= 6).distinct().withColumn("variant", F.concat_ws("_", "root", F.length("root")))
-    return T.expand_terms(q, roots)
+    stems, synonyms = T.fixed_variants(spark)
+    more = q.withColumn("terms", F.when(F.col("qid") % 5 == 0, F.array_append("terms", F.lit("medicinal"))).otherwise(F.col("terms")))
+    return T.expand_terms(more, roots.unionByName(stems), synonyms=synonyms)
+
+
+def _share(words: list[str]) -> str:
+    return f"least(1.0, 20.0 * ({' + '.join(f'CAST(contains(lower(text), {w!r}) AS INT)' for w in words)}) / {len(words)})"
+
+
+_ROUTED = f"SELECT conv_id, turn, round({_share(rulesets.PROFILE_WORDS)}, 6) AS profile, round({_share(rulesets.TECHNICAL_WORDS)}, 6) AS technical FROM conversations"
+
+
+@query(sql("SELECT conv_id, turn, profile, technical, CASE WHEN profile > technical THEN 'profile' WHEN technical > 0 THEN 'technical' ELSE 'mixed' END AS mode FROM routed", routed=_ROUTED))
+def tag_router(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a turn of a conversation asks about a person or about technical things."""
+    r = S.table(spark, d, "conversations").select("conv_id", "turn", rules.route(F.col("text")).alias("r"))
+    return r.select("conv_id", "turn", F.round("r.profile", 6).alias("profile"), F.round("r.technical", 6).alias("technical"), "r.mode")
 
 
 _POSTS = f"SELECT id, t AS term, count(*) AS tf, min(pos) AS first FROM (SELECT id, unnest({S.sql_tokens('content')}) AS t, generate_subscripts({S.sql_tokens('content')}, 1) - 1 AS pos FROM memory) GROUP BY id, t"

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallum.functions import rules, text as T, vectors as V
-from recallum.operators import filters, graph as G, knn as K, lexical as L, rank as R
+from recallum.operators import filters, graph as G, intake as I, knn as K, lexical as L, rank as R
 from recallum.operators.components import connected_components
 from recallum.operators.numbering import numbered
 from recallum.plans import lifecycle as P
@@ -77,6 +77,40 @@ def test_compile_queries(spark):
     assert got[2].clean == "plain text" and got[2].ids == [] and got[3].clean is None
 
 
+def test_compile_all_keys(spark):
+    raw = [(1, "cat:a,b; CATEGORIES:c nivel:Semantic memory_type:X id:4,x,5 id:6 since:30d until:today session:s1 code:A code:B rest"), (2, '"code:quoted" since:hoy'), (3, "x#12 a-code:3 #7"), (4, 'say "a" "  " id:zz #9,')]
+    got = {r.qid: r for r in filters.compile_queries(spark.createDataFrame(raw, "qid int, raw string"), "2024-02-01").collect()}
+    r = got[1]
+    assert (r.categories, r.level, r.kind, r.ids, r.after, r.before, r.session, r.code, r.clean) == (["a", "b", "c"], "semantic", "x", ["4", "5", "6"], "2024-01-02", "2024-02-01", "s1", "B", "rest")
+    assert got[2].phrases == ["code:quoted"] and got[2].code is None and got[2].after == "2024-02-01"
+    assert got[3].ids == ["7"] and got[3].code == "3" and got[4].ids == ["9"]
+    assert one(spark, filters.exact_query(F.lit("long_token:12"), F.array(), F.lit(None))) and not one(spark, filters.exact_query(F.lit("two words"), F.array(), F.lit(None)))
+    assert one(spark, filters.trigger_only(F.lit(" trigger:a  trigger:b"))) and not one(spark, filters.trigger_only(F.lit("trigger:a b"))) and not one(spark, filters.trigger_only(F.lit("")))
+
+
+def test_expansion_by_fixed_tables(spark):
+    q = spark.createDataFrame([(1, ["el", "té", "medicinal"]), (2, ["borrar"]), (3, ["como"])], "qid int, terms array<string>")
+    stems, synonyms = T.fixed_variants(spark)
+    got = {}
+    for r in T.expand_terms(q, stems, synonyms=synonyms).collect():
+        got.setdefault(r.qid, set()).add(r.term)
+    assert got[1] >= {"el", "tisana", "curativa", "botánica"} and "eliminar" not in got[1]
+    assert got[2] >= {"eliminar", "suprimir", "borrado"} and got[3] == {"como"}
+
+
+def test_intake(spark, tmp_path):
+    rows = [(1, "text", None, None, None, ["x"]), (2, " ", "episodic", "user", "k", ["x"]), (3, "text", "odd", None, None, None), (4, "text", "Automatic", "robot", None, ["x"]), (5, "si no hay backup antes, rompe", "episodic", "user", None, ["docker"]), (6, "t", "automatic", None, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, content string, level string, author string, kind string, categories array<string>")
+    got = {r.id: r for r in I.insert(df, F.lit("2024-02-01").cast("date")).collect()}
+    assert [got[k].verdict for k in range(1, 7)] == ["ok", "empty", "level", "author", "ok", "ok"]
+    assert (got[1].level, got[1].kind, got[1].author, got[5].level, got[6].review_count, got[1].review_count) == ("episodic", "event", "agent", "semantic", 0, None)
+    (tmp_path / "c.json").write_text('{"cases": [{"query": "a", "expected": [1, 2]}, {"query": "b", "expected": [3]}]}')
+    assert {(r.case, r["query"], r.id) for r in I.cases(spark, str(tmp_path / "c.json")).collect()} == {(0, "a", 1), (0, "a", 2), (1, "b", 3)}
+    texts = ["red fox", "RED fox!", "blue whale swims", "", None]
+    v = {r.id: np.array(r.embedding) for r in I.embed(spark.createDataFrame(list(enumerate(texts)), "id bigint, t string"), "id", "t").collect()}
+    assert set(v) == {0, 1, 2} and v[0] == pytest.approx(v[1]) and np.linalg.norm(v[2]) == pytest.approx(1) and v[0] @ v[2] < 0.9
+
+
 def test_canonical_ids(spark):
     f = lambda t: one(spark, T.canonical_id(F.lit(t)))
     assert [f(x) for x in ("12", "#12", "v12", "l12", "tv12")] == ["v12"] * 5
