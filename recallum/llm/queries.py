@@ -59,7 +59,7 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    return urls.judge(table(spark, sf_dir, "pages"), rules).select("row.page_id", "host", "path", "rule", "verdict")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("row.page_id", "host", "path", "rule", "verdict")
 
 
 OP7_SQL = """
