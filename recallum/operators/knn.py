@@ -176,6 +176,20 @@ class Cells:
     def index(self, corpus: DataFrame) -> DataFrame:
         return self._nearest(corpus, "id", 1)
 
+    def probes(self, queries: DataFrame, corpus: DataFrame, indexed: DataFrame, k: int, least: float = 0.95, sample: int = 200) -> int:
+        """How many cells a query has to look into to find a share `least` of its k nearest rows, measured exactly on a bounded sample of queries."""
+        some = queries.select("qid", "embedding").where("embedding IS NOT NULL").orderBy(F.xxhash64("qid"), "qid").limit(sample)
+        at = knn(some, corpus, k).select("qid", "id").join(indexed.select("id", "cell"), "id").toArrow()  # sample * k rows
+        got = some.toArrow()
+        if not at.num_rows:
+            return 1
+        order = np.argsort(-(_unit(_matrix(got["embedding"].combine_chunks())) @ self.centroids.T), axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :].repeat(len(order), 0), 1)
+        row = {q: i for i, q in enumerate(got["qid"].to_pylist())}
+        need = place[[row[q] for q in at["qid"].to_pylist()], at["cell"].to_numpy()]
+        return int(np.quantile(need, least, method="higher")) + 1
+
     def search(self, queries: DataFrame, indexed: DataFrame, k: int, probes: int, places: int = 6) -> DataFrame:
         """Each query looks into its `probes` nearest cells: an equi-join on cells, scored exactly."""
         from recallum.functions.vectors import cosine

@@ -137,6 +137,16 @@ def test_cells_find_the_near_rows(spark):
     found = {(a.qid, a.id) for a in cells.search(q, cells.index(rows), 10, 2).collect()}
     exact = {(a.qid, a.id) for a in K.knn(q, rows, 10).collect()}
     assert len(found & exact) >= 0.9 * len(exact)
+    n = cells.probes(q, rows, cells.index(rows), 10)
+    more = {(a.qid, a.id) for a in cells.search(q, cells.index(rows), 10, n).collect()}
+    assert 1 <= n <= 8 and len(more & exact) >= 0.9 * len(exact)
+
+
+def test_index_recall(spark, sf):
+    from recallum.queries.search import ann_lsh_recall
+
+    got = ann_lsh_recall(spark, sf).collect()
+    assert sum(r.recall for r in got) >= 0.9 * len(got) and 0 < got[0].probed <= 1
 
 
 def test_components_of_a_chain_a_star_and_loops(spark):
