@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -106,6 +107,49 @@ def latest(stream: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
     return rows.groupBy("id").agg(F.max_by("content", ts).alias("content"), F.max(ts).alias(ts))
 
 
+def judgments(log: DataFrame, ts: str = "created_at") -> DataFrame:
+    """(key, verdict, ts) → the newest verdict of each key, when it was made, and how often it was asked for; an upsert on a stream."""
+    return log.groupBy("key").agg(F.max_by("verdict", ts).alias("verdict"), F.max(ts).alias(ts), F.count("*").alias("hits"))
+
+
+def index_files(stream: DataFrame, target: str, checkpoint: str, spark: SparkSession):
+    """(path, hash, content) listings as a stream → the code chunks of new and changed files, a folder for each batch.
+
+    A batch that is run again replaces itself; `indexed` reads the state.
+    """
+    from recallum.functions.text import code_chunks
+
+    def write(batch: DataFrame, number: int) -> None:
+        newest = batch.dropDuplicates(["path"])
+        known = manifest(spark, target, number)
+        fresh = newest.join(known.select("path", F.col("hash").alias("was")), "path", "left").where(~F.col("hash").eqNullSafe(F.col("was")))
+        chunks = code_chunks(fresh, "path", "content").withColumnRenamed("id", "path")
+        fresh.select("path", "hash").join(chunks, "path", "left").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/n={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+INDEXED = "path string, hash string, chunk_index int, line_start int, line_end int, content string, digest string, batch int"
+
+
+def indexed(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """The chunks of each file as its last indexed state has them (of batches before a number)."""
+    try:
+        rows = spark.read.schema(INDEXED).parquet(f"{target}/n=*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], INDEXED)  # nothing has been indexed yet
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    last = rows.groupBy("path").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["path", "batch"], "left_semi")
+
+
+def manifest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """(path, hash) of all files as they are indexed."""
+    return indexed(spark, target, before).select("path", "hash").distinct()
+
+
 def ingest(stream: DataFrame, target: str, checkpoint: str, spark: SparkSession):
     """Append new rows with signature, tags and screening; a batch that is run again replaces itself."""
     from recallum.functions import rules as R

@@ -53,3 +53,39 @@ def test_ingest(spark, sf, tmp_path):
     J.ingest(spark.readStream.schema("id bigint, content string").parquet(src), out, str(tmp_path / "cp"), spark).awaitTermination(120)
     got = spark.read.parquet(out)
     assert got.count() == S.table(spark, sf, "documents").count() and got.where("signature IS NULL").count() == 0
+
+
+def test_access_windows(spark, sf, tmp_path, events):
+    shape = lambda e: e.select(F.concat(F.lit("v"), F.col("user_id") % 20).alias("memory_id"), F.col("ts").alias("accessed_at"))
+    got = replay(spark, tmp_path, events, lambda s: J.access_windows(shape(s)), "append")
+    want = J.access_windows(shape(events))
+    assert got.exceptAll(want).count() == 0 and got.count() > 0.5 * want.count()
+
+
+def test_alerts(spark, sf, tmp_path, events):
+    subs = spark.createDataFrame([(1, "CLICK"), (2, "u"), (3, "zzz")], "sub_id int, pattern string")
+    shape = lambda e: e.select(F.col("event_id").alias("id"), F.col("event_type").alias("content"))
+    got, want = replay(spark, tmp_path, events, lambda s: J.alerts(shape(s), subs), "append"), J.alerts(shape(events), subs)
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
+
+
+def test_judgments(spark, sf, tmp_path, events):
+    shape = lambda e: e.select(F.concat_ws("-", F.col("user_id") % 7, "event_type").alias("key"), F.col("value").alias("verdict"), F.col("ts").alias("created_at"))
+    got, want = replay(spark, tmp_path, events, lambda s: J.judgments(shape(s)), "complete"), J.judgments(shape(events))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_incremental_index(spark, tmp_path):
+    out, code = str(tmp_path / "out"), "def a():\n    return 'some text here'\n\ndef b():\n    return 'more text here'\n"
+    schema = "path string, hash string, content string"
+
+    def run(n, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+        J.index_files(spark.readStream.schema(schema).parquet(str(tmp_path / "src")), out, str(tmp_path / "cp"), spark).awaitTermination(120)
+        return {(r.path, r.hash, r.batch) for r in J.indexed(spark, out).collect()}, J.indexed(spark, out).count()
+
+    state, n = run(0, [("a.py", "1", code), ("b.py", "1", code)])
+    assert state == {("a.py", "1", 0), ("b.py", "1", 0)} and n == 4
+    state, n = run(1, [("a.py", "1", code), ("b.py", "2", code + "def c():\n    return 'third piece of text'\n"), ("c.py", "1", "")])
+    assert state == {("a.py", "1", 0), ("b.py", "2", 1), ("c.py", "1", 1)} and n == 2 + 3 + 1
+    assert {(r.path, r.hash) for r in J.manifest(spark, out).collect()} == {("a.py", "1"), ("b.py", "2"), ("c.py", "1")}
