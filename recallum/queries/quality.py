@@ -35,7 +35,7 @@ def access_stats(spark: SparkSession, d: str) -> DataFrame:
     return S.access_log(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("memory_id").alias("ids"), F.count_distinct("user_id").alias("users"))
 
 
-@query(sql("SELECT tag, n, rank FROM (SELECT tag, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, tag) AS rank FROM (SELECT lower(trim(unnest(list_concat(tags, categories)))) AS tag FROM memory) WHERE length(tag) >= 2 AND NOT starts_with(tag, 'possible_injection') GROUP BY tag) WHERE rank <= 10", "memory"))
+@query(sql("SELECT tag, n, rank FROM (SELECT tag, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, tag) AS rank FROM (SELECT lower(trim(unnest(list_concat(tags, categories)))) AS tag FROM memory) WHERE length(tag) > 2 AND NOT starts_with(tag, 'possible_injection') GROUP BY tag) WHERE rank <= 10", "memory"))
 def tag_top10(spark: SparkSession, d: str) -> DataFrame:
     tags = S.memory(spark, d).select(F.explode(F.concat("tags", "categories")).alias("t")).select(F.lower(F.trim("t")).alias("tag")).where("length(tag) > 2 AND NOT startswith(tag, 'possible_injection')")
     best = tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(10)
