@@ -227,8 +227,6 @@ FAR, PARTNERS, NEXT = 16, 6, 4
 SAMPLED, FREQUENT = 20_000, 4
 #: Classes whose parities a text's shingle set is compared by before it is read, and bits of the bitmap of shared shingles.
 PARITIES, SIEVE = 512, 25
-#: Rows up to which a table with a text's parities is broadcast.
-NARROW = 50_000
 #: Rows of the two sides of a join on one shingle; more are split into blocks.
 ASKING, ASKED = 1024, 4096
 
@@ -440,7 +438,7 @@ def meetings_of(rare: DataFrame, comp: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(tok[kept]), *(b.column(k).take(own) for k in range(3)), pa.array(at[kept].astype(np.int32))], names=["tok", "id", "n", "bits", "at"])
 
     rows = rare.select("id", "n", "bits", "toks").mapInArrow(run, "tok bigint, id bigint, n int, bits array<bigint>, at int")
-    return cut(rows.join(hinted(live, 10 * NARROW), "tok"))
+    return cut(rows.join(live.hint("merge"), "tok"))
 
 
 def _enough(x: str, y: str, similarity: float) -> Column:
@@ -460,7 +458,7 @@ def _pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
 def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """(tok, id, comp, n, bits, at) → pairs of each text with one text of each shingle's, of other components; one a row at most."""
     centre = F.min_by(F.struct("id", "comp", "n", "bits", "at"), F.xxhash64("tok", "id")).alias("c")
-    met = rows.join(hinted(cut(rows.groupBy("tok").agg(centre)), NARROW), "tok").select(F.struct("id", "comp", "n", "bits", "at").alias("r"), "c")
+    met = rows.join(cut(rows.groupBy("tok").agg(centre)).hint("merge"), "tok").select(F.struct("id", "comp", "n", "bits", "at").alias("r"), "c")
     return _pairs(met.where((F.col("r.comp") != F.col("c.comp")) & _enough("r", "c", similarity)), "r", "c")
 
 
@@ -473,7 +471,7 @@ def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     by = rows.groupBy("tok", "comp").agg(F.count("*").alias("m")).groupBy("tok").agg(F.sum("m").alias("c"), F.max("m").alias("most"), F.max_by("comp", F.struct("m", "comp")).alias("major")).where("c > most")
     asking, asked = F.ceil((F.col("c") - F.col("most")) / ASKING).alias("asking"), F.ceil(F.col("c") / ASKED).alias("asked")
     live = cut(by.select("tok", "major", asking, asked))
-    met = rows.join(hinted(live, 4 * NARROW), "tok")
+    met = rows.join(live.hint("merge"), "tok")
     own = lambda many: F.pmod(F.xxhash64("id", F.lit(29)), F.col(many))
     every = lambda many: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(many) - 1))
     x = met.where("comp != major").select("tok", own("asking").alias("i"), every("asked").alias("j"), F.struct("id", "comp", "n", "bits", "at").alias("x"))
@@ -516,11 +514,15 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after further links; each node's link to its component stands for all links before."""
-    more = cut(links)
-    if more.isEmpty():
+    """Components after further links, of which only those between components are worked through."""
+    of = lambda side: hinted(comp.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")))
+    ends = links.join(of("src"), "src", "left").join(of("dst"), "dst", "left").select(F.coalesce("c_src", "src").alias("src"), F.coalesce("c_dst", "dst").alias("dst"))
+    roots = cut(ends.where("src <> dst").distinct())
+    if roots.isEmpty():
         return comp
-    return cut(connected_components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more)))
+    top = cut(connected_components(roots))
+    moved = comp.join(hinted(top.select(F.col("node").alias("component"), F.col("component").alias("root"))), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return cut(moved.unionByName(top.join(comp.select("node"), "node", "left_anti")))
 
 
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
