@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recallum.llm import bpe, ctph, mpeg, packing, pii, quality, simhash, toxicity, urls, warc
+from recallum.llm import alignment, bpe, ctph, divergence, mixing, mpeg, packing, pii, quality, simhash, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,6 +97,50 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.copies(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "part")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), vocabulary AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM docs) GROUP BY lang, term HAVING count(*) >= 3
+), used AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM docs) JOIN vocabulary USING (lang, term) GROUP BY lang, source, term
+), kept AS (
+  SELECT lang, count(*) AS v FROM vocabulary GROUP BY lang
+), groups AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0) + coalesce(any_value(v), 0) AS size FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN used USING (lang, source) LEFT JOIN kept USING (lang) GROUP BY g.lang, g.source
+), langs AS (
+  SELECT lang, sum(n) + any_value(v) AS size FROM used JOIN kept USING (lang) GROUP BY lang
+), p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // size AS p FROM groups JOIN vocabulary USING (lang) LEFT JOIN used USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // any_value(size) AS q FROM used JOIN langs USING (lang) GROUP BY lang, term
+), rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM rows) WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = alignment.aligned(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -108,9 +152,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_mixing": op11_mixing,
+    "op12_divergence": op12_divergence,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_urls": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op12_divergence": OP12_SQL,
 }
