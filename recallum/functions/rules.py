@@ -2,80 +2,127 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from recallum.functions import rulesets
 
-#: (tag, pattern) over lower-cased text; an example set.
-TAG_RULES = [("email", r"[a-z0-9._]+@[a-z0-9.]+"), ("address", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"), ("phone", r"[+][0-9] [(][0-9]{3}[)]"), ("number", r"[0-9]{12,}"), ("licence", r"licen[sc]e"), ("rights", r"all rights reserved"), ("table", r"[|]"), ("secret", r"token = "), ("shouting", r"!!"), ("noise", r"[$%&#]{3}")]
-#: (category, pattern), the first that matches counts.
-CATEGORY_RULES = [("credentials", r"token = "), ("contact", r"@|[+][0-9] [(]"), ("legal", r"licen[sc]e|rights reserved"), ("data", r"[|]")]
+#: (tag, pattern) over lower-cased text; example sets, which nothing uses unless it is passed.
+EXAMPLE_TAGS = [("email", r"[a-z0-9._]+@[a-z0-9.]+"), ("address", r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"), ("phone", r"[+][0-9] [(][0-9]{3}[)]"), ("number", r"[0-9]{12,}"), ("licence", r"licen[sc]e"), ("rights", r"all rights reserved"), ("table", r"[|]"), ("secret", r"token = "), ("shouting", r"!!"), ("noise", r"[$%&#]{3}")]
+#: (category, pattern), the first that matches counts, after the fixed ones.
+EXAMPLE_CATEGORIES = [("credentials", r"token = "), ("contact", r"@|[+][0-9] [(]"), ("legal", r"licen[sc]e|rights reserved"), ("data", r"[|]")]
 #: Words of durable and of passing knowledge.
-HIGH, LOW = [r"licen[sc]e", r"rights reserved", r"token = ", r"version [0-9]"], [r"!!", r"[$%&#]{3}", r"[|]"]
+EXAMPLE_HIGH, EXAMPLE_LOW = [r"licen[sc]e", r"rights reserved", r"token = ", r"version [0-9]"], [r"!!", r"[$%&#]{3}", r"[|]"]
 #: Attempts to instruct the reader of a text.
-SCREEN_RULES = [r"ignore (?:all|any|previous|the above)", r"disregard .{0,20}instructions", r"system prompt", r"you are now", r"<\s*script", r"act as (?:an?|the) ", r"do not tell", r"token = \"", r"base64,"]
+EXAMPLE_SCREEN = [r"<\s*script", r"token = \"", r"base64,"]
 #: (kind, pattern, replacement) in the order in which they are applied.
-REDACTIONS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"), ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])", "[number]"), ("address", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])", "[address]")]
+EXAMPLE_REDACTIONS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"), ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])", "[number]"), ("address", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])", "[address]")]
+#: By kind of redaction: strings of which a lower-cased text must contain one, or no pattern of the kind is tried.
+NEEDED = {"private_key": ["private key-----"], "anthropic_key": ["sk-ant-"], "openai_key": ["sk-"], "hf_token": ["hf_"], "github_token": ["gh"], "aws_key": ["akia", "asia"], "slack_token": ["xox"], "nvapi_key": ["nvapi-"], "jwt": ["eyj"], "bearer": ["bearer"], "email": ["@"], "address": ["."]} | dict.fromkeys(["quoted", "line", "value"], ["pass", "contraseña", "token", "key", "secret", "clave"])
 
 
-#: All tag rules as (tags, pattern), and all category rules: the fixed ones, then the examples.
-ALL_TAGS = [(names, rulesets.words(p)) for p, names in rulesets.TAGS] + [([name], p) for name, p in TAG_RULES]
-ALL_CATEGORIES = [(name, rulesets.words(p)) for p, name in rulesets.CATEGORIES] + CATEGORY_RULES
-#: Lasting and passing knowledge: the fixed signs, then the examples.
-ALL_HIGH, ALL_LOW = rulesets.LASTING + HIGH, rulesets.PASSING + LOW
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
-def tags(text: Column, rules: list[tuple[list[str], str]] = ALL_TAGS) -> Column:
-    """Sorted distinct tags of all rules that match; none for a null text."""
-    low = F.lower(text)
-    none = F.array().cast("array<string>")
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.when(low.rlike(p), F.array(*map(F.lit, names))).otherwise(none) for names, p in rules]))))
+def found(text: Column, vocabulary: list[str]) -> Column:
+    """Which words and phrases of a vocabulary a text has between word borders, each once.
+
+    A text is cut into words once, and these are looked up; a phrase is searched where the text contains it at all.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    one = [w for w in vocabulary if " " not in w]
+    here = F.array_intersect(F.split(low, r"[^\p{L}\p{N}_]+"), F.array(*map(F.lit, one)))
+    return F.concat(here, *[F.when(F.contains(low, F.lit(w)) & low.rlike(rulesets.words(w)), F.array(F.lit(w))).otherwise(_none()) for w in vocabulary if " " in w])
+
+
+def tags(text: Column, patterns: list[tuple[str, str]] = [], rules: list[tuple[str, list[str]]] = rulesets.TAGS) -> Column:  # noqa: B006
+    """Sorted distinct tags of all rules (words between borders → tags) and patterns (tag, pattern) that match; none for a null text."""
+    of: dict[str, list[str]] = {}
+    for words, names in rules:
+        for w in rulesets.spelled(words):
+            of[w] = sorted({*of.get(w, []), *names})
+    table = F.create_map(*[x for w, names in of.items() for x in (F.lit(w), F.array(*map(F.lit, names)))])
+    named = F.flatten(F.transform(found(text, list(of)), lambda w: F.element_at(table, w))) if of else _none()
+    more = [F.when(_matches(text, p), F.array(F.lit(name))).otherwise(_none()) for name, p in patterns]
+    return F.array_sort(F.array_distinct(F.concat(named, *more)))
 
 
-def category(text: Column, rules: list[tuple[str, str]] = ALL_CATEGORIES, default: str = rulesets.DEFAULT_CATEGORY) -> Column:
-    low, out = F.lower(text), None
-    for name, p in rules:
-        out = F.when(low.rlike(p), name) if out is None else out.when(low.rlike(p), name)
-    return out.otherwise(default)
+def category(text: Column, patterns: list[tuple[str, str]] = [], rules: list[tuple[str, str]] = rulesets.CATEGORIES, default: str = rulesets.DEFAULT_CATEGORY) -> Column:  # noqa: B006
+    """The category of the first rule whose words a text has, or else of the first pattern that matches."""
+    of: dict[str, int] = {}
+    for k, (words, _) in enumerate(rules, 1):
+        for w in rulesets.spelled(words):
+            of.setdefault(w, k)
+    table = F.create_map(*[x for w, k in of.items() for x in (F.lit(w), F.lit(k))])
+    first = F.array_min(F.transform(found(text, list(of)), lambda w: F.element_at(table, w)))
+    out = F.get(F.array(*[F.lit(name) for _, name in rules]), first - 1)
+    for name, p in patterns:
+        out = F.coalesce(out, F.when(_matches(text, p), name))
+    return F.coalesce(out, F.lit(default))
+
+
+def needed(pattern: str) -> list[list[str]]:
+    """Lists of literals, of each of which whatever a pattern matches has one: its groups of plain alternatives that are not optional."""
+    if "|" in re.sub(r"\(\?:[^()]*\)|\[[^\]]*\]", "", pattern):
+        return []  # a choice of whole patterns
+    return [x.split("|") for x in re.findall(r"\(\?:([^()\[\]\\?*+.{}]+)\)(?![?*{])", pattern)]
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """Whether a pattern matches the lower-cased text; searched only where all literals that it needs occur."""
+    low = F.lower(text)
+    out = low.rlike(pattern)
+    for some in reversed(needed(pattern)):
+        out = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in some]) & out
+    return out
 
 
 def hits(text: Column, patterns: list[str]) -> Column:
     """How many of the patterns match."""
-    low, n = F.lower(text), F.lit(0)
-    for p in patterns:
-        n = n + F.coalesce(low.rlike(p).cast("int"), F.lit(0))
-    return n
+    return sum((F.coalesce(_matches(text, p).cast("int"), F.lit(0)) for p in patterns), F.lit(0))
 
 
 def memory_type(category: Column, profiles: list[str] = rulesets.PROFILES) -> Column:
     return F.when(category.isin(profiles), "profile").otherwise("event")
 
 
-def trade(text: Column, categories: Column) -> Column:
+def trade(text: Column, categories: Column, lasting: list[str] = rulesets.LASTING, passing: list[str] = rulesets.PASSING) -> Column:
     """(is_trade, reusability, domain_profile, promote): a trade's words or domain make it trade knowledge; its domain, or two lasting signs, make it reusable everywhere."""
-    high, low = hits(text, ALL_HIGH), hits(text, ALL_LOW)
+    high, low = hits(text, lasting), hits(text, passing)
     domain = F.coalesce(F.arrays_overlap(categories, F.array(*map(F.lit, rulesets.DOMAINS))), F.lit(False))
     wide, some = (high >= 2) | domain, (high >= 1) | (low == 0)
     pick = lambda a, b, c: F.when(wide, a).when(some, b).otherwise(c)
     return F.struct((domain | (hits(text, rulesets.TRADE) > 0)).alias("is_trade"), pick("high", "medium", "low").alias("reusability"), pick("infrastructure", "project_specific", "temporary").alias("domain_profile"), wide.alias("promote"))
 
 
-def screened(text: Column, rules: list[str] = SCREEN_RULES) -> Column:
+def screened(text: Column, rules: list[str] = rulesets.SCREEN) -> Column:
     """Number of the first rule that matches, or null."""
-    low, out = F.lower(text), None
-    for k, p in enumerate(rules, 1):
-        out = F.when(low.rlike(p), k) if out is None else out.when(low.rlike(p), k)
-    return out
+    return F.coalesce(*[F.when(_matches(text, p), k) for k, p in enumerate(rules, 1)])
+
+
+def redact(text: Column, more: list[tuple[str, str, str]] = []) -> tuple[Column, Column]:  # noqa: B006
+    """(text with all rules applied in order, number of replacements): the fixed secrets, then `more` (kind, pattern, replacement).
+
+    A rule is tried only on texts that contain what its kind needs; replacements bring in nothing that a rule needs.
+    """
+    low = F.translate(F.lower(text), "ſ", "s")  # which Unicode's case folding takes for an s
+
+    def step(kind: str, pattern: str, to: str):
+        gate = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in NEEDED.get(kind, [""])])
+
+        def run(s: Column) -> Column:
+            done = F.struct(F.regexp_replace(s["text"], pattern, to).alias("text"), (s["n"] + F.regexp_count(s["text"], F.lit(pattern))).alias("n"))
+            return F.when(gate, done).otherwise(s)
 
+        return run
 
-def redact(text: Column, rules: list[tuple[str, str, str]] | None = None) -> tuple[Column, Column]:
-    """(text with all rules applied in order, number of replacements): the fixed secrets, then personal data."""
-    rules = rulesets.redactions() + REDACTIONS if rules is None else rules
-    n = F.lit(0)
-    for _, pattern, to in rules:
-        n = n + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, to)
-    return text, n
+    state = F.struct(text.alias("text"), F.lit(0).alias("n"))
+    for rule in rulesets.redactions() + more:
+        state = F.element_at(F.transform(F.array(state), step(*rule)), 1)  # a variable, which is evaluated once
+    return state["text"], F.when(text.isNotNull(), state["n"])
 
 
 def redact_values(values: Column) -> tuple[Column, Column]:

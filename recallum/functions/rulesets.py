@@ -1,17 +1,30 @@
 """Rule tables whose values are fixed: results of classification, redaction and expansion depend on them literally.
 
 Alternatives of words stand between word borders (`words`); `[^\\n]*` spans a line.
-All match lower-cased text except the redactions.
+All match lower-cased text except the redactions.  Patterns that need upper-case letters (headings such as REGLA, LECCIÓN or
+FALLÓ before a colon, and calls with AJAX_BASE) can match no lower-cased text and are left out, and the alternative CSRF beside token.
 """
 
 from __future__ import annotations
 
+import re
+from itertools import product
+
 
 def words(alternatives: str) -> str:
     """A pattern for any of the alternatives as whole words, alike in Java and in RE2."""
     return rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{alternatives})(?:$|[^\p{{L}}\p{{N}}_])"
 
 
+def spelled(alternatives: str) -> list[str]:
+    """The words and phrases that alternatives of letters, [classes] and optional letters stand for."""
+    out = []
+    for one in alternatives.split("|"):
+        parts = [[*(c.strip("[]")), *([""] if may else [])] for c, may in re.findall(r"(\[[^\]]*\]|.)(\??)", one)]
+        out += map("".join, product(*parts))
+    return out
+
+
 # Tags by words.
 TAGS = [
     (r"esposa|esposo|casad[ao]|matrimonio|cónyuge|conyuge|pareja|novi[ao]", ["familia"]),
@@ -72,6 +85,7 @@ TRADE = [
     r"(?:dependencias?|includes?|require)[^\n]*(?:rompe|afecta|cambia)",
     r"(?:session_start|ob_start|header)[^\n]*(?:rompe|bloquea|causa)",
     r"(?:nunca|jamás)[^\n]*(?:exponer|log[^\n]*password|commit[^\n]*secret)",
+    r"token[^\n]*(?:validar|verificar|generar)",
 ]
 DOMAINS = ["postgresql", "postgis", "pgvector", "pg_trgm", "dhis2", "tomcat", "apache", "php", "security", "deploy", "backup", "restauracion", "docker", "systemd", "cron", "nginx", "node", "react", "nextjs"]
 # Signs of lasting and of passing knowledge.
@@ -91,6 +105,19 @@ PASSING = [
     r"(?:usuario|user)[^\n]*(?:\d{3,})[^\n]*(?:prueba|test)",
 ]
 
+# Attempts to instruct the reader of a text, in the order in which they are tried.
+SCREEN = [
+    r"ignora\s+(?:todas\s+)?(?:tus|las)\s+instrucciones",
+    r"ignorá\s+(?:todas\s+)?(?:tus|las)\s+instrucciones",
+    r"ignore\s+(?:all\s+)?(?:previous|prior|above)\s+instructions",
+    r"disregard\s+(?:all\s+)?(?:previous|prior|earlier)\s+(?:instructions|prompts)",
+    r"no\s+(?:le\s+)?digas\s+al\s+usuario",
+    r"do\s+not\s+tell\s+the\s+user",
+    r"no\s+reveles\s+(?:estas\s+)?instrucciones",
+    r"(?:nuevo|new)\s+system\s+prompt",
+    r"(?:sobrescribe|override)\s+(?:tus|your)\s+(?:instrucciones|instructions)",
+]
+
 # Variants of roots, general synonyms, and words that don't expand.
 STEMS = {
     "planta": ["planta", "plantas", "vegetal", "hierba", "hierbas", "herbal"],
@@ -134,6 +161,7 @@ STRONG_KEYS = r"password|passwd|contraseña|token|api[_-]?key|apikey|secret|clie
 MARK = "[REDACTADO:{}]"
 
 
+# Fixed values below, too: the three forms of a key with its value, and their order.
 def redactions() -> list[tuple[str, str, str]]:
     """(kind, pattern, replacement) in order: secrets by form, then quoted values of secret keys, the rest of a line after strong keys, and single values."""
     credential = MARK.format("credencial")

@@ -16,7 +16,7 @@ from recallum.sources import tables as S
 from recallum.sources.tables import REF_DATE, sql
 
 _FRESH = """SELECT conv_id * 1000 + turn AS id, CASE WHEN turn % 5 = 4 THEN ' ' ELSE text END AS content, CASE turn % 4 WHEN 0 THEN 'Semantic' WHEN 1 THEN NULL WHEN 2 THEN 'automatic' ELSE 'other' END AS level, CASE WHEN conv_id % 3 = 0 THEN 'user' WHEN conv_id % 7 = 1 THEN 'robot' END AS author, CASE WHEN conv_id % 2 = 0 THEN 'profile' END AS kind, [role, CASE WHEN conv_id % 5 = 0 THEN 'docker' ELSE 'x' END] AS categories FROM conversations"""
-_H, _L, _T = (" + ".join(f"CAST({_match(p)} AS INT)" for p in x) for x in (rules.ALL_HIGH, rules.ALL_LOW, rulesets.TRADE))
+_H, _L, _T = (" + ".join(f"CAST({_match(p)} AS INT)" for p in x) for x in (rulesets.LASTING, rulesets.PASSING, rulesets.TRADE))
 
 
 def _fresh(spark: SparkSession, d: str) -> DataFrame:

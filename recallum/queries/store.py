@@ -271,6 +271,6 @@ def maintenance_run(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("step", "action").agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT id, hits FROM (SELECT id, " + " + ".join(f"CAST(regexp_matches(lower(content), '{p}') AS INT)" for p in rules.HIGH) + " AS hits FROM memory) WHERE hits > 0", "memory"))
+@query(sql("SELECT id, hits FROM (SELECT id, " + " + ".join(f"CAST(regexp_matches(lower(content), '{p}') AS INT)" for p in rules.EXAMPLE_HIGH) + " AS hits FROM memory) WHERE hits > 0", "memory"))
 def durable_knowledge(spark: SparkSession, d: str) -> DataFrame:
-    return S.memory(spark, d).select("id", rules.hits(F.col("content"), rules.HIGH).alias("hits")).where("hits > 0")
+    return S.memory(spark, d).select("id", rules.hits(F.col("content"), rules.EXAMPLE_HIGH).alias("hits")).where("hits > 0")

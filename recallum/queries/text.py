@@ -15,19 +15,22 @@ def _match(p: str, x: str = "content") -> str:
     return "regexp_matches(lower({}), '{}')".format(x, p.replace("'", "''"))
 
 
-_TAGS = "list_sort(list_distinct(flatten([" + ", ".join(f"CASE WHEN {_match(p)} THEN {names} ELSE [] END" for names, p in R.ALL_TAGS) + "])))"
-_CATEGORY = "CASE " + " ".join(f"WHEN {_match(p)} THEN '{n}'" for n, p in R.ALL_CATEGORIES) + f" ELSE '{rulesets.DEFAULT_CATEGORY}' END"
-_HIGH, _LOW, _TRADE = (" + ".join(f"CAST({_match(p)} AS INT)" for p in x) for x in (R.ALL_HIGH, R.ALL_LOW, rulesets.TRADE))
+_TAG_RULES = [(names, rulesets.words(p)) for p, names in rulesets.TAGS] + [([name], p) for name, p in R.EXAMPLE_TAGS]
+_CATEGORY_RULES = [(name, rulesets.words(p)) for p, name in rulesets.CATEGORIES] + R.EXAMPLE_CATEGORIES
+_LASTING, _PASSING, _SCREENED = rulesets.LASTING + R.EXAMPLE_HIGH, rulesets.PASSING + R.EXAMPLE_LOW, rulesets.SCREEN + R.EXAMPLE_SCREEN
+_TAGS = "list_sort(list_distinct(flatten([" + ", ".join(f"CASE WHEN {_match(p)} THEN {names} ELSE [] END" for names, p in _TAG_RULES) + "])))"
+_CATEGORY = "CASE " + " ".join(f"WHEN {_match(p)} THEN '{n}'" for n, p in _CATEGORY_RULES) + f" ELSE '{rulesets.DEFAULT_CATEGORY}' END"
+_HIGH, _LOW, _TRADE = (" + ".join(f"CAST({_match(p)} AS INT)" for p in x) for x in (_LASTING, _PASSING, rulesets.TRADE))
 
 
 @query(sql(f"SELECT id, array_to_string({_TAGS}, ',') AS found FROM memory", "memory"))
 def auto_tag(spark: SparkSession, d: str) -> DataFrame:
-    return S.memory(spark, d).select("id", F.array_join(R.tags(F.col("content")), ",").alias("found"))
+    return S.memory(spark, d).select("id", F.array_join(R.tags(F.col("content"), R.EXAMPLE_TAGS), ",").alias("found"))
 
 
 @query(sql(f"SELECT id, category, CASE WHEN category IN ({', '.join(repr(p) for p in rulesets.PROFILES)}) THEN 'profile' ELSE 'event' END AS mem_type FROM (SELECT id, {_CATEGORY} AS category FROM memory)", "memory"))
 def auto_category(spark: SparkSession, d: str) -> DataFrame:
-    return S.memory(spark, d).select("id", R.category(F.col("content")).alias("category")).withColumn("mem_type", R.memory_type(F.col("category")))
+    return S.memory(spark, d).select("id", R.category(F.col("content"), R.EXAMPLE_CATEGORIES).alias("category")).withColumn("mem_type", R.memory_type(F.col("category")))
 
 
 _CLASSES = f"""SELECT id, level, dom OR tr > 0 AS is_trade, CASE WHEN h >= 2 OR dom THEN 'high' WHEN h >= 1 OR l = 0 THEN 'medium' ELSE 'low' END AS reusability, CASE WHEN h >= 2 OR dom THEN 'infrastructure' WHEN h >= 1 OR l = 0 THEN 'project_specific' ELSE 'temporary' END AS domain_profile, h >= 2 OR dom AS promote
@@ -35,7 +38,7 @@ _CLASSES = f"""SELECT id, level, dom OR tr > 0 AS is_trade, CASE WHEN h >= 2 OR
 
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
-    return S.memory(spark, d).select("id", "level", R.trade(F.col("content"), F.col("categories")).alias("t")).select("id", "level", "t.*")
+    return S.memory(spark, d).select("id", "level", R.trade(F.col("content"), F.col("categories"), _LASTING, _PASSING).alias("t")).select("id", "level", "t.*")
 
 
 @query(sql("SELECT id, is_trade, reusability, domain_profile, CASE domain_profile WHEN 'infrastructure' THEN 180 WHEN 'project_specific' THEN 90 ELSE 14 END AS decay_days, CASE WHEN is_trade AND reusability = 'high' AND level = 'episodic' THEN 'semantic' ELSE level END AS level FROM classes", "memory", classes=_CLASSES))
@@ -68,19 +71,19 @@ def trade_review(spark: SparkSession, d: str) -> DataFrame:
     return last_access(S.memory(spark, d).where("trade AND NOT critical"), S.access_log(spark, d)).where(idle >= 100).select("id", idle.alias("idle"))
 
 
-_SCREEN = "CASE " + " ".join(f"WHEN {_match(p)} THEN {k}" for k, p in enumerate(R.SCREEN_RULES, 1)) + " END"
+_SCREEN = "CASE " + " ".join(f"WHEN {_match(p)} THEN {k}" for k, p in enumerate(_SCREENED, 1)) + " END"
 
 
 @query(sql(f"SELECT id, rule, array_to_string(list_distinct(list_append(tags, 'possible_injection_regex')), ',') IS NOT NULL AS tagged FROM (SELECT id, tags, {_SCREEN} AS rule FROM memory) WHERE rule IS NOT NULL", "memory"))
 def injection_screen(spark: SparkSession, d: str) -> DataFrame:
-    m = S.memory(spark, d).withColumn("rule", R.screened(F.col("content"))).where("rule IS NOT NULL")
+    m = S.memory(spark, d).withColumn("rule", R.screened(F.col("content"), _SCREENED)).where("rule IS NOT NULL")
     warned = F.array_union("tags", F.array(F.lit("possible_injection_regex")))
     return m.select("id", "rule", F.exists(warned, lambda t: F.startswith(t, F.lit("possible_injection"))).alias("tagged"))
 
 
 @query()
 def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
-    text, n = R.redact(F.col("content"))
+    text, n = R.redact(F.col("content"), R.EXAMPLE_REDACTIONS)
     return S.memory(spark, d).select("id", text.alias("content"), n.alias("n"))
 
 
