@@ -68,75 +68,124 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, lo: float = -2.0, hi: flo
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-#: Bands of hyperplanes, and rows from which a bucket is split by further hyperplanes.
-BANDS, CROWDED = 40, 8192
+#: Share of the pairs at the threshold that bands find, rows of a bucket from which it is split, cosine from which vectors of one sketch are one, and rows of a bucket that are compared with all others.
+RECALL, CROWDED, SAME, HELD = 0.99, 4096, 0.9999, 8192
+#: Hyperplanes of a sketch.
+SKETCH = 256
 
 
-def near_links(corpus: DataFrame, least: float, bands: int = BANDS, bits: int | None = None, crowded: int = CROWDED) -> DataFrame:
+def bands_for(bits: int, least: float, recall: float = RECALL) -> int:
+    """How many sets of `bits` hyperplanes it takes for two vectors of cosine `least` to agree on a whole set with probability `recall`."""
+    agree = (1 - np.arccos(min(1.0, least)) / np.pi) ** bits
+    return 1 if agree >= recall else int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))
+
+
+def _spanned(x: np.ndarray, least: float) -> np.ndarray:
+    """The smallest row that each row of unit vectors reaches over cosines of `least` or more."""
+    root = np.arange(len(x))
+    for a in range(0, len(x), 1024):
+        i, j = np.nonzero(x[a : a + 1024] @ x.T >= least - 1e-12)
+        later = j > i + a
+        root = forest(root, i[later] + a, j[later])
+    return root
+
+
+def near_links(corpus: DataFrame, least: float, recall: float = RECALL, bits: int | None = None, crowded: int = CROWDED, held: int = HELD) -> DataFrame:
     """(id, embedding) of different vectors → links (src, dst) that join those of cosine `least` or more; verified exactly.
 
-    Vectors are hashed by `bands` sets of random hyperplanes of `bits` each (by
-    the table's size, at most 14); those that agree on a whole set meet in a
-    bucket, where a spanning forest of the pairs near enough is made.  A pair of
-    cosine 0.9 agrees on 10 hyperplanes with probability 0.21, so that 40 sets
-    miss it once in ten thousand; 14 hyperplanes miss 0.6 %.  Buckets above
-    `crowded` rows are split by up to 16 further hyperplanes: they hold many
-    vectors that are close to one another, which meet in other buckets too.
+    Vectors with the same sketch (the sides of `SKETCH` random hyperplanes) and a cosine of `SAME` or more to the one
+    of the smallest id are linked to it and stand behind it from there on, however many they are.  What then may be missed
+    are links of such a vector within 0.01 of `least` that its representative hasn't.
+
+    The rest are hashed by bands of `bits` hyperplanes each (by the table's size); those that agree on a whole band meet
+    in a bucket, where a spanning forest of the pairs near enough is made.  There are as many bands as find a
+    pair of cosine `least` with probability `recall`: 19 at 10 hyperplanes and cosine 0.9, 139 at 22.  A bucket above `crowded` rows
+    is dealt once more, by several sets of 8 or 16 of the sketch's hyperplanes.  In a bucket that is still larger than `held`,
+    each next `held` rows are compared with each other and with one row of each of the latest `held` trees.
     """
     rows = corpus.select("id", "embedding").where("embedding IS NOT NULL")
-    n = rows.count()
-    bits = bits or int(min(14, max(4, (n // 64).bit_length())))
     kind = corpus.schema["id"].dataType.simpleString()
     width = rows.select(F.size("embedding").alias("n")).first()
-    planes = np.random.default_rng(20).standard_normal((bands, bits + 16, width.n if width else 1))
+    dims = width.n if width else 1
+    sketching = np.random.default_rng(21).standard_normal((SKETCH, dims))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(a, 4096) for whole in batches for a in range(0, whole.num_rows, 4096)):
             x = _unit(_matrix(b.column(1)))
-            packed = pa.array([v.tobytes() for v in x.astype(np.float64)], pa.binary())
-            for band in range(bands):
-                side = (x @ planes[band].T > 0).astype(np.int64) @ (1 << np.arange(bits + 15, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(band << 40 | side >> 16), pa.array(side & 0xFFFF), b.column(0), packed], names=["bucket", "more", "id", "v"])
+            sides = np.packbits(x @ sketching.T > 0, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([v.tobytes() for v in sides], pa.binary())], names=["id", "v", "sketch"])
+
+    made = cut(rows.mapInArrow(sketched, f"id {kind}, v binary, sketch binary"))
+    several = made.groupBy("sketch").agg(F.min(F.struct("id", "v")).alias("first"), F.count("*").alias("n")).where("n > 1").select("sketch", F.col("first.id").alias("src"), F.col("first.v").alias("w"))
 
-    sent = rows.mapInArrow(spread, f"bucket bigint, more bigint, id {kind}, v binary")
-    # A crowded bucket becomes buckets of its own by as many further hyperplanes as bring it below the bound on average.
-    sizes = rows.mapInArrow(lambda batches: (r.select(["bucket"]) for r in spread(batches)), "bucket bigint").groupBy("bucket").count().where(F.col("count") > crowded)
-    deep = sizes.select("bucket", F.least(F.lit(16), F.ceil(F.log2(F.col("count") / crowded)) + 1).cast("int").alias("deep"))
-    split = sent.join(hinted(cut(deep)), "bucket", "left").withColumn("part", F.expr("coalesce(more >> (16 - deep), 0)")).select("bucket", "part", "id", "v")
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist())).reshape(b.num_rows, -1) for c in (1, 3))
+            good = pa.array((x * y).sum(1) >= max(SAME, least))
+            yield pa.RecordBatch.from_arrays([b.column(2).filter(good), b.column(0).filter(good)], names=["src", "dst"])
+
+    merged = cut(made.join(several, "sketch").where("src <> id").select("id", "v", "src", "w").mapInArrow(same, f"src {kind}, dst {kind}"))
+    left = made.join(merged.select(F.col("dst").alias("id")), "id", "left_anti")
+    left = left if merged.isEmpty() else cut(left)
+
+    n = left.count()
+    bits = bits or int(min(30, max(4, (n // 512).bit_length())))
+    bands = bands_for(bits, least, recall)
+
+    def spread(batches: Iterator[pa.RecordBatch], whole: bool = True) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column(1).to_pylist())).reshape(b.num_rows, -1)
+            for band in range(bands):  # a band's hyperplanes are made anew from its number
+                side = (x @ np.random.default_rng((20, band)).standard_normal((bits, dims)).T > 0).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+                bucket = pa.array(band << 40 | side)
+                yield pa.RecordBatch.from_arrays([bucket, *b.columns] if whole else [bucket], names=["bucket", "id", "v", "sketch"] if whole else ["bucket"])
+
+    sent = left.mapInArrow(spread, f"bucket bigint, id {kind}, v binary, sketch binary")
+    sizes = left.mapInArrow(lambda batches: spread(batches, False), "bucket bigint").groupBy("bucket").count().where(F.col("count") > crowded)
+    deep = F.when(F.col("count") / crowded <= 64, 1).otherwise(2)
+    sets = F.when(deep == 1, min(SKETCH // 8, bands_for(8, least, 0.95))).otherwise(min(SKETCH // 16, bands_for(16, least, 0.95)))
+    dealt = sent.join(hinted(cut(sizes.select("bucket", deep.alias("deep"), sets.alias("sets")))), "bucket", "left")
+    dealt = dealt.withColumn("set", F.explode(F.sequence(F.lit(1), F.coalesce("sets", F.lit(1)))))
+    split = dealt.withColumn("part", F.when(F.col("deep").isNotNull(), F.expr("substring(sketch, 1 + (set - 1) * deep, deep)"))).select("bucket", "set", "part", "id", "v")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(ids: list, vectors: list[bytes]) -> pa.RecordBatch:
-            x = np.frombuffer(b"".join(vectors)).reshape(len(ids), -1)
-            root = np.arange(len(ids))
-            for a in range(0, len(x), 1024):
-                i, j = np.nonzero(x[a : a + 1024] @ x.T >= least - 1e-12)
-                later = j > i + a
-                root = forest(root, i[later] + a, j[later])
-            linked = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in root[linked]], like), pa.array([ids[k] for k in linked], like)], names=["src", "dst"])
-
-        now, ids, vectors, like = None, [], [], None
+        like = None
+
+        def solve(ids: list, vectors: list[bytes]) -> tuple[pa.RecordBatch, list, list[bytes]]:
+            root = _spanned(np.frombuffer(b"".join(vectors)).reshape(len(ids), -1), least)
+            own = root == np.arange(len(root))
+            linked, roots = np.flatnonzero(~own), np.flatnonzero(own)
+            found = pa.RecordBatch.from_arrays([pa.array([ids[k] for k in root[linked]], like), pa.array([ids[k] for k in linked], like)], names=["src", "dst"])
+            return found, [ids[k] for k in roots], [vectors[k] for k in roots]
+
+        now, ids, vectors, most = None, [], [], held
         for b in batches:
-            like = b.column(2).type
-            for bucket, part, i, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (bucket, part) != now:
+            like = b.column(3).type
+            for *key, i, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != now:
                     if len(ids) > 1:
-                        yield solve(ids, vectors)
-                    now, ids, vectors = (bucket, part), [], []
+                        yield solve(ids, vectors)[0]
+                    now, ids, vectors, most = key, [], [], held
+                elif len(ids) >= most:
+                    found, ids, vectors = solve(ids, vectors)
+                    ids, vectors = ids[-held:], vectors[-held:]
+                    most = len(ids) + held
+                    yield found
                 ids.append(i)
                 vectors.append(v)
         if len(ids) > 1:
-            yield solve(ids, vectors)
+            yield solve(ids, vectors)[0]
 
-    return split.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "id").mapInArrow(meet, f"src {kind}, dst {kind}").distinct()
+    links = split.repartition("bucket", "set", "part").sortWithinPartitions("bucket", "set", "part", "id").mapInArrow(meet, f"src {kind}, dst {kind}")
+    return links.unionByName(merged).distinct()
 
 
-def near_classes(corpus: DataFrame, least: float, bands: int = BANDS) -> DataFrame:
+def near_classes(corpus: DataFrame, least: float, recall: float = RECALL) -> DataFrame:
     """(id, embedding) → (id, component): the smallest id that each row reaches over links of cosine `least` or more; rows without a vector are alone."""
     rows = corpus.select("id", "embedding")
     # Equal vectors are one from here on.
     own = cut(rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("id").alias("id")))
-    comp = connected_components(near_links(own, least, bands))
+    comp = connected_components(near_links(own, least, recall))
     of = own.join(comp.withColumnRenamed("node", "id"), "id", "left").select("embedding", F.coalesce("component", "id").alias("component"))
     return rows.join(of, "embedding", "left").select("id", F.coalesce("component", "id").alias("component"))
 

@@ -212,6 +212,34 @@ def test_near_classes_find_planted_links(spark):
         assert all(got[k] == k for k in alone)
 
 
+def test_near_links_at_the_hyperplanes_of_a_huge_table(spark):
+    """22 hyperplanes, as for some 2 * 10^9 rows: bands grow with them, so pairs at the threshold are still found."""
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(r.standard_normal((4000, 24)))
+    across = r.standard_normal((4000, 24))
+    across = unit(across - (across * base).sum(1, keepdims=True) * base)
+    pair = 0.9001 * base + np.sqrt(1 - 0.9001**2) * across
+    x = np.concatenate((base, pair))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id bigint, embedding array<double>")
+    comp = {c.node: c.component for c in connected_components(K.near_links(df, 0.9, bits=22)).collect()}
+    assert np.mean([comp.get(k, k) == comp.get(k + 4000, -k) for k in range(4000)]) >= 0.95
+    assert K.bands_for(22, 0.9) > 3 * K.bands_for(12, 0.9) and K.bands_for(4, 1.0) == 1
+
+
+def test_near_links_of_one_hot_point(spark):
+    """Vectors that no hyperplane tells apart are one bucket in all bands; they go through in one pass, and all are one component."""
+    r = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = np.concatenate((unit(r.standard_normal(16) + 1e-6 * r.standard_normal((30000, 16))), unit(r.standard_normal(16) + 0.05 * r.standard_normal((3000, 16)))))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id bigint, embedding array<double>").repartition(4)
+    got = K.near_links(df, 0.9, bits=6, crowded=500, held=600)
+    assert got.count() < 20 * len(x)
+    comp = {c.node: c.component for c in connected_components(got).collect()}
+    assert [comp[k] for k in range(30000)] == [0] * 30000
+    assert np.mean([comp.get(k) == 30000 for k in range(30000, 33000)]) > 0.99
+
+
 def _classes(df, crowded):
     links = K.near_links(df.where("embedding IS NOT NULL"), 0.9, crowded=crowded)
     comp = connected_components(links).withColumnRenamed("node", "id")
