@@ -8,7 +8,7 @@ from recallum.queries import query
 from recallum.sources import tables as S
 from recallum.sources.files import changes, digest_by
 from recallum.sources.tables import sql
-from recallum.streaming import jobs as J
+from recallum.streaming import jobs as J, state as ST
 
 _PATH = "regexp_replace(url, '^[a-z]+://', '')"
 
@@ -76,3 +76,44 @@ def sliding_access_windows(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("SELECT user_id AS id, arg_max(props, ts) AS content, max(ts) AS ts FROM events GROUP BY user_id"))
 def latest_by_key(spark: SparkSession, d: str) -> DataFrame:
     return J.latest(S.table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("props").alias("content"), "ts"), "ts")
+
+
+@query(
+    sql(
+        """SELECT id, failures, CASE WHEN failures = 0 THEN 'repaired' WHEN failures > 3 THEN 'given up' ELSE 'waiting' END AS status, CASE failures WHEN 1 THEN failed_at + INTERVAL 5 SECOND WHEN 2 THEN failed_at + INTERVAL 30 SECOND WHEN 3 THEN failed_at + INTERVAL 120 SECOND END AS next_at
+        FROM (SELECT user_id AS id, count(*) FILTER (NOT ok AND (good IS NULL OR ts > good)) AS failures, max(ts) FILTER (NOT ok AND (good IS NULL OR ts > good)) AS failed_at FROM (SELECT *, max(ts) FILTER (ok) OVER (PARTITION BY user_id) AS good FROM (SELECT user_id, ts, event_type IN ('purchase', 'signup') AS ok FROM events)) GROUP BY user_id)"""
+    )
+)
+def repair_due(spark: SparkSession, d: str) -> DataFrame:
+    """When each row's next try is due after a log of tries (here each user's events, purchases and sign-ups as successes)."""
+    return ST.repair_state(S.table(spark, d, "events").select(F.col("user_id").alias("id"), "ts", F.col("event_type").isin("purchase", "signup").alias("ok")))
+
+
+@query(
+    sql(
+        """SELECT reason, unnest(generate_series(1, most)) AS k FROM (SELECT 'saves' AS reason, count(*) // 50 AS most FROM events UNION ALL SELECT 'time', CAST(epoch_ms(max(ts)) - epoch_ms(min(ts)) AS BIGINT) // 86400000 FROM events)"""
+    )
+)
+def maintenance_triggers(spark: SparkSession, d: str) -> DataFrame:
+    """When maintenance is due if every event is a save: each 50 saves and each day."""
+    return ST.triggers(S.table(spark, d, "events"))
+
+
+@query(sql("SELECT r // 50 AS k, event_id AS seq FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS r FROM events) WHERE r % 50 = 0"))
+def maintenance_saves(spark: SparkSession, d: str) -> DataFrame:
+    return ST.saves_due(S.table(spark, d, "events"))
+
+
+@query(
+    sql(
+        """SELECT key, seq, CASE WHEN hit THEN verdict END AS verdict, hit, CASE WHEN hit THEN CAST(sum(CAST(hit AS INT)) OVER (PARTITION BY key, life ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) ELSE 0 END AS hits, put FROM (
+        SELECT *, coalesce(epoch_ms(ts) < epoch_ms(made) + 86400000, false) AND NOT put AS hit, sum(CAST(fresh AS INT)) OVER (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS life FROM (
+          SELECT *, put AND coalesce(epoch_ms(ts) >= epoch_ms(lag(made) OVER (PARTITION BY key ORDER BY ts, seq)) + 86400000, true) AS fresh FROM (
+            SELECT *, max(CASE WHEN put THEN ts END) OVER w AS made, last_value(CASE WHEN put THEN value END IGNORE NULLS) OVER w AS verdict FROM (SELECT 'k' || (user_id % 97) AS key, event_id AS seq, event_type = 'purchase' AS put, value, ts FROM events) WINDOW w AS (PARTITION BY key ORDER BY ts, seq ROWS UNBOUNDED PRECEDING))))
+        QUALIFY NOT put"""
+    ).replace("SELECT key, seq, CASE", "SELECT key, seq, verdict, hit, hits FROM (SELECT key, seq, CASE", 1).replace("QUALIFY NOT put", ") WHERE NOT put")
+)
+def judgment_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What a cache of judgments answers each question, with a life of a day (purchases are judgments, all else asks)."""
+    e = S.table(spark, d, "events")
+    return ST.answers(e.select(F.concat(F.lit("k"), F.col("user_id") % 97).alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("put"), F.col("value").alias("verdict"), "ts"), ttl=86_400_000)
