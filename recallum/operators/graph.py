@@ -61,6 +61,86 @@ def shortest_paths(links: DataFrame, pairs: DataFrame, max_hops: int = 10) -> Da
     return found
 
 
+def _level(front: DataFrame, seen: DataFrame, steps: DataFrame, key: str, level: int) -> DataFrame:
+    """The next level of each tree: nodes that it hasn't, each with its smallest link and, of that link, the parent."""
+    step = front.select(key, F.col("node").alias("parent")).join(steps, "parent").groupBy(key, "node").agg(F.min(F.struct("link", "parent")).alias("by"))
+    fresh = step.join(seen.select(key, "node"), [key, "node"], "left_anti")
+    return cut(fresh.select(key, "node", F.lit(level).alias("level"), F.col("by.parent").alias("parent"), F.col("by.link").alias("link")))
+
+
+def paths(links: DataFrame, pairs: DataFrame, max_hops: int = 10) -> DataFrame:
+    """(src, dst) pairs → (src, dst, hops, nodes, links): a shortest path over links in both directions, if there is one within `max_hops`.
+
+    Trees grow from both ends in turn, a level each time, so none is deeper than half a path; ends whose pairs are all
+    settled grow no further.  A node hangs on its tree by the smallest link that reaches it, and a
+    path goes through the smallest node in which the trees meet, so it is the same each time.  Only then
+    are paths rebuilt, by one join a hop.
+    """
+    kind = links.schema["src"].dataType.simpleString()
+    way = lambda a, b: links.select(F.col(a).alias("parent"), F.col(b).alias("node"), F.col("id").alias("link"))
+    steps = cut(way("src", "dst").unionByName(way("dst", "src")).where("parent <> node").groupBy("parent", "node").agg(F.min("link").alias("link")))
+    goals = pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    known = steps.select(F.col("parent").alias("src")).distinct()
+    met = goals.where("src = dst").join(known, "src", "left_semi").withColumn("node", F.col("src")).withColumn("hops", F.lit(0))
+    left = cut(goals.where("src <> dst"))
+    root = lambda key: left.select(key, F.col(key).alias("node")).distinct().select(key, "node", F.lit(0).alias("level"), F.lit(None).cast(kind).alias("parent"), F.lit(None).cast("bigint").alias("link"))
+    trees = {"src": root("src"), "dst": root("dst")}
+    fronts = dict(trees)
+    for hops in range(1, max_hops + 1):
+        key = "src" if hops % 2 else "dst"
+        live = fronts[key].join(left.select(key).distinct(), key, "left_semi")
+        fronts[key] = _level(live, trees[key], steps, key, (hops + 1) // 2)
+        if fronts[key].isEmpty():
+            break  # a tree that grows no more has met all that it can
+        trees[key] = trees[key].unionByName(fronts[key])
+        ends = left.join(fronts["src"].select("src", "node"), "src").join(fronts["dst"].select("dst", "node"), ["dst", "node"])
+        hit = cut(ends.groupBy("src", "dst").agg(F.min("node").alias("node")).withColumn("hops", F.lit(hops)))
+        met = met.unionByName(hit.select("src", "dst", "node", "hops"))
+        left = cut(left.join(hit, ["src", "dst"], "left_anti"))
+        if left.isEmpty():
+            break
+    grown = met.select("src", "dst", "hops", F.col("node").alias("a"), F.col("node").alias("b"), F.array("node").alias("nodes"), F.array().cast("array<bigint>").alias("links"))
+    for key, end, before in (("src", "a", True), ("dst", "b", False)):
+        tree = cut(trees[key].where("level > 0").select(key, F.col("node").alias(end), "parent", "link"))
+        for _ in range((max_hops + 1) // 2):
+            j = grown.join(tree, [key, end], "left")
+            more = lambda old, new: F.when(F.col("parent").isNotNull(), F.concat(F.array(new), old) if before else F.concat(old, F.array(new))).otherwise(F.col(old))
+            grown = j.select("src", "dst", "hops", *[F.coalesce("parent", end).alias(end) if c == end else F.col(c) for c in ("a", "b")], more("nodes", "parent").alias("nodes"), more("links", "link").alias("links"))
+        grown = cut(grown)
+    return grown.select("src", "dst", "hops", "nodes", "links")
+
+
+def reinforced(links: DataFrame, used: DataFrame, now: Column) -> DataFrame:
+    """Links with `last_accessed` and `reinforced_at` set to now where they are part of a path of `used`; each once, however many paths use it."""
+    ids = used.select(F.explode("links").alias("id")).distinct().withColumn("hit", F.lit(True))
+    before = F.col("reinforced_at") if "reinforced_at" in links.columns else F.lit(None).cast("timestamp")
+    set_to = lambda old: F.when(F.col("hit"), now.cast("timestamp")).otherwise(old)
+    return links.join(ids, "id", "left").withColumn("reinforced_at", set_to(before)).withColumn("last_accessed", set_to(F.col("last_accessed"))).drop("hit")
+
+
+def explore(links: DataFrame, roots: DataFrame, depth: int = 2, most: int = 50) -> DataFrame:
+    """(node) → (root, node, level, parent, link, weight): what each root reaches over its heaviest outgoing links, `most` nodes at most, itself included.
+
+    Level by level; a root takes the nodes of the heaviest links (then the smallest link) while it has room.  Of a node's targets only the
+    heaviest 2 * `most` can be taken, as `most` at best are taken already; the others don't enter the join, so a hub costs no more than that.
+    """
+    target = links.where("src <> dst").groupBy("src", "dst").agg(F.max(F.struct("weight", (-F.col("id")).alias("k"))).alias("b")).select("src", F.col("dst").alias("node"), F.col("b.weight").alias("weight"), (-F.col("b.k")).alias("link"))
+    order = Window.partitionBy("src").orderBy(F.desc("weight"), "link")
+    edges = cut(target.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * most).drop("r"))
+    seen = roots.select(F.col("node").alias("root"), "node").distinct().withColumn("level", F.lit(0)).withColumn("parent", F.lit(None).cast(links.schema["src"].dataType)).withColumn("link", F.lit(None).cast("bigint")).withColumn("weight", F.lit(None).cast("double"))
+    front = seen
+    for level in range(1, depth + 1):
+        room = seen.groupBy("root").agg((most - F.count("*")).alias("room"))
+        step = front.select("root", F.col("node").alias("src")).join(edges, "src").groupBy("root", "node").agg(F.max(F.struct("weight", (-F.col("link")).alias("k"), F.col("src").alias("parent"))).alias("b"))
+        fresh = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(level).alias("level"), "b.parent", (-F.col("b.k")).alias("link"), "b.weight")
+        first = Window.partitionBy("root").orderBy(F.desc("weight"), "link")
+        front = cut(fresh.withColumn("r", F.row_number().over(first)).where(F.col("r") < most).join(room, "root").where("r <= room").drop("r", "room"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def overview(links: DataFrame) -> DataFrame:
     return links.agg(F.count_distinct("src").alias("sources"), F.count("*").alias("edges"), F.count_distinct("rel").alias("types"))
 

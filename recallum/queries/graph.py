@@ -42,10 +42,84 @@ def graph_bfs(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
+    return G.shortest_paths(S.links(spark, d), _goals(spark, d), max_hops=5)
+
+
+def _goals(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of ends: twenty goals for every fiftieth node."""
     links = S.links(spark, d)
     nodes = links.agg(F.max("src") + 1).first()[0] or 1
     goals = F.explode(F.array(*[(F.col("src") * 7 + 11 * k * k) % nodes for k in range(1, 21)]))
-    return G.shortest_paths(links, links.where("src % 50 = 0").select("src", goals.alias("dst")).distinct(), max_hops=5)
+    return links.where("src % 50 = 0").select("src", goals.alias("dst")).distinct()
+
+
+_PAIRS = "SELECT DISTINCT src, (src * 7 + 11 * k * k) % (SELECT max(src) + 1 FROM link) AS dst FROM link, range(1, 21) t(k) WHERE src % 50 = 0"
+
+
+def _tree(key: str) -> str:
+    """Trees of two levels at most from all ends: (end, node, level, parent, link)."""
+    level = lambda n, before: f"SELECT e, b AS node, {n} AS level, arg_min(a, (link, a)) AS parent, min(link) AS link FROM ({before}) JOIN steps ON a = node GROUP BY e, b"
+    zero = f"SELECT DISTINCT {key} AS e, {key} AS node FROM pairs"
+    one = level(1, zero) + " HAVING b <> e"
+    two = level(2, f"SELECT e, node FROM ({one})") + f" HAVING b <> e AND (e, b) NOT IN (SELECT (e, node) FROM ({one}))"
+    return f"SELECT e, node, 0 AS level, NULL AS parent, NULL AS link FROM ({zero}) UNION ALL ({one}) UNION ALL ({two})"
+
+
+_MET = """SELECT src, dst, src AS node, 0 AS hops FROM pairs WHERE src = dst AND src IN (SELECT a FROM steps) UNION ALL
+  SELECT src, dst, min(node), arg_min(hops, hops) FROM (SELECT *, min(hops) OVER (PARTITION BY src, dst) AS least FROM (SELECT src, dst, f.node, f.level + b.level AS hops FROM pairs JOIN fwd f ON f.e = src JOIN bwd b ON b.e = dst AND b.node = f.node WHERE src <> dst AND f.level - b.level IN (0, 1))) WHERE hops = least GROUP BY src, dst"""
+
+
+@query(
+    sql(
+        """SELECT m.src, m.dst, m.hops, array_to_string(list_filter([f2.parent, f.parent, m.node, b.parent, b2.parent], lambda x: x IS NOT NULL), '-') AS nodes, array_to_string(list_filter([f2.link, f.link, b.link, b2.link], lambda x: x IS NOT NULL), '-') AS links
+        FROM met m LEFT JOIN fwd f ON f.e = m.src AND f.node = m.node LEFT JOIN fwd f2 ON f2.e = m.src AND f2.node = f.parent LEFT JOIN bwd b ON b.e = m.dst AND b.node = m.node LEFT JOIN bwd b2 ON b2.e = m.dst AND b2.node = b.parent""",
+        "link",
+        steps="SELECT a, b, min(link) AS link FROM (SELECT src AS a, dst AS b, id AS link FROM link UNION ALL SELECT dst, src, id FROM link) WHERE a <> b GROUP BY a, b", pairs=_PAIRS, fwd=_tree("src"), bwd=_tree("dst"), met=_MET,
+    )
+)
+def link_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Shortest paths of up to four hops, node by node and link by link."""
+    got = G.paths(S.links(spark, d), _goals(spark, d), max_hops=4)
+    return got.select("src", "dst", "hops", F.array_join("nodes", "-").alias("nodes"), F.array_join("links", "-").alias("links"))
+
+
+_EDGES = "SELECT src, dst AS node, max(weight) AS weight, arg_max(id, (weight, -id)) AS link FROM link WHERE src <> dst GROUP BY src, dst"
+
+
+def _grown(level: int, front: str, seen: str) -> str:
+    return f"""SELECT root, node, {level} AS level, parent, link, weight FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY weight DESC, link) AS r FROM (
+      SELECT f.root, e.node, max(e.weight) AS weight, arg_max(e.link, (e.weight, -e.link)) AS link, arg_max(e.src, (e.weight, -e.link)) AS parent FROM {front} f JOIN edges e ON e.src = f.node WHERE (f.root, e.node) NOT IN (SELECT (root, node) FROM ({seen})) GROUP BY f.root, e.node)) x
+      WHERE r <= 12 - (SELECT count(*) FROM ({seen}) s WHERE s.root = x.root)"""
+
+
+_ROOT = "SELECT DISTINCT src AS root, src AS node FROM link WHERE src % 50 = 0"
+_SEEN = "SELECT root, node FROM zero UNION ALL SELECT root, node FROM one"
+
+
+@query(
+    sql(
+        "SELECT root, node, level, parent, link, weight FROM (SELECT root, node, 0 AS level, NULL AS parent, NULL AS link, NULL AS weight FROM zero UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)", "link",
+        edges=_EDGES, zero=_ROOT, one=_grown(1, "zero", "SELECT root, node FROM zero"), two=_grown(2, "one", _SEEN), three=_grown(3, "two", f"{_SEEN} UNION ALL SELECT root, node FROM two"),
+    )
+)
+def graph_explore(spark: SparkSession, d: str) -> DataFrame:
+    """The heaviest links first, three levels, at most twelve nodes a root."""
+    links = S.links(spark, d)
+    return G.explore(links, links.where("src % 50 = 0").select(F.col("src").alias("node")).distinct(), depth=3, most=12)
+
+
+@query(
+    sql(
+        """SELECT rel, count(*) AS links, count(*) FILTER (id IN (SELECT unnest([f2.link, f.link, b.link, b2.link]) FROM met m LEFT JOIN fwd f ON f.e = m.src AND f.node = m.node LEFT JOIN fwd f2 ON f2.e = m.src AND f2.node = f.parent LEFT JOIN bwd b ON b.e = m.dst AND b.node = m.node LEFT JOIN bwd b2 ON b2.e = m.dst AND b2.node = b.parent)) AS reinforced FROM link GROUP BY rel""",
+        "link",
+        steps="SELECT a, b, min(link) AS link FROM (SELECT src AS a, dst AS b, id AS link FROM link UNION ALL SELECT dst, src, id FROM link) WHERE a <> b GROUP BY a, b", pairs=_PAIRS, fwd=_tree("src"), bwd=_tree("dst"), met=_MET,
+    )
+)
+def path_reinforcement(spark: SparkSession, d: str) -> DataFrame:
+    """Links on the paths found are reinforced: how many of each kind."""
+    links = S.links(spark, d)
+    after = G.reinforced(links, G.paths(links, _goals(spark, d), max_hops=4), F.lit(S.REF_NOW))
+    return after.groupBy("rel").agg(F.count("*").alias("links"), F.count("reinforced_at").alias("reinforced"))
 
 
 @query(sql("SELECT count(DISTINCT src) AS sources, count(*) AS edges, count(DISTINCT rel) AS types FROM link", "link"))

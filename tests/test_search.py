@@ -164,6 +164,28 @@ def test_graph_paths(spark):
     assert {(r.node, r.level) for r in G.bfs(links, spark.createDataFrame([(1,)], "node bigint"), 2).collect()} == {(1, 0), (2, 1), (3, 2)}
 
 
+def test_paths_name_their_nodes_and_links(spark):
+    rows = [(1, 1, 2), (2, 2, 3), (3, 3, 4), (9, 1, 2), (5, 4, 7), (6, 2, 8), (4, 8, 4), (7, 20, 20), (8, 30, 31)]
+    links = spark.createDataFrame(rows, "id bigint, src bigint, dst bigint").withColumn("last_accessed", F.lit(None).cast("timestamp"))
+    pairs = spark.createDataFrame([(1, 7), (7, 1), (1, 1), (1, 30), (1, 99), (2, 3), (20, 20), (None, 1)], "src bigint, dst bigint")
+    found = G.paths(links, pairs)
+    got = {(r.src, r.dst): (r.hops, r.nodes, r.links) for r in found.collect()}
+    assert got == {(1, 7): (4, [1, 2, 3, 4, 7], [1, 2, 3, 5]), (7, 1): (4, [7, 4, 3, 2, 1], [5, 3, 2, 1]), (1, 1): (0, [1], []), (2, 3): (1, [2, 3], [2])}
+    after = {r.id: r.reinforced_at is not None for r in G.reinforced(links, found, F.lit("2024-02-01 00:00:00")).collect()}
+    assert {k for k, v in after.items() if v} == {1, 2, 3, 5}
+    assert G.paths(links.limit(0), pairs).count() == 0 and G.paths(links, pairs, max_hops=3).count() == 2
+
+
+def test_exploration_has_room_for_so_many(spark):
+    star = [(k, 0, k, 1.0 / k) for k in range(1, 400)] + [(1000 + k, k, 500 + k, 0.9) for k in range(1, 400)]
+    links = spark.createDataFrame(star, "id bigint, src bigint, dst bigint, weight double")
+    roots = spark.createDataFrame([(0,), (7,), (-1,)], "node bigint")
+    got = G.explore(links, roots, depth=2, most=10)
+    assert {(r.root, r.node, r.level, r.parent, r.link) for r in got.collect()} == {(0, 0, 0, None, None), (7, 7, 0, None, None), (-1, -1, 0, None, None), (7, 507, 1, 7, 1007)} | {(0, k, 1, 0, k) for k in range(1, 10)}
+    got = G.explore(links, roots.where("node = 0"), depth=2, most=403)
+    assert got.count() == 403 and got.where("level = 2").agg(F.max("node")).first()[0] == 503
+
+
 def test_leaders_keep_the_longest(spark):
     classes = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id bigint, component bigint")
     sizes = spark.createDataFrame([(1, 5), (2, 9), (3, 9)], "id bigint, size int")
