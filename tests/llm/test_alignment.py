@@ -94,14 +94,32 @@ TEXT = st.lists(st.sampled_from([" ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u300
 @given(TEXT)
 def test_segments_are_independent(text):
     aligner = alignment.load(public_tokenizers.path(alignment.A), public_tokenizers.path(alignment.B))
-    found = aligner.look([text])[0]
+    ids = aligner.encode([text, "x", text])
+    m = alignment.matched(aligner, *ids)
     links, groups, n_a, n_b = plain(text)
-    found = found or []
-    assert b";".join(s.groups for s in found).decode() == groups
-    assert sorted(np.frombuffer(b"".join(s.links for s in found), "<u4").tolist()) == sorted(i * aligner.width + j for i, j in links)
-    assert (sum(s.n_a for s in found), sum(s.n_b for s in found)) == (n_a, n_b)
-    shared = sum(len(g.split("|")[0].split(",")) * len(g.split("|")[1].split(",")) for g in groups.split(";")) if groups else 0
-    assert sum(s.n_shared for s in found) == shared
+    n_groups, n_shared, texts = alignment.group_texts(aligner, m, 3)
+    assert texts[0] == texts[2] == groups and n_groups[0] == (groups.count(";") + 1 if groups else 0)
+    assert (len(ids[0][0]) // 2, len(ids[1][0]) // 2) == (n_a, n_b)
+    first = m.doc_a[m.row] == 0
+    assert sorted(zip(m.a[m.row[first]].tolist(), m.b[m.col[first]].tolist(), strict=True)) == sorted(links)
+    assert n_shared[2] == (sum(len(g.split("|")[0].split(",")) * len(g.split("|")[1].split(",")) for g in groups.split(";")) if groups else 0)
+
+
+def test_products_in_small_blocks(docs, monkeypatch):
+    aligner = alignment.load(public_tokenizers.path(alignment.A), public_tokenizers.path(alignment.B))
+    ids = aligner.encode([r.text for r in docs.select("text").limit(40).collect()] + [None, ""])
+    whole = alignment.matched(aligner, *ids)
+    monkeypatch.setattr(alignment, "AT_ONCE", 1)
+    for x, y in zip(whole, alignment.matched(aligner, *ids), strict=True):
+        assert (x == y).all()
+
+
+def test_remembered_segments_of_two_generations(docs, monkeypatch):
+    texts = [r.text for r in docs.select("text").limit(60).collect()]
+    aligner = alignment.Aligner(public_tokenizers.path(alignment.A), public_tokenizers.path(alignment.B))
+    want = aligner.encode(texts)
+    monkeypatch.setattr(alignment, "REMEMBERED", 20)
+    assert [aligner.encode([t]) for t in texts] == [([a], [b]) for a, b in zip(*want, strict=True)]
 
 
 def test_vocabularies_keep_the_borders():
