@@ -227,6 +227,10 @@ FAR, PARTNERS, NEXT = 16, 6, 4
 SAMPLED, FREQUENT = 20_000, 4
 #: Classes whose parities a text's shingle set is compared by before it is read, and bits of the bitmap of shared shingles.
 PARITIES, SIEVE = 512, 25
+#: Shingles before each one that two texts are compared by, to tell whether they meet there first.
+BEFORE = 4
+#: Rounds in which texts are compared with their nearest candidate, and in which those of a shingle are compared with one of them, before all pairs are.
+ROUNDS, STARS = 3, 4
 #: Rows of the two sides of a join on one shingle; more are split into blocks.
 ASKING, ASKED = 1024, 4096
 
@@ -308,7 +312,7 @@ def _nearest(pairs: np.ndarray, fp: np.ndarray) -> np.ndarray:
 
 
 def candidates(nodes: DataFrame, radius: int = 1) -> DataFrame:
-    """(id, sets, fp) of distinct texts → pairs (a, b), a < b, of near ones; a bounded number for each text and bucket."""
+    """(id, sets, fp) of distinct texts → pairs (a, b, apart), a < b, of near ones and the bits in which their shingle fingerprints differ; a bounded number for each text and bucket."""
     spark = nodes.sparkSession
     n, parts = nodes.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(28, max(8, (n // 1024).bit_length(), (parts // 2).bit_length()))
@@ -345,8 +349,9 @@ def candidates(nodes: DataFrame, radius: int = 1) -> DataFrame:
             x = np.frombuffer(b"".join(parts), kind)
             key &= (1 << 48) - 1
             width = key.bit_length() - 1
-            pairs = x["id"][_neighbours(np.ascontiguousarray(x["a"]), np.ascontiguousarray(x["fp"]), key - (1 << width), width, radius)]
-            return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)) if len(pairs) else pa.array([], pa.int64()), pa.array(pairs.max(1)) if len(pairs) else pa.array([], pa.int64())], names=["a", "b"])
+            met = _neighbours(np.ascontiguousarray(x["a"]), np.ascontiguousarray(x["fp"]), key - (1 << width), width, radius)
+            pairs, apart = x["id"][met], np.bitwise_count(x["fp"][met[:, 0]] ^ x["fp"][met[:, 1]]).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1, initial=1 << 62)), pa.array(pairs.max(axis=1, initial=-1)), pa.array(apart)], names=["a", "b", "apart"])
 
         key, held = None, []
         for b in batches:
@@ -360,7 +365,7 @@ def candidates(nodes: DataFrame, radius: int = 1) -> DataFrame:
             yield solve(key, held)
 
     spread = nodes.select("id", "sets", "fp").mapInArrow(emit(hot, False), "key bigint, rows binary")
-    return spread.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint").distinct()
+    return spread.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint, apart int").distinct()
 
 
 def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -412,7 +417,7 @@ def placed(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def meetings_of(rare: DataFrame, comp: DataFrame) -> DataFrame:
-    """`prefixes` → (tok, id, n, bits, at) of shingles on which texts of different components meet.
+    """`prefixes` → (tok, id, n, bits, at, prev) of shingles on which texts of different components meet, and a few that come before each in its text.
 
     Most shingles are of one text; these are sifted out by a bitmap of bounded
     size before anything wide is shuffled, and what it lets through by a join.
@@ -434,10 +439,17 @@ def meetings_of(rare: DataFrame, comp: DataFrame) -> DataFrame:
             at = np.arange(len(tok)) - np.repeat(first, size)
             slot = tok & (1 << SIEVE) - 1
             kept = np.flatnonzero(sieve[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1))
-            own = pa.array(np.repeat(np.arange(b.num_rows), size)[kept])
-            yield pa.RecordBatch.from_arrays([pa.array(tok[kept]), *(b.column(k).take(own) for k in range(3)), pa.array(at[kept].astype(np.int32))], names=["tok", "id", "n", "bits", "at"])
-
-    rows = rare.select("id", "n", "bits", "toks").mapInArrow(run, "tok bigint, id bigint, n int, bits array<bigint>, at int")
+            of = np.repeat(np.arange(b.num_rows), size)[kept]
+            own = pa.array(of)
+            # The shingles before each in its text's order, of those that may be shared: the last BEFORE of them.
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            many = np.minimum(place, BEFORE)
+            ends = np.concatenate(([0], np.cumsum(many)))
+            back = np.repeat(np.arange(len(of)) - many - ends[:-1], many) + np.arange(ends[-1])
+            prev = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tok[kept][back]))
+            yield pa.RecordBatch.from_arrays([pa.array(tok[kept]), *(b.column(k).take(own) for k in range(3)), pa.array(at[kept].astype(np.int32)), prev], names=["tok", "id", "n", "bits", "at", "prev"])
+
+    rows = rare.select("id", "n", "bits", "toks").mapInArrow(run, "tok bigint, id bigint, n int, bits array<bigint>, at int, prev array<bigint>")
     return cut(rows.join(live.hint("merge"), "tok"))
 
 
@@ -455,16 +467,18 @@ def _pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
     return joined.select(F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b")).distinct()
 
 
-def star_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(tok, id, comp, n, bits, at) → pairs of each text with one text of each shingle's, of other components; one a row at most."""
-    centre = F.min_by(F.struct("id", "comp", "n", "bits", "at"), F.xxhash64("tok", "id")).alias("c")
-    met = rows.join(cut(rows.groupBy("tok").agg(centre)).hint("merge"), "tok").select(F.struct("id", "comp", "n", "bits", "at").alias("r"), "c")
+def star_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """(tok, id, comp, n, bits, at) → pairs of each text with one text of each shingle's, of other components; one a row at most, another one each `turn`."""
+    row = F.struct("id", "comp", "n", "bits", "at")
+    centres = rows.groupBy("tok").agg(F.min_by(row, F.xxhash64("tok", "id", F.lit(turn))).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("tok", "c")
+    met = rows.join(cut(centres).hint("merge"), "tok").select(row.alias("r"), "c")
     return _pairs(met.where((F.col("r.comp") != F.col("c.comp")) & _enough("r", "c", similarity)), "r", "c")
 
 
 def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(tok, id, comp, n, bits, at) → all pairs of different components that meet on a shingle and can be similar.
+    """(tok, id, comp, n, bits, at, prev) → all pairs of different components that meet on a shingle and can be similar.
 
+    A pair counts where it meets first: not on a shingle before which both have another one in common, as all texts order shingles alike.
     Texts of a shingle's largest component are not compared with one another, so
     linked copies cost nothing; what is left is joined in blocks of bounded size.
     """
@@ -474,9 +488,9 @@ def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     met = rows.join(live.hint("merge"), "tok")
     own = lambda many: F.pmod(F.xxhash64("id", F.lit(29)), F.col(many))
     every = lambda many: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(many) - 1))
-    x = met.where("comp != major").select("tok", own("asking").alias("i"), every("asked").alias("j"), F.struct("id", "comp", "n", "bits", "at").alias("x"))
-    y = met.select("tok", every("asking").alias("i"), own("asked").alias("j"), F.struct("id", "comp", "n", "bits", "at").alias("y"))
-    return _pairs(x.join(y, ["tok", "i", "j"]).where((F.col("x.comp") != F.col("y.comp")) & _enough("x", "y", similarity)), "x", "y")
+    x = met.where("comp != major").select("tok", own("asking").alias("i"), every("asked").alias("j"), F.struct("id", "comp", "n", "bits", "at", "prev").alias("x"))
+    y = met.select("tok", every("asking").alias("i"), own("asked").alias("j"), F.struct("id", "comp", "n", "bits", "at", "prev").alias("y"))
+    return _pairs(x.join(y, ["tok", "i", "j"]).where((F.col("x.comp") != F.col("y.comp")) & _enough("x", "y", similarity) & ~F.arrays_overlap("x.prev", "y.prev")), "x", "y")
 
 
 def alike(texts: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -510,7 +524,30 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """The pairs (a, b) whose ends are of different components."""
     of = lambda side: hinted(comp.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")))
     both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(pairs.columns)
+
+
+def _nearest_each(pairs: DataFrame) -> DataFrame:
+    """Of (a, b, apart), each text's nearest partner: at most as many pairs as texts."""
+    ends = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("id"))
+    best = F.min(F.struct("apart", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p")
+    return ends.groupBy("id").agg(best).select("p.a", "p.b").distinct()
+
+
+def linked_candidates(texts: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Components (node, component) of the candidate pairs that are similar.
+
+    Each of `ROUNDS` rounds looks at each text's nearest partner of another component, so groups of many near copies grow
+    together without all their pairs being asked for; pairs looked at or within a component are left out of the next.
+    What is still left then is mostly of texts that are not similar enough, and is left to the exact path.
+    """
+    comp = texts.sparkSession.createDataFrame([], "node bigint, component bigint")
+    for k in range(ROUNDS):
+        some = cut(_nearest_each(pairs))
+        comp = joined(comp, alike(texts, some, similarity, words))
+        if k + 1 < ROUNDS:
+            pairs = cut(_apart(pairs.join(hinted(some), ["a", "b"], "left_anti"), comp))
+    return comp
 
 
 def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -528,10 +565,9 @@ def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5) -> DataFrame:
     """`docs` → (id, key, component, first_key): equal texts and, through links, texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    Ball hashing of several word-set fingerprints links most near texts: first
-    each with one candidate, then candidates of different components.  Every other
+    Ball hashing of several word-set fingerprints links most near texts (see `linked_candidates`).  Every other
     pair is reached by the rare shingles that two similar texts must
-    share: first each text with one other of each shingle's, then all pairs of
+    share: first each text with a few others of each shingle's, in turn, then all pairs of
     different components.  Every link is verified on the whole shingle sets of
     both texts.
 
@@ -550,12 +586,11 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = hinted(cut(own))
     texts = rows.join(named.withColumnRenamed("id", "own"), (rows["key"] == named["key"]) & rows["id"].eqNullSafe(F.col("own"))).select(F.col("node").alias("id"), "text")
     pairs = cut(candidates(cut(sketches(texts, words).dropDuplicates(["id"]))))
-    comp = joined(texts.sparkSession.createDataFrame([], "node bigint, component bigint"), alike(texts, cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), similarity, words))
-    # What one partner each has linked need not be looked at again.
-    comp = joined(comp, alike(texts, cut(_apart(pairs, comp)), similarity, words))
+    comp = linked_candidates(texts, pairs, similarity, words)
     met = meetings_of(cut(prefixes(texts, similarity, words).dropDuplicates(["id"])), comp)
-    for found in (star_pairs, all_pairs):
-        comp = joined(comp, alike(texts, cut(found(placed(met, comp), similarity)), similarity, words))
+    for turn in range(STARS):
+        comp = joined(comp, alike(texts, cut(star_pairs(placed(met, comp), similarity, turn)), similarity, words))
+    comp = joined(comp, alike(texts, cut(all_pairs(placed(met, comp), similarity)), similarity, words))
     of = node.join(hinted(comp), "node", "left").select("key", F.coalesce("component", "node").alias("root"))
     grouped = cut(known.join(of, "key"))
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
