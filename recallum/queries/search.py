@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from recallum.functions import rules, rulesets, text as T, vectors as V
-from recallum.operators import filters, knn as K, lexical as L, rank as R
+from recallum.operators import filters, knn as K, lexical as L, places as P, rank as R
 from recallum.queries import query
 from recallum.sources import tables as S
 from recallum.sources.shared import cut
@@ -190,6 +190,37 @@ def fulltext_topk(spark: SparkSession, d: str) -> DataFrame:
     return filters.top(got.withColumn("score", L.fulltext_score(F.col("tf") / (F.col("tf") + 40.0) * F.col("coverage"))), 30, "qid", F.desc("score"), F.col("id")).select("qid", "id", "score", "rank")
 
 
+_WORDS = f"SELECT id, pos, regexp_replace(word, '{P.STEM}', '\\1') AS term FROM (SELECT id, unnest(range(len(t))) AS pos, unnest(t) AS word FROM (SELECT id, {S.sql_tokens('content')} AS t FROM memory))"
+_STEMS = f"SELECT qid, list_distinct(list_transform(strong, lambda t: regexp_replace(t, '{P.STEM}', '\\1'))) AS stems FROM query"
+_USES = "SELECT qid, id, pos, term, n FROM (SELECT qid, len(stems) AS n, unnest(stems) AS term FROM stems) JOIN words USING (term)"
+_COVERS = """SELECT qid, id, round(sum(0.1 / (1 + (pos - low) - (place - p.low_place))), 6) AS density FROM (
+  SELECT c.*, u.place AS low_place FROM (SELECT qid, id, pos, any_value(before) AS before, any_value(place) AS place, min(last) AS low FROM (
+      SELECT r.qid, r.id, r.pos, r.n, r.before, r.place, o.term, max(o.pos) AS last FROM numbered r JOIN uses o ON o.qid = r.qid AND o.id = r.id AND o.pos <= r.pos GROUP BY ALL) GROUP BY qid, id, pos HAVING count(*) = any_value(n)) c
+  JOIN numbered u ON u.qid = c.qid AND u.id = c.id AND u.pos = c.low WHERE coalesce(c.before, -1) < c.low) p GROUP BY qid, id"""
+_NUMBERED = "SELECT *, lag(pos) OVER (PARTITION BY qid, id, term ORDER BY pos) AS before, row_number() OVER (PARTITION BY qid, id ORDER BY pos) AS place FROM uses SEMI JOIN (SELECT qid, id FROM uses GROUP BY qid, id HAVING count(DISTINCT term) = any_value(n)) USING (qid, id)"
+
+
+@query(sql("SELECT qid, id, round(greatest(30.0, least(100.0, 45.0 + 300.0 * density)), 4) AS score, density, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY density DESC, id) AS rank FROM covers) WHERE rank <= 30", "memory", "query", words=_WORDS, stems=_STEMS, uses=_USES, numbered=_NUMBERED, covers=_COVERS))
+def cover_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the stems of all of a query's terms, by cover density."""
+    got = P.cover_ranks(S.query_table(spark, d), "strong", S.memory(spark, d), 30).withColumnRenamed("rank", "density")
+    return filters.top(got, 30, "qid", F.desc("density"), F.col("id")).select("qid", "id", L.fulltext_score(F.col("density")).alias("score"), "density", "rank")
+
+
+@query(sql("SELECT qid, id, density, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY density DESC, id) AS rank FROM (SELECT qid, id, round(0.1 * count(*), 6) AS density FROM uses GROUP BY qid, id)) WHERE rank <= 60", "memory", "query", words=_WORDS, stems=_STEMS, uses=_USES))
+def cover_rank_any(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the stem of any of a query's terms: each use is a cover of its own."""
+    got = P.cover_ranks(S.query_table(spark, d), "strong", S.memory(spark, d), 60, every=False).withColumnRenamed("rank", "density")
+    return filters.top(got, 60, "qid", F.desc("density"), F.col("id")).select("qid", "id", "density", "rank")
+
+
+@query()
+def concept_proximity(spark: SparkSession, d: str) -> DataFrame:
+    """Where the concepts of each query (terms with their variants) stand near one another, and the passage around them."""
+    q = S.query_table(spark, d).select("qid", P.concepts(F.col("strong")).alias("concepts"))
+    return P.concept_windows(q, S.memory(spark, d))
+
+
 _LEX = "SELECT qid, id, round(least(100.0, 70.0 * hits / n + 20.0 * coalesce(similarity, 0) + 15.0), 4) AS score FROM (SELECT qid, id, len(list_filter(strong, lambda t: contains(lower(content), t))) AS hits, len(strong) AS n FROM query, memory) LEFT JOIN sims USING (qid, id) WHERE hits > 0"
 
 
