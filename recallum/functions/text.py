@@ -143,22 +143,47 @@ def chunk(df: DataFrame, id_col: str, text_col: str, most: int = 1800, overlap:
     return df.select(F.col(id_col).alias("id"), F.posexplode(run(F.col(text_col))).alias("chunk_index", "content"))
 
 
-def code_chunks(df: DataFrame, id_col: str, text_col: str, starts: str = r"^\s*(?:def |class |function |<h[1-6]|<p|<div|<ul|<table)", lines: int = 200, least: int = 20) -> DataFrame:
-    """→ (id, chunk_index, line_start, line_end, content, digest): blocks that begin at definition lines, of at most `lines` lines."""
+# Lines that begin a definition, by language; the least lines of a block, the lines of a plain one, the least and the most characters.
+DEFINITIONS = {
+    "php": r"^\s*(?:function|class|interface|trait|enum)\s",
+    "python": r"^\s*(?:def |class |async def )",
+    "javascript": r"^\s*(?:function |class |const .* = .*=>|async function)",
+    "typescript": r"^\s*(?:function |class |interface |type |const .* = .*=>|async function)",
+}
+LEAST_LINES, PLAIN_LINES, LEAST_CHARS, MOST_CHARS = 3, 200, 20, 50_000
+
+
+def code_blocks(text: str | None, language: str | None) -> list[tuple[int, int, str]]:
+    """(first line, last line, content) of a file's chunks.
+
+    In the four languages of DEFINITIONS a chunk goes from one definition line to the next; shorter ones than
+    LEAST_LINES are left out, but for the last, which goes to the chunk before.  Other files are cut every PLAIN_LINES lines.
+    """
+    lines = (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    lines = lines[:-1] if lines[-1] == "" else lines
+    if language in DEFINITIONS:
+        begins = re.compile(DEFINITIONS[language])
+        cut = [0, *(k for k, r in enumerate(lines) if k and begins.match(r + "\n"))]
+        spans = list(zip(cut, [*cut[1:], len(lines)], strict=True))
+        blocks = [[a, b, lines[a:b]] for a, b in spans if b - a >= LEAST_LINES]
+        a, b = spans[-1]
+        if blocks and b - a < LEAST_LINES:
+            blocks[-1][1:] = [b, blocks[-1][2] + lines[a:b]]
+    else:
+        blocks = [[a, min(a + PLAIN_LINES, len(lines)), lines[a : a + PLAIN_LINES]] for a in range(0, len(lines), PLAIN_LINES)]
+    found = [(a + 1, b, "\n".join(part).strip()) for a, b, part in blocks]
+    return [(a, b, c[:MOST_CHARS]) for a, b, c in found if len(c) >= LEAST_CHARS]
+
+
+def code_chunks(df: DataFrame, id_col: str, text_col: str, language: Column | None = None) -> DataFrame:
+    """→ (id, chunk_index, line_start, line_end, content, digest): `code_blocks` of each file; without a language, plain blocks of lines."""
 
     @F.pandas_udf("array<struct<line_start:int,line_end:int,content:string>>")
-    def run(t: pd.Series) -> pd.Series:
-        begins = re.compile(starts, re.IGNORECASE)
-
-        def one(text: str | None) -> list[dict]:
-            rows = (text or "").split("\n")
-            cut = sorted({0, *(k for k, r in enumerate(rows) if begins.match(r)), *range(0, len(rows), lines)})
-            blocks = [(a, b) for a, b in zip(cut, [*cut[1:], len(rows)], strict=True)]
-            return [{"line_start": a + 1, "line_end": b, "content": c} for a, b in blocks if len((c := "\n".join(rows[a:b])).strip()) >= least]
-
-        return t.map(one)
+    def run(t: pd.Series, of: pd.Series) -> pd.Series:
+        return pd.Series([[{"line_start": a, "line_end": b, "content": c} for a, b, c in code_blocks(x, y)] for x, y in zip(t, of, strict=True)])
 
-    got = df.select(F.col(id_col).alias("id"), F.posexplode(run(F.col(text_col))).alias("chunk_index", "c"))
+    of = F.lit(None).cast("string") if language is None else language
+    got = df.select(F.col(id_col).alias("id"), F.posexplode(run(F.col(text_col), of)).alias("chunk_index", "c"))
     return got.select("id", "chunk_index", "c.line_start", "c.line_end", "c.content", F.md5("c.content").alias("digest"))
 
 

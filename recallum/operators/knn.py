@@ -30,11 +30,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def similarities(queries: DataFrame, corpus: DataFrame, lo: float = -2.0, hi: float = 2.0, k: int | None = None, block: int = 1024) -> DataFrame:
+def similarities(queries: DataFrame, corpus: DataFrame, lo: float = -2.0, hi: float = 2.0, k: int | None = None, block: int = 1024, several: bool = False) -> DataFrame:
     """(qid, id, similarity) with lo <= similarity <= hi; with k, at least each query's best k survive (see `knn`).
 
-    Vectors that are null, or of norm 0, are not compared.  The query table goes
-    out in blocks of counted size, each of which reads the corpus once.
+    Vectors that are null, or of norm 0, are not compared.  With `several` vectors
+    a row (an id's chunks), only an id's best one of a batch counts.  The query table goes out in blocks of counted size, each of which reads the corpus once.
     """
     rows, sc, out = corpus.select("id", "embedding").where("embedding IS NOT NULL"), queries.sparkSession.sparkContext, None
     for got in query_blocks(queries.select("qid", "embedding").where("embedding IS NOT NULL"), ["qid", "embedding"], 1 << 16):
@@ -44,9 +44,16 @@ def similarities(queries: DataFrame, corpus: DataFrame, lo: float = -2.0, hi: fl
             qid, q = sent.value
             for b in batches:
                 x = _unit(_matrix(b.column(1)))
-                own = b.column(0).to_numpy(zero_copy_only=False)
+                own, starts = b.column(0).to_numpy(zero_copy_only=False), None
+                if several and len(own):
+                    order = np.argsort(own, kind="stable")
+                    x, own = x[order], own[order]
+                    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    own = own[starts]
                 for at in range(0, len(qid), block):
                     s = q[at : at + block] @ x.T if len(x) else np.zeros((0, 0))
+                    if starts is not None:
+                        s = np.maximum.reduceat(s, starts, axis=1)
                     keep = (s >= lo) & (s <= hi)
                     if k is not None and s.shape[1] > k:
                         masked = np.where(keep, s, -np.inf)
@@ -68,6 +75,13 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, lo: float = -2.0, hi: flo
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def knn_of_several(queries: DataFrame, children: DataFrame, k: int, places: int = 6) -> DataFrame:
+    """(qid, embedding) and vectors of chunks (id of the row, embedding) → the k rows of each query whose best chunk is nearest."""
+    near = similarities(queries, children, k=k, several=True).groupBy("qid", "id").agg(F.round(F.max("similarity"), places).alias("similarity"))
+    order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 #: Share of the pairs at the threshold that bands find, rows of a bucket from which it is split, cosine from which vectors of one sketch are one, and rows of a bucket that are compared with all others.
 RECALL, CROWDED, SAME, HELD = 0.99, 4096, 0.9999, 8192
 #: Hyperplanes of a sketch.

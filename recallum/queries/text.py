@@ -117,6 +117,29 @@ def normalised_text(spark: SparkSession, d: str) -> DataFrame:
     return S.memory(spark, d).select("id", F.length(T.normalise_space(F.col("content"))).alias("chars"), (F.col("content") == F.lower("content")).alias("lower_case"))
 
 
-@query()
+_LANGUAGE = "CASE page_id % 5 WHEN 0 THEN 'php' WHEN 1 THEN 'python' WHEN 2 THEN 'javascript' WHEN 3 THEN 'typescript' ELSE 'html' END"
+#: Pages as source files: their paragraphs as definitions of the file's language.
+_FILES = f"""SELECT page_id, language, regexp_replace(html, '<(p|h1|div)>', CASE language WHEN 'python' THEN '
+def ' WHEN 'typescript' THEN '
+interface ' ELSE '
+function ' END || '\\1 ', 'g') AS code FROM (SELECT page_id, html, {_LANGUAGE} AS language FROM pages)"""
+_STARTS = " ".join(f"WHEN '{k}' THEN regexp_matches(line || chr(10), '{p}')" for k, p in T.DEFINITIONS.items())
+_CODE_LINES = f"""SELECT *, sum(CAST(starts AND i > 0 AS INT)) OVER (PARTITION BY page_id ORDER BY i) AS block FROM (
+  SELECT page_id, language, i, line, CASE language {_STARTS} ELSE i % 200 = 0 END AS starts FROM (
+    SELECT page_id, language, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS line FROM (SELECT page_id, language, CASE WHEN ends_with(code, chr(10)) THEN string_split(code, chr(10))[:-2] ELSE string_split(code, chr(10)) END AS l FROM (SELECT page_id, language, replace(replace(code, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS code FROM files))))"""
+_CODE_BLOCKS = """SELECT *, language <> 'html' AND n < 3 AS small, block = max(block) OVER (PARTITION BY page_id) AS last FROM (SELECT page_id, any_value(language) AS language, block, count(*) AS n FROM code_lines GROUP BY page_id, block)"""
+_CODE_CHUNKS = """SELECT page_id, goal, min(i) + 1 AS line_start, max(i) + 1 AS line_end, trim(string_agg(line, chr(10) ORDER BY i), chr(10) || chr(9) || chr(11) || chr(12) || ' ') AS content FROM (
+  SELECT l.*, CASE WHEN NOT small THEN b.block WHEN last THEN max(CASE WHEN NOT small THEN b.block END) OVER (PARTITION BY l.page_id) END AS goal FROM code_lines l JOIN code_blocks b USING (page_id, block)) WHERE goal IS NOT NULL GROUP BY page_id, goal"""
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """(page_id, language, code): pages as source files of five languages."""
+    language = F.element_at(F.array(*map(F.lit, ["php", "python", "javascript", "typescript", "html"])), (F.col("page_id") % 5 + 1).cast("int"))
+    word = F.when(F.col("language") == "python", "\ndef $1 ").when(F.col("language") == "typescript", "\ninterface $1 ").otherwise("\nfunction $1 ")
+    return S.table(spark, d, "pages").select("page_id", "html", language.alias("language")).select("page_id", "language", F.regexp_replace("html", F.lit("<(p|h1|div)>"), word).alias("code"))
+
+
+@query(sql("SELECT page_id AS id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY goal) - 1 AS INT) AS chunk_index, line_start, line_end, md5(content[:50000]) AS digest FROM (SELECT * FROM code_chunks WHERE length(content) >= 20)", files=_FILES, code_lines=_CODE_LINES, code_blocks=_CODE_BLOCKS, code_chunks=_CODE_CHUNKS))
 def code_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return T.code_chunks(S.table(spark, d, "pages"), "page_id", "html")
+    """Chunks of all files by the definitions of their languages."""
+    return T.code_chunks(files(spark, d), "page_id", "code", F.col("language")).select("id", "chunk_index", "line_start", "line_end", "digest")

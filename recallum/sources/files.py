@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Languages by extension, and folders that are not read; example sets.
-LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "java": "java", "go": "go", "rs": "rust", "sql": "sql", "sh": "shell", "md": "markdown", "html": "html"}
-SKIPPED = [".git", "node_modules", "__pycache__", "dist", "build", "target", ".venv"]
+# Languages by extension, and folders that are not read.
+LANGUAGES = {"php": "php", "js": "javascript", "ts": "typescript", "py": "python", "sql": "sql", "html": "html", "css": "css", "scss": "scss", "json": "json", "yaml": "yaml", "yml": "yaml", "xml": "xml", "sh": "bash", "env": "env"}
+SKIPPED = ["node_modules", "vendor", ".git", "__pycache__", "venv", ".venv", ".eggs", "dist", "build", ".next", "cache", "logs", "tmp", ".sass-cache", "bower_components", ".idea", ".vscode", "coverage", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache"]
+
+
+def language_of(path: Column) -> Column:
+    """A file's language by its extension, or null."""
+    return F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))]
 
 
 def source_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, language, size, modified, hash, content) of all files of known languages under `root`."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     skip = "|".join(s.replace(".", r"\.") for s in SKIPPED)
-    language = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))]
-    kept = rows.where(~F.col("path").rlike(f"/(?:{skip})/")).withColumn("language", language).where("language IS NOT NULL")
+    below = F.substring_index("path", root.rstrip("/"), -1)  # folders above the root may have any name
+    kept = rows.where(~below.rlike(f"/(?:{skip})/")).withColumn("language", language_of(F.col("path"))).where("language IS NOT NULL")
     return kept.select("path", "language", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.md5(F.concat_ws("|", "length", "modificationTime")).alias("hash"), F.decode("content", "UTF-8").alias("content"))
 
 

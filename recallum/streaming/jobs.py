@@ -113,17 +113,18 @@ def judgments(log: DataFrame, ts: str = "created_at") -> DataFrame:
 
 
 def index_files(stream: DataFrame, target: str, checkpoint: str, spark: SparkSession):
-    """(path, hash, content) listings as a stream → the code chunks of new and changed files, a folder for each batch.
+    """(path, hash, content, modified) listings as a stream → the code chunks of new and changed files, a folder for each batch.
 
-    A batch that is run again replaces itself; `indexed` reads the state.
+    Of a path's states in one batch the last by modification counts.  A batch that is run again replaces itself; `indexed` reads the state.
     """
     from recallum.functions.text import code_chunks
+    from recallum.sources.files import language_of
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = batch.dropDuplicates(["path"])
+        newest = batch.groupBy("path").agg(F.max_by(F.struct("hash", "content"), F.struct("modified", "hash")).alias("f")).select("path", "f.hash", "f.content")
         known = manifest(spark, target, number)
         fresh = newest.join(known.select("path", F.col("hash").alias("was")), "path", "left").where(~F.col("hash").eqNullSafe(F.col("was")))
-        chunks = code_chunks(fresh, "path", "content").withColumnRenamed("id", "path")
+        chunks = code_chunks(fresh, "path", "content", language_of(F.col("path"))).withColumnRenamed("id", "path")
         fresh.select("path", "hash").join(chunks, "path", "left").withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/n={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

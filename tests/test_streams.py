@@ -76,16 +76,16 @@ def test_judgments(spark, sf, tmp_path, events):
 
 
 def test_incremental_index(spark, tmp_path):
-    out, code = str(tmp_path / "out"), "def a():\n    return 'some text here'\n\ndef b():\n    return 'more text here'\n"
-    schema = "path string, hash string, content string"
+    out, code = str(tmp_path / "out"), "def a():\n    return 'some text here'\n\ndef b():\n    x = 1\n    return 'more text here'\n"
+    schema = "path string, hash string, content string, modified int"
 
     def run(n, rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+        spark.createDataFrame([(*r, n) if len(r) == 3 else r for r in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
         J.index_files(spark.readStream.schema(schema).parquet(str(tmp_path / "src")), out, str(tmp_path / "cp"), spark).awaitTermination(120)
         return {(r.path, r.hash, r.batch) for r in J.indexed(spark, out).collect()}, J.indexed(spark, out).count()
 
     state, n = run(0, [("a.py", "1", code), ("b.py", "1", code)])
     assert state == {("a.py", "1", 0), ("b.py", "1", 0)} and n == 4
-    state, n = run(1, [("a.py", "1", code), ("b.py", "2", code + "def c():\n    return 'third piece of text'\n"), ("c.py", "1", "")])
+    state, n = run(1, [("a.py", "1", code), ("b.py", "2", code + "def c():\n    y = 2\n    return 'third piece of text'\n"), ("b.py", "0", "older state", -1), ("c.py", "1", "")])
     assert state == {("a.py", "1", 0), ("b.py", "2", 1), ("c.py", "1", 1)} and n == 2 + 3 + 1
     assert {(r.path, r.hash) for r in J.manifest(spark, out).collect()} == {("a.py", "1"), ("b.py", "2"), ("c.py", "1")}
