@@ -9,7 +9,7 @@ from recallum.operators import filters, intake as I
 from recallum.plans import metrics as M
 from recallum.queries import query
 from recallum.queries.quality import _STATS
-from recallum.queries.search import _TOPS, _VIEWS
+from recallum.queries.search import _TOPS, _VIEWS, sql_vectors
 from recallum.queries.store import _tops
 from recallum.queries.text import _match
 from recallum.sources import tables as S
@@ -174,3 +174,45 @@ def negation_probe(spark: SparkSession, d: str) -> DataFrame:
     probe = I.embed(m.select("id", F.concat(F.lit("no "), "t").alias("t")), "id", "t").withColumnRenamed("embedding", "probe_v")
     after = own.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("b_v"))
     return I.contradicts(own.withColumnRenamed("embedding", "a_v").join(probe, "id").join(after, "id")).select("id", "contradicts")
+
+
+_SAYS = "SELECT conv_id * 1000 + turn AS id, text AS content FROM conversations"
+_VETO = "SELECT c.id, doc_id AS neighbour FROM says c JOIN labels ON doc_id % 50 = c.id % 50"
+
+
+@query(
+    sql(
+        "SELECT s.id, md5(content[1:28000]) AS signature, CASE " + " ".join(f"WHEN {_match(p)} THEN {k}" for k, p in enumerate(rulesets.SCREEN, 1)) + """ END AS rule, neighbour, similarity, CASE WHEN similarity >= 0.92 THEN 'similar' WHEN similarity IS NOT NULL THEN 'related' END AS rel FROM says s LEFT JOIN (SELECT * FROM near WHERE r <= 3 AND (id, neighbour) NOT IN (SELECT (id, neighbour) FROM veto)) n ON n.id = s.id""", "memory",
+        says=_SAYS, veto=_VETO, sv=sql_vectors("says", "id", "content"), mv=sql_vectors("memory", "id", "content"),
+        dots="SELECT a.id, b.id AS neighbour, sum(a.s * b.s) / sqrt(any_value(a.n) * any_value(b.n)) AS c FROM (SELECT *, sum(s * s) OVER (PARTITION BY id) AS n FROM sv) a JOIN (SELECT *, sum(s * s) OVER (PARTITION BY id) AS n FROM mv) b USING (k) WHERE a.n > 0 AND b.n > 0 AND a.id <> b.id GROUP BY a.id, b.id",
+        near="SELECT id, neighbour, similarity, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS r FROM (SELECT id, neighbour, round(c, 6) AS similarity FROM dots) WHERE similarity >= 0.6",
+    )
+)
+def semantic_audit(spark: SparkSession, d: str) -> DataFrame:
+    """All turns of conversations as new rows against all memory: signature, screening rule and up to three links, but for those that a verdict vetoes."""
+    from recallum.streaming.audit import audit
+
+    says = S.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
+    veto = says.select("id", (F.col("id") % 50).alias("m")).join(S.table(spark, d, "labels").select(F.col("doc_id").alias("neighbour"), (F.col("doc_id") % 50).alias("m")), "m").select("id", "neighbour", F.lit(True).alias("veto"))
+    return audit(says, I.embed(S.memory(spark, d), "id", "content"), veto).select("id", "signature", "rule", "neighbour", "similarity", "rel")
+
+
+_AGED = f"SELECT CASE WHEN coalesce(level, 'episodic') = 'episodic' AND date_diff('day', date, DATE '{REF_DATE}') >= 7 THEN 'semantic' ELSE level END AS level FROM memory"
+
+
+@query(sql("SELECT 1 AS version, level, count(*) AS n FROM memory GROUP BY level UNION ALL SELECT 2, level, count(*) FROM aged GROUP BY level", "memory", aged=_AGED))
+def versioned_maintenance(spark: SparkSession, d: str) -> DataFrame:
+    """Memory as version 1 of a table, consolidation applied to it as version 2: rows by level in both."""
+    import uuid
+
+    from recallum.plans import lifecycle as P
+    from recallum.plans.versions import Versions
+    from recallum.sources.shared import shared_dir
+
+    table = Versions(spark, f"{shared_dir(spark)}/memory-{uuid.uuid4().hex}")
+    first = table.commit(S.memory(spark, d).select("id", "content", "embedding", "level", "tags", "date"), 0, "load")
+    now = table.read(first)
+    after, _ = P.apply(now, P.consolidate(now, F.lit(REF_DATE).cast("date")))
+    table.commit(after, first, "consolidation")
+    of = lambda v: table.read(v).groupBy("level").agg(F.count("*").alias("n")).select(F.lit(v).alias("version"), "level", "n")
+    return of(1).unionByName(of(2))

@@ -559,3 +559,27 @@ def cosine_by_id(spark: SparkSession, d: str) -> DataFrame:
     q = S.query_table(spark, d).withColumnRenamed("embedding", "v")
     m = S.memory(spark, d)
     return m.join(q, m.id == q.qid).where("v IS NOT NULL").select("qid", "id", F.round(V.cosine(F.col("v"), F.col("embedding")), 6).alias("similarity"))
+
+
+def sql_vectors(source: str, key: str, text: str) -> str:
+    """The default vectors of a source's texts as rows (key, k, s), not normalised."""
+    return f"""SELECT {key}, k, sum(s) AS s FROM (SELECT {key}, c % 64 AS k, CASE WHEN (c // 64) % 2 = 0 THEN 1 ELSE -1 END AS s FROM (SELECT {key}, CAST('0x' || md5(g)[1:4] AS INT) AS c FROM (
+      SELECT {key}, unnest(list_distinct(flatten(list_transform({S.sql_tokens(text)}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))) AS g FROM {source}))) GROUP BY {key}, k"""
+
+
+@query(
+    sql(
+        """SELECT qid, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM (SELECT qid, cid // 100000 AS id, round(max(dot / sqrt(qn * cn)), 6) AS similarity FROM (
+          SELECT qid, cid, sum(a.s * b.s) AS dot, any_value(a.n) AS qn, any_value(b.n) AS cn FROM (SELECT *, sum(s * s) OVER (PARTITION BY qid) AS n FROM qv) a JOIN (SELECT *, sum(s * s) OVER (PARTITION BY cid) AS n FROM cv) b USING (k) WHERE a.n > 0 AND b.n > 0 GROUP BY qid, cid) GROUP BY qid, id)) WHERE rank <= 30""",
+        "memory", "query",
+        chunks="SELECT id * 100000 + i AS cid, chunk FROM (SELECT id, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS i, unnest(string_split(content, chr(10))) AS chunk FROM memory)", qv=sql_vectors("query", "qid", "clean"), cv=sql_vectors("chunks", "cid", "chunk"),
+    )
+)
+def chunk_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The thirty documents of each query whose nearest chunk (here a line) is nearest, by the default vectors."""
+    from recallum.operators import intake as I
+
+    chunks = S.memory(spark, d).select("id", F.posexplode(F.split("content", "\n")).alias("i", "chunk")).select((F.col("id") * 100000 + F.col("i")).alias("cid"), "chunk")
+    children = I.embed(chunks, "cid", "chunk").select(F.floor(F.col("id") / 100000).alias("id"), "embedding")
+    asked = I.embed(S.query_table(spark, d), "qid", "clean").withColumnRenamed("id", "qid")
+    return K.knn_of_several(asked, children, 30)
