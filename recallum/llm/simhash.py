@@ -230,7 +230,7 @@ PARITIES, SIEVE = 512, 25
 #: Shingles before each one that two texts are compared by, to tell whether they meet there first.
 BEFORE = 4
 #: Rounds in which texts are compared with their nearest candidate, and in which those of a shingle are compared with one of them, before all pairs are.
-ROUNDS, STARS = 3, 4
+ROUNDS, STARS = 2, 1
 #: Rows of the two sides of a join on one shingle; more are split into blocks.
 ASKING, ASKED = 1024, 4096
 
