@@ -88,31 +88,18 @@ def mention_penalty(score: Column, text: Column, phrase: Column) -> Column:
     return F.when((every > 0) & (every == quoted) & p.contains(" "), F.round(score * 0.45, 4)).otherwise(score)
 
 
-def _summary(text: str | None, most: int) -> str | None:
-    if text is None or len(text) <= most:
-        return text
-    out = ""
-    for part in re.split(r"(?<=\n)", text):
-        if len(out) + len(part) > most:
-            break
-        out += part
-    if not out.strip():
-        for part in re.split(r"(?<=[.!?]) ", text):
-            if len(out) + len(part) + 1 > most:
-                break
-            out += part + " "
-    out = out.strip() or text[: most - 1]
-    return out + "…"
-
-
 def summarise(text: Column, most: int = 600) -> Column:
-    """Whole text if short, else leading paragraphs, else leading sentences, with an ellipsis."""
+    """Whole text if it has at most `most` characters; else its leading lines of that many, else its leading sentences, else its begin, with an ellipsis."""
+    head = F.substring(text, 1, most)
+    leading = lambda pattern: F.nullif(F.regexp_replace(F.regexp_extract(head, pattern, 0), r"^\s+|\s+$", ""), F.lit(""))
+    short = F.coalesce(leading(r"(?s)^.*\n"), leading(r"(?s)^.*[.!?] "), F.substring(text, 1, most - 1))
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(short, F.lit("…")))
 
-    @F.pandas_udf("string")
-    def run(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: _summary(x, most))
 
-    return run(text)
+def sql_summary(text: str, most: int = 600) -> str:
+    """`summarise` for DuckDB."""
+    leading = lambda pattern: f"nullif(regexp_replace(regexp_extract({text}[1:{most}], '{pattern}'), '^\\s+|\\s+$', '', 'g'), '')"
+    return f"CASE WHEN length({text}) <= {most} THEN {text} ELSE coalesce({leading('(?s)^.*' + chr(92) + 'n')}, {leading('(?s)^.*[.!?] ')}, {text}[1:{most - 1}]) || '…' END"
 
 
 def split_chunks(text: str | None, most: int = 1800, overlap: int = 180, least: int = 200) -> list[str]:

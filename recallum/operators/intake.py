@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recallum.functions import rules
-from recallum.functions.text import trigrams
+from recallum.functions.text import summarise, trigrams
 from recallum.functions.vectors import cosine
 
 LEVELS, AUTHORS = ["episodic", "semantic", "automatic"], ["agent", "user", "import"]
@@ -27,7 +27,7 @@ def insert(rows: DataFrame, ref: Column, summary: int = 600) -> DataFrame:
     up = F.col("t.is_trade") & (F.col("t.reusability") == "high") & (level == "episodic")
     return t.select(
         "id", "content", verdict.alias("verdict"), F.when(up, "semantic").otherwise(level).alias("level"), author.alias("author"), F.coalesce("kind", F.lit("event")).alias("kind"), F.col("t.domain_profile").alias("domain_profile"), F.col("t.is_trade").alias("trade"),
-        F.when(level == "automatic", 0).alias("review_count"), F.when(level == "automatic", ref).alias("created_at"), F.substring("content", 1, summary).alias("summary"),
+        F.when(level == "automatic", 0).alias("review_count"), F.when(level == "automatic", ref).alias("created_at"), summarise(F.col("content"), summary).alias("summary"),
     )
 
 

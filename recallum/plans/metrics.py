@@ -34,3 +34,12 @@ def graded(hits: DataFrame, relevant: DataFrame, by: list[str], k: int = 10) ->
     g = g.join(total, "qid").where("total > 0")
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("total"), F.lit(k)).cast("int")), F.lit(0.0), lambda acc, r: acc + 1.0 / F.log2(r + 1.0))
     return g.select(*by, "qid", F.round(F.col("found") / F.col("total"), 6).alias("recall"), F.round(F.col("found") / F.least(F.lit(k), F.col("n")), 6).alias("precision"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("rr"), (F.col("first") == 1).cast("int").alias("top1"), F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
+
+
+def calibrated(graded: DataFrame) -> DataFrame:
+    """`graded` rows by alpha → mean metrics of each alpha, F1 of each query included, and whether it is the best by F1, nDCG and precision, the smallest of equals."""
+    p, r = F.col("precision"), F.col("recall")
+    f1 = F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0))
+    rows = graded.withColumn("f1", f1).groupBy("alpha").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 5).alias(c) for c in ("recall", "precision", "ndcg", "f1")])
+    best = rows.agg(*[F.min_by("alpha", F.struct(-F.col(c), "alpha")).alias(f"b_{c}") for c in ("f1", "ndcg", "precision")])
+    return rows.join(F.broadcast(best)).select("alpha", "n", "recall", "precision", "ndcg", "f1", *[(F.col("alpha") == F.col(f"b_{c}")).alias(f"best_{c}") for c in ("f1", "ndcg", "precision")])  # one row

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recallum.functions import rules, rulesets, text as T
+from recallum.functions.text import sql_summary
 from recallum.operators import filters, intake as I
 from recallum.plans import metrics as M
 from recallum.queries import query
@@ -28,7 +29,7 @@ def _fresh(spark: SparkSession, d: str) -> DataFrame:
 @query(
     sql(
         f"""SELECT id, CASE WHEN trim(content) = '' THEN 'empty' WHEN lv NOT IN ('episodic', 'semantic', 'automatic') THEN 'level' WHEN coalesce(author, 'agent') NOT IN ('agent', 'user', 'import') THEN 'author' ELSE 'ok' END AS verdict,
-        CASE WHEN (dom OR tr > 0) AND (h >= 2 OR dom) AND lv = 'episodic' THEN 'semantic' ELSE lv END AS level, coalesce(kind, 'event') AS kind, dom OR tr > 0 AS trade, CASE WHEN lv = 'automatic' THEN 0 END AS review_count, md5(content[1:600]) AS summary_digest
+        CASE WHEN (dom OR tr > 0) AND (h >= 2 OR dom) AND lv = 'episodic' THEN 'semantic' ELSE lv END AS level, coalesce(kind, 'event') AS kind, dom OR tr > 0 AS trade, CASE WHEN lv = 'automatic' THEN 0 END AS review_count, md5({sql_summary('content')}) AS summary_digest
         FROM (SELECT *, lower(coalesce(level, 'episodic')) AS lv, {_H} AS h, {_T} AS tr, list_has_any(categories, [{', '.join(repr(x) for x in rulesets.DOMAINS)}]) AS dom FROM fresh)""",
         fresh=_FRESH,
     )
@@ -155,13 +156,13 @@ def compression_totals(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("ratio", F.round(1 - F.col("given") / F.greatest(F.col("taken"), F.lit(1)), 6))
 
 
-_NAMED = r"SELECT DISTINCT id, name FROM (SELECT id, unnest(list_filter(regexp_extract_all(lower(content), '(?:the|und|de)\s+(\S+)', 1), lambda x: length(x) >= 9)[1:3]) AS name FROM memory WHERE level = 'automatic')"
+_NAMED = r"SELECT DISTINCT id, name FROM (SELECT id, unnest(list_filter(regexp_extract_all(lower(content), '(?:the|und|de)\s+(\S+)', 1), lambda x: length(x) >= 9)) AS name FROM memory WHERE level = 'automatic')"
 
 
 @query(sql("SELECT a.name, count(DISTINCT a.id) AS rules FROM named a GROUP BY a.name HAVING count(DISTINCT a.id) > 1", "memory", named=_NAMED))
 def same_file_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Names (here long words after an article, at most three a rule) that several automatic rules speak of."""
-    names = F.slice(F.filter(F.regexp_extract_all(F.lower("content"), F.lit(r"(?:the|und|de)\s+(\S+)"), F.lit(1)), lambda x: F.length(x) >= 9), 1, 3)
+    """Names (here long words after an article) that several automatic rules speak of."""
+    names = F.filter(F.regexp_extract_all(F.lower("content"), F.lit(r"(?:the|und|de)\s+(\S+)"), F.lit(1)), lambda x: F.length(x) >= 9)
     named = S.memory(spark, d).where("level = 'automatic'").select("id", F.explode(names).alias("name")).distinct()
     return named.groupBy("name").agg(F.count("*").alias("rules")).where("rules > 1")
 
@@ -169,7 +170,7 @@ def same_file_rules(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def negation_probe(spark: SparkSession, d: str) -> DataFrame:
     """For each row with a successor whether the successor is nearer to the row's negation than to the row, by default embeddings."""
-    m = S.memory(spark, d).select("id", F.substring("content", 1, 2000).alias("t"))
+    m = S.memory(spark, d).select("id", F.col("content").alias("t"))
     own = I.embed(m, "id", "t")
     probe = I.embed(m.select("id", F.concat(F.lit("no "), "t").alias("t")), "id", "t").withColumnRenamed("embedding", "probe_v")
     after = own.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("b_v"))

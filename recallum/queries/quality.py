@@ -75,14 +75,14 @@ def tune_rules(spark: SparkSession, d: str) -> DataFrame:
     return M.tuned(M.stats(S.query_log(spark, d), "method")).select("method", "n", "p95", "avg_top", "confidence", "alpha")
 
 
-_REL = "SELECT qid, id, 1 AS gain FROM query JOIN memory ON contains(content, text[1:60])"
+_REL = "SELECT qid, id, 1 AS gain FROM query JOIN memory ON contains(content, text)"
 _GRADED = """SELECT {by} qid, round(found / total, 6) AS recall, round(found / least(10, n), 6) AS precision, round(coalesce(1.0 / first, 0), 6) AS rr, CASE WHEN first = 1 THEN 1 WHEN first IS NULL THEN NULL ELSE 0 END AS top1, round(dcg / list_sum(list_transform(range(1, CAST(least(total, 10) AS INT) + 1), lambda r: 1.0 / log2(r + 1))), 6) AS ndcg FROM (
   SELECT {by} qid, sum(coalesce(gain, 0)) AS found, count(*) AS n, min(rank) FILTER (gain > 0) AS first, sum(coalesce(gain, 0) / log2(rank + 1)) AS dcg FROM {hits} LEFT JOIN rel USING (qid, id) WHERE rank <= 10 GROUP BY {by} qid) JOIN (SELECT qid, sum(gain) AS total FROM rel GROUP BY qid) USING (qid)"""
 
 
 def _relevant(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a query's first 60 characters literally."""
-    q = S.query_table(spark, d).select("qid", F.array(F.substring("text", 1, 60)).alias("terms"))
+    """Documents that hold a query's text literally."""
+    q = S.query_table(spark, d).select("qid", F.array("text").alias("terms"))
     return L.scan(q, S.memory(spark, d).select("id", F.col("content").alias("text")), ["id"]).select("qid", "id", F.lit(1).alias("gain"))
 
 
@@ -92,16 +92,16 @@ def retrieval_eval(spark: SparkSession, d: str) -> DataFrame:
     return M.graded(tops, _relevant(spark, d), [])
 
 
-_GRID = "SELECT a AS alpha, qid, id, row_number() OVER (PARTITION BY a, qid ORDER BY round(greatest(a * coalesce(vec, 0) + (1 - a) * coalesce(lex, 0), coalesce(struct, 0)), 3) DESC, id) AS rank FROM fused, (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) t(a)"
+_GRID = "SELECT a AS alpha, qid, id, row_number() OVER (PARTITION BY a, qid ORDER BY round(greatest(a * coalesce(vec, 0) + (1 - a) * coalesce(lex, 0), coalesce(struct, 0)), 3) DESC, id) AS rank FROM fused, (SELECT CAST(k AS DOUBLE) / 10 AS a FROM range(11) t(k))"
 
 
-@query(sql(f"SELECT alpha, count(*) AS n, round(avg(recall), 5) AS recall, round(avg(precision), 5) AS precision, round(avg(ndcg), 5) AS ndcg FROM ({_GRADED.format(by='alpha,', hits='grid')}) GROUP BY alpha", "memory", "query", **_VIEWS, grid=_GRID, rel=_REL))
+@query(sql(f"SELECT *, alpha = arg_min(alpha, (-f1, alpha)) OVER () AS best_f1, alpha = arg_min(alpha, (-ndcg, alpha)) OVER () AS best_ndcg, alpha = arg_min(alpha, (-precision, alpha)) OVER () AS best_precision FROM (SELECT alpha, count(*) AS n, round(avg(recall), 5) AS recall, round(avg(precision), 5) AS precision, round(avg(ndcg), 5) AS ndcg, round(avg(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)), 5) AS f1 FROM ({_GRADED.format(by='alpha,', hits='grid')}) GROUP BY alpha)", "memory", "query", **_VIEWS, grid=_GRID, rel=_REL))
 def alpha_calibration(spark: SparkSession, d: str) -> DataFrame:
-    """Mean metrics for each alpha of a grid: the fused hits are made once and weighed anew for each alpha."""
-    f = R.fuse(channels(spark, d)).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in (0.0, 0.25, 0.5, 0.75, 1.0)])))
+    """Mean metrics for each of eleven alphas, and which is the best by each (the smallest of equals): the fused hits are made once and weighed anew."""
+    f = R.fuse(channels(spark, d)).withColumn("alpha", F.explode(F.array(*[F.lit(k / 10) for k in range(11)])))
     a = F.col("alpha")
     s = F.round(F.greatest(a * F.coalesce("vec", F.lit(0.0)) + (1 - a) * F.coalesce("lex", F.lit(0.0)), F.coalesce("struct", F.lit(0.0))), 3)
     keyed = f.select("alpha", "qid", "id", s.alias("score"), F.struct("alpha", "qid").alias("k"))
     top = filters.top(keyed, 10, "k", F.desc("score"), F.col("id")).drop("k")
     g = M.graded(top, _relevant(spark, d), ["alpha"])
-    return g.groupBy("alpha").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 5).alias(c) for c in ("recall", "precision", "ndcg")])
+    return M.calibrated(g)

@@ -19,7 +19,7 @@ def structured_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Query strings made of each passage: filters with synonyms, lists and repeats, a phrase, a number and plain words.
-_RAW = """CASE item_id % 4 WHEN 0 THEN 'code:src' || (item_id % 20) || '_en since:' || (item_id % 400) || 'd' WHEN 1 THEN 'Cat:en,src' || (item_id % 20) || '; level:Semantic type:agent' WHEN 2 THEN '#' || item_id || ' until:today' ELSE 'session:s' || (item_id % 50) || ' level:x nivel:episodic' END || ' "' || text[1:12] || '" ' || text[20:79]"""
+_RAW = """CASE item_id % 4 WHEN 0 THEN 'code:src' || (item_id % 20) || '_en since:' || (item_id % 400) || 'd' WHEN 1 THEN 'Cat:en,src' || (item_id % 20) || '; level:Semantic type:agent' WHEN 2 THEN '#' || item_id || ' until:today' ELSE 'session:s' || (item_id % 50) || ' level:x nivel:episodic' END || ' "' || replace(text, '"', ' ') || '" ' || text"""
 _PAIRS = rf"""SELECT qid, phrases, bare, list_transform(list_zip(regexp_extract_all(bare, '{filters.FILTER}', 1), regexp_extract_all(bare, '{filters.FILTER}', 2)), lambda p: struct_pack(k := lower(p[1]), v := regexp_replace(p[2], '^[,;]+|[,;]+$', '', 'g'))) AS pairs
   FROM (SELECT qid, list_filter(list_transform(regexp_extract_all(raw, '{filters.PHRASE}', 1), lambda p: trim(p)), lambda p: p <> '') AS phrases, regexp_replace(raw, '{filters.PHRASE}', ' ', 'g') AS bare FROM (SELECT item_id AS qid, trim({_RAW}) AS raw FROM benchmark))"""
 
@@ -44,7 +44,7 @@ _COMPILED = rf"""SELECT qid, {_values('code')}[-1] AS code, {_listed('category')
 
 
 def _compiled(spark: SparkSession, d: str) -> DataFrame:
-    raw = S.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.expr(_RAW.replace("text[1:12]", "substring(text, 1, 12)").replace("text[20:79]", "substring(text, 20, 60)")).alias("raw"))
+    raw = S.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.expr(_RAW).alias("raw"))
     return filters.compile_queries(raw, REF_DATE)
 
 
@@ -435,15 +435,15 @@ def hybrid_search_diverse(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     sql(
-        """SELECT qid, id, phrase_score FROM (SELECT qid, id, least(100.0, score + CASE WHEN contains(lower(content), lower(text[1:60])) THEN 25.0 ELSE 0 END + CASE WHEN contains(lower(content), clean) THEN 20.0 ELSE 0 END) AS phrase_score, score FROM lex JOIN query USING (qid) JOIN memory USING (id)) WHERE phrase_score > score""",
+        """SELECT qid, id, phrase_score FROM (SELECT qid, id, least(100.0, score + CASE WHEN contains(lower(content), lower(text)) THEN 25.0 ELSE 0 END + CASE WHEN contains(lower(content), clean) THEN 20.0 ELSE 0 END) AS phrase_score, score FROM lex JOIN query USING (qid) JOIN memory USING (id)) WHERE phrase_score > score""",
         "memory", "query", **_G, lex=_LEX,
     )
 )
 def phrase_boost(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical hits that contain the query's first 60 characters, or its clean words, literally."""
+    """Lexical hits that contain the query's text, or its clean words, literally."""
     q, m = S.query_table(spark, d), S.memory(spark, d)
     literal = lambda phrase, points: L.substring_hits(q.withColumn("p", F.array(phrase)), "p", m).select("qid", "id", F.lit(points).alias("up"))
-    found = cut(literal(F.lower(F.substring("text", 1, 60)), 25.0).unionByName(literal(F.col("clean"), 20.0)).groupBy("qid", "id").agg(F.sum("up").alias("up")))
+    found = cut(literal(F.lower("text"), 25.0).unionByName(literal(F.col("clean"), 20.0)).groupBy("qid", "id").agg(F.sum("up").alias("up")))
     j = _lexical(spark, d, among=found.select("id").distinct()).join(found, ["qid", "id"])
     return j.withColumn("phrase_score", F.least(F.lit(100.0), F.col("score") + F.col("up"))).where("phrase_score > score").select("qid", "id", "phrase_score")
 
@@ -462,8 +462,8 @@ def proximity_bonus(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def meta_mention_penalty(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that mention a query's first two words, with the score that quoted mentions leave."""
-    q = S.query_table(spark, d).select("qid", F.array_join(F.slice("terms", 1, 2), " ").alias("phrase"))
+    """Documents that hold a query's text, with the score that quoted mentions leave."""
+    q = S.query_table(spark, d).select("qid", F.lower("text").alias("phrase"))
     found = L.substring_hits(q.withColumn("p", F.array("phrase")), "p", S.memory(spark, d)).select("qid", "id")
     m = found.join(S.memory(spark, d).select("id", "content"), "id").join(q, "qid")
     return m.select("qid", "id", T.mention_penalty(F.lit(100.0), F.col("content"), F.col("phrase")).alias("score"))

@@ -82,11 +82,10 @@ def query_log_append(spark: SparkSession, d: str) -> DataFrame:
     return O.query_rows(_tops(spark, d), S.query_table(spark, d))
 
 
-@query(sql("SELECT qid, memory_id FROM (SELECT qid, 'v' || id AS memory_id, row_number() OVER (PARTITION BY qid ORDER BY id DESC) AS r FROM query JOIN memory ON level = 'semantic' AND trade AND contains(lower(content), strong[1])) WHERE r <= 10", "memory", "query"))
+@query(sql("SELECT qid, memory_id FROM (SELECT qid, 'v' || id AS memory_id, row_number() OVER (PARTITION BY qid ORDER BY id DESC) AS r FROM query JOIN memory ON level = 'semantic' AND trade AND len(list_filter(strong, lambda t: contains(lower(content), t))) > 0) WHERE r <= 10", "memory", "query"))
 def trade_reinforcement(spark: SparkSession, d: str) -> DataFrame:
-    """For each query at most ten semantic trade rows that contain its first strong term."""
-    q = S.query_table(spark, d).select("qid", F.slice("strong", 1, 1).alias("t"))
-    m = L.substring_hits(q, "t", S.memory(spark, d).where("level = 'semantic' AND trade"))
+    """For each query at most ten semantic trade rows that contain any of its strong terms."""
+    m = L.substring_hits(S.query_table(spark, d), "strong", S.memory(spark, d).where("level = 'semantic' AND trade"))
     return filters.top(m, 10, "qid", F.desc("id")).select("qid", F.concat(F.lit("v"), "id").alias("memory_id"))
 
 

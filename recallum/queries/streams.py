@@ -41,9 +41,9 @@ def session_rollup(spark: SparkSession, d: str) -> DataFrame:
     return J.session_rollup(rows, every=5)
 
 
-@query(sql("SELECT sub_id, id FROM memory JOIN (SELECT item_id AS sub_id, text[1:20] AS pattern FROM benchmark) ON contains(lower(content), lower(pattern))", "memory"))
+@query(sql("SELECT sub_id, id FROM memory JOIN (SELECT item_id AS sub_id, text AS pattern FROM benchmark) ON contains(lower(content), lower(pattern))", "memory"))
 def standing_query_alerts(spark: SparkSession, d: str) -> DataFrame:
-    subs = S.table(spark, d, "benchmark").select(F.col("item_id").alias("sub_id"), F.substring("text", 1, 20).alias("pattern"))
+    subs = S.table(spark, d, "benchmark").select(F.col("item_id").alias("sub_id"), F.col("text").alias("pattern"))
     return J.alerts(S.memory(spark, d).select("id", "content"), subs)
 
 

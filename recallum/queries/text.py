@@ -92,7 +92,7 @@ def text_chunks(spark: SparkSession, d: str) -> DataFrame:
     return T.chunk(S.memory(spark, d), "id", "content")
 
 
-@query()
+@query(sql(f"SELECT id, {T.sql_summary('content')} AS summary FROM memory", "memory"))
 def extractive_summary(spark: SparkSession, d: str) -> DataFrame:
     return S.memory(spark, d).select("id", T.summarise(F.col("content")).alias("summary"))
 

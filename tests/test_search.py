@@ -298,7 +298,12 @@ def test_chunks_and_summary():
     got = T.split_chunks(text)
     assert max(map(len, got)) <= 1800 + 180 + 200 and got[1].startswith(got[0][-180:])
     assert T.split_chunks(None) == [] and T.split_chunks("") == [] and T.split_chunks("short") == ["short"]
-    assert T._summary("x" * 10, 600) == "x" * 10 and len(T._summary(text, 600)) <= 601 and T._summary(None, 600) is None
+
+
+def test_summaries(spark):
+    cases = {"x" * 10: "x" * 10, "a\nb. " + "c" * 700: "a…", "One. Two! " + "c" * 700: "One. Two!…", "c" * 700: "c" * 599 + "…", "\n \n" + "Yes? no " + "c" * 700: "Yes?…", "": ""}
+    got = {r.t: r.s for r in spark.createDataFrame([(t,) for t in [*cases, None]], "t string").select("t", T.summarise(F.col("t")).alias("s")).collect()}
+    assert got == {**cases, None: None}
 
 
 def test_rules(spark):
