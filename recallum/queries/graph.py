@@ -140,24 +140,25 @@ def orphan_links(spark: SparkSession, d: str) -> DataFrame:
 _NEAR = "SELECT a.id AS qid, b.id AS id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity FROM memory a, memory b WHERE a.id % 50 = 0 AND a.id <> b.id AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL"
 
 
-def _near(spark: SparkSession, d: str, lo: float, hi: float) -> DataFrame:
+def _near(spark: SparkSession, d: str, lo: float, hi: float, k: int) -> DataFrame:
+    """At least the k nearest other rows within a window of similarity for every fiftieth row; the rest stay in the tasks."""
     m = S.memory(spark, d).select("id", "embedding")
     q = m.where("id % 50 = 0").select(F.col("id").alias("qid"), "embedding")
-    near = K.similarities(q, m, lo - 1e-3, hi + 1e-3).where("qid <> id").withColumn("similarity", F.round("similarity", 6))
+    near = K.similarities(q, m, lo - 6e-7, hi + 6e-7, k + 4).where("qid <> id").withColumn("similarity", F.round("similarity", 6))
     return near.where(F.col("similarity").between(lo, hi))
 
 
 @query(sql("SELECT src, dst, rel, weight FROM (SELECT qid AS src, id AS dst, 'similar' AS rel, similarity AS weight, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS r FROM near WHERE similarity >= 0.25) n ANTI JOIN link l USING (src, dst, rel) WHERE r <= 3", "memory", "link", near=_NEAR))
 def auto_link(spark: SparkSession, d: str) -> DataFrame:
     """Up to three `similar` links for each new row (every fiftieth) to its nearest rows, unless they exist."""
-    return G.link_plan(_near(spark, d, 0.25, 2.0), S.links(spark, d), "similar", 3)
+    return G.link_plan(_near(spark, d, 0.25, 2.0, 3), S.links(spark, d), "similar", 3)
 
 
 @query(sql("SELECT qid, id, similarity, a.quality IS DISTINCT FROM b.quality AS differs, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM near WHERE similarity BETWEEN 0.1 AND 0.3) n LEFT JOIN labels a ON a.doc_id = qid LEFT JOIN labels b ON b.doc_id = id WHERE rank <= 5", "memory", near=_NEAR))
 def contradiction_window(spark: SparkSession, d: str) -> DataFrame:
     """Five nearest rows within a window of similarity, with whether the verdicts of the two differ."""
     v = S.table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    near = filters.top(_near(spark, d, 0.1, 0.3), 5, "qid", F.desc("similarity"), F.col("id"))
+    near = filters.top(_near(spark, d, 0.1, 0.3, 5), 5, "qid", F.desc("similarity"), F.col("id"))
     a = near.join(v.withColumnsRenamed({"id": "qid", "quality": "qa"}), "qid", "left").join(v.withColumnRenamed("quality", "qb"), "id", "left")
     return a.select("qid", "id", "similarity", (~F.col("qa").eqNullSafe(F.col("qb"))).alias("differs"), "rank")
 

@@ -259,7 +259,7 @@ def knn_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT * FROM (" + _KNN.format(k=5).replace("m.embedding IS NOT NULL)", "m.embedding IS NOT NULL) WHERE similarity BETWEEN 0.1 AND 0.3") + ")", "memory", "query"))
 def knn_window(spark: SparkSession, d: str) -> DataFrame:
-    near = K.similarities(S.query_table(spark, d), S.memory(spark, d), 0.09, 0.31).withColumn("similarity", F.round("similarity", 6)).where("similarity BETWEEN 0.1 AND 0.3")
+    near = K.similarities(S.query_table(spark, d), S.memory(spark, d), 0.1 - 6e-7, 0.3 + 6e-7, 9).withColumn("similarity", F.round("similarity", 6)).where("similarity BETWEEN 0.1 AND 0.3")
     return filters.top(near, 5, "qid", F.desc("similarity"), F.col("id")).select("qid", "id", "similarity", "rank")
 
 

@@ -67,7 +67,10 @@ def item_vector(spark: SparkSession, d: str) -> DataFrame:
     """Items with a vector (that of id 3 conv_id + turn) by cosine, five points more for profiles."""
     v = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     i = items(spark, d).select((F.col("conv_id") * 3 + F.col("turn")).alias("id"), "item_id", "mem_type")
-    near = K.similarities(S.query_table(spark, d), v).join(i, "id")
+    q = S.query_table(spark, d)
+    # The best of profiles and of other items apart, as the points for profiles shift one against the other.
+    sides = [v.join(i.where(side).select("id").distinct(), "id", "left_semi") for side in ("mem_type = 'profile'", "mem_type <> 'profile'")]
+    near = K.similarities(q, sides[0], k=60).unionByName(K.similarities(q, sides[1], k=60)).distinct().join(i, "id")
     s = F.least(F.lit(100.0), F.round(100 * F.col("similarity"), 3) + F.when(F.col("mem_type") == "profile", 5.0).otherwise(0.0))
     return filters.top(near.select("qid", "item_id", s.alias("score")), 30, "qid", F.desc("score"), F.col("item_id"))
 
