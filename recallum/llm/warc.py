@@ -18,6 +18,7 @@ number of members; a stream that ends within a record raises EOFError.
 from __future__ import annotations
 
 import base64
+import hashlib
 import io
 import uuid
 import zlib
@@ -179,7 +180,12 @@ def index(archives: DataFrame) -> DataFrame:
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """Normalised archives → a row for each record, got by its offset: (archive, offset, row, record_type, url, payload_bytes, payload_digest, refers_to, payload binary)."""
+    """Normalised archives → a row for each record, got by its offset: (archive, offset, row, record_type, url, payload_bytes, payload_digest, refers_to, payload binary).
+
+    A response's bytes are counted and hashed as they are read; where the digest
+    or the length differs from what its headers say, ValueError is raised.  A revisit has
+    no payload; its length and digest are those of its headers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,7 +197,11 @@ def read(archives: DataFrame) -> DataFrame:
                     f = fields(r[:body])
                     block = r[body : body + int(f["content-length"])]
                     http = block.index(b"\r\n\r\n") + 4
-                    out.append((name.as_py(), at, f["x-row"], f["warc-type"], f["warc-target-uri"], int(fields(block[:http])["content-length"]), f["warc-payload-digest"].removeprefix("sha1:"), f.get("x-refers-to-row"), block[http:] if f["warc-type"] == "response" else None))
+                    size, digest = int(fields(block[:http])["content-length"]), f["warc-payload-digest"].removeprefix("sha1:")
+                    payload = block[http:] if f["warc-type"] == "response" else None
+                    if payload is not None and (len(payload), base32(hashlib.sha1(payload).hexdigest())) != (size, digest):
+                        raise ValueError(f"{name}: the record at {at} holds another payload than its headers say")
+                    out.append((name.as_py(), at, f["x-row"], f["warc-type"], f["warc-target-uri"], size, digest, f.get("x-refers-to-row"), payload))
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["archive", "offset", "row", "record_type", "url", "payload_bytes", "payload_digest", "refers_to", "payload"])
 

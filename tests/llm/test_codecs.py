@@ -222,6 +222,20 @@ def test_bloom_has_no_false_negatives_and_few_positives(spark):
     assert urls.contains(bloom, keys).all() and urls.contains(bloom, [f"other{k}" for k in range(5000)]).mean() < 0.02
 
 
+def test_warc_payload_that_differs_from_its_headers(spark):
+    """What is read is hashed and counted: a payload other than the one noted is no record."""
+    good = warc.record(1, "http://x", b"abc", warc.base32(hashlib.sha1(b"abc").hexdigest()), 1, True)
+    wrong = good.replace(b"abc\r\n\r\n", b"abd\r\n\r\n")
+    for r, fails in ((good, False), (wrong, True)):
+        gz = gzip.compress(r)
+        rows = warc.read(spark.createDataFrame([("a", 0, bytearray(gz), [0], [len(gz)])], "archive string, start bigint, gz binary, offsets array<bigint>, lengths array<bigint>"))
+        if fails:
+            with pytest.raises(Exception, match="another payload than its headers say"):
+                rows.collect()
+        else:
+            assert [(x.payload_bytes, bytes(x.payload)) for x in rows.collect()] == [(3, b"abc")]
+
+
 def test_warc(spark, sf):
     same(queries.op8_warc(spark, sf), queries.OP8_SQL, connect(sf))
     rows = [(5, "http://a/", "same"), (3, None, "same"), (9, "http://b/\r\nX: y", None), (7, "http://c/", ""), (1, "http://d/", "é" * 9000), (1, "http://d/", "é" * 9000), (11, "u", "\r\n\r\nWARC/1.1\r\n"), (None, "n", "same"), (None, "n", "alone")]
