@@ -7,13 +7,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def fuse(hits: DataFrame, alpha: float = 0.6) -> DataFrame:
+#: What the channels of the plain search count as.
+CHANNELS = {"vector": "vec", "lexical": "lex", "fulltext": "lex", "chunk": "lex", "structured": "struct"}
+
+
+def fuse(hits: DataFrame, alpha: float = 0.6, kinds: dict[str, str] = CHANNELS) -> DataFrame:
     """(qid, id, channel, score) → one row for each (qid, id): alpha times the best vector score plus the rest times the best lexical one, at least the structured one.
 
-    Full-text and chunk hits are lexical ones.
+    `kinds` says which channels are of vectors (vec), words (lex) and structure (struct).
     """
-    best = lambda *c: F.max(F.when(F.col("channel").isin(*c), F.col("score")))
-    g = hits.groupBy("qid", "id").agg(best("vector").alias("vec"), best("lexical", "fulltext", "chunk").alias("lex"), best("structured").alias("struct"), F.array_sort(F.collect_set("channel")).alias("channels"))
+    best = lambda kind: F.max(F.when(F.col("channel").isin(*[c for c, k in kinds.items() if k == kind]), F.col("score"))).alias(kind)
+    g = hits.groupBy("qid", "id").agg(best("vec"), best("lex"), best("struct"), F.array_sort(F.collect_set("channel")).alias("channels"))
     mixed = alpha * F.coalesce("vec", F.lit(0.0)) + (1 - alpha) * F.coalesce("lex", F.lit(0.0))
     return g.withColumn("score", F.round(F.greatest(mixed, F.coalesce("struct", F.lit(0.0))), 4))
 

@@ -24,6 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from recallum.queries import graph, intake, maintain, quality, search, store, streams, text  # noqa: F401
+    from recallum.queries import graph, intake, maintain, quality, search, store, streams, text, wide  # noqa: F401
 
     return QUERIES, ORACLE_SQL

@@ -97,9 +97,14 @@ _TRIGGERS = "SELECT qid, unnest(CASE qid % 4 WHEN 0 THEN ['en', 'src' || (qid %
 )
 def trigger_overlap(spark: SparkSession, d: str) -> DataFrame:
     lang = F.element_at(F.array(*map(F.lit, ["en", "fr", "de", "es"])), (F.col("qid") % 4 + 1).cast("int"))
-    t = S.query_table(spark, d).select("qid", F.explode(F.array(lang, F.concat(F.lit("src"), F.col("qid") % 20))).alias("c"))
-    m = S.memory(spark, d).select("id", "date", "level", F.explode("categories").alias("c"))
-    g = m.join(t, "c").groupBy("qid", "id").agg(F.count("*").alias("hits"), F.first("date").alias("date"), F.first(F.col("level") == "automatic").alias("auto"))
+    t = S.query_table(spark, d).select("qid", F.array(lang, F.concat(F.lit("src"), F.col("qid") % 20)).alias("t"))
+    m = S.memory(spark, d).select("id", "date", (F.col("level") == "automatic").alias("auto"), F.array_sort("categories").alias("c"))
+    # A query's sixty rows are among the first sixty of those with both its words and the first 120 of each word.
+    order = (F.desc("auto"), F.desc_nulls_last("date"), F.col("id"))
+    both = filters.top(m.withColumn("k", F.array_join("c", "|")), 60, "k", *order).select("id", "date", "auto", "c", "k")
+    one = filters.top(m.withColumn("k", F.explode("c")), 120, "k", *order).select("id", "date", "auto", "c", "k")
+    keys = t.select("qid", "t", F.explode(F.concat("t", F.array(F.array_join(F.array_sort("t"), "|")))).alias("k"))
+    g = both.unionByName(one).join(keys, "k").select("qid", "id", F.size(F.array_intersect("c", "t")).cast("bigint").alias("hits"), "date", "auto").distinct()
     return filters.top(g.withColumn("score", F.when(F.col("hits") == 2, 100.0).otherwise(60.0 / 2)), 60, "qid", F.desc("hits"), F.desc("auto"), F.desc_nulls_last("date"), F.col("id")).select("qid", "id", "hits", "score", "rank")
 
 
@@ -112,8 +117,10 @@ def trigger_overlap(spark: SparkSession, d: str) -> DataFrame:
 )
 def code_match(spark: SparkSession, d: str) -> DataFrame:
     q = S.query_table(spark, d).select("qid", F.concat(F.lit("src"), F.col("qid") % 20).alias("source"))
-    m = S.memory(spark, d).select("id", "date", "code", "source").join(q, "source")
-    return filters.top(m.withColumn("score", F.when(F.col("code") == F.concat("source", F.lit("_en")), 100).otherwise(92)), 30, "qid", F.desc("score"), F.desc("date"), F.col("id")).select("qid", "id", "score", "rank")
+    m = S.memory(spark, d).select("id", "date", "source", F.when(F.col("code") == F.concat("source", F.lit("_en")), 100).otherwise(92).alias("score"))
+    # The order is the same for all queries of a source, so its first thirty are all that meet them.
+    best = filters.top(m, 30, "source", F.desc("score"), F.desc("date"), F.col("id"))
+    return best.join(q, "source").select("qid", "id", "score", "rank")
 
 
 @query(sql("SELECT qid, id, hits FROM (SELECT qid, id, len(list_filter(strong, lambda t: contains(lower(content), t))) AS hits FROM query, memory) WHERE hits > 0", "memory", "query"))
@@ -516,7 +523,11 @@ def tag_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Up to five rows for each query that share most tags with its first three hits and are no hits yet."""
     m, tops = S.memory(spark, d), _tops(spark, d)
     tags = tops.where("rank <= 3").join(m.select("id", "tags"), "id").select("qid", F.explode("tags").alias("tag")).distinct()
-    shared = m.select("id", F.explode("tags").alias("tag")).join(tags, "tag").groupBy("qid", "id").agg(F.count_distinct("tag").alias("shared"))
+    # Rows with the same tags share as many, so of each set of tags the first by id will do: five, and as many as can be hits already.
+    sets = m.select("id", F.array_sort(F.array_distinct("tags")).alias("tags"))
+    first = cut(filters.top(sets.withColumn("k", F.to_json("tags")), 5 + 15, "k", F.col("id")).select("k", "id", "tags"))
+    kinds = first.select("k", F.explode("tags").alias("tag")).distinct()
+    shared = kinds.join(tags, "tag").groupBy("qid", "k").agg(F.count_distinct("tag").alias("shared")).join(first.select("k", "id"), "k")
     new = shared.join(tops.select("qid", "id"), ["qid", "id"], "left_anti")
     return filters.top(new, 5, "qid", F.desc("shared"), F.col("id")).select("qid", "id", F.lit(20).alias("score"), "rank")
 
