@@ -57,6 +57,25 @@ def budget(memory: DataFrame, access_log: DataFrame, links: DataFrame, ref: Colu
     return rows.orderBy(F.asc_nulls_first("last"), "id").limit(over + slack).drop("last")
 
 
+def budget_state(memory: DataFrame, cap: int, warn: float = 0.9) -> DataFrame:
+    """(vectors, cap, share, state): ok, warning from the share `warn` of the cap on, over above it."""
+    n = memory.agg(F.count("embedding").alias("vectors"))
+    share = F.col("vectors") / F.lit(cap)
+    return n.select("vectors", F.lit(cap).cast("bigint").alias("cap"), F.round(share, 4).alias("share"), F.when(share > 1, "over").when(share >= warn, "warning").otherwise("ok").alias("state"))
+
+
+def backfill_summaries(memory: DataFrame, most: int = 600) -> DataFrame:
+    """(id, content, summary) → (id, summary) of rows whose text is longer than a summary and that have none."""
+    from recallum.functions.text import summarise
+
+    return memory.where((F.length("content") > most) & F.col("summary").isNull()).select("id", summarise(F.col("content"), most).alias("summary"))
+
+
+def newest_rows(rows: DataFrame, most: int = 500) -> DataFrame:
+    """The newest `most` rows by date, then by id; a sample to look for duplicates in where all rows are too many."""
+    return rows.orderBy(F.desc_nulls_last("date"), F.desc("id")).limit(most)
+
+
 def checkpoint(memory: DataFrame, ref: Column, chars: int = 150, listed: int = 20) -> DataFrame:
     """One row for each (age scale, project): how many rows, their tags, the heads of the first `listed` in order of ids, joined, and a digest of all heads.
 

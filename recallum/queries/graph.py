@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from recallum.operators import filters, graph as G, knn as K
 from recallum.queries import query
@@ -173,3 +173,10 @@ def link_validate(spark: SparkSession, d: str) -> DataFrame:
     links = S.links(spark, d)
     fresh = links.select("src", F.when(F.col("id") % 5 == 0, F.col("src")).otherwise(F.col("dst")).alias("dst"), F.when(F.col("id") % 3 == 0, "related").otherwise(F.col("rel")).alias("rel")).distinct()
     return G.validate(fresh, S.table(spark, d, "documents").select(F.col("doc_id").alias("id")), links)
+
+
+@query(sql("SELECT node, \"out\", rank FROM (SELECT src AS node, count(*) AS \"out\", row_number() OVER (ORDER BY count(*) DESC, src) AS rank FROM link GROUP BY src) WHERE rank <= 20", "link"))
+def graph_top_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty nodes with most outgoing links."""
+    most = S.links(spark, d).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out")).orderBy(F.desc("out"), "node").limit(20)
+    return most.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("out"), "node")))  # of twenty rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recallum.operators import knn as K
+from recallum.functions import text as T
 from recallum.plans import lifecycle as P
 from recallum.queries import query
 from recallum.sources import tables as S
@@ -174,3 +175,21 @@ def merge_patch(spark: SparkSession, d: str) -> DataFrame:
     fresh = m.where("id % 6 = 0").select("id", F.concat("content", F.lit("!")).alias("content"))
     out = P.merge_patch(rows, patch.join(fresh, "id", "left"))
     return out.select("id", F.md5("content").alias("digest"), F.col("meta")["level"].alias("level"), F.col("meta")["lang"].alias("lang"), F.col("meta")["stamped"].alias("stamped"), "changed")
+
+
+@query(sql("SELECT vectors, CAST(520 AS BIGINT) AS cap, round(vectors / 520, 4) AS share, CASE WHEN vectors / 520 > 1 THEN 'over' WHEN vectors / 520 >= 0.9 THEN 'warning' ELSE 'ok' END AS state FROM (SELECT count(embedding) AS vectors FROM memory)", "memory"))
+def budget_warning(spark: SparkSession, d: str) -> DataFrame:
+    """How full the budget of vectors is (520 here)."""
+    return P.budget_state(S.memory(spark, d), 520)
+
+
+@query(sql(f"SELECT id, {T.sql_summary('content')} AS summary FROM memory WHERE length(content) > 600 AND id % 3 <> 0", "memory"))
+def summary_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries for the long rows that have none (two thirds here)."""
+    return P.backfill_summaries(S.memory(spark, d).withColumn("summary", F.when(F.col("id") % 3 == 0, F.col("code"))))
+
+
+@query(sql("SELECT digest, n, keep FROM (SELECT md5(content) AS digest, count(*) AS n, min(id) AS keep FROM (SELECT * FROM memory ORDER BY date DESC NULLS LAST, id DESC LIMIT 500) GROUP BY content HAVING count(*) > 1)", "memory"))
+def newest_dup_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of equal texts among the newest 500 rows (a sampling operator; `exact_dup_groups` takes all)."""
+    return P.exact_groups(P.newest_rows(S.memory(spark, d), 500))

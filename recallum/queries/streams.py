@@ -117,3 +117,17 @@ def judgment_answers(spark: SparkSession, d: str) -> DataFrame:
     """What a cache of judgments answers each question, with a life of a day (purchases are judgments, all else asks)."""
     e = S.table(spark, d, "events")
     return ST.answers(e.select(F.concat(F.lit("k"), F.col("user_id") % 97).alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("put"), F.col("value").alias("verdict"), "ts"), ttl=86_400_000)
+
+
+@query(sql("SELECT sub_id, id, CASE id % 3 WHEN 0 THEN 'save' WHEN 1 THEN 'update' ELSE 'delete' END AS event FROM memory JOIN (SELECT item_id AS sub_id, text AS pattern FROM benchmark) ON contains(lower(content), lower(pattern))", "memory"))
+def change_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts on saved, updated and deleted rows."""
+    subs = S.table(spark, d, "benchmark").select(F.col("item_id").alias("sub_id"), F.col("text").alias("pattern"))
+    event = F.when(F.col("id") % 3 == 0, "save").when(F.col("id") % 3 == 1, "update").otherwise("delete")
+    return J.alerts(S.memory(spark, d).select("id", "content", event.alias("event")), subs)
+
+
+@query(sql("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS calls FROM events"))
+def sliding_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of each user in the hour up to each call."""
+    return J.calls_before(S.table(spark, d, "events"), 3600)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recallum.operators.numbering import numbered
@@ -33,8 +33,18 @@ def sessions(log: DataFrame, ts: str = "accessed_at", gap: str = "30 minutes", l
 
 
 def alerts(rows: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """Rows that contain a standing pattern; the subscription table is the bounded side."""
-    return against(rows, subscriptions, F.contains(F.lower("content"), F.lower("pattern")), "sub_id").select("sub_id", "id")
+    """Rows that contain a standing pattern; the subscription table is the bounded side.
+
+    Of changes (with a column `event`: save, update or delete) the event is told, too; a deleted row comes with the content that it had.
+    """
+    told = ["event"] if "event" in rows.columns else []
+    return against(rows, subscriptions, F.contains(F.lower("content"), F.lower("pattern")), "sub_id").select("sub_id", "id", *told)
+
+
+def calls_before(log: DataFrame, seconds: int = 60) -> DataFrame:
+    """(user_id, event_id, ts) → how many calls each user has made in the `seconds` up to each call, itself included."""
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-1_000_000 * seconds + 1, 0)
+    return log.select("user_id", "event_id", F.count("*").over(w).alias("calls"))
 
 
 ADMITTED = "user_id bigint, event_id bigint, at double, admitted boolean"
