@@ -96,7 +96,12 @@ def exact_query(clean: Column, ids: Column, code: Column) -> Column:
 def trigger_only(text: Column) -> Column:
     """Whether all words of a query are `trigger:` ones."""
     words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-    return (F.size(words) > 0) & F.forall(words, lambda w: F.startswith(w, F.lit("trigger:")))
+    return (F.size(words) > 0) & F.forall(words, lambda w: F.startswith(F.lower(w), F.lit("trigger:")))
+
+
+def route(text: Column, clean: Column, ids: Column, code: Column) -> Column:
+    """How a query is answered: `trigger` by its trigger words alone, without a vector; `exact` by what it names, never re-ranked; else `search`."""
+    return F.when(F.coalesce(trigger_only(text), F.lit(False)), "trigger").when(exact_query(clean, ids, code), "exact").otherwise("search")
 
 
 def lookup(raw: DataFrame, memory: DataFrame) -> DataFrame:
