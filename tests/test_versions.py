@@ -3,7 +3,6 @@
 import threading
 
 import pytest
-from pyspark.sql import functions as F
 
 from recallum.operators import intake as I
 from recallum.plans.versions import Conflict, Versions, signature, with_vectors
