@@ -1,5 +1,7 @@
 """Expectations of single operators on small inputs."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -372,6 +374,27 @@ def test_redaction_of_secrets(spark):
     assert got.v == {"a": "token=[REDACTADO:credencial]", "b": "plain"} and got.n == 1
 
 
+def test_redaction_against_plain_replacements(spark, sf):
+    """Whole documents, and secrets planted in them, against the patterns applied one after another without gates."""
+    planted = ["token = abcdefghij", "PASSWORD: my secret", "api-key='quoted value'", "Clave=abcdef7;", "sk-" + "a1" * 12, "x eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9, "BEARER " + "z" * 20, "mail a.b@c.org now", "4111111111111111", "10.20.30.40 ok", "contraseña : hunter2 more", "ſecret=abcdefgh", "AKIA" + "ABCD" * 4, "no secrets: here"]
+    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts = [f"{d[: len(d) // 2]}\n{planted[k % len(planted)]}\n{d[len(d) // 2 :]}" for k, d in enumerate(docs)] + planted + docs
+
+    def plain(text):
+        n = 0
+        for _, pattern, to in rulesets.redactions() + rules.EXAMPLE_REDACTIONS:
+            flags = {"i": re.IGNORECASE, "m": re.MULTILINE}
+            m = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
+            found = re.compile(pattern[m.end() :] if m else pattern, sum(flags.get(c, 0) for c in (m[1] if m else "")))
+            text, k = found.subn(re.sub(r"\$(\d)", r"\\g<\1>", to), text)
+            n += k
+        return text, n
+
+    text, n = rules.redact(F.col("t"), rules.EXAMPLE_REDACTIONS)
+    wrong = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.alias("r"), n.alias("n")).collect() if (r.r, r.n) != plain(r.t)]
+    assert wrong == []
+
+
 def test_trade_knowledge(spark):
     rows = [("si no hay backup antes, rompe y falla", ["x"]), ("cambié el color del margin", ["x"]), ("anything", ["docker"]), ("plain", None)]
     got = spark.createDataFrame(rows, "t string, c array<string>").select(rules.trade(F.col("t"), F.col("c")).alias("x")).collect()
