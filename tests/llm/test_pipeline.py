@@ -1,9 +1,11 @@
 import corpus_pipeline as p
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from recallum.llm import quality, simhash, toxicity
-from recallum.sources.shared import written
+from recallum.llm import packing, quality, simhash, toxicity
+from recallum.sources.shared import BATCH, small_batches, written
 
 
 def groups(texts):
@@ -65,3 +67,30 @@ def test_stages_take_effect(spark, sf, docs):
 
 def test_run_gives_the_last_stage(spark, sf):
     assert p.run(spark, sf).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_stages_work_on_small_batches(spark, sf, docs, monkeypatch):
+    """Texts go to Python workers in batches of bounded bytes, and the session's setting comes back, after errors too."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    most = lambda: spark.range(3000).select(F.repeat(F.lit("x"), 10_000).alias("t")).coalesce(1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    before = most()
+    with small_batches(spark):
+        assert most() < 2 * BATCH < before
+    assert most() == before
+    spark.conf.set(name, "1m")
+    with small_batches(spark):
+        assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
+    for stage, module, operator in ((p.drop_toxic, toxicity, "scored"), (p.keep_quality, quality, "scored"), (p.one_of_each, simhash, "near_texts"), (p.pack, packing, "pack")):
+        def asked(*args, **named):
+            raise KeyError(spark.conf.get(name))
+
+        monkeypatch.setattr(module, operator, asked)
+        with pytest.raises(KeyError, match=str(BATCH)):
+            stage(spark, docs, sf)
+        assert spark.conf.get(name, None) is None
