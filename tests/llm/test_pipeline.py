@@ -1,3 +1,5 @@
+import time
+
 import corpus_pipeline as p
 import numpy as np
 import pyarrow as pa
@@ -5,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallum.llm import packing, quality, simhash, toxicity
-from recallum.sources.shared import BATCH, small_batches, written
+from recallum.sources.shared import BATCH, cut, shuffles_removed, small_batches, written
 
 
 def groups(texts):
@@ -94,3 +96,25 @@ def test_stages_work_on_small_batches(spark, sf, docs, monkeypatch):
         with pytest.raises(KeyError, match=str(BATCH)):
             stage(spark, docs, sf)
         assert spark.conf.get(name, None) is None
+
+
+def test_shuffles_go_with_their_action(spark, sf, docs, monkeypatch):
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_before = spark.conf.get(name, None)
+    before = files()
+    with shuffles_removed(spark):
+        sums = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+        for _ in range(50):
+            if not files() - before:
+                break
+            time.sleep(0.2)
+    assert not files() - before and sums.agg(F.sum("count")).first()[0] == 1000
+
+    def asked(*args, **named):
+        raise KeyError(spark.conf.get(name))
+
+    monkeypatch.setattr(simhash, "near_texts", asked)
+    with pytest.raises(KeyError, match="true"):
+        p.one_of_each(spark, docs, sf)
+    assert spark.conf.get(name, None) == set_before
