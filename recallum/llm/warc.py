@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ from recallum.sources.shared import written
 ARCHIVE, LEVEL = 4 << 20, 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WHEN = "2024-01-01T00:00:00Z"
+#: A SHA-1 in base32, as `record` is given it.
+SHA1 = re.compile("[A-Z2-7]{32}")
 
 
 def base32(sha1_hex: str) -> str:
@@ -182,9 +185,10 @@ def index(archives: DataFrame) -> DataFrame:
 def read(archives: DataFrame) -> DataFrame:
     """Normalised archives → a row for each record, got by its offset: (archive, offset, row, record_type, url, payload_bytes, payload_digest, refers_to, payload binary).
 
-    A response's bytes are counted and hashed as they are read; where the digest
-    or the length differs from what its headers say, ValueError is raised.  A revisit has
-    no payload; its length and digest are those of its headers.
+    A response's bytes are counted and hashed as they are read, and the digest is theirs;
+    where it or the length differs from what its headers say, ValueError is raised.  A header
+    that holds no base32 SHA-1 can't be compared.  A revisit has no payload; its
+    length and digest are those of its headers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +203,10 @@ def read(archives: DataFrame) -> DataFrame:
                     http = block.index(b"\r\n\r\n") + 4
                     size, digest = int(fields(block[:http])["content-length"]), f["warc-payload-digest"].removeprefix("sha1:")
                     payload = block[http:] if f["warc-type"] == "response" else None
-                    if payload is not None and (len(payload), base32(hashlib.sha1(payload).hexdigest())) != (size, digest):
-                        raise ValueError(f"{name}: the record at {at} holds another payload than its headers say")
+                    if payload is not None:
+                        said, digest = digest, base32(hashlib.sha1(payload).hexdigest())
+                        if len(payload) != size or (said != digest and SHA1.fullmatch(said)):
+                            raise ValueError(f"{name}: the record at {at} holds another payload than its headers say")
                     out.append((name.as_py(), at, f["x-row"], f["warc-type"], f["warc-target-uri"], size, digest, f.get("x-refers-to-row"), payload))
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["archive", "offset", "row", "record_type", "url", "payload_bytes", "payload_digest", "refers_to", "payload"])
