@@ -233,6 +233,8 @@ BEFORE = 4
 ROUNDS, STARS = 2, 1
 #: Rows of the two sides of a join on one shingle; more are split into blocks.
 ASKING, ASKED = 1024, 4096
+#: Variants of word-set fingerprints spelled out at once, and shingles that a worker hands over at once.
+SPELLED, HANDED = 1 << 18, 1 << 15
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -276,12 +278,12 @@ def sketches(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _neighbours(a: np.ndarray, fp: np.ndarray, prefix: int, bits: int, radius: int) -> np.ndarray:
-    """Index pairs that meet on a variant of `a` and are near by `fp`; linear in the bucket, bounded in memory by AT_ONCE."""
+    """Index pairs that meet on a variant of `a` and are near by `fp`; linear in the bucket, bounded in memory by SPELLED."""
     left = radius - np.bitwise_count((a >> np.uint64(64 - bits)) ^ np.uint64(prefix)).astype(int)
     here = np.flatnonzero(left >= 0)
     if len(here) < 2:
         return np.zeros((0, 2), np.int64)
-    if len(here) * (65 - bits) > AT_ONCE and bits + 4 <= 60:
+    if len(here) * (65 - bits) > SPELLED and bits + 4 <= 60:
         got = [_neighbours(a[here], fp[here], prefix << 4 | k, bits + 4, radius) for k in range(16)]
         return _nearest(here[np.concatenate(got)], fp)
     low = np.uint64((1 << (64 - bits)) - 1)
@@ -411,6 +413,13 @@ def prefixes(texts: DataFrame, similarity: float, words: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(run, "id bigint, n int, bits array<bigint>, toks array<bigint>")
 
 
+def by_length(b: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """`b` in parts whose lists hold about `most` values together, a row at least."""
+    size = np.diff(b.column(column).offsets.to_numpy())
+    ends = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1).tolist(), b.num_rows]
+    return (b.slice(x, y - x) for x, y in zip(ends, ends[1:], strict=False))
+
+
 def placed(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """`rows` with the component of each id in `comp`; ids without links are their own."""
     return rows.join(hinted(comp.select(F.col("node").alias("id"), F.col("component").alias("comp"))), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -432,7 +441,7 @@ def meetings_of(rare: DataFrame, comp: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = sent.value
-        for b in (whole.slice(k, 2048) for whole in batches for k in range(0, whole.num_rows, 2048)):
+        for b in (part for whole in batches for part in by_length(whole, 3, HANDED)):
             tok = b.column(3).flatten().to_numpy(zero_copy_only=False)
             size = np.fromiter((len(x) for x in b.column(3)), np.int64, b.num_rows)
             first = np.concatenate(([0], np.cumsum(size)[:-1])) if b.num_rows else size
@@ -541,7 +550,7 @@ def linked_candidates(texts: DataFrame, pairs: DataFrame, similarity: float, wor
     together without all their pairs being asked for; pairs looked at or within a component are left out of the next.
     What is still left then is mostly of texts that are not similar enough, and is left to the exact path.
     """
-    comp = texts.sparkSession.createDataFrame([], "node bigint, component bigint")
+    comp = texts.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))  # not createDataFrame, whose rows come from Python workers
     for k in range(ROUNDS):
         some = cut(_nearest_each(pairs))
         comp = joined(comp, alike(texts, some, similarity, words))

@@ -118,3 +118,39 @@ def test_shuffles_go_with_their_action(spark, sf, docs, monkeypatch):
     with pytest.raises(KeyError, match="true"):
         p.one_of_each(spark, docs, sf)
     assert spark.conf.get(name, None) == set_before
+
+
+def test_workers_hand_over_bounded_batches(spark, monkeypatch):
+    """Neither long lists nor crowded buckets are held at once, and what comes of them is the same."""
+    lists = pa.array([list(range(n)) for n in (0, 3, 900, 0, 7, 7, 7, 50, 1)], pa.list_(pa.int64()))
+    b = pa.RecordBatch.from_arrays([pa.array(range(9)), lists], names=["id", "toks"])
+    for whole in (b, b.slice(2), b.slice(9)):
+        parts = list(simhash.by_length(whole, 1, 10))
+        assert pa.Table.from_batches(parts, whole.schema).equals(pa.Table.from_batches([whole]))
+        assert all(len(x.slice(1).column(1).flatten()) < 10 for x in parts)
+    rng = np.random.default_rng(5)
+    a = np.repeat(rng.integers(0, 1 << 63, 60, dtype=np.uint64) >> np.uint64(8), 20) ^ (np.uint64(1) << rng.integers(0, 50, 1200, dtype=np.uint64))
+    fp = np.repeat(rng.integers(0, 1 << 63, 60, dtype=np.uint64), 20) ^ (np.uint64(1) << np.arange(1200, dtype=np.uint64) % np.uint64(60))
+    once = simhash._neighbours(a, fp, 0, 8, 1)
+    monkeypatch.setattr(simhash, "SPELLED", 1 << 9)
+    assert len(once) and {x for p in once.tolist() for x in p} == {x for p in simhash._neighbours(a, fp, 0, 8, 1).tolist() for x in p}
+    words = [f"w{k}" for k in range(400)]
+    texts = cut(spark.createDataFrame([(k, " ".join(words[k : k + 90])) for k in range(40)], "id bigint, text string"))
+    comp = spark.range(0).selectExpr("id AS node", "id AS component")
+    rare = cut(simhash.prefixes(texts, 0.8, 5))
+    rows = lambda: sorted(simhash.meetings_of(rare, comp).collect())
+    whole = rows()
+    monkeypatch.setattr(simhash, "HANDED", 16)
+    assert whole and rows() == whole
+
+
+def test_near_texts_start_without_rows_from_python(spark, monkeypatch):
+    """A table made by createDataFrame starts further Python workers beside those that hold texts."""
+    long = " ".join(f"w{k}" for k in range(60))
+    docs = cut(spark.createDataFrame([(1, long), (2, long + " more"), (3, "other words")], "doc_id bigint, text string"))
+
+    def refused(*args, **named):
+        raise AssertionError("createDataFrame")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    assert sorted((r.id, r.component) for r in simhash.near_texts(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
