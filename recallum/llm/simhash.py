@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recallum.operators.components import connected_components
 from recallum.sources.shared import cut, hinted
@@ -222,13 +222,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #: Fingerprints of a text's set of words, each with its own hash; texts whose sets differ by a few words agree in nearly all bits of some.
 SETS = 12
 #: Bounds of the first candidates only, which save work for the exact ones: at most FAR bits apart in a fingerprint of their shingles, of a bucket the PARTNERS nearest.
-FAR, PARTNERS, NEXT = 16, 6, 4
+FAR, PARTNERS, NEXT = 16, 3, 4
 #: Texts whose shingles order all shingles by rarity (any order is exact), and the uses in them from which a shingle counts as frequent.
 SAMPLED, FREQUENT = 20_000, 4
 #: Classes whose parities a text's shingle set is compared by before it is read, and bits of the bitmap of shared shingles.
 PARITIES, SIEVE = 512, 25
-#: Shingles before each one that two texts are compared by, to tell whether they meet there first.
-BEFORE = 4
 #: Rounds in which texts are compared with their nearest candidate, and in which those of a shingle are compared with one of them, before all pairs are.
 ROUNDS, STARS = 2, 1
 #: Rows of the two sides of a join on one shingle; more are split into blocks.
@@ -295,8 +293,11 @@ def _neighbours(a: np.ndarray, fp: np.ndarray, prefix: int, bits: int, radius: i
     turned = fp[owner] << turn | fp[owner] >> (np.uint64(64) - turn & np.uint64(63))
     order = np.lexsort((turned, variant))
     variant, owner = variant[order], owner[order]
-    pairs = [np.stack((owner[:-k], owner[k:]), 1)[variant[:-k] == variant[k:]] for k in range(1, NEXT + 1) if len(owner) > k]
-    return _nearest(np.concatenate(pairs), fp)
+    pairs = np.concatenate([np.stack((owner[:-k], owner[k:]), 1)[variant[:-k] == variant[k:]] for k in range(1, NEXT + 1) if len(owner) > k])
+    # Two with one prefix that isn't this one meet in the bucket of their own, too, and count there.
+    lead = a >> np.uint64(64 - bits)
+    elsewhere = (lead[pairs[:, 0]] == lead[pairs[:, 1]]) & (lead[pairs[:, 0]] != np.uint64(prefix))
+    return _nearest(pairs[~elsewhere], fp)
 
 
 def _nearest(pairs: np.ndarray, fp: np.ndarray) -> np.ndarray:
@@ -425,11 +426,13 @@ def placed(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(hinted(comp.select(F.col("node").alias("id"), F.col("component").alias("comp"))), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def meetings_of(rare: DataFrame, comp: DataFrame) -> DataFrame:
-    """`prefixes` → (tok, id, n, bits, at, prev) of shingles on which texts of different components meet, and a few that come before each in its text.
+def meetings_of(rare: DataFrame, comp: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """`prefixes` → (tok, id, n, bits, at) of shingles on which texts of different components meet that can be similar by length and place.
 
     Most shingles are of one text; these are sifted out by a bitmap of bounded
-    size before anything wide is shuffled, and what it lets through by a join.
+    size before anything is shuffled, and what it lets through by a join.  Of the texts of a
+    shingle those stay that have another one within the bounds of length and place.
+    Only they get their parities, so what meets by chance is narrow.
     """
     toks = placed(rare.select("id", "toks"), comp).select("comp", F.explode("toks").alias("tok"))
     live = cut(toks.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("tok"))
@@ -441,25 +444,23 @@ def meetings_of(rare: DataFrame, comp: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = sent.value
-        for b in (part for whole in batches for part in by_length(whole, 3, HANDED)):
-            tok = b.column(3).flatten().to_numpy(zero_copy_only=False)
-            size = np.fromiter((len(x) for x in b.column(3)), np.int64, b.num_rows)
+        for b in (part for whole in batches for part in by_length(whole, 2, HANDED)):
+            tok = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            size = np.fromiter((len(x) for x in b.column(2)), np.int64, b.num_rows)
             first = np.concatenate(([0], np.cumsum(size)[:-1])) if b.num_rows else size
             at = np.arange(len(tok)) - np.repeat(first, size)
             slot = tok & (1 << SIEVE) - 1
             kept = np.flatnonzero(sieve[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1))
-            of = np.repeat(np.arange(b.num_rows), size)[kept]
-            own = pa.array(of)
-            # The shingles before each in its text's order, of those that may be shared: the last BEFORE of them.
-            place = np.arange(len(of)) - np.searchsorted(of, of)
-            many = np.minimum(place, BEFORE)
-            ends = np.concatenate(([0], np.cumsum(many)))
-            back = np.repeat(np.arange(len(of)) - many - ends[:-1], many) + np.arange(ends[-1])
-            prev = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tok[kept][back]))
-            yield pa.RecordBatch.from_arrays([pa.array(tok[kept]), *(b.column(k).take(own) for k in range(3)), pa.array(at[kept].astype(np.int32)), prev], names=["tok", "id", "n", "bits", "at", "prev"])
+            own = pa.array(np.repeat(np.arange(b.num_rows), size)[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(tok[kept]), b.column(0).take(own), b.column(1).take(own), pa.array(at[kept].astype(np.int32))], names=["tok", "id", "n", "at"])
 
-    rows = rare.select("id", "n", "bits", "toks").mapInArrow(run, "tok bigint, id bigint, n int, bits array<bigint>, at int, prev array<bigint>")
-    return cut(rows.join(live.hint("merge"), "tok"))
+    rows = rare.select("id", "n", "toks").mapInArrow(run, "tok bigint, id bigint, n int, at int").join(live.hint("merge"), "tok")
+    by = Window.partitionBy("tok").orderBy("n", "id")
+    longest = F.least(F.col("n") / similarity, (F.col("n") - F.col("at")) * (1 + similarity) / similarity - F.col("n")) + 1e-6  # of a text that it can be similar to
+    rows = rows.withColumn("longest", longest)
+    longer, shorter = F.lead("n").over(by) <= F.col("longest"), F.max("longest").over(by.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("n")
+    some = cut(rows.withColumn("some", F.coalesce(longer, F.lit(False)) | F.coalesce(shorter, F.lit(False))).where("some").select("tok", "id", "n", "at"))
+    return cut(some.join(rare.select("id", "bits"), "id").select("tok", "id", "n", "bits", "at"))
 
 
 def _enough(x: str, y: str, similarity: float) -> Column:
@@ -485,21 +486,27 @@ def star_pairs(rows: DataFrame, similarity: float, turn: int) -> DataFrame:
 
 
 def all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(tok, id, comp, n, bits, at, prev) → all pairs of different components that meet on a shingle and can be similar.
+    """(tok, id, comp, n, bits, at) → all pairs of different components that meet on a shingle and can be similar.
 
-    A pair counts where it meets first: not on a shingle before which both have another one in common, as all texts order shingles alike.
+    A pair that meets on several shingles passes on the first of them if on any, as all texts order shingles alike, and counts once.
     Texts of a shingle's largest component are not compared with one another, so
-    linked copies cost nothing; what is left is joined in blocks of bounded size.
+    linked copies cost nothing; what is left is joined as it lies by shingle, and
+    only shingles of many texts are dealt anew in blocks of bounded size.
     """
     by = rows.groupBy("tok", "comp").agg(F.count("*").alias("m")).groupBy("tok").agg(F.sum("m").alias("c"), F.max("m").alias("most"), F.max_by("comp", F.struct("m", "comp")).alias("major")).where("c > most")
     asking, asked = F.ceil((F.col("c") - F.col("most")) / ASKING).alias("asking"), F.ceil(F.col("c") / ASKED).alias("asked")
     live = cut(by.select("tok", "major", asking, asked))
-    met = rows.join(live.hint("merge"), "tok")
+    row = F.struct("id", "comp", "n", "bits", "at")
+    can = (F.col("x.comp") != F.col("y.comp")) & _enough("x", "y", similarity)
+    few = rows.join(live.where("asking = 1 AND asked = 1").hint("merge"), "tok").where("comp != major").select("tok", row.alias("x"))
+    small = few.join(rows.select("tok", row.alias("y")).hint("merge"), "tok").where(can)
+    crowded = hinted(live.where("asking > 1 OR asked > 1"))
+    met = rows.join(crowded, "tok")
     own = lambda many: F.pmod(F.xxhash64("id", F.lit(29)), F.col(many))
     every = lambda many: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(many) - 1))
-    x = met.where("comp != major").select("tok", own("asking").alias("i"), every("asked").alias("j"), F.struct("id", "comp", "n", "bits", "at", "prev").alias("x"))
-    y = met.select("tok", every("asking").alias("i"), own("asked").alias("j"), F.struct("id", "comp", "n", "bits", "at", "prev").alias("y"))
-    return _pairs(x.join(y, ["tok", "i", "j"]).where((F.col("x.comp") != F.col("y.comp")) & _enough("x", "y", similarity) & ~F.arrays_overlap("x.prev", "y.prev")), "x", "y")
+    x = met.where("comp != major").select("tok", own("asking").alias("i"), every("asked").alias("j"), row.alias("x"))
+    y = met.select("tok", every("asking").alias("i"), own("asked").alias("j"), row.alias("y"))
+    return _pairs(small, "x", "y").unionByName(_pairs(x.join(y, ["tok", "i", "j"]).where(can), "x", "y")).distinct()
 
 
 def alike(texts: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -596,7 +603,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = rows.join(named.withColumnRenamed("id", "own"), (rows["key"] == named["key"]) & rows["id"].eqNullSafe(F.col("own"))).select(F.col("node").alias("id"), "text")
     pairs = cut(candidates(cut(sketches(texts, words).dropDuplicates(["id"]))))
     comp = linked_candidates(texts, pairs, similarity, words)
-    met = meetings_of(cut(prefixes(texts, similarity, words).dropDuplicates(["id"])), comp)
+    met = meetings_of(cut(prefixes(texts, similarity, words).dropDuplicates(["id"])), comp, similarity)
     for turn in range(STARS):
         comp = joined(comp, alike(texts, cut(star_pairs(placed(met, comp), similarity, turn)), similarity, words))
     comp = joined(comp, alike(texts, cut(all_pairs(placed(met, comp), similarity)), similarity, words))

@@ -151,3 +151,29 @@ def test_near_texts_of_one_template(spark, monkeypatch):
     r.shuffle(texts)
     want, n = brute_force(texts)
     assert 30 < n < 100 and near(spark, texts) == want
+
+
+def test_rows_wait_only_for_texts_that_can_be_similar(spark):
+    """Every pair within the bounds of length and place keeps both its rows, and texts of other lengths that share a shingle keep none."""
+    r = np.random.default_rng(9)
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    apart = [(k, f"a b c d e {words(k, n)}") for k, n in enumerate((20, 60, 200, 700))]
+    none = spark.range(0).selectExpr("id AS node", "id AS component")
+    rare = H.prefixes(spark.createDataFrame(apart, "id bigint, text string"), 0.8, 5)
+    shared = {int(x) for x in H.shingles("a b c d e").view(np.int64)}
+    rare = rare.withColumn("toks", F.array(F.lit(next(iter(shared)))))
+    assert H.meetings_of(rare, none, 0.8).count() == 0
+    rows = [(k, int(n), [0] * (H.PARITIES // 64), [int(t) for t in r.permutation(30)[: max(1, int(n) // 5)]]) for k, n in enumerate(r.integers(4, 90, 150))]
+    got = {(x.tok, x.id) for x in H.meetings_of(spark.createDataFrame(rows, "id bigint, n int, bits array<bigint>, toks array<bigint>"), none, 0.8).collect()}
+    want = set()
+    for tok in range(30):
+        here = [(k, n, n - toks.index(tok)) for k, n, _, toks in rows if tok in toks]
+        want |= {(tok, k) for k, n, left in here for j, m, rest in here if j != k and min(n, m) >= 0.8 * max(n, m) and min(left, rest) >= 0.8 / 1.8 * (n + m)}
+    assert want and want <= got and len(got) < sum(len(x[3]) for x in rows)
+
+
+def test_a_pair_counts_in_the_bucket_of_its_own_prefix():
+    a = np.array([5 << 56, 5 << 56, (5 << 56) | 1, 4 << 56], np.uint64)
+    fp = np.zeros(4, np.uint64)
+    assert {tuple(p) for p in H._neighbours(a, fp, 5, 8, 1).tolist()} >= {(0, 1), (0, 2)}
+    assert {tuple(p) for p in H._neighbours(a, fp, 4, 8, 1).tolist()} <= {(0, 3), (1, 3), (2, 3)} != set()
