@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recallum.functions import rules
-from recallum.functions.text import summarise, trigrams
+from recallum.functions.text import summarise
 from recallum.functions.vectors import cosine
+from recallum.sources.tables import tokens
 
 LEVELS, AUTHORS = ["episodic", "semantic", "automatic"], ["agent", "user", "import"]
 #: Dimensions of the default embedding.
@@ -49,17 +56,79 @@ def cases(spark, path: str) -> DataFrame:
     return rows.select("case", "c.query", F.explode("c.expected").alias("id"))
 
 
-def embed(df: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
+def _places(s: pa.Array, width: int, known: dict[tuple[int, ...], int]) -> np.ndarray:
+    """Words of each text, lower-cased and parted by single blanks → the sum of its distinct trigrams' signs in each of `width` places."""
+    out = np.zeros((len(s), width), np.int32)
+    text = ["" if t is None or t == "" else f"  {t.replace(' ', '   ')} " for t in s.to_pylist()]
+    points = np.frombuffer("".join(text).encode("utf-32-le"), np.uint32)
+    if len(points) < 3:
+        return out
+    of = np.repeat(np.arange(len(text)), [len(t) for t in text])
+    # A trigram neither ends in two blanks nor reaches into the next text.
+    real = np.flatnonzero(((points[1:-1] != 32) | (points[2:] != 32)) & (of[:-2] == of[2:]))
+    letters = np.flatnonzero(np.bincount(points))
+    code = np.zeros(int(letters[-1]) + 1, np.int64)
+    code[letters] = np.arange(len(letters))
+    code, size = code[points], len(letters)
+    code = ((code[:-2] * size + code[1:-1]) * size + code[2:])[real]
+    if size**3 <= 1 << 24:  # else sorted
+        gram = np.flatnonzero(np.bincount(code, minlength=1))
+        at = np.zeros(size**3, np.int32)
+        at[gram] = np.arange(len(gram))
+        at = at[code]
+    else:
+        gram, at = np.unique(code, return_inverse=True)
+    here = np.zeros((len(text), len(gram)), bool)
+    here[of[real], at] = True
+    row, at = np.nonzero(here)
+    if len(known) > 1 << 20:
+        known.clear()
+    digest = np.zeros(len(gram), np.int64)
+    for k, g in enumerate(zip(*(letters[x].tolist() for x in (gram // size**2, gram // size % size, gram % size)), strict=True)):
+        if (d := known.get(g)) is None:
+            d = known[g] = int(md5("".join(map(chr, g)).encode()).hexdigest()[:4], 16)
+        digest[k] = d
+    digest = digest[at]
+    np.add.at(out.reshape(-1), row * width + digest % width, np.where(digest // width % 2 == 0, 1, -1).astype(np.int32))
+    return out
+
+
+def embed(df: DataFrame, id_col: str, text_col: str, width: int = WIDTH, before: list[str] = []) -> DataFrame:  # noqa: B006
     """→ (id, embedding): a unit vector of hashed trigrams, the default where no model is given; texts without trigrams have none.
 
-    Each distinct trigram adds 1 or -1 to one of `width` places, by its digest.
+    Each distinct trigram adds 1 or -1 to one of `width` places, by its digest.  All is done where a row lies; only rows that
+    repeat an id, if there are any, are added up in a shuffle.  With `before`, further columns embedding_1, … are the vectors of the
+    text behind each of these words: one reading of the text serves all.
     """
-    code = F.conv(F.substring(F.md5("g"), 1, 4), 16, 10).cast("int")
-    grams = df.select(F.col(id_col).alias("id"), F.explode(trigrams(F.col(text_col))).alias("g")).select("id", (code % width).alias("k"), F.when(F.floor(code / width) % 2 == 0, 1).otherwise(-1).alias("s"))
-    sums = grams.groupBy("id", "k").agg(F.sum("s").alias("s"))
-    v = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "s"))).alias("m"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    place = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)) / F.nullif("norm", F.lit(0.0)))
-    return v.where("norm > 0").select("id", place.alias("embedding"))
+    kind = df.schema[id_col].dataType.simpleString()
+    words = F.array_join(tokens(F.col(text_col)), " ")
+    names = ["embedding", *(f"embedding_{k}" for k in range(1, len(before) + 1))]
+
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(x) + 1, width, dtype=np.int32)), pa.array(x.ravel()))
+
+    def units(x: np.ndarray) -> pa.Array:
+        norm = np.sqrt((x.astype(np.int64) ** 2).sum(1))
+        return pc.if_else(pa.array(norm > 0), lists(x / np.where(norm > 0, norm, 1)[:, None]), None)
+
+    def run(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[int, ...], int] = {}
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+            own = b.column(1)
+            every = [own, *(pc.binary_join_element_wise(w, own, " ") for w in before)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *((units if last else lists)(_places(x, width, known)) for x in every)], names=["id", *names])
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), *(units(c.flatten().to_numpy().reshape(-1, width)) for c in b.columns[1:])], names=["id", *names])
+
+    schema = lambda of: f"id {kind}, " + ", ".join(f"{n} array<{of}>" for n in names)
+    rows = df.select(F.col(id_col).alias("id"), words.alias("w"))
+    if df.groupBy(id_col).count().where("count > 1").isEmpty():
+        return rows.mapInArrow(lambda batches: run(batches, True), schema("double")).where("embedding IS NOT NULL")
+    sums = rows.mapInArrow(lambda batches: run(batches, False), schema("int")).groupBy("id")
+    added = sums.agg(*[F.array(*[F.sum(F.col(n)[k]) for k in range(width)]).alias(n) for n in names])
+    return added.mapInArrow(scaled, schema("double")).where("embedding IS NOT NULL")
 
 
 def contradicts(pairs: DataFrame, margin: float = 0.05) -> DataFrame:

@@ -404,3 +404,65 @@ def test_file_changes(spark):
     a = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", "1")], "path string, hash string")
     b = spark.createDataFrame([("x", "1"), ("y", "2"), ("w", "1")], "path string, hash string")
     assert {r.path: r.state for r in changes(a, b, "path").collect()} == {"x": "same", "y": "changed", "z": "gone", "w": "new"}
+
+
+def test_best_rows_of_a_task_against_numpy(spark):
+    """A task that reads several batches hands over each query's best rows once, and rows of equal rounded similarity go by id."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 8))
+    x[2500:2600] = x[7] + r.normal(size=(100, 8)) * 1e-8
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(range(2999, -1, -1), x, strict=True)], "id bigint, embedding array<double>").coalesce(1)
+    q = rows.where("id >= 2980").withColumnRenamed("id", "qid")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        for lo, hi in ((-2.0, 2.0), (0.2, 0.7)):
+            assert K.similarities(q, rows, lo, hi, 5).count() <= 20 * 5 + 120
+            got = {}
+            for a in K.knn(q, rows, 5, lo, hi).orderBy("rank").collect():
+                got.setdefault(a.qid, []).append((a.id, a.similarity))
+            for k in range(20):
+                s = np.round(u @ u[k], 6)
+                want = sorted((-s[j], 2999 - j) for j in range(3000) if lo <= u[j] @ u[k] <= hi)[:5]
+                assert got[2999 - k] == [(i, pytest.approx(-v)) for v, i in want]
+        cells = K.Cells(12).fit(rows)
+        every = cells.search(q, cells.index(rows), 5, 12).collect()
+        assert {(a.qid, a.id, a["rank"]) for a in every} == {(a.qid, a.id, a["rank"]) for a in K.knn(q, rows, 5).collect()} and len(every) == 100
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_embeddings_against_plain_digests(spark):
+    """One reading gives the vectors of a text and of its negation; rows that repeat an id add up; odd letters count as such."""
+    from hashlib import md5
+
+    texts = [(1, "The red fox_9, the fox!"), (2, "ñandú ÉL x"), (3, "日本語 テキスト"), (4, "..."), (5, None), (6, "a b"), (6, "c"), (7, "".join(map(chr, range(0x4E00, 0x4E00 + 400))))]
+
+    def plain(i, before=""):
+        v = np.zeros(64)
+        for t in (t for k, t in texts if k == i and t is not None):
+            grams = {f"  {w} "[k : k + 3] for w in re.findall(r"\w+", (before + t).lower()) for k in range(len(w) + 1)}
+            for c in (int(md5(g.encode()).hexdigest()[:4], 16) for g in grams):
+                v[c % 64] += 1 if c // 64 % 2 == 0 else -1
+        return v / np.linalg.norm(v)
+
+    for some in (texts, [t for t in texts if t[0] != 6]):
+        got = {r.id: r for r in I.embed(spark.createDataFrame(some, "id bigint, t string"), "id", "t", before=["no"]).collect()}
+        assert set(got) == {i for i, _ in some} - {4, 5}
+        for i, r in got.items():
+            assert r.embedding == pytest.approx(plain(i)) and r.embedding_1 == pytest.approx(plain(i, "no "))
+
+
+def test_verdicts_of_links_alone(spark):
+    from recallum.streaming.audit import audit
+
+    known = I.embed(spark.createDataFrame([(1, "the quick brown fox jumps"), (2, "the quick brown fox jumped")], "id bigint, content string"), "id", "content")
+    new = spark.createDataFrame([(11, "the quick brown fox jumps")], "id bigint, content string")
+    asked = []
+
+    def said(links):
+        asked.extend(tuple(r) for r in links.collect())
+        return links.where("neighbour = 2").withColumn("veto", F.lit(True))
+
+    assert [r.neighbour for r in audit(new, known, said, related=0.5).collect()] == [1] and sorted(asked) == [(11, 1), (11, 2)]
