@@ -171,10 +171,9 @@ def same_file_rules(spark: SparkSession, d: str) -> DataFrame:
 def negation_probe(spark: SparkSession, d: str) -> DataFrame:
     """For each row with a successor whether the successor is nearer to the row's negation than to the row, by default embeddings."""
     m = S.memory(spark, d).select("id", F.col("content").alias("t"))
-    own = I.embed(m, "id", "t")
-    probe = I.embed(m.select("id", F.concat(F.lit("no "), "t").alias("t")), "id", "t").withColumnRenamed("embedding", "probe_v")
+    own = cut(I.embed(m, "id", "t", before=["no"]).where("embedding_1 IS NOT NULL"))
     after = own.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("b_v"))
-    return I.contradicts(own.withColumnRenamed("embedding", "a_v").join(probe, "id").join(after, "id")).select("id", "contradicts")
+    return I.contradicts(own.withColumnsRenamed({"embedding": "a_v", "embedding_1": "probe_v"}).join(after, "id")).select("id", "contradicts")
 
 
 _SAYS = "SELECT conv_id * 1000 + turn AS id, text AS content FROM conversations"
