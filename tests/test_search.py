@@ -466,3 +466,54 @@ def test_verdicts_of_links_alone(spark):
         return links.where("neighbour = 2").withColumn("veto", F.lit(True))
 
     assert [r.neighbour for r in audit(new, known, said, related=0.5).collect()] == [1] and sorted(asked) == [(11, 1), (11, 2)]
+
+
+def test_paths_meet_by_slices_and_blocks(spark, monkeypatch):
+    """Hops, nodes and links by plain search on a graph cut into several slices; the level behind the last link is never made."""
+    monkeypatch.setattr(G, "SLICE", 40)
+    r = np.random.default_rng(11)
+    rows = [(k, int(a), int(b)) for k, (a, b) in enumerate(r.integers(0, 90, (150, 2)))]
+    links = spark.createDataFrame(rows, "id bigint, src bigint, dst bigint")
+    pairs = [(int(a), int(b)) for a, b in r.integers(0, 90, (40, 2))]
+    near = {}
+    for k, a, b in rows:
+        if a != b:
+            for x, y in ((a, b), (b, a)):
+                near.setdefault(x, {})[y] = min(k, near.get(x, {}).get(y, k))
+
+    def tree(root, depth):
+        levels, parent = [{root}], {}
+        for _ in range(depth):
+            new = {}
+            for a in levels[-1]:
+                for b, k in near.get(a, {}).items():
+                    if not any(b in s for s in levels):
+                        new[b] = min(new.get(b, (k, a)), (k, a))
+            parent |= new
+            levels.append(set(new))
+        return levels, parent
+
+    want, hops = {}, {}
+    for s, t in set(pairs):
+        (up, by), (down, to) = tree(s, 3), tree(t, 3)
+        for h in range(6):
+            if met := up[(h + 1) // 2] & down[h // 2] if (s != t or h == 0) else set():
+                hops[s, t] = h
+                x = y = min(met)
+                nodes, used = [x], []
+                while x in by:
+                    used, x = [by[x][0], *used], by[x][1]
+                    nodes = [x, *nodes]
+                while y in to:
+                    used, y = [*used, to[y][0]], to[y][1]
+                    nodes = [*nodes, y]
+                if s != t or s in near:
+                    want[s, t] = (h, nodes, used)
+                break
+    asked = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    grown = []
+    made = G.Meeting.grown
+    monkeypatch.setattr(G.Meeting, "grown", lambda self, *a: grown.append(1) or made(self, *a))
+    assert {(x.src, x.dst): (x.hops, x.nodes, x.links) for x in G.paths(links, asked, 5).collect()} == want
+    assert len(grown) <= 4 and max(h for h, _, _ in want.values()) == 5
+    assert {(x.src, x.dst): x.hops for x in G.shortest_paths(links, asked, 5).collect()} == hops
