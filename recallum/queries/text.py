@@ -83,8 +83,8 @@ def injection_screen(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
-    text, n = R.redact(F.col("content"), R.EXAMPLE_REDACTIONS)
-    return S.memory(spark, d).select("id", text.alias("content"), n.alias("n"))
+    done = S.memory(spark, d).select("id", R.redacted(F.col("content"), R.EXAMPLE_REDACTIONS).alias("done"))
+    return done.select("id", F.col("done.text").alias("content"), "done.n")
 
 
 @query()

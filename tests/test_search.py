@@ -517,3 +517,16 @@ def test_paths_meet_by_slices_and_blocks(spark, monkeypatch):
     assert {(x.src, x.dst): (x.hops, x.nodes, x.links) for x in G.paths(links, asked, 5).collect()} == want
     assert len(grown) <= 4 and max(h for h, _, _ in want.values()) == 5
     assert {(x.src, x.dst): x.hops for x in G.shortest_paths(links, asked, 5).collect()} == hops
+
+
+def test_redaction_is_worked_out_once(spark, sf):
+    """The text and the count come of one pass, and a word of a key without a value asks for no pattern of keys."""
+    from recallum.queries.text import redact_secrets
+
+    plan = redact_secrets(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[REDACTADO:jwt]") == 1
+    texts = ["pass word: x", "PASSWORD = 'a b'", "clave\n=\nabcdefgh", "Contraseña\t'\n: hunter22", "monkey: banana1", "access_KEY=abcdefg", "the key of the token", None]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", rules.redacted(F.col("t")).alias("r")).orderBy("k").collect()
+    assert [x.r.n for x in got] == [0, 1, 1, 1, 0, 1, 0, None] and [x.r.text == t for x, t in zip(got, texts, strict=True)] == [True, False, False, False, True, False, True, True]
+    low = spark.createDataFrame([(t.lower(),) for t in texts[:7]], "t string").select(F.col("t").rlike(rules.KEYED).alias("k"))
+    assert [x.k for x in low.collect()][6] is False
