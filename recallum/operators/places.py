@@ -127,19 +127,38 @@ def concepts(terms: Column, stems: dict[str, list[str]] = rulesets.STEMS, least:
     return F.transform(F.filter(terms, lambda t: F.length(t) >= least), group)
 
 
-def smallest_window(groups: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, int]:
-    """(start, end) of the shortest stretch with a place of each group, the first of equals, from (starts, ends) of the groups' places."""
-    sides = []
-    for starts, ends in groups:
-        order = np.argsort(starts, kind="stable")
-        sides.append((starts[order], np.minimum.accumulate(ends[order][::-1])[::-1]))
-    at = np.unique(np.concatenate([s for s, _ in sides]))
+def _sides(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A group's places by start, each with the first end of it and all later ones."""
+    order = np.argsort(starts, kind="stable")
+    return starts[order], np.minimum.accumulate(ends[order][::-1])[::-1]
+
+
+def _smallest(sides: list[tuple[np.ndarray, np.ndarray]], most: float = np.inf) -> tuple[int, int]:
+    """`smallest_window` of `_sides`; if it is longer than `most`, a stretch that is longer, too.
+
+    A stretch holds a place of the rarest group, so others' places matter only near one of those.
+    """
+    rare = min(sides, key=lambda s: len(s[0]))[0]
+    starts = []
+    for s, _ in sides:
+        if most < np.inf and s is not rare and len(s) > 64:
+            k = np.searchsorted(rare, s)
+            s = s[(k < len(rare)) & (rare[np.minimum(k, len(rare) - 1)] - s <= most)]
+        starts.append(s)
+    at = np.unique(np.concatenate(starts))
     at = at[at <= min(s[-1] for s, _ in sides)]
+    if not len(at):
+        return 0, int(most) + 1
     last = np.max([e[np.searchsorted(s, at)] for s, e in sides], axis=0)
     best = int(np.argmin(last - at))
     return int(at[best]), int(last[best])
 
 
+def smallest_window(groups: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, int]:
+    """(start, end) of the shortest stretch with a place of each group, the first of equals, from (starts, ends) of the groups' places."""
+    return _smallest([_sides(*g) for g in groups])
+
+
 def bonus(found: int, groups: int, span: int) -> int:
     """30 up to 150 characters, 20 up to 350, 8 up to 700 where all groups are found; 10 up to 150 for two at least."""
     if found < 2:
@@ -168,24 +187,44 @@ def concept_windows(queries: DataFrame, corpus: DataFrame, before: int = 200, af
             if not at:
                 return
             auto.make_automaton()
-            mine = [[[at[v] for v in g] for g in gs or []] for gs in groups]
+            # Concepts that queries share are found once: which variants each has, and which concepts each query.
+            every = list(dict.fromkeys(tuple(g) for gs in groups for g in gs or []))
+            place = {g: c for c, g in enumerate(every)}
+            mine = [[place[tuple(g)] for g in gs or []] for gs in groups]
+            of_variant: list[list[int]] = [[] for _ in at]
+            for c, g in enumerate(every):
+                for v in g:
+                    of_variant[at[v]].append(c)
+            of_concept = np.zeros((len(every), len(qid)), np.float32)
+            for q, cs in enumerate(mine):
+                np.add.at(of_concept, (cs, q), 1)
             for b in (whole.slice(s, 256) for whole in batches for s in range(0, whole.num_rows, 256)):
-                rows = []
-                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    low, here = text.lower(), {}
-                    for end, (v, n) in auto.iter(low):
-                        here.setdefault(v, ([], []))
-                        here[v][0].append(end - n + 1)
-                        here[v][1].append(end + 1)
-                    sides = {v: (np.array(s), np.array(e)) for v, (s, e) in here.items()}
-                    for q, gs in enumerate(mine):
-                        found = [[v for v in g if v in sides] for g in gs]
-                        found = [g for g in found if g]
-                        if len(gs) < 2 or len(found) < 2:
-                            continue
-                        start, end = smallest_window([(np.concatenate([sides[v][0] for v in g]), np.concatenate([sides[v][1] for v in g])) for g in found])
-                        if up := bonus(len(found), len(gs), end - start):
-                            rows.append((qid[q], i, len(found), end - start, up, _passage(text[max(0, start - before) : end + after], min(start, before))))
+                rows, sides, low = [], [], b.column(1).to_pylist()
+                has = np.zeros((b.num_rows, len(every)), np.float32)
+                for r, text in enumerate(low):
+                    here: dict[int, tuple[list[int], list[int]]] = {}
+                    for end, (v, n) in auto.iter(text.lower()):
+                        s, e = here.setdefault(v, ([], []))
+                        s.append(end - n + 1)
+                        e.append(end + 1)
+                    has[r, [c for v in here for c in of_variant[v]]] = 1
+                    sides.append(here)
+                # Of a query at least two concepts are found: one product for all texts and queries.
+                many = has @ of_concept
+                last, made = -1, {}
+                for r, q in zip(*(x.tolist() for x in np.nonzero(many >= 2)), strict=True):
+                    if r != last:
+                        last, made = r, {}
+                    found = []
+                    for c in mine[q]:
+                        if c not in made:
+                            own = [sides[r][at[v]] for v in every[c] if at[v] in sides[r]]
+                            made[c] = _sides(np.array([x for s, _ in own for x in s]), np.array([x for _, e in own for x in e])) if own else None
+                        if made[c] is not None:
+                            found.append(made[c])
+                    start, end = _smallest(found, 700 if len(found) == len(mine[q]) else 150)
+                    if up := bonus(len(found), len(mine[q]), end - start):
+                        rows.append((qid[q], b.column(0)[r].as_py(), len(found), end - start, up, _passage(low[r][max(0, start - before) : end + after], min(start, before))))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], b.column(0).type), *(pa.array(c, pa.int32()) for c in cols[2:5]), pa.array(cols[5], pa.string())], names=["qid", "id", "found", "span", "bonus", "passage"])
 

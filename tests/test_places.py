@@ -77,3 +77,22 @@ def test_concept_windows_against_plain_places(spark, sf):
                 if up := P.bonus(len(found), len(r.concepts), min(spans)):
                     want[r.qid, i] = (len(found), min(spans), up)
     assert {(r.qid, r.id): (r.found, r.span, r.bonus) for r in P.concept_windows(q, docs).collect()} == want and want
+
+
+def test_smallest_windows_near_the_rarest_group():
+    """With a bound, places far from the rarest group are left out, and what is within the bound is the same."""
+    r = np.random.default_rng(8)
+    for k in range(200):
+        groups = [(s := np.unique(r.integers(0, 20_000, n)), s + r.integers(3, 9, len(s))) for n in (1 + k % 3, 150, 90)]
+        start, end = P.smallest_window(groups)
+        for most in (150, 700):
+            got = P._smallest([P._sides(*g) for g in groups], most)
+            assert got == (start, end) if end - start <= most else got[1] - got[0] > most
+
+
+def test_concepts_that_queries_share(spark):
+    """A concept of several queries, one that a query names twice, and one without variants count as each query's own."""
+    q = spark.createDataFrame([(1, [["aaa", "bbb"], ["ccc"]]), (2, [["ccc"], ["aaa", "bbb"], ["zzz"]]), (3, [["ccc"], ["ccc"]]), (4, [["ccc"], []]), (5, None)], "qid bigint, concepts array<array<string>>")
+    docs = spark.createDataFrame([(1, "x bbb and ccc"), (2, "ccc alone"), (3, None), (4, "aaa " + "y" * 800 + " ccc")], "id bigint, content string")
+    got = {(x.qid, x.id): (x.found, x.bonus) for x in P.concept_windows(q, docs).collect()}
+    assert got == {(1, 1): (2, 30), (2, 1): (2, 10), **{(3, k): (2, 30) for k in (1, 2, 4)}}
